@@ -5,8 +5,9 @@ zeros and ones; its Krichevsky-Trofimov estimate is mixed half and half with the
 counts of (DEPTH + 1)-byte strings, summed by the cluster; subtrees below two context bytes are weighted in parallel, and the two levels above them are at
 most 65,536 nodes. The scores are those of the trained trees, held fixed: log10 of the probability of the text's bytes and of the end mark.
 
-A model of up to MODEL_ROWS rows is broadcast. A larger one is cut into slices by the two last context bytes, and each slice scores the positions it knows
-in a pass of its own over the texts, so memory is bounded and no context is dropped.
+Strings of texts that are scored but not learned from are counted as 0 times seen, so the table has the value of every string that scoring meets. A table of
+up to MODEL_ROWS rows is broadcast. A larger one is cut into slices by a hash of the string, and each slice scores the positions it knows in a pass of its
+own over the texts, so memory is bounded and no context is dropped.
 
 Defined results: a null text counts as empty (its end mark is scored); an untrained model gives each binary decision one half; repeated rows are scored
 each; an empty table gives an empty table; other columns are kept.
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import width, written
 
-DEPTH, START, END, MODEL_ROWS, BLOCK_ROWS, PART = 4, 0xFE, 0xFF, 8_000_000, 8192, 1 << 19
-KIND = 60  # bits above hold 0 for a whole string's row, else the depth of a node's row
+DEPTH, START, END, MODEL_ROWS, BLOCK_ROWS, PART = 5, 0xFE, 0xFF, 8_000_000, 8192, 1 << 19
 
 
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,30 +61,30 @@ def parts(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
 
 
 def counted(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """One binary column -> (k, n): how often each (depth + 1)-byte string occurs."""
+    """(train boolean, text binary) -> (k, n): how often each (depth + 1)-byte string occurs in training texts, 0 where only others have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ks, ns, size = [], [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            u, at = np.unique(np.concatenate([k, *ks]), return_inverse=True)
-            return u, np.bincount(at, np.concatenate([n, *ns]), len(u)).astype(np.int64)
+            u, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return u, np.bincount(at, np.concatenate([n for _, n in held]), len(u)).astype(np.int64)
 
         for b in batches:
-            for some in parts(t.as_py() or b"" for t in b[0]):
-                u, c = np.unique(grams(some, depth)[0], return_counts=True)
-                ks.append(u)
-                ns.append(c)
-                size += len(u)
-                if size > 1_000_000:
-                    k, n = merged()
-                    ks, ns, size = [], [], 0
-                    if len(k) > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
-                        k, n = k[:0], n[:0]
-        k, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+            taught = b[0].to_numpy(zero_copy_only=False)
+            for train in (True, False):
+                for some in parts(t.as_py() or b"" for t in b[1].filter(pa.array(taught == train))):
+                    u, c = np.unique(grams(some, depth)[0], return_counts=True)
+                    held.append((u, c if train else np.zeros_like(c)))
+                    size += len(u)
+                    if size > 1_500_000:
+                        held = [merged()]
+                        size = 0
+                        if len(held[0][0]) > 1_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["k", "n"])
+                            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["k", "n"])
 
     return texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
@@ -154,10 +154,10 @@ def by_subtree(table: DataFrame, depth: int, f, schema: str) -> DataFrame:
 
 
 class Model:
-    """The top two levels: for each last byte and decision node, what is settled (a) and what is left to deeper contexts (b)."""
+    """table (k, value): the log10 probability of each string's last byte after the bytes before it."""
 
-    def __init__(self, depth: int, a: np.ndarray, b: np.ndarray, table: DataFrame | None, slices: int) -> None:
-        self.depth, self.a, self.b, self.table, self.slices = depth, a, b, table, slices
+    def __init__(self, depth: int, table: DataFrame, slices: int) -> None:
+        self.depth, self.table, self.slices = depth, table, slices
 
 
 def train(table: DataFrame, depth: int = DEPTH, model_rows: int = MODEL_ROWS) -> Model:
@@ -182,43 +182,34 @@ def train(table: DataFrame, depth: int = DEPTH, model_rows: int = MODEL_ROWS) ->
     top = spark.sparkContext.broadcast((a, b))
 
     def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        levels, (ta, tb) = subtrees(k, n, depth), top.value
+        levels, (a, b) = subtrees(k, n, depth), top.value
         up = ((levels[0]["key"] >> 16) << 8) | (levels[0]["key"] & 255)
-        a, b, keys, values = ta[up], tb[up], [], []
+        a, b = a[up], b[up]
         for d, t in enumerate(levels, 2):
             if d > 2:
                 a, b = a[t["parent"]], b[t["parent"]]
             a, b = a + b * t["w"] * (t["n1"] + 0.5) / (t["n0"] + t["n1"] + 1), b * (1 - t["w"])
-            keys.append(t["key"] | d << KIND)
-            values.append(a + b / 2)
-        s, p = k & 255, values[-1][levels[-1]["of_gram"]].reshape(8, -1)
+        s, p = k & 255, a[levels[-1]["of_gram"]].reshape(8, -1)
         bits = np.stack([(s >> (7 - j)) & 1 for j in range(8)])
-        keys.append(k)
-        values.append(np.log10(np.where(bits == 1, p, 1 - p)).sum(0))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], ["key", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.log10(np.where(bits == 1, p, 1 - p)).sum(0))], ["k", "value"])
 
-    out = written(by_subtree(table, depth, rows, "key long, value double"))
-    return Model(depth, a, b, out, max(1, -(-out.count() // model_rows)))
+    out = written(by_subtree(table, depth, rows, "k long, value double"))
+    return Model(depth, out, max(1, -(-out.count() // model_rows)))
 
 
 class Scorer:
-    """A slice of the model in memory: a hash table of whole strings, and sorted nodes for strings that training has not seen."""
-
-    def __init__(self, depth: int, a: np.ndarray, b: np.ndarray, keys: np.ndarray, values: np.ndarray, part: int, slices: int) -> None:
-        self.depth, self.a, self.b, self.part, self.slices = depth, a, b, part, slices
-        whole = keys >> KIND == 0
-        self.node, self.p = keys[~whole], values[~whole]
-        order = np.argsort(self.node)
-        self.node, self.p = self.node[order], self.p[order]
-        g, v = keys[whole], values[whole]
-        self.bits = max(10, int(len(g) * 2).bit_length())
+    """A slice of the model in memory, as a hash table of strings."""
+
+    def __init__(self, depth: int, keys: np.ndarray, values: np.ndarray) -> None:
+        self.depth = depth
+        self.bits = max(10, int(len(keys) * 2).bit_length())
         self.slot, self.value, self.hops = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits), 0
-        left = np.arange(len(g))
+        left = np.arange(len(keys))
         while len(left):
-            at = self.place(g[left], self.hops)
-            open_ = np.flatnonzero(self.slot[at] < 0)
-            first = open_[np.unique(at[open_], return_index=True)[1]]
-            self.slot[at[first]], self.value[at[first]] = g[left[first]], v[left[first]]
+            at = self.place(keys[left], self.hops)
+            free = np.flatnonzero(self.slot[at] < 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.slot[at[first]], self.value[at[first]] = keys[left[first]], values[left[first]]
             left = np.delete(left, first)
             self.hops += 1
 
@@ -226,56 +217,28 @@ class Scorer:
         h = (k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
         return ((h + np.uint64(hop)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
-    def unseen(self, k: np.ndarray) -> np.ndarray:
-        s, out = k & 255, np.zeros(len(k))
-        for j in range(8):
-            node = (1 << j) | (s >> (8 - j))
-            c1 = (k >> (8 * self.depth)) & 255
-            p = self.a[(c1 << 8) | node] + self.b[(c1 << 8) | node] / 2
-            for d in range(2, self.depth + 1):
-                key = ((k >> (8 * (self.depth - d + 1))) << 8) | node | d << KIND
-                at = np.minimum(np.searchsorted(self.node, key), max(len(self.node) - 1, 0))
-                hit = self.node[at] == key if len(self.node) else np.zeros(len(k), bool)
-                p = np.where(hit, self.p[at] if len(self.node) else p, p)
-            out += np.log10(np.where((s >> (7 - j)) & 1 == 1, p, 1 - p))
-        return out
-
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text, from the positions this slice knows."""
         k, starts = grams(texts, self.depth)
-        out, left, lost = np.zeros(len(k)), np.arange(len(k)), []
+        out, left = np.zeros(len(k)), np.arange(len(k))
         for hop in range(self.hops):
             kk = k[left]
             at = self.place(kk, hop)
             held = self.slot[at]
             hit = held == kk
             out[left[hit]] = self.value[at[hit]]
-            lost.append(left[held < 0])  # an empty place ends the search
-            left = left[~hit & (held >= 0)]
+            left = left[~hit & (held >= 0)]  # an empty place ends the search
             if not len(left):
                 break
-        lost = np.concatenate([*lost, left])
-        if self.slices > 1:
-            lost = lost[part_of(k[lost] >> (8 * (self.depth - 1)), self.slices) == self.part]
-        if len(lost):
-            u, at = np.unique(k[lost], return_inverse=True)
-            out[lost] = self.unseen(u)[at]
-        return np.add.reduceat(out, starts) if len(starts) else np.zeros(0)
-
-
-def part_of(prefix: np.ndarray, slices: int) -> np.ndarray:
-    return (prefix * 40_503) % 65_521 % slices
+        return np.add.reduceat(out, starts)
 
 
-def scorers(model: Model) -> Iterator:
+def scorers(model: Model) -> Iterator[tuple]:
     """One broadcast after the other, each of a slice of about MODEL_ROWS rows."""
     spark = model.table.sparkSession
-    kind = F.shiftright("key", KIND)
-    prefix = F.when(kind == 0, F.shiftright("key", 8 * (model.depth - 1))).otherwise(F.expr(f"shiftright(key & {(1 << KIND) - 1}, cast(8 + 8 * (shiftright(key, {KIND}) - 2) as int))"))
     for part in range(model.slices):
-        rows = model.table if model.slices == 1 else model.table.where((prefix * 40_503) % 65_521 % model.slices == part)
-        t = rows.toArrow()
-        yield uuid.uuid4().hex, spark.sparkContext.broadcast((model.depth, model.a, model.b, t["key"].to_numpy(), t["value"].to_numpy(), part, model.slices))
+        t = model.table.where(F.pmod(F.xxhash64("k"), F.lit(model.slices)) == part).toArrow()
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast((model.depth, t["k"].to_numpy(), t["value"].to_numpy()))
 
 
 _scorer: dict[str, Scorer] = {}
@@ -310,7 +273,7 @@ def add_scores(rows: DataFrame, shared) -> DataFrame:
 def lm_scores(docs: DataFrame, learn_from: Column, depth: int = DEPTH, text_col: str = "text", model_rows: int = MODEL_ROWS) -> DataFrame:
     """docs with score, the model's log10 probability of the whole text; learn_from says which rows teach it."""
     rows = docs.withColumn(text_col, F.col(text_col).cast("binary")).withColumnRenamed(text_col, "text")
-    model = train(written(counted(rows.where(learn_from).select("text"), depth)), depth, model_rows)
+    model = train(written(counted(rows.select(learn_from.alias("train"), "text"), depth)), depth, model_rows)
     rows = rows.withColumn("score", F.lit(0.0))
     for i, shared in enumerate(scorers(model)):
         rows = add_scores(rows, shared)
@@ -370,7 +333,7 @@ def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_with_base(rows: DataFrame, depth: int = DEPTH, model_rows: int = MODEL_ROWS) -> DataFrame:
     """rows (block, doc_id, train, text binary) with the model's score and the word-count score that it is held against."""
     spark = rows.sparkSession
-    model = train(written(counted(rows.where("train").select("text"), depth)), depth, model_rows)
+    model = train(written(counted(rows.select("train", "text"), depth)), depth, model_rows)
     held = written(block_words(rows))
     counts = held.groupBy("word").agg(F.sum("n").alias("c"))
     sums = held.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).collect()[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, CHUNK, ROW_COST, PAIR_COST = 4096, 1 << 20, 2e-6, 6e-9
+BLOCK, CHUNK, ROW_COST, PAIR_COST = 4096, 1 << 18, 2e-6, 6e-9
 
 
 def bit_counts(codes: DataFrame, column: str) -> np.ndarray:
@@ -151,7 +151,7 @@ def _verified(k: np.ndarray, role: np.ndarray, code: np.ndarray, tau: int) -> It
     """Pairs of whole buckets (rows sorted by k), a < b."""
     order = np.lexsort((role == 1, k))
     k, role, code = k[order], role[order], code[order]
-    starts = np.flatnonzero(np.concatenate([[True], (k[1:, :] != k[:-1, :]).any(1) if k.ndim > 1 else k[1:] != k[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     group = np.cumsum(np.bincount(starts, minlength=len(k))) - 1
     n_index = np.bincount(group[role != 1], minlength=len(starts))
     probes = np.flatnonzero(role != 0)
@@ -170,6 +170,10 @@ def _verified(k: np.ndarray, role: np.ndarray, code: np.ndarray, tau: int) -> It
         at = to
 
 
+def sent_edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
 def links(codes: DataFrame, column: str, tau: int, dense: bool = True) -> DataFrame:
     """codes (distinct longs in `column`) -> edges (a, b) among codes within tau; with dense, a spanning forest for each task's finds."""
     n = codes.count()
@@ -191,11 +195,18 @@ def links(codes: DataFrame, column: str, tau: int, dense: bool = True) -> DataFr
         left = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.uint64)]
 
         def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            got = list(_verified(*rows, tau)) if len(rows[0]) else []
-            if got:
-                a, b = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                a, b = forest(a, b) if dense else (a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for x, y in _verified(*rows, tau) if len(rows[0]) else ():
+                held.append(forest(x, y) if dense else (x, y))
+                size += len(held[-1][0])
+                if size > CHUNK:
+                    a, b = (np.concatenate(c) for c in zip(*held))
+                    yield sent_edges(*(forest(a, b) if dense else (a, b)))
+                    held, size = [], 0
+            if held:
+                a, b = (np.concatenate(c) for c in zip(*held))
+                yield sent_edges(*(forest(a, b) if dense else (a, b)))
 
         for batch in batches:
             if not batch.num_rows:
