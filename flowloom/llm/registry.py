@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, sharding, simhash
+from . import ctw, embeddings, lines, mixing, packing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_lines": lines.op2_lines,
         "op3_simhash": simhash.op3_simhash,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality": quality.op5_quality,
+        "op6_scoring": ctw.op6_scoring,
+        "op7_embeddings": embeddings.op7_embeddings,
         "op10_packing": packing.op10_packing,
     }
 
