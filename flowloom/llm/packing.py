@@ -12,7 +12,9 @@ documents; an empty table gives an empty table; other columns play no part.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,46 +25,64 @@ from pyspark.sql import functions as F
 from .common import buckets_for, ranked, written
 
 CAPACITY, END, GROUPS, SMALL = 1024, 2, 192, 32
-CACHE = 250_000
+CACHE = 500_000
 
 
-class Encoder:
+class Pieces(dict):
+    """Ids of what the tokenizer's pattern cuts out, by its model."""
+
+    def __init__(self, tokenizer) -> None:
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves, others as characters from 256 on
+        other = [b for b in range(256) if b not in plain]
+        self.written = [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
+        self.model = tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        out = self[piece] = array("I", [t.id for t in self.model.tokenize("".join([self.written[b] for b in piece.encode()]))]).tobytes()
+        return out
+
+
+class Encoder(dict):
     """Ids of whole texts from a byte-level BPE file, as little-endian 32-bit bytes.
 
-    The pattern of such a tokenizer never matches across the start of white space that follows something else, so a text is encoded in pieces cut before
-    blanks, and each distinct piece only once while it is remembered (at most CACHE of them; when full, the memory starts anew).
+    The pattern of such a tokenizer never matches across the start of white space that follows something else, so a text is encoded in words cut before
+    blanks, and each distinct word only once while it is remembered (at most CACHE of them; when full, the memory starts anew). Strings of special tokens
+    are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
-        import re
-
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.doubtful = re.compile(r"\s |^ | $").search
-        self.cut = re.compile(r"(?<=\S) ").split
+        self.pieces = Pieces(Tokenizer.from_file(path))
+        self.pattern = regex.compile(public_tokenizers.PATTERN).findall
+        self.doubtful, self.cut = re.compile(r"\s |^ | $").search, re.compile(r"(?<=\S) ").split
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        out = self[word] = self.pieces[f" {word}"] if word.isalpha() else self.whole(f" {word}")
+        return out
 
-    def learn(self, parts: list[str]) -> None:
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern(text)))
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = self.cut(text) if self.doubtful(text) else text.split(" ")
-        head, tail = parts[0], [" " + p for p in parts[1:]]
-        missing = {p for p in tail if p not in self.known}
-        if head not in self.known:
-            missing.add(head)
-        if missing:
-            if len(self.known) > CACHE:
-                self.known.clear()
-                missing = {head, *tail}
-            self.learn(list(missing))
-        known = self.known
-        return known[head] + b"".join([known[p] for p in tail])
+        head, *words = self.cut(text) if self.doubtful(text) else text.split(" ")
+        return self.whole(head) + b"".join(map(self.__getitem__, words))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One Encoder per worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def default_vocabulary() -> str:
@@ -75,10 +95,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """A row per piece: doc_id, piece, start, length, ids_crc32, tie (a hash of the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, stop = Encoder(vocabulary or default_vocabulary()), np.array([end], "<u4").tobytes()
+        encode, stop = encoder(vocabulary or default_vocabulary()), np.array([end], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
             for i, tie, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2]):
