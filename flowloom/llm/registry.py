@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, embeddings, lines, mixing, packing, quality, sharding, simhash
+from . import chat, ctw, embeddings, lines, media, mixing, packing, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5_quality,
         "op6_scoring": ctw.op6_scoring,
         "op7_embeddings": embeddings.op7_embeddings,
+        "op8_media": media.op8_media,
+        "op9_chat": chat.op9_chat,
         "op10_packing": packing.op10_packing,
     }
 
