@@ -126,7 +126,7 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
             v += z.T @ b["y"].to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([np.vstack([a, v]).tobytes()])], ["sums"])
 
-    total = sum(np.frombuffer(r["sums"]).reshape(-1, 2 * FEATURES + d + 1) for r in learn.select("x", "y").mapInArrow(sums, "sums binary").collect())  # at most 16 rows
+    total = sum(np.frombuffer(r["sums"]).reshape(-1, 2 * FEATURES + d + 1) for r in learn.select("x", "y").coalesce(8).mapInArrow(sums, "sums binary").collect())  # at most 8 rows, of a size that the features fix
     a, v = total[:-1], total[-1]
     model.beta = np.linalg.solve(a + RIDGE * a[-1, -1] * np.eye(len(a)), v)
     fitted = spark.sparkContext.broadcast(model)
