@@ -69,8 +69,11 @@ class Decoder:
 def assembled(role: str, text: str, encode) -> tuple[bytes, bytes]:
     """Ids (little-endian 32-bit) and mask (a byte each) of one turn."""
     one = lambda i: array("I", [i]).tobytes()
-    head, body = one(TURN_ID) + encode(escape(role)) + one(TEXT_ID), encode(escape(text)) + one(END_ID)
-    return head + body, bytes(len(head) // 4) + (b"\x01" if role == "assistant" else b"\x00") * (len(body) // 4)
+    segments = [one(TURN_ID), encode(escape(role)), one(TEXT_ID), encode(escape(text)), one(END_ID)]
+    ends = np.cumsum([len(s) // 4 for s in segments])  # prefix sums of the segments' lengths: the mask is a span between two of them
+    mask = np.zeros(ends[-1], np.uint8)
+    mask[ends[2] :] = role == "assistant"
+    return b"".join(segments), mask.tobytes()
 
 
 def formatted(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
