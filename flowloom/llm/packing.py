@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, ranked, written
 
-CAPACITY, END, GROUPS, SMALL = 1024, 2, 192, 32
+CAPACITY, END, GROUPS, SMALL, GAIN = 1024, 2, 96, 32, 1e-4
 CACHE = 500_000
 
 
@@ -142,7 +142,7 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
     for n in range(rounds):
         price = inverse.sum(0)
         value, column = knapsack(sizes, price, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + GAIN:
             break
         d = inverse @ np.array(column, float)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
