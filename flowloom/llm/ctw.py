@@ -78,10 +78,10 @@ def counted(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
                     u, c = np.unique(grams(some, depth)[0], return_counts=True)
                     held.append((u, c if train else np.zeros_like(c)))
                     size += len(u)
-                    if size > 1_500_000:
+                    if size > 800_000:
                         held = [merged()]
                         size = 0
-                        if len(held[0][0]) > 1_000_000:
+                        if len(held[0][0]) > 800_000:
                             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["k", "n"])
                             held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["k", "n"])
@@ -308,7 +308,7 @@ def block_words(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for block, train, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2]):
-                if block != now or len(taught) + len(other) > 1_000_000:
+                if block != now or len(taught) + len(other) > 300_000:
                     if now is not None:
                         yield from out()
                     now, taught, other, ends = block, Counter(), set(), 0

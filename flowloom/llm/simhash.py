@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import components, written
 from .hamming import links
 
-TAU, WORDS, SIMILARITY, CANDIDATE_TAU, MEMBERS = 4, 5, 0.8, 8, 64
+TAU, WORDS, SIMILARITY, CANDIDATE_TAU, MEMBERS = 4, 5, 0.8, 10, 64
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
