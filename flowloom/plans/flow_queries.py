@@ -9,7 +9,7 @@ from ..operators import atoms, windows
 from ..sources import canonical, demo
 
 STEP, WINDOWS = demo.STEP, demo.WINDOWS
-SINCE, BEFORE, BUCKET = 600, 40_000, 360
+SINCE, BEFORE, SPLIT, BUCKET = 28_402_000, 28_440_000, 28_420_000, 360
 
 
 def d(*names: str) -> list:
@@ -36,7 +36,7 @@ def e5_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e7_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = demo.events(spark, sf_dir).where((F.col("timestamp_ms") >= SINCE) & (F.col("timestamp_ms") < BEFORE))
-    return e.groupBy(F.when(F.col("timestamp_ms") < 20_000, "warmup").otherwise("research").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
+    return e.groupBy(F.when(F.col("timestamp_ms") < SPLIT, "warmup").otherwise("research").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
 
 
 def e9_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ def _relative(name: str, n: int) -> str:
 ORACLE = {
     "e1_canonical_events": f"WITH {PLAIN} SELECT symbol, ingest_pos, timestamp_ms, event_type, order_uid, side, {r('price', 'price')}, {r('qty', 'qty')}, maker_uid, taker_uid, {r('execution_price', 'execution_price')}, {r('execution_qty', 'execution_qty')}, n_events_same_ms, ordering_ambiguous FROM ev",
     "e5_ambiguity": f"WITH {PLAIN} SELECT event_type, count(*) FILTER (ordering_ambiguous) AS ambiguous, max(n_events_same_ms) AS most_in_one_ms, count(*) AS n FROM ev GROUP BY 1",
-    "e7_phases": f"WITH {PLAIN} SELECT CASE WHEN timestamp_ms < 20000 THEN 'warmup' ELSE 'research' END AS phase, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms FROM ev WHERE {_rng} GROUP BY 1",
+    "e7_phases": f"WITH {PLAIN} SELECT CASE WHEN timestamp_ms < {SPLIT} THEN 'warmup' ELSE 'research' END AS phase, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms FROM ev WHERE {_rng} GROUP BY 1",
     "e9_lifecycle": f"WITH {PLAIN}, u AS (SELECT order_uid AS uid, 'order' AS role, timestamp_ms, event_type FROM ev UNION ALL SELECT maker_uid, 'maker', timestamp_ms, event_type FROM ev UNION ALL SELECT taker_uid, 'taker', timestamp_ms, event_type FROM ev) SELECT uid, role, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms, count(DISTINCT event_type) AS kinds FROM u WHERE uid IS NOT NULL GROUP BY 1, 2",
     "e10_neighbourhood": f"WITH {PLAIN} SELECT x.ingest_pos AS execution, count(*) AS n, count(*) FILTER (e.event_type = 'OrderPlaced') AS placed, count(*) FILTER (e.timestamp_ms BETWEEN x.timestamp_ms + 1 AND x.timestamp_ms + 3) AS soon_after FROM ev x JOIN ev e ON e.timestamp_ms BETWEEN x.timestamp_ms - 5 AND x.timestamp_ms + 5 WHERE x.execution_qty > 100 GROUP BY 1",
     "a1_taker_atoms": f"WITH {PLAIN}, {TK} SELECT ts, ingest_pos, taker_uid, aggressor, sign, {r('qty', 'qty')}, {r('price', 'price')}, {r('notional', 'notional')} FROM tk",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import flow_queries
+from . import book_queries, flow_queries
 
-MODULES = [flow_queries]
+MODULES = [flow_queries, book_queries]
 
 
 def queries() -> dict:
