@@ -24,7 +24,7 @@ def written(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read again: it is computed once and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
