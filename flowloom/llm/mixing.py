@@ -2,7 +2,8 @@
 
 Every document is put into a random but fixed order within its source. Its virtual finish time is the number of its source's words up to and with it,
 divided by the source's target. All documents, with up to `repeats` passes over each source, are then range-sorted by that time and the order is cut at
-the total budget. Native DataFrame code; no source is ever sorted in one task.
+the total budget; a document that would start at or after its source's target waits for ever, so one source's long document never becomes another source's
+surplus. Native DataFrame code; no source is ever sorted in one task.
 
 Defined results: a null text has size 0; a source of null is a source of its own, ordered last; documents of size 0 are never taken (taken 0); an empty
 table gives an empty table; repeated rows are separate documents; other columns are kept (the operator's own columns start with "mix_").
@@ -61,6 +62,11 @@ def finish(copy: int) -> Column:
     return F.try_divide(F.lit(copy) * F.col("source_size") + F.col("mix_end"), F.col("target"))
 
 
+def early(copy: int) -> Column:
+    """Whether the pass starts before the source has its target."""
+    return F.lit(copy) * F.col("source_size") + F.col("mix_end") - F.col("mix_size") < F.col("target")
+
+
 def cut(plan: DataFrame, repeats: int = REPEATS) -> tuple[float, int] | None:
     """The last (finish time, tie) within the budget in the global order, or None where nothing fits.
 
@@ -68,8 +74,8 @@ def cut(plan: DataFrame, repeats: int = REPEATS) -> tuple[float, int] | None:
     up row by row. Ties of the finish time go by the source's and the row's place.
     """
     spark = plan.sparkSession
-    v = plan.where("mix_size > 0 AND target > 0").select(F.explode(F.array(*[F.struct(finish(c).alias("v"), F.lit(c).alias("c")) for c in range(repeats)])).alias("x"), F.xxhash64("mix_source", "mix_rank").alias("tie"), "mix_size", "target_budget")
-    v = v.select("x.v", "tie", "mix_size", "target_budget")
+    v = plan.where("mix_size > 0 AND target > 0").select(F.explode(F.array(*[F.struct(finish(c).alias("v"), early(c).alias("early")) for c in range(repeats)])).alias("x"), F.xxhash64("mix_source", "mix_rank").alias("tie"), "mix_size", "target_budget")
+    v = v.where("x.early").select("x.v", "tie", "mix_size", "target_budget")
     dealt = written(v.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "v", "tie").withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("part").agg(F.sum("mix_size").alias("n"), F.max("target_budget").alias("budget"), F.max(F.struct("v", "tie")).alias("last"))
     sums = sums.withColumn("to", F.sum("n").over(Window.orderBy("part"))).withColumn("over", F.col("to") > F.col("budget"))
@@ -91,7 +97,7 @@ def taken(plan: DataFrame, at: tuple[float, int] | None, repeats: int = REPEATS)
     if at is None:
         return plan.withColumn("mix_copies", F.lit(0))
     tie = F.xxhash64("mix_source", "mix_rank")
-    one = lambda c: F.coalesce(((finish(c) < at[0]) | ((finish(c) == at[0]) & (tie <= at[1]))) & (F.col("mix_size") > 0), F.lit(False)).cast("int")
+    one = lambda c: F.coalesce(((finish(c) < at[0]) | ((finish(c) == at[0]) & (tie <= at[1]))) & early(c) & (F.col("mix_size") > 0), F.lit(False)).cast("int")
     return plan.withColumn("mix_copies", sum((one(c) for c in range(1, repeats)), one(0)))
 
 
