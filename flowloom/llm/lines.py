@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WINDOW, MIN_WORDS, PAIR = 3, 25, np.uint64(0x9E3779B97F4A7C15)
+WINDOW, MIN_WORDS, BUCKETS, PAIR = 3, 25, 1 << 18, np.uint64(0x9E3779B97F4A7C15)
 _cut = re.compile(rb"(?<=\n)|(?<=[.!?] )").split
 
 
@@ -39,7 +39,8 @@ def cut(text: bytes) -> list[bytes]:
 
 
 def hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    words = [x.lower().split() for x in lines]
+    """Hash and word count of each (lower-case) line, white space apart."""
+    words = [x.split() for x in lines]
     return np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64), np.array([len(w) for w in words], np.int32)
 
 
@@ -62,7 +63,7 @@ def sequences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [hashes(cut(t.as_py() or b"")) for t in b[2]]
+            got = [hashes(cut((t.as_py() or b"").lower())) for t in b[2]]
             yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["doc_id", "key", "h", "w"])
 
     return docs.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, key long, h binary, w binary")
@@ -127,7 +128,12 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WOR
     """docs (doc_id, text and any other columns) with text as it stays, and line_count, lines_removed, words_removed."""
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     spans = written(repeated(keyed.select("doc_id", F.col("__key").alias("key"), "text"), window, min_words)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("spans").alias("__spans"))
-    rows = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    # Only texts whose key falls into a bucket with deletions move; the set of buckets has at most BUCKETS rows, whatever the input.
+    bucket = F.pmod(F.xxhash64("doc_id", "__key"), F.lit(BUCKETS))
+    hit = spans.select(F.pmod(F.xxhash64("__id", "__k"), F.lit(BUCKETS)).alias("__hit")).distinct()
+    keyed = keyed.withColumn("__b", bucket).join(F.broadcast(hit), F.col("__b") == F.col("__hit"), "left")
+    near = keyed.where("__hit IS NOT NULL").join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    rows = near.unionByName(keyed.where("__hit IS NULL").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)), allowMissingColumns=True)
     others = [c for c in docs.columns if c != "text"]
     rows = rows.select(*[F.col(f"`{c}`") for c in others], F.col("text").cast("binary").alias("text"), "__spans")
     schema = rows.drop("__spans").withColumns({c: F.lit(0) for c in ("line_count", "lines_removed", "words_removed")}).schema
