@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import atoms, book, levels, lifecycle, windows
 from ..sources import canonical, demo
+from ..sources.shared import stored
 from .flow_queries import AGGRESSIVE, PASSIVE, REGIME, REPRICE
 
 LABELS = ["100ms", "250ms", "500ms", "1s", "2s", "5s", "10s", "30s", "60s", "300s"]
@@ -22,18 +23,19 @@ PROVENANCE = {"source_session": "demo", "data_version": "1", "feature_version":
 def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: int = 1_000, tick: float = 1.0, label: str = "LOW", contexts: tuple[int, int] = (300, 1_800)) -> DataFrame:
     """One row per symbol and anchor with 615 columns; sizes are the windows behind LABELS, contexts the anchors in five and thirty minutes."""
     of = dict(zip(LABELS, sizes))
-    moved = atoms.with_old(events, canonical.priority)
+    events, grid = stored(events), stored(grid)
+    moved = stored(atoms.with_old(events, canonical.priority))
     taker = atoms.taker(events)
     spans = lifecycle.intervals(lifecycle.transitions(events))
-    series = book.series(spans, grid, step)
+    series = stored(book.series(spans, grid, step))
     seen = series.withColumnRenamed("anchor", "ts")
     named = lambda df, names, labels, new=None: df.select("symbol", "anchor", *[F.col(f"{n}_{of[w]}").cast("double").alias(f"{(new or {}).get(n, n)}_{w}") for w in labels for n in names])
-    flow = windows.aggressive_flow(taker, grid, sizes, step)
-    counts = windows.regime_counts(events, grid, sizes, step)
+    flow = stored(windows.aggressive_flow(taker, grid, sizes, step))
+    counts = stored(windows.regime_counts(events, grid, sizes, step))
     base = windows.relative_activity(counts, f"order_event_count_{of['1s']}", {"5m": contexts[0], "30m": contexts[1]})
     activity = base.select("symbol", "anchor", *ACTIVITY, F.col("activity_rolling_percentile_30m").alias("regime_percentile"), windows.regime_label(F.col("activity_rolling_percentile_30m")).alias("regime_state"))
     response = windows.price_response(seen.select("symbol", "ts", "mid"), flow, grid, [of[w] for w in RESPONSE], tick)
-    level_atoms = lifecycle.level_atoms(events)
+    level_atoms = stored(lifecycle.level_atoms(events))
     summary = levels.summary(level_atoms, grid, series, step, tick)
     sides = summary.groupBy("symbol", "anchor").agg(*[F.max(F.when(F.col("side") == k, F.col(c))).cast("double").alias(f"{s}_{c}") for s, k in (("bid", "buy"), ("ask", "sell")) for c in SUMMARY])
     refill = levels.replenishment(levels.refill_pairs(level_atoms, max(10 * step, of["10s"])), grid, [of[w] for w in REFILL], step)
@@ -48,7 +50,7 @@ def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: i
     ]
     out = grid
     for f in families:
-        out = out.join(f, ["symbol", "anchor"], "left")
+        out = out.join(stored(f), ["symbol", "anchor"], "left")
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in refill.columns[2:]}
     out = out.withColumns(filled)
     return out.select(F.col("anchor").alias("timestamp_ms"), *[c for c in out.columns if c not in ("symbol", "anchor")], "symbol", F.lit(label).alias("session_label"), *[F.lit(v).alias(k) for k, v in PROVENANCE.items()])
