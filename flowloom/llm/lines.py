@@ -1,13 +1,17 @@
-"""Line dedup by winnowing.
+"""Line dedup by winnowing, exact for runs of MIN_WORDS words.
 
-A line is cut after sentence ends too, so that a passage pasted into the middle of a line still carries whole lines. Each document is the sequence of its
-lines' hashes (case and white space apart). Of every WINDOW successive pairs of lines the one of least hash is a fingerprint, so two documents that share
-WINDOW + 1 lines in a row share a fingerprint. A fingerprint's occurrences are joined to its first one (by id, then place), matches on one diagonal are
-put together, and the two sequences are compared along the diagonal, both ways from the matches: maximal equal runs of MIN_WORDS words or more are
-deleted from the later place. The first place of every run stays.
+Each document is the sequence of its words' hashes (case and white space apart). A window is MIN_WORDS successive words; every window that an earlier place
+(by id, then place in the text) has too is deleted, so all of every equal run of MIN_WORDS words or more goes from the later place, wherever in a line it
+starts or ends. The first place of every window stays, unless a window of its own that overlaps it has an earlier place.
 
-Defined results: null texts stay null and empty ones empty; blank lines belong to the line before; rows of equal id and text are one document (all of
-them keep what it keeps); ties of id go by a hash of the text, a null id counting as the first; an empty table gives an empty table; other columns stay.
+Not every window is sent. Of a window's GRAM-word pieces the one of least hash is its fingerprint g, so equal windows have equal fingerprints at equal
+offsets, and successive windows mostly share one. A row is such a group of windows: g, and c, a hash of all their words. Rows equal in g and c are equal
+in all windows, and all but the first go. Where g comes with several c, the first row of each c is opened into its windows, which are compared one by one.
+
+Defined results: null texts stay null and empty ones empty; white space after a deleted run goes with it, but a line that keeps its beginning keeps its
+line break; rows of equal id and text are one document (all of them keep what it keeps); ties of id go by a hash of the text, a null id counting as the
+first; an empty table gives an empty table; other columns stay. line_count and lines_removed count lines cut after sentence ends too, the latter those
+whose words all go.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import width, written
 
-WINDOW, MIN_WORDS, BUCKETS, PAIR = 3, 25, 1 << 18, np.uint64(0x9E3779B97F4A7C15)
+GRAM, MIN_WORDS, BUCKETS, CHUNK = 8, 25, 1 << 18, 1 << 17
+BASE, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _cut = re.compile(rb"(?<=\n)|(?<=[.!?] )").split
+_word = re.compile(rb"\S+").finditer
+ROW = "g long, c long, doc_id long, key long, pos int, n int"
 
 
 def cut(text: bytes) -> list[bytes]:
@@ -38,96 +46,171 @@ def cut(text: bytes) -> list[bytes]:
     return out
 
 
-def hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and word count of each (lower-case) line, white space apart."""
-    words = [x.split() for x in lines]
-    return np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64), np.array([len(w) for w in words], np.int32)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * ODD
+    return x ^ (x >> np.uint64(29))
+
+
+class Hashed:
+    """Hashes of the words of texts, one text after the other, and of any range of them."""
+
+    def __init__(self, words: list[list[bytes]]) -> None:
+        self.size = np.array([len(w) for w in words], np.int64)
+        n = int(self.size.sum())
+        x = np.fromiter((xxhash.xxh64_intdigest(w) for t in words for w in t), np.uint64, n)
+        powers = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b)]))
+        self.power, self.total = powers(BASE), np.concatenate([[np.uint64(0)], np.cumsum(x * powers(INVERSE)[:n])])
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, a: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hashes of words [a, a + n)."""
+        return mixed((self.total[a + n] - self.total[a]) * self.power[a])
+
+
+def least(h: np.ndarray, window: int) -> np.ndarray:
+    """The place of the least hash of each window, the last of equal ones."""
+    view = np.lib.stride_tricks.sliding_window_view(h[::-1], window)
+    return len(h) - 1 - (np.arange(len(view)) + view.argmin(1))[::-1]
+
+
+def winnowed(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and their places: the least hash of each window; of a shorter sequence its least."""
+    at = np.unique(least(h, max(1, min(window, len(h))))) if len(h) else np.zeros(0, np.int64)
+    return h[at], at
+
+
+def groups(s: Hashed, min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, g, c, pos, n): the n windows from word pos of a text that share a fingerprint."""
+    gram = min(GRAM, min_words)
+    text = np.repeat(np.arange(len(s.size)), np.maximum(s.size - min_words + 1, 0))
+    windows = np.flatnonzero(np.arange(s.size.sum()) + min_words <= np.repeat(s.start + s.size, s.size))
+    if not len(windows):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int32, np.int32))
+    g = s.of(np.arange(s.size.sum() - gram + 1), gram)
+    at = least(g, min_words - gram + 1)[windows]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    n = np.diff(np.append(first, len(at)))
+    a, at, text = windows[first], at[first], text[first]
+    c = mixed(s.of(a, n - 1 + min_words) + (at - a).astype(np.uint64) * BASE + n.astype(np.uint64))
+    return text, g[at], c, (a - s.start[text]).astype(np.int32), n.astype(np.int32)
 
 
-def winnowed(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and their places: the least pair hash of each window, the last of equal ones; of a shorter sequence its least."""
-    if len(h) < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    g = (h[:-1] * PAIR) ^ (h[1:] + (h[:-1] >> np.uint64(29)))
-    g ^= g >> np.uint64(31)
-    if len(g) <= window:
-        at = np.array([len(g) - 1 - int(g[::-1].argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(g, window)[:, ::-1]
-        at = np.unique(np.arange(len(view)) + window - 1 - view.argmin(1))
-    return g[at], at
+def sent(b: pa.RecordBatch, text: np.ndarray, g: np.ndarray, c: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(text)
+    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b[0].take(rows), b[1].take(rows), pa.array(pos), pa.array(n)], ["g", "c", "doc_id", "key", "pos", "n"])
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text) -> (doc_id, key, h, w): hashes and word counts of the lines, as bytes."""
+def chunks(texts: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, Hashed]]:
+    """Texts of min_words words or more, at least one and about CHUNK words at a time, with their places in the batch."""
+    at, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        words = (t.as_py() or b"").lower().split()
+        if len(words) >= min_words:
+            at.append(i)
+            held.append(words)
+            size += len(words)
+            if size > CHUNK:
+                yield np.array(at), Hashed(held)
+                at, held, size = [], [], 0
+    if at:
+        yield np.array(at), Hashed(held)
+
+
+def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, text) -> ROW."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [hashes(cut((t.as_py() or b"").lower())) for t in b[2]]
-            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["doc_id", "key", "h", "w"])
+            for at, s in chunks(b[2], min_words):
+                text, *row = groups(s, min_words)
+                yield sent(b, at[text], *row)
+
+    return docs.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, ROW)
 
-    return docs.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, key long, h binary, w binary")
 
+def opened(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, text, at array of struct pos, n) -> ROW of single windows, g their hash."""
 
-def fingerprints(seq: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [winnowed(np.frombuffer(x.as_py(), np.uint64), window) for x in b[2]]
-            n = [len(a) for _, a in got]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g for g, _ in got]).view(np.int64)), b[0].take(rows := pa.array(np.repeat(np.arange(len(n)), n))), b[1].take(rows), pa.array(np.concatenate([a for _, a in got]).astype(np.int32))], ["g", "doc_id", "key", "pos"])
-
-    return seq.select("doc_id", "key", "h").mapInArrow(run, "g long, doc_id long, key long, pos int")
-
-
-def runs_on(h: np.ndarray, source: np.ndarray, w: np.ndarray, shift: int, lo: int, hi: int, min_words: int) -> list[tuple[int, int]]:
-    """Maximal runs [a, b) with h[i] = source[i - shift] that touch [lo, hi] and have min_words words."""
-    start, end = max(0, shift), min(len(h), len(source) + shift)
-    same = np.concatenate([[False], h[start:end] == source[start - shift : end - shift], [False]]).astype(np.int8)
-    edge = np.diff(same)
-    total = np.concatenate([[0], np.cumsum(w)])
-    return [(a, b) for a, b in zip((np.flatnonzero(edge == 1) + start).tolist(), (np.flatnonzero(edge == -1) + start).tolist()) if b > lo and a <= hi + 1 and total[b] - total[a] >= min_words]
-
-
-def repeated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, key, text) -> (doc_id, key, spans array of struct a, b): the lines to delete, for documents that have any."""
-    seq = written(sequences(docs).dropDuplicates(["doc_id", "key"]))
-    rows = written(fingerprints(seq, window))
-    first = rows.groupBy("g").agg(F.min(F.struct("doc_id", "key", "pos")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.col("s.doc_id").alias("sid"), F.col("s.key").alias("skey"), F.col("s.pos").alias("spos"))
-    same = F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("key") == F.col("skey"))
-    met = rows.join(first, "g").where(~(same & (F.col("pos") == F.col("spos"))))
-    met = met.groupBy("doc_id", "key", "sid", "skey", (F.col("pos") - F.col("spos")).alias("shift")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    source = seq.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), F.col("h").alias("sh"))
-    met = met.join(source, F.col("sid").eqNullSafe(F.col("i")) & (F.col("skey") == F.col("k"))).select("doc_id", "key", "shift", "lo", "hi", "sh")
-    own = seq.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "h", "w")
-    met = met.join(own, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "shift", "lo", "hi", "sh", "h", "w")
+            for at, s in chunks(b[2], min_words):
+                own = [np.unique(np.concatenate([np.arange(x["pos"], x["pos"] + x["n"]) for x in b[3][i].as_py()])) for i in at.tolist()]
+                text, pos = np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate(own)
+                yield sent(b, at[text], s.of(s.start[text] + pos, min_words), np.zeros(len(pos), np.uint64), pos.astype(np.int32), np.ones(len(pos), np.int32))
+
+    return docs.select("doc_id", "key", F.col("text").cast("binary"), "at").mapInArrow(run, ROW)
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """ROW -> (doc_id, key, pos, n, first): rows whose g and c an earlier place has; and, as first, the first row of each c of a g that has several.
+
+    Rows of equal g stream through one task in order; it holds one batch and the first row of the class at hand, however many there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shown = None, False  # the first row of the class at hand; whether it has been sent
         for b in batches:
-            out = []
-            for doc, key, shift, lo, hi, sh, h, w in zip(*(b[i].to_pylist() for i in range(5)), b[5], b[6], b[7]):
-                array = lambda x, t: np.frombuffer(x.as_py(), t)
-                out += [(doc, key, s, e) for s, e in runs_on(array(h, np.uint64), array(sh, np.uint64), array(w, np.int32), shift, lo, hi, min_words)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "key", "a", "b"])
-
-    spans = met.mapInArrow(run, "doc_id long, key long, a int, b int")
-    return spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # at most the lines of one document
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [held, b])
+            t = t.combine_chunks().to_batches()[0]
+            g, c, key, pos = (t[i].to_numpy() for i in (0, 1, 3, 4))
+            null, doc = t[2].is_null().to_numpy(zero_copy_only=False), t[2].fill_null(0).to_numpy()
+            new_g = np.concatenate([[True], g[1:] != g[:-1]])
+            new = np.concatenate([[True], new_g[1:] | (c[1:] != c[:-1])])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+            other = (pos != pos[start]) | (key != key[start]) | (doc != doc[start]) | (null != null[start])
+            group = np.cumsum(new_g) - 1
+            several = np.bincount(group[new]) > 1
+            several[0] |= shown
+            first = new & several[group]
+            last = int(start[-1])
+            sent_last = bool(first[last])
+            first[0] &= not shown
+            out = np.flatnonzero(first | other)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([*(t[i].take(pa.array(out)) for i in (2, 3, 4, 5)), pa.array(first[out])], ["doc_id", "key", "pos", "n", "first"])
+            held, shown = t.slice(last, 1).take(pa.array([0])), sent_last
+
+    return rows.repartition(width(rows.sparkSession), "g").sortWithinPartitions("g", "c", "doc_id", "key", "pos").mapInArrow(run, "doc_id long, key long, pos int, n int, first boolean")
+
+
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, key, text) -> (doc_id, key, spans array of struct a, b): the words to delete, for documents that have any."""
+    found = written(met(fingerprints(docs, min_words)))
+    at = found.where("first").groupBy(F.col("doc_id").alias("i"), F.col("key").alias("k")).agg(F.collect_set(F.struct("pos", "n")).alias("at"))  # at most the words of one document
+    single = met(opened(docs.join(at, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "at"), min_words))
+    spans = found.where(~F.col("first")).unionByName(single)
+    return spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("n") - 1 + min_words).alias("b"))).alias("spans"))  # at most the words of one document
 
 
 def kept(text: bytes, spans: list[dict]) -> tuple[bytes, int, int, int]:
-    """What stays of the text; how many lines it has, how many go, and their words."""
+    """What stays of the text; how many lines it has, how many go, and how many words."""
     lines = cut(text)
-    gone = np.zeros(len(lines), bool)
-    for s in spans:
-        gone[s["a"] : s["b"]] = True
-    return b"".join(x for x, g in zip(lines, gone.tolist()) if not g), len(lines), int(gone.sum()), sum(len(x.split()) for x, g in zip(lines, gone.tolist()) if g)
-
-
-def deduplicated(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    if not spans:
+        return text, len(lines), 0, 0
+    start, end = np.array([m.span() for m in _word(text)]).T
+    edge = np.zeros(len(start) + 1, np.int64)
+    np.add.at(edge, [s["a"] for s in spans], 1)
+    np.add.at(edge, [s["b"] for s in spans], -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    line = np.searchsorted(np.cumsum([len(x) for x in lines]), start, "right")
+    whole = np.bincount(line, minlength=len(lines)), np.bincount(line[gone], minlength=len(lines))
+    turn = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
+    out, at = [], 0
+    for a, b in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist()):
+        to = int(start[b]) if b < len(start) else len(text)
+        if a and b"\n" in text[end[b - 1] : to] and b"\n" not in text[end[a - 1] : start[a]]:
+            to = int(end[b - 1])
+        out.append(text[at : start[a]])
+        at = to
+    return b"".join([*out, text[at:]]), len(lines), int(((whole[0] > 0) & (whole[0] == whole[1])).sum()), int(gone.sum())
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text and any other columns) with text as it stays, and line_count, lines_removed, words_removed."""
     keyed = docs.withColumn("__key", F.xxhash64("text"))
-    spans = written(repeated(keyed.select("doc_id", F.col("__key").alias("key"), "text"), window, min_words)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("spans").alias("__spans"))
+    spans = written(repeated(keyed.select("doc_id", F.col("__key").alias("key"), "text"), min_words)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("spans").alias("__spans"))
     # Only texts whose key falls into a bucket with deletions move; the set of buckets has at most BUCKETS rows, whatever the input.
     bucket = F.pmod(F.xxhash64("doc_id", "__key"), F.lit(BUCKETS))
     hit = spans.select(F.pmod(F.xxhash64("__id", "__k"), F.lit(BUCKETS)).alias("__hit")).distinct()

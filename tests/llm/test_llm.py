@@ -408,3 +408,38 @@ def test_pipeline_on_small_table(spark, tmp_path, docs):
     for _, stage in c.STAGES[:-1]:
         d = stage(spark, d, str(tmp_path))
         assert d.columns == c.COLUMNS
+
+
+def brute_lines(texts, min_words=25):
+    """Texts in order of id -> the words that stay: window by window, all but the first place of each."""
+    seen, out = {}, []
+    for i, t in enumerate(texts):
+        w = words(t)
+        gone = [False] * len(w)
+        for a in range(len(w) - min_words + 1):
+            if seen.setdefault(tuple(w[a : a + min_words]), (i, a)) != (i, a):
+                gone[a : a + min_words] = [True] * min_words
+        out.append([x for x, g in zip(w, gone) if not g])
+    return out
+
+
+def line_stage(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: r for r in lines.deduplicated(d).collect()}
+
+
+def test_lines_equal_brute_force(spark):
+    """Runs of 20 to 80 words copied between foreign lines, one-line documents, and texts that repeat themselves."""
+    rnd = random.Random(11)
+    fresh = lambda n: " ".join(f"u{rnd.randrange(10**6)}" + rnd.choice(["", "", "", "", ".", ".\n"]) for _ in range(n))
+    texts = [fresh(rnd.randint(30, 300)) for _ in range(60)]
+    for _ in range(150):
+        w = rnd.choice(texts).split(" ")
+        a = rnd.randrange(len(w))
+        passage = " ".join(w[a : a + rnd.randint(20, 80)])
+        texts.append(f"{fresh(rnd.randint(0, 40))} {passage} {fresh(rnd.randint(0, 40))}")
+    one = " ".join(f"v{i}" for i in range(60))
+    texts += [one, one.upper(), "la " * 100, f"{one}\n{one}", None, ""]
+    got = line_stage(spark, texts)
+    assert [words(got[i]["text"]) for i in range(len(texts))] == brute_lines(texts)
+    assert got[211]["text"] == "" and got[211]["words_removed"] == 60 and got[211]["lines_removed"] == 1
