@@ -443,3 +443,12 @@ def test_lines_equal_brute_force(spark):
     got = line_stage(spark, texts)
     assert [words(got[i]["text"]) for i in range(len(texts))] == brute_lines(texts)
     assert got[211]["text"] == "" and got[211]["words_removed"] == 60 and got[211]["lines_removed"] == 1
+
+
+def test_lines_inside_lines(spark):
+    """A passage pasted into the middle of a line goes whole, its partial lines too; the rest of the line and its line break stay."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"aa bb {passage} cc dd.\nnext line here.", f"zz yy {passage}\nqq {passage} rr.\n{passage}\nend."]
+    got = line_stage(spark, texts)
+    assert got[0]["text"] == texts[0] and got[1]["text"] == "zz yy \nqq rr.\nend."
+    assert got[1]["words_removed"] == 90 and got[1]["lines_removed"] == 1
