@@ -7,6 +7,7 @@ starts or ends. The first place of every window stays, unless a window of its ow
 Not every window is sent. Of a window's GRAM-word pieces the one of least hash is its fingerprint g, so equal windows have equal fingerprints at equal
 offsets, and successive windows mostly share one. A row is such a group of windows: g, and c, a hash of all their words. Rows equal in g and c are equal
 in all windows, and all but the first go. Where g comes with several c, the first row of each c is opened into its windows, which are compared one by one.
+A frequent g does not fill one task: of rows equal within a chunk of texts only the first goes on, and a g seen with several c there is dealt by g and c.
 
 Defined results: null texts stay null and empty ones empty; white space after a deleted run goes with it, but a line that keeps its beginning keeps its
 line break; rows of equal id and text are one document (all of them keep what it keeps); ties of id go by a hash of the text, a null id counting as the
@@ -16,7 +17,6 @@ whose words all go.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +30,17 @@ from .common import width, written
 GRAM, MIN_WORDS, BUCKETS, CHUNK = 8, 25, 1 << 18, 1 << 17
 BASE, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_cut = re.compile(rb"(?<=\n)|(?<=[.!?] )").split
-_word = re.compile(rb"\S+").finditer
-ROW = "g long, c long, doc_id long, key long, pos int, n int"
+SPACE, STOP = np.isin(np.arange(256), list(b" \t\n\r\f\v")), np.isin(np.arange(256), list(b".!?"))
+PLAIN, LATER, OPEN, MARK = np.arange(4, dtype=np.int8)
+ROW = "g long, c long, doc_id long, key long, pos int, n int, kind byte"
 
 
 def cut(text: bytes) -> list[bytes]:
     """The lines, blank ones joined to the one before; together they are the text."""
+    b = np.frombuffer(text, np.uint8)
+    at = [0, *(np.flatnonzero((b == 10) | ((b == 32) & np.concatenate([[False], STOP[b[:-1]]])[: len(b)])) + 1).tolist(), len(text)]
     out: list[bytes] = []
-    for part in _cut(text):
+    for part in (text[i:j] for i, j in zip(at, at[1:])):
         if out and (not part.strip() or not out[-1].strip()):
             out[-1] += part
         else:
@@ -96,8 +98,29 @@ def groups(s: Hashed, min_words: int) -> tuple[np.ndarray, ...]:
 
 
 def sent(b: pa.RecordBatch, text: np.ndarray, g: np.ndarray, c: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    rows = pa.array(text)
-    return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b[0].take(rows), b[1].take(rows), pa.array(pos), pa.array(n)], ["g", "c", "doc_id", "key", "pos", "n"])
+    """ROW. Of rows equal in g and c all but the first are LATER; of a g with several c the first ones are OPEN, and a MARK tells the others of that g."""
+    doc, key, kind = b[0].take(pa.array(text)), b[1].take(pa.array(text)), np.full(len(g), PLAIN)
+    order = np.lexsort((c, g))
+    new_g = np.concatenate([[True], g[order][1:] != g[order][:-1]])
+    many = np.bincount(group := np.cumsum(new_g) - 1) > 1
+    order, group = order[many[group]], group[many[group]]
+    mark = np.zeros(0, np.int64)
+    if len(order):
+        null, ids, keys = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(), key.to_numpy()
+        order = order[np.lexsort((pos[order], keys[order], ids[order], ~null[order], c[order], group))]
+        new_g = np.concatenate([[True], group[1:] != group[:-1]])
+        new = new_g | np.concatenate([[True], c[order][1:] != c[order][:-1]])
+        start = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        other = (pos[order] != pos[start]) | (keys[order] != keys[start]) | (ids[order] != ids[start]) | (null[order] != null[start])
+        kind[order[other]] = LATER
+        several = np.bincount(place := np.cumsum(new_g) - 1, weights=new) > 1
+        kind[order[~other & several[place]]] = OPEN
+        mark = order[new_g & several[place]]
+    dealt = np.where(kind == OPEN, mixed(g ^ mixed(c)), np.where(kind == LATER, mixed(g + mixed(c + np.arange(len(g)).astype(np.uint64))), g))
+    rows = np.concatenate([np.arange(len(g)), mark])
+    at = pa.array(rows)
+    c = np.concatenate([c, mixed(c[mark] ^ ODD)])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([dealt, g[mark]]).view(np.int64)), pa.array(c.view(np.int64)), doc.take(at), key.take(at), pa.array(pos[rows]), pa.array(n[rows]), pa.array(np.concatenate([kind, np.full(len(mark), MARK)]))], ["g", "c", "doc_id", "key", "pos", "n", "kind"])
 
 
 def chunks(texts: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, Hashed]]:
@@ -144,7 +167,7 @@ def opened(docs: DataFrame, min_words: int) -> DataFrame:
 def met(rows: DataFrame) -> DataFrame:
     """ROW -> (doc_id, key, pos, n, first): rows whose g and c an earlier place has; and, as first, the first row of each c of a g that has several.
 
-    Rows of equal g stream through one task in order; it holds one batch and the first row of the class at hand, however many there are.
+    LATER rows pass, OPEN ones count as of a g that has several, MARK ones only make their g one that has several. Rows of equal g stream through one task in order; it holds one batch and the first row of the class at hand, however many there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,20 +177,21 @@ def met(rows: DataFrame) -> DataFrame:
                 continue
             t = pa.Table.from_batches([b] if held is None else [held, b])
             t = t.combine_chunks().to_batches()[0]
-            g, c, key, pos = (t[i].to_numpy() for i in (0, 1, 3, 4))
+            g, c, key, pos, kind = (t[i].to_numpy() for i in (0, 1, 3, 4, 6))
             null, doc = t[2].is_null().to_numpy(zero_copy_only=False), t[2].fill_null(0).to_numpy()
             new_g = np.concatenate([[True], g[1:] != g[:-1]])
             new = np.concatenate([[True], new_g[1:] | (c[1:] != c[:-1])])
             start = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            other = (pos != pos[start]) | (key != key[start]) | (doc != doc[start]) | (null != null[start])
+            other = (pos != pos[start]) | (key != key[start]) | (doc != doc[start]) | (null != null[start]) | (kind == LATER)
+            other[0] &= held is None
             group = np.cumsum(new_g) - 1
-            several = np.bincount(group[new]) > 1
+            several = (np.bincount(group[new]) > 1) | (np.bincount(group, weights=kind == OPEN) > 0)
             several[0] |= shown
             first = new & several[group]
             last = int(start[-1])
             sent_last = bool(first[last])
             first[0] &= not shown
-            out = np.flatnonzero(first | other)
+            out = np.flatnonzero((first | other) & (kind != MARK))
             if len(out):
                 yield pa.RecordBatch.from_arrays([*(t[i].take(pa.array(out)) for i in (2, 3, 4, 5)), pa.array(first[out])], ["doc_id", "key", "pos", "n", "first"])
             held, shown = t.slice(last, 1).take(pa.array([0])), sent_last
@@ -189,7 +213,8 @@ def kept(text: bytes, spans: list[dict]) -> tuple[bytes, int, int, int]:
     lines = cut(text)
     if not spans:
         return text, len(lines), 0, 0
-    start, end = np.array([m.span() for m in _word(text)]).T
+    turn = np.diff(np.concatenate([[True], SPACE[np.frombuffer(text, np.uint8)], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
     edge = np.zeros(len(start) + 1, np.int64)
     np.add.at(edge, [s["a"] for s in spans], 1)
     np.add.at(edge, [s["b"] for s in spans], -1)

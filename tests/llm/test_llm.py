@@ -452,3 +452,16 @@ def test_lines_inside_lines(spark):
     got = line_stage(spark, texts)
     assert got[0]["text"] == texts[0] and got[1]["text"] == "zz yy \nqq rr.\nend."
     assert got[1]["words_removed"] == 90 and got[1]["lines_removed"] == 1
+
+
+def test_lines_meet_beyond_the_first_holder(spark):
+    """A frequent short line that stands first alone, or in hundreds of texts, hides no longer run that goes through it."""
+    rnd = random.Random(3)
+    fresh = lambda n: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(n))
+    common = " ".join(f"c{i}" for i in range(20))
+    texts = [f"{fresh(30)} {common} {fresh(30)}" for _ in range(400)]
+    shared = f"{fresh(8)} {common} {fresh(8)}"
+    texts += [f"{fresh(20)} {shared} {fresh(20)}" for _ in range(40)]
+    got = line_stage(spark, texts)
+    assert [words(got[i]["text"]) for i in range(len(texts))] == brute_lines(texts)
+    assert sum(r["words_removed"] for r in got.values()) == 39 * 36
