@@ -1,7 +1,12 @@
-"""SimHash near-duplicates: fingerprints of whole texts, links by the generalised pigeonhole principle (hamming.py), groups by components.
+"""Near-duplicates: by SimHash fingerprints, and by the Jaccard similarity of shingles.
 
-Two uses. linked(): components of fingerprints within `tau` bits, exact for every pair of fingerprints. near_duplicates(): fingerprints of word sets find
-candidates, and every candidate that could still join two groups is verified by the Jaccard similarity of its five-word shingles.
+linked(): components of fingerprints of whole texts within `tau` bits, exact for every pair of fingerprints: links by the generalised pigeonhole principle
+(hamming.py), groups by components.
+
+near_duplicates(): components of all pairs whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more, by a prefix filter. Two such
+sets of n and m shingles, in any one order (frequent ones of a sample last, then by hash), share one of their first n - ceil(SIMILARITY n) + 1 and m - ceil(SIMILARITY m) + 1; their sizes, and
+the places of the first one they share, bound what they can share at most. Candidates next to each other in a shingle's list are verified first; then all
+other candidates that these have not connected yet. So no pair is lost, and a group of many near copies does not verify all its pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal texts are always linked; ties keep the smallest id, a null
 id counting as the largest; an empty table gives an empty table; other columns play no part.
@@ -17,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, width, written
 from .hamming import links
 
-TAU, WORDS, SIMILARITY, CANDIDATE_TAU, MEMBERS = 4, 5, 0.8, 10, 64
+TAU, WORDS, SIMILARITY, BLOCK, CHUNK, EPS, SAMPLE, FREQUENT = 4, 5, 0.8, 2048, 1 << 18, 1e-9, 5_000, 1 << 18
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -45,8 +50,8 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int, distinct: bool = False, text_col: str = "text") -> DataFrame:
-    """docs with fp (long) in place of the text; distinct counts each shingle once."""
+def fingerprints(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """docs with fp (long) in place of the text."""
     columns = [c for c in docs.columns if c != text_col]
     kept = [F.col(f"`{c}`") for c in columns]
     schema = docs.select(*kept, F.lit(0).cast("long").alias("fp")).schema
@@ -54,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int, distinct: bool = False, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs = (shingle_hashes(t.as_py() or b"", words) for t in b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(np.unique(h) if distinct else h) for h in hs], pa.int64())], [*b.schema.names[:-1], "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(h) for h in hs], pa.int64())], [*b.schema.names[:-1], "fp"])
 
     return docs.select(*kept, F.col(text_col).cast("binary").alias("__t")).mapInArrow(run, schema)
 
@@ -71,65 +76,149 @@ def linked(docs: DataFrame, words: int = 4, tau: int = TAU) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def verified(members: DataFrame, tau: int, words: int, similarity: float) -> DataFrame:
-    """members (group, key, fp, text), groups of candidates -> edges (a, b) of keys that connect what the verified links connect.
+def frequent(keyed: DataFrame, n: int, words: int) -> np.ndarray:
+    """Shingles that three texts or more of a sample have (SAMPLE texts, or a sixteenth), rising in frequency, FREQUENT at most. They only choose an order."""
+    share = max(1 / 16, SAMPLE / max(n, 1))
+    some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select("key", F.col("text").cast("binary").alias("text")).dropDuplicates(["key"])
 
-    A group of more than MEMBERS texts is parted into blocks, and blocks meet in pairs; within a task a pair already connected is not compared again.
-    """
-    n = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
-    dealt = members.join(n, "group").withColumn("at", F.explode(meets)).withColumn("task", F.xxhash64("group", "at.i", "at.j")).select("task", "key", "fp", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py() or b"", words)).view(np.int64))], ["token"])
+
+    most = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
+    return most["token"].to_numpy(np.int64)[::-1].view(np.uint64)
+
+
+def prefixes(keyed: DataFrame, words: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """(key, text) -> (token, n, at, key): the shingles of each text's prefix and their places, n how many distinct ones the text has. No shingle: token 0.
+
+    The order is that of the hashes, after which those of `last` come in theirs."""
+    rank = np.argsort(last, kind="stable")
+    shared_last = keyed.sparkSession.sparkContext.broadcast((last[rank], rank + 1))
+
+    def ordered(h: np.ndarray) -> np.ndarray:
+        token, place = shared_last.value
+        if not len(token):
+            return h
+        i = np.minimum(np.searchsorted(token, h), len(token) - 1)
+        return h[np.argsort(np.where(token[i] == h, place[i], 0), kind="stable")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def compare(rows: list) -> Iterator[pa.RecordBatch]:
-            root = list(range(len(rows)))
-
-            def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            codes, out = np.array([r[1] for r in rows], np.int64).view(np.uint64), []
-            for i in range(len(rows)):
-                for j in np.flatnonzero(np.bitwise_count(codes[:i] ^ codes[i]) <= tau).tolist():
-                    a, b = find(i), find(j)
-                    if a != b:
-                        s, t = rows[i][2], rows[j][2]
-                        if min(len(s), len(t)) >= similarity * max(len(s), len(t)):
-                            both = len(np.intersect1d(s, t, assume_unique=True))
-                            if both >= similarity * (len(s) + len(t) - both):
-                                root[max(a, b)] = min(a, b)
-                                out.append((rows[i][0], rows[j][0]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        for b in batches:
+            key, once = np.unique(b[0].to_numpy(), return_index=True)
+            held, size = [], []
+            for i in once.tolist():
+                h = ordered(np.unique(shingle_hashes(b[1][i].as_py() or b"", words)))
+                size.append(len(h))
+                held.append(h[: len(h) - int(np.ceil(similarity * len(h) - EPS)) + 1] if len(h) else np.zeros(1, np.uint64))
+            if held:
+                each = np.array([len(h) for h in held])
+                at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(np.array(size, np.int32), each)), pa.array(at.astype(np.int32)), pa.array(np.repeat(key, each))], ["token", "n", "at", "key"])
+
+    return keyed.select("key", F.col("text").cast("binary")).mapInArrow(run, "token long, n int, at int, key long")
+
+
+def possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles whose first common ones are at these places can be similar."""
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - EPS) & (np.minimum(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - EPS)
 
+
+def shared(rows: DataFrame, similarity: float) -> DataFrame:
+    """prefixes() -> its distinct rows whose token two texts or more have, with `before`: the text before it in (n, key) order where they can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shown = None, False  # the last row; whether it has been sent
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
+            token, n, at, key = (t[i].to_numpy() for i in range(4))
+            again = np.concatenate([[False], (token[1:] == token[:-1]) & (key[1:] == key[:-1])])
+            token, n, at, key = (x[~again] for x in (token, n, at, key))
+            same = np.concatenate([[False], token[1:] == token[:-1]])
+            out = same | np.concatenate([same[1:], [False]])
+            before = same.copy()
+            before[1:] &= possible(n[1:], at[1:], n[:-1], at[:-1], similarity)
+            sent = bool(out[-1]) or (len(out) == 1 and shown)
+            out[0] &= not shown
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(n[out]), pa.array(at[out]), pa.array(key[out]), pa.array(np.roll(key, 1)[out], mask=~before[out])], ["token", "n", "at", "key", "before"])
+            held, shown = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (token, n, at, key)], schema=t.schema), sent
+
+    return rows.repartition(width(rows.sparkSession), "token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "token long, n int, at int, key long, before long")
+
+
+def candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """(token, n, at, key, component) -> pairs (a, b) of texts in different components that can be similar. The list of a token of more than BLOCK texts
+    is parted into blocks, and blocks meet in pairs."""
+    heavy = rows.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK).select("t", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
+    dealt = rows.join(heavy, F.col("token") == F.col("t"), "left").withColumn("x", F.explode(meets))
+    side = F.when(F.col("x.i") == F.col("x.j"), 0).when(own == F.col("x.i"), 1).otherwise(2).cast("byte")
+    dealt = dealt.select(F.when(F.col("blocks").isNull(), F.col("token")).otherwise(F.xxhash64("token", "x.i", "x.j")).alias("task"), side.alias("side"), "n", "at", "key", "component")
+
+    def pairs(task: np.ndarray, side: np.ndarray, n: np.ndarray, at: np.ndarray, key: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        last = np.searchsorted(task, task, "right")
+        count = last - np.arange(len(task)) - 1
+        ends, lo = np.cumsum(count), 0
+        while lo < len(task):
+            to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
+            x = np.repeat(np.arange(lo, to), count[lo:to])
+            y = x + 1 + np.arange(len(x)) - np.repeat(ends[lo:to] - count[lo:to] - (ends[lo - 1] if lo else 0), count[lo:to])
+            good = (group[x] != group[y]) & ((side[x] == 0) | (side[x] != side[y])) & possible(n[x], at[x], n[y], at[y], similarity)
+            if good.any():
+                p = np.unique(np.sort(np.stack([key[x[good]], key[y[good]]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+            lo = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [c.to_numpy() for c in b.columns] if left is None else [np.concatenate([x, c.to_numpy()]) for x, c in zip(left, b.columns)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last task may go on
+            yield from pairs(*(r[:cut] for r in rows))
+            left = [r[cut:] for r in rows]
+        if left is not None:
+            yield from pairs(*left)
+
+    return dealt.repartition(width(rows.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """pairs (a, b) of keys -> those whose texts (keyed: key, text) are similar."""
+    need = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    whole = written(keyed.join(need, F.col("key") == F.col("k"), "left_semi").select("key", F.col("text").cast("binary").alias("text")).dropDuplicates(["key"]))
+    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(whole.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for task, key, code, text in zip(batch["task"].to_pylist(), batch["key"].to_pylist(), batch["fp"].to_pylist(), batch["text"]):
-                if task != now:
-                    yield from compare(held)
-                    now, held = task, []
-                held.append((key, code, np.unique(shingle_hashes(text.as_py() or b"", words))))
-        yield from compare(held)
+            good, now, t = [], None, np.zeros(0, np.uint64)
+            for b, x, y in zip(batch["b"].to_pylist(), batch["s"], batch["t"]):
+                if b != now:
+                    now, t = b, np.unique(shingle_hashes(y.as_py() or b"", words))
+                s = np.unique(shingle_hashes(x.as_py() or b"", words))
+                n = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(n >= similarity * (len(s) + len(t) - n))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(width, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tau: int = CANDIDATE_TAU) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> (key, keep_id): for each distinct text (key: a hash) the id of the document that stays for its group."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    rows = written(fingerprints(keyed, 1, distinct=True))
-    texts = written(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
-    near = components(links(texts.select("fp").distinct(), "fp", tau)).withColumnRenamed("node", "fp")
-    many = texts.join(near, "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    size = many.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    members = written(many.join(size, "group").select("group", "key", "fp", "first"))
-    whole = keyed.join(members, (keyed["key"] == members["key"]) & keyed["doc_id"].eqNullSafe(members["first"])).select("group", members["key"], "fp", F.col("text").cast("binary").alias("text")).dropDuplicates(["key"])
-    same = components(written(verified(whole, tau, words, similarity))).withColumnRenamed("node", "key")
+    texts = written(keyed.groupBy("key").agg(F.min("doc_id").alias("first")))
+    rows = written(shared(prefixes(keyed, words, similarity, frequent(keyed, texts.count(), words)), similarity))
+    next_to = written(rows.where("before IS NOT NULL").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct())
+    edges = written(verified(next_to, keyed, words, similarity))
+    near = components(edges).withColumnRenamed("node", "key")
+    rest = written(candidates(rows.join(near, "key", "left").select("token", "n", "at", "key", F.coalesce("component", "key").alias("component")), similarity).join(next_to, ["a", "b"], "left_anti"))
+    same = components(edges.unionByName(verified(rest, keyed, words, similarity))).withColumnRenamed("node", "key")
     same = same.join(texts, "key")
     smallest = same.groupBy("component").agg(F.min("first").alias("smallest"))
     same = same.join(smallest, "component").select("key", "smallest")

@@ -465,3 +465,27 @@ def test_lines_meet_beyond_the_first_holder(spark):
     got = line_stage(spark, texts)
     assert [words(got[i]["text"]) for i in range(len(texts))] == brute_lines(texts)
     assert sum(r["words_removed"] for r in got.values()) == 39 * 36
+
+
+def test_near_duplicates_of_block_edits(spark):
+    """Copies with a block appended, cut off or replaced, similarity around 0.8, in one and in many batches: the kept ids are those of brute force."""
+    rnd = random.Random(21)
+    fresh = lambda n: [f"u{rnd.randrange(10**5)}" for _ in range(n)]
+    texts = []
+    for _ in range(120):
+        w = fresh(rnd.choice([5, 14, 30, 60, 150, 400]))
+        k = max(1, int(len(w) * rnd.uniform(0.05, 0.25)))
+        texts += [w, w + fresh(k), w[:-k], w[: len(w) // 2] + fresh(k // 2 + 1) + w[len(w) // 2 + k // 2 + 1 :]]
+    hub = fresh(40)
+    texts += [hub[:i] + ["x"] + hub[i + 1 :] for i in range(40)]
+    texts = [" ".join(w) for w in texts]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(len(sets[i] & sets[j]) < 0.86 * len(sets[i] | sets[j]) for i, j in pairs) > 40
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in (batch, "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        kept = sorted(r["doc_id"] for r in simhash.deduplicated(d).collect())
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert kept == sorted(set(closed(len(texts), pairs)))
