@@ -5,7 +5,8 @@ fit the model: moments for scaling, then each partition's sums of the normal equ
 Gaussian kernel, then pool-adjacent-violators on rows that the ridge fit has not seen (a fifth of the training rows). The model is a few hundred numbers.
 
 Defined results: null and empty texts have the statistics of an empty text and get a score; documents without label, or with a null label, are scored but
-not learned from; with labels of one kind only (or none) every score is that kind's share (or 0.5); repeated ids are scored each; an empty table gives an
+not learned from; with labels of one kind only (or none) every score is that kind's share (or 0.5); without calibration rows (a handful of labels) the
+ridge score is clipped to 0..1, with none but these every score is the share of ones; repeated ids are scored each; an empty table gives an
 empty table; other columns play no part.
 """
 
@@ -111,7 +112,10 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
         model.value = np.array([float(next(iter(kinds), 0.5))])
         return model
     rows = labelled.withColumn("late", F.pmod(F.xxhash64("key"), F.lit(5)) == 0).repartition(max(1, min(16, n // 5_000)), "key")
-    learn = rows.where(~F.col("late")) if n >= 500 else rows
+    learn = rows.where(~F.col("late"))
+    if not learn.limit(1).count():
+        model.value = np.array([sum(y * k for y, k in kinds.items()) / sum(kinds.values())])
+        return model
     moments = learn.select(*[f(F.col("x")[i].cast("double")).alias(f"{k}{i}") for k, f in (("m", F.mean), ("s", F.stddev_pop)) for i in range(d)]).collect()[0]
     model.mean = np.array([moments[f"m{i}"] for i in range(d)])
     model.scale = np.array([moments[f"s{i}"] if moments[f"s{i}"] > 1e-9 else 1.0 for i in range(d)])
@@ -135,8 +139,8 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(fitted.value.raw(_rows(b))), b["y"]], ["s", "y"])
 
-    held = (rows.where("late") if n >= 500 else rows).select("x", "y").mapInArrow(scores, "s double, y double").toPandas()  # at most a fifth of max_labelled
-    model.at, model.value = isotonic(held["s"].to_numpy(), held["y"].to_numpy())
+    held = rows.where("late").select("x", "y").mapInArrow(scores, "s double, y double").toPandas()  # at most a fifth of max_labelled
+    model.at, model.value = isotonic(held["s"].to_numpy(), held["y"].to_numpy()) if len(held) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     return model
 
 

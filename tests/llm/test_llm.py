@@ -489,3 +489,15 @@ def test_near_duplicates_of_block_edits(spark):
         kept = sorted(r["doc_id"] for r in simhash.deduplicated(d).collect())
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         assert kept == sorted(set(closed(len(texts), pairs)))
+
+
+def test_quality_calibrates_on_unseen_rows_at_every_size(spark, monkeypatch):
+    seen, isotonic = [], quality.isotonic
+    monkeypatch.setattr(quality, "isotonic", lambda s, y: seen.append(len(y)) or isotonic(s, y))
+    rnd = random.Random(6)
+    rows = quality.measured(spark.createDataFrame([(i, float(i % 2), prose(rnd, 20)) for i in range(100)], "key long, y double, text string")).select("key", "x", "y")
+    late = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
+    quality.fit(rows)
+    assert seen == [rows.where(late).count()] and 0 < seen[0] < 50
+    for some in (rows.where(late), rows.where(~late).limit(6)):
+        assert ((s := quality.fit(some).score(np.zeros((3, len(quality.STATISTICS))))) >= 0).all() and (s <= 1).all()
