@@ -12,67 +12,91 @@ documents; an empty table gives an empty table; other columns play no part.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets_for, ranked, written
 
 CAPACITY, END, GROUPS, SMALL, GAIN = 1024, 2, 96, 32, 1e-4
-CACHE = 500_000
+CHUNK = 1 << 23
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space before a blank, or a blank at an end: there a blank does not start a word for sure. Or so much of it that a regular expression's stack ends.
+WIDE = rf"{SPACES} |^ | $|{SPACES}{{256}}"
 
 
-class Pieces(dict):
-    """Ids of what the tokenizer's pattern cuts out, by its model."""
+class Encoder:
+    """Ids of whole texts from a byte-level BPE file.
 
-    def __init__(self, tokenizer) -> None:
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves, others as characters from 256 on
-        other = [b for b in range(256) if b not in plain]
-        self.written = [chr(b) if b in plain else chr(256 + other.index(b)) for b in range(256)]
-        self.model = tokenizer.model
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        out = self[piece] = array("I", [t.id for t in self.model.tokenize("".join([self.written[b] for b in piece.encode()]))]).tobytes()
-        return out
-
-
-class Encoder(dict):
-    """Ids of whole texts from a byte-level BPE file, as little-endian 32-bit bytes.
-
-    The pattern of such a tokenizer never matches across the start of white space that follows something else, so a text is encoded in words cut before
-    blanks, and each distinct word only once while it is remembered (at most CACHE of them; when full, the memory starts anew). Strings of special tokens
-    are ordinary text.
+    The pattern of such a tokenizer never matches across the start of white space that follows something else, so a text is a row of words cut before
+    blanks. The distinct words of many texts are found first, in vector code, and encoded together; where one word's ids end shows from the lengths of the
+    ids' bytes. Texts where blanks do not cut so (long white space, too), and those with strings of the file's added tokens, go to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.pieces = Pieces(Tokenizer.from_file(path))
-        self.pattern = regex.compile(public_tokenizers.PATTERN).findall
-        self.doubtful, self.cut = re.compile(r"\s |^ | $").search, re.compile(r"(?<=\S) ").split
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        out = self[word] = self.pieces[f" {word}"] if word.isalpha() else self.whole(f" {word}")
-        return out
-
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern(text)))
-
-    def __call__(self, text: str) -> bytes:
-        head, *words = self.cut(text) if self.doubtful(text) else text.split(" ")
-        return self.whole(head) + b"".join(map(self.__getitem__, words))
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves, others as characters from 256 on
+        other = [b for b in range(256) if b not in plain]
+        byte = {chr(b) if b in plain else chr(256 + other.index(b)): b for b in range(256)}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocabulary.items()}
+        with open(path) as f:
+            merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in json.load(f)["model"]["merges"]]
+        if any(x >= y for x, y in zip(merged, merged[1:])):
+            raise ValueError("only vocabularies whose ids follow the order of the merges are supported")
+        self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self.size[i] = len(t)
+        self.odd = "|".join([WIDE, *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+        self.tokenizer = tokenizer
+
+    def __call__(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after the other, each with a blank before it; how many each has)."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        ids = self.core.encode_to_numpy(" " + " ".join(words.to_pylist()), disallowed_special=()).astype("<u4")
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(pc.binary_length(words).to_numpy() + 1)) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has). Null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        start = lists.offsets.to_numpy()
+        words = lists.values.slice(start[0], start[-1] - start[0])
+        start = start - start[0]
+        heads, words = words.take(pa.array(start[:-1])).dictionary_encode(), words.dictionary_encode()
+        alone = [np.array(self(t), "<u4") for t in [*heads.dictionary.to_pylist(), *texts.filter(pa.array(odd)).to_pylist()]]
+        ids, size = self.words(words.dictionary)
+        known, size = np.concatenate([ids, *alone]), np.concatenate([size, np.array([len(x) for x in alone], np.int64)])
+        which = np.concatenate([words.indices.to_numpy(), len(words.dictionary) + len(heads.dictionary) + np.arange(odd.sum())]).astype(np.int64)
+        which[start[:-1]] = len(words.dictionary) + heads.indices.to_numpy()
+        # back into the texts' order: a text is its words in a row, an odd one is one of them
+        per = np.ones(len(texts), np.int64)
+        per[~odd] = np.diff(start)
+        first = np.cumsum(per) - per
+        turn = np.empty_like(which)
+        turn[np.arange(start[-1]) + np.repeat(first[~odd] - start[:-1], np.diff(start))] = which[: start[-1]]
+        turn[first[odd]] = which[start[-1] :]
+        n = size[turn]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return known[np.repeat((np.cumsum(size) - size)[turn] - ends[:-1], n) + np.arange(ends[-1])], ends[first + per] - ends[first]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -95,20 +119,36 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """A row per piece: doc_id, piece, start, length, ids_crc32, tie (a hash of the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, stop = encoder(vocabulary or default_vocabulary()), np.array([end], "<u4").tobytes()
+        encode = encoder(vocabulary or default_vocabulary())
         for b in batches:
-            out: list[tuple] = []
-            for i, tie, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2]):
-                ids = encode(text.as_py() or "") + stop
-                n = len(ids) // 4
-                first = (n - 1) % capacity + 1
-                cuts = [0, *range(first, n + 1, capacity)]
-                out += [(i, k, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), tie) for k, (s, e) in enumerate(zip(cuts, cuts[1:]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SCHEMA.types)], schema=SCHEMA) if out else pa.RecordBatch.from_pylist([], SCHEMA)
+            lo, bytes_to = 0, np.cumsum(pc.fill_null(pc.binary_length(b[2]), 0).to_numpy(zero_copy_only=False))
+            while lo < b.num_rows:  # at least one text, and about CHUNK bytes of them
+                hi = max(lo + 1, int(np.searchsorted(bytes_to, bytes_to[lo] + CHUNK, "right")))
+                yield cut_pieces(b.slice(lo, hi - lo), *encode.many(b[2].slice(lo, hi - lo)), capacity, end)
+                lo = hi
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, tie long")
 
 
+def cut_pieces(b: pa.RecordBatch, ids: np.ndarray, count: np.ndarray, capacity: int, end: int) -> pa.RecordBatch:
+    """The pieces (SCHEMA) of the texts of b (doc_id, tie), whose ids stand one after the other, count of each."""
+    n = count + 1
+    whole = np.full(n.sum(), end, "<u4")
+    stop = np.zeros(len(whole), bool)
+    stop[np.cumsum(n) - 1] = True
+    whole[~stop] = ids
+    first = (n - 1) % capacity + 1
+    times = 1 + (n - first) // capacity
+    doc = np.repeat(np.arange(len(n)), times)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+    start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+    length = np.where(piece > 0, capacity, first[doc])
+    at, view = 4 * ((np.cumsum(n) - n)[doc] + start), memoryview(whole).cast("B")
+    crc = [zlib.crc32(view[a:z]) for a, z in zip(at.tolist(), (at + 4 * length).tolist())]
+    took = pa.array(doc)
+    return pa.RecordBatch.from_arrays([b[0].take(took), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), b[1].take(took)], schema=SCHEMA)
+
+
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("tie", pa.int64())])
 
 

@@ -6,6 +6,7 @@ import zlib
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,15 +348,20 @@ def test_chat(spark):
 
 
 def test_encoder_equals_the_tokenizer():
+    """Also for added tokens' strings, odd white space, and long runs of one character."""
     from tokenizers import Tokenizer
 
     path = packing.default_vocabulary()
     t, e, rnd = Tokenizer.from_file(path), packing.Encoder(path), random.Random(1)
-    t.encode_special_tokens = True
-    letters = " \n\t\r\x0b\x1c\x85\xa0 a'b sdtmrevll9²½Ⅷ_é日.,!?<|endoftext|>́\U0001f600"
-    for _ in range(3000):
-        x = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 50)))
-        assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    letters = [*" \n\t\r\x0b\x1c\x85\xa0 a'b sdtmrevll9²½Ⅷ_é日.,!?<|endoftext|>́\U0001f600", "<|endoftext|>", " <|endoftext|> "]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 50))) for _ in range(3000)]
+    texts += ["", "a", " ", "a b", "one <|endoftext|> two", " " * 9000 + "x", "x" + "\n" * 9000, "ab" * 5000, "日" * 5000, *["again the same words"] * 5]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[3004] == [505, 220, 50256, 734]
+    ids, n = e.many(pa.array([*texts, None]))
+    ends = np.cumsum(n)
+    assert [ids[b - k : b].tolist() for b, k in zip(ends, n)] == [*want, []]
+    assert [len(x) for x in e.many(pa.array([], pa.string()))] == [0, 0]
 
 
 def test_packing(docs, rows, empty):
@@ -363,7 +369,7 @@ def test_packing(docs, rows, empty):
     e = packing.Encoder(packing.default_vocabulary())
     want = []
     for r in rows:
-        ids = np.frombuffer(e(r[1] or ""), "<u4").tolist() + [2]
+        ids = e(r[1] or "") + [2]
         first = (len(ids) - 1) % 256 + 1
         cuts = [0, *range(first, len(ids) + 1, 256)]
         want += [(-1 if r[0] is None else r[0], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
