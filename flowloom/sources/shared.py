@@ -5,19 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as Parquet under spark.checkpoint.dir, read again: parts that several plans use are computed once and survive lost executors.
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Only on one machine (local[..], as in tests) a temporary folder may stand in for it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder, shared by driver and executors, that tables used twice are written to")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='flowloom-')}"
+    return _own[context.applicationId]
 
-    Only where that setting is missing (one machine, as in tests) a local folder stands in.
-    """
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet under spark.checkpoint.dir, read again: parts that several plans use are computed once and survive lost executors."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='flowloom-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/flowloom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/flowloom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
