@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forest
+
 BLOCK, CHUNK, ROW_COST, PAIR_COST = 4096, 1 << 18, 2e-6, 6e-9
 
 
@@ -128,25 +130,6 @@ def entries(codes: DataFrame, column: str, plan: list[tuple[list[int], int]]) ->
     return codes.select(column).mapInArrow(run, "k long, role byte, code long")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what a-b connect; at most one per node where that is fewer."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    if len(a) <= len(nodes):
-        return a, b
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, label[x])
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
-    m = label != np.arange(len(nodes))
-    return nodes[m], nodes[label[m]]
-
-
 def _verified(k: np.ndarray, role: np.ndarray, code: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of whole buckets (rows sorted by k), a < b."""
     order = np.lexsort((role == 1, k))
