@@ -21,18 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import width, written
+from .common import Scratch, width, written
 
 GRAM, MIN_WORDS, BUCKETS, CHUNK = 8, 25, 1 << 18, 1 << 17
 BASE, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE, STOP = np.isin(np.arange(256), list(b" \t\n\r\f\v")), np.isin(np.arange(256), list(b".!?"))
 PLAIN, LATER, OPEN, MARK = np.arange(4, dtype=np.int8)
-ROW = "g long, c long, doc_id long, key long, pos int, n int, kind byte"
+ROW = "g long, c long, doc_id long, key long, at long"  # at: word, number of windows, kind
 
 
 def cut(text: bytes) -> list[bytes]:
@@ -97,6 +98,14 @@ def groups(s: Hashed, min_words: int) -> tuple[np.ndarray, ...]:
     return text, g[at], c, (a - s.start[text]).astype(np.int32), n.astype(np.int32)
 
 
+def packed(pos: np.ndarray, n: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    return pos.astype(np.int64) << 16 | n.astype(np.int64) << 2 | kind
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return at >> 16, at >> 2 & 0x3FFF
+
+
 def sent(b: pa.RecordBatch, text: np.ndarray, g: np.ndarray, c: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """ROW. Of rows equal in g and c all but the first are LATER; of a g with several c the first ones are OPEN, and a MARK tells the others of that g."""
     doc, key, kind = b[0].take(pa.array(text)), b[1].take(pa.array(text)), np.full(len(g), PLAIN)
@@ -120,7 +129,8 @@ def sent(b: pa.RecordBatch, text: np.ndarray, g: np.ndarray, c: np.ndarray, pos:
     rows = np.concatenate([np.arange(len(g)), mark])
     at = pa.array(rows)
     c = np.concatenate([c, mixed(c[mark] ^ ODD)])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([dealt, g[mark]]).view(np.int64)), pa.array(c.view(np.int64)), doc.take(at), key.take(at), pa.array(pos[rows]), pa.array(n[rows]), pa.array(np.concatenate([kind, np.full(len(mark), MARK)]))], ["g", "c", "doc_id", "key", "pos", "n", "kind"])
+    where = packed(pos[rows], n[rows], np.concatenate([kind, np.full(len(mark), MARK)]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([dealt, g[mark]]).view(np.int64)), pa.array(c.view(np.int64)), doc.take(at), key.take(at), pa.array(where)], ["g", "c", "doc_id", "key", "at"])
 
 
 def chunks(texts: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, Hashed]]:
@@ -152,12 +162,12 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def opened(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, key, text, at array of struct pos, n) -> ROW of single windows, g their hash."""
+    """(doc_id, key, text, at array of packed places) -> ROW of single windows, g their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, s in chunks(b[2], min_words):
-                own = [np.unique(np.concatenate([np.arange(x["pos"], x["pos"] + x["n"]) for x in b[3][i].as_py()])) for i in at.tolist()]
+                own = [np.unique(np.concatenate([np.arange(p, p + n) for p, n in zip(*(x.tolist() for x in unpacked(b[3][i].values.to_numpy())))])) for i in at.tolist()]
                 text, pos = np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate(own)
                 yield sent(b, at[text], s.of(s.start[text] + pos, min_words), np.zeros(len(pos), np.uint64), pos.astype(np.int32), np.ones(len(pos), np.int32))
 
@@ -165,59 +175,81 @@ def opened(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """ROW -> (doc_id, key, pos, n, first): rows whose g and c an earlier place has; and, as first, the first row of each c of a g that has several.
+    """ROW -> (doc_id, key, at, first): rows whose g and c an earlier place has; and, as first, the first row of each c of a g that has several.
 
-    LATER rows pass, OPEN ones count as of a g that has several, MARK ones only make their g one that has several. Rows of equal g stream through one task in order; it holds one batch and the first row of the class at hand, however many there are.
+    LATER rows pass, OPEN ones count as of a g that has several, MARK ones only make their g one that has several. Rows of equal g stream through one task,
+    sorted by one number, most of g and some of c; a task holds one batch and the first rows of the classes that may go on, however many rows there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shown = None, False  # the first row of the class at hand; whether it has been sent
+        held, shown, many = None, np.zeros(0, bool), np.zeros(0, bool)  # rows, which have been sent as first, which have a g of several
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b] if held is None else [held, b])
-            t = t.combine_chunks().to_batches()[0]
-            g, c, key, pos, kind = (t[i].to_numpy() for i in (0, 1, 3, 4, 6))
-            null, doc = t[2].is_null().to_numpy(zero_copy_only=False), t[2].fill_null(0).to_numpy()
+            last = int(b[0][-1].as_py()) >> 24, int(b[1][-1].as_py()) & (1 << 64) - 1
+            t = (pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])).combine_chunks()
+            old, more = np.arange(len(t)) < len(shown), np.zeros(b.num_rows, bool)
+            shown, many = np.concatenate([shown, more]), np.concatenate([many, more])
+            g, c, key, at = (t[i].chunk(0).to_numpy() for i in (0, 1, 3, 4))
+            c, pos, null, doc = c.view(np.uint64), at >> 16, t[2].chunk(0).is_null().to_numpy(zero_copy_only=False), t[2].chunk(0).fill_null(0).to_numpy()
+            order = np.lexsort((pos, key, doc, ~null, c, g))
+            g, c, key, pos, null, doc, kind, old, shown, many = (x[order] for x in (g, c, key, pos, null, doc, at & 3, old, shown, many))
             new_g = np.concatenate([[True], g[1:] != g[:-1]])
             new = np.concatenate([[True], new_g[1:] | (c[1:] != c[:-1])])
             start = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            other = (pos != pos[start]) | (key != key[start]) | (doc != doc[start]) | (null != null[start]) | (kind == LATER)
-            other[0] &= held is None
+            other = (pos != pos[start]) | (key != key[start]) | (doc != doc[start]) | (null != null[start]) | ((kind == LATER) & ~old)
             group = np.cumsum(new_g) - 1
-            several = (np.bincount(group[new]) > 1) | (np.bincount(group, weights=kind == OPEN) > 0)
-            several[0] |= shown
+            several = (np.bincount(group[new]) > 1) | (np.bincount(group, weights=(kind == OPEN) | many) > 0)
             first = new & several[group]
-            last = int(start[-1])
-            sent_last = bool(first[last])
-            first[0] &= not shown
-            out = np.flatnonzero((first | other) & (kind != MARK))
+            out = np.flatnonzero(((first & ~shown) | other) & (kind != MARK))
             if len(out):
-                yield pa.RecordBatch.from_arrays([*(t[i].take(pa.array(out)) for i in (2, 3, 4, 5)), pa.array(first[out])], ["doc_id", "key", "pos", "n", "first"])
-            held, shown = t.slice(last, 1).take(pa.array([0])), sent_last
+                yield pa.RecordBatch.from_arrays([*(t[i].chunk(0).take(pa.array(order[out])) for i in (2, 3, 4)), pa.array(first[out])], ["doc_id", "key", "at", "first"])
+            ends = np.flatnonzero(new)  # one for each class; those of the last g, or of a g with the same first bits, that may go on
+            last_of_g = np.concatenate([group[ends][1:] != group[ends][:-1], [True]])
+            stay = ends[(g[ends] >> 24 == last[0]) & (last_of_g | (c[ends] >> np.uint64(40) == np.uint64(last[1] >> 40)))]
+            held, shown, many = t.take(pa.array(order[stay])), (first | shown)[stay], several[group[stay]]
 
-    return rows.repartition(width(rows.sparkSession), "g").sortWithinPartitions("g", "c", "doc_id", "key", "pos").mapInArrow(run, "doc_id long, key long, pos int, n int, first boolean")
+    by = (F.col("g").bitwiseAND(F.lit(-1 << 24))).bitwiseOR(F.shiftrightunsigned("c", 40))
+    return rows.repartition(width(rows.sparkSession), "g").sortWithinPartitions(by).mapInArrow(run, "doc_id long, key long, at long, first boolean")
 
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, key, text) -> (doc_id, key, spans array of struct a, b): the words to delete, for documents that have any."""
-    found = written(met(fingerprints(docs, min_words)))
-    at = found.where("first").groupBy(F.col("doc_id").alias("i"), F.col("key").alias("k")).agg(F.collect_set(F.struct("pos", "n")).alias("at"))  # at most the words of one document
-    single = met(opened(docs.join(at, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "at"), min_words))
-    spans = found.where(~F.col("first")).unionByName(single)
-    return spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("n") - 1 + min_words).alias("b"))).alias("spans"))  # at most the words of one document
-
-
-def kept(text: bytes, spans: list[dict]) -> tuple[bytes, int, int, int]:
-    """What stays of the text; how many lines it has, how many go, and how many words."""
+    """(doc_id, key, text) -> (doc_id, key, spans array of packed places): the windows to delete, for documents that have any."""
+    assert min_words < 1 << 14, "the windows that share a fingerprint are counted in 14 bits"
+    of_document = lambda rows, name: rows.groupBy("doc_id", "key").agg(F.collect_list("at").alias(name))  # noqa: E731  at most the words of one document
+    with Scratch(docs.sparkSession) as made:
+        found = written(met(fingerprints(docs, min_words)))
+        at = of_document(found.where("first"), "at").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "at")
+        single = met(opened(docs.join(at, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "at"), min_words))
+        return made.outlive(of_document(found.where(~F.col("first")).unionByName(single), "spans"))
+
+
+def line_counts(texts: pa.Array) -> np.ndarray:
+    """How many lines cut() makes of each text: those that are not blank, or one."""
+    texts = texts.fill_null(b"")
+    size = pc.binary_length(texts).to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    b = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+    if not len(b):
+        return np.ones(len(texts), np.int64)
+    begins = np.zeros(len(b) + 1, bool)
+    begins[1:] = b == 10
+    begins[2:] |= (b[1:] == 32) & STOP[b[:-1]]
+    begins[start] = True
+    begins = np.flatnonzero(begins[:-1])
+    full = np.add.reduceat(~SPACE[b], begins, dtype=np.int64) > 0
+    return np.maximum(1, np.bincount(np.searchsorted(start, begins, "right") - 1, weights=full, minlength=len(texts)).astype(np.int64))
+
+
+def kept(text: bytes, spans: np.ndarray, min_words: int) -> tuple[bytes, int, int]:
+    """What stays of the text, and how many lines and words go."""
     lines = cut(text)
-    if not spans:
-        return text, len(lines), 0, 0
     turn = np.diff(np.concatenate([[True], SPACE[np.frombuffer(text, np.uint8)], [True]]).astype(np.int8))
     start, end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
     edge = np.zeros(len(start) + 1, np.int64)
-    np.add.at(edge, [s["a"] for s in spans], 1)
-    np.add.at(edge, [s["b"] for s in spans], -1)
+    a, n = unpacked(spans)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, a + n - 1 + min_words, -1)
     gone = np.cumsum(edge[:-1]) > 0
     line = np.searchsorted(np.cumsum([len(x) for x in lines]), start, "right")
     whole = np.bincount(line, minlength=len(lines)), np.bincount(line[gone], minlength=len(lines))
@@ -229,35 +261,38 @@ def kept(text: bytes, spans: list[dict]) -> tuple[bytes, int, int, int]:
             to = int(end[b - 1])
         out.append(text[at : start[a]])
         at = to
-    return b"".join([*out, text[at:]]), len(lines), int(((whole[0] > 0) & (whole[0] == whole[1])).sum()), int(gone.sum())
+    return b"".join([*out, text[at:]]), int(((whole[0] > 0) & (whole[0] == whole[1])).sum()), int(gone.sum())
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs (doc_id, text and any other columns) with text as it stays, and line_count, lines_removed, words_removed."""
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    spans = written(repeated(keyed.select("doc_id", F.col("__key").alias("key"), "text"), min_words)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("spans").alias("__spans"))
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = True) -> DataFrame:
+    """docs (doc_id, text and any other columns) with text as it stays; with report also line_count, lines_removed, words_removed (columns of these names are replaced)."""
+    counts = ["line_count", "lines_removed", "words_removed"] if report else []
+    others = [c for c in docs.columns if c != "text" and c not in counts]
+    wide = docs.select(*[F.col(f"`{c}`") for c in others], "text", F.xxhash64("text").alias("__key"))
+    spans = repeated(wide.select("doc_id", F.col("__key").alias("key"), "text"), min_words).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("spans").alias("__spans"))
     # Only texts whose key falls into a bucket with deletions move; the set of buckets has at most BUCKETS rows, whatever the input.
     bucket = F.pmod(F.xxhash64("doc_id", "__key"), F.lit(BUCKETS))
     hit = spans.select(F.pmod(F.xxhash64("__id", "__k"), F.lit(BUCKETS)).alias("__hit")).distinct()
-    keyed = keyed.withColumn("__b", bucket).join(F.broadcast(hit), F.col("__b") == F.col("__hit"), "left")
-    near = keyed.where("__hit IS NOT NULL").join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
-    rows = near.unionByName(keyed.where("__hit IS NULL").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)), allowMissingColumns=True)
-    others = [c for c in docs.columns if c != "text"]
-    rows = rows.select(*[F.col(f"`{c}`") for c in others], F.col("text").cast("binary").alias("text"), "__spans")
-    schema = rows.drop("__spans").withColumns({c: F.lit(0) for c in ("line_count", "lines_removed", "words_removed")}).schema
+    wide = wide.withColumn("__b", bucket).join(F.broadcast(hit), F.col("__b") == F.col("__hit"), "left")
+    near = wide.where("__hit IS NOT NULL").join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    rows = near.unionByName(wide.where("__hit IS NULL").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)), allowMissingColumns=True)
+    rows = rows.select(*[F.col(f"`{c}`") for c in others], "text", "__spans")
+    schema = rows.select(*[F.col(f"`{c}`") for c in others], "text", *[F.lit(0).alias(c) for c in counts]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts = [], []
-            for t, s in zip(b[len(others)], b[len(others) + 1]):
-                text = t.as_py()
-                k, *c = kept(text or b"", s.as_py() or [])
-                texts.append(None if text is None else k)
-                counts.append(c)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(texts, pa.binary()), *[pa.array([c[i] for c in counts], pa.int32()) for i in range(3)]], schema.names)
+            texts, spans = b.column(len(others)).cast(pa.large_binary()), b.column(len(others) + 1)
+            hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            new = [kept(texts[i].as_py(), spans[i].values.to_numpy(), min_words) for i in hit.tolist()]
+            gone = np.zeros((len(texts), 2), np.int32)
+            gone[hit] = np.array([x[1:] for x in new], np.int32).reshape(-1, 2)
+            mask = pa.array(np.isin(np.arange(len(texts)), hit))
+            left = pc.replace_with_mask(texts, mask, pa.array([x[0] for x in new], pa.large_binary())) if len(hit) else texts
+            out = [line_counts(texts).astype(np.int32), gone[:, 0], gone[:, 1]] if report else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], left.cast(pa.large_string()).cast(pa.string()), *map(pa.array, out)], schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "line_count", "lines_removed", "words_removed")
+    return out.select(*[F.col(f"`{c}`") for c in [*(c for c in docs.columns if c not in counts), *counts]])
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
