@@ -6,7 +6,8 @@ the total budget; a document that would start at or after its source's target wa
 surplus. Native DataFrame code; no source is ever sorted in one task.
 
 Defined results: a null text has size 0; a source of null is a source of its own, ordered last; documents of size 0 are never taken (taken 0); an empty
-table gives an empty table; repeated rows are separate documents; other columns are kept (the operator's own columns start with "mix_").
+table gives an empty table; rows equal in id and text are separate documents, at one place of the order; other columns of docs stay, whatever their names
+(but for names that start with "__mix_").
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, ranked, written
+from .common import Scratch, buckets_for, ranked, written
 
 SEED = 20_011
 REPEATS = 3
@@ -44,16 +45,25 @@ def targets(sizes: DataFrame, weights: list[float], budget: int | None = None, r
     return s.select("mix_source", "source_size", F.least("limit", F.col("level") * F.col("w")).alias("target"), "target_budget")
 
 
+def shuffled(id_col: str, text_col: str) -> Column:
+    """The place in the shuffle: equal rows get equal places."""
+    return F.xxhash64(F.lit(SEED), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def spread(shuffle: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(shuffle), F.lit(buckets)).cast("int")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with mix_size, mix_source and mix_hash (the shuffle: equal rows get equal places)."""
-    return docs.withColumns({"mix_size": words_in(F.col(text_col)), "mix_source": F.col(source_col), "mix_hash": F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col))})
+    """A lean row per document: mix_id, mix_source, mix_size, mix_hash."""
+    return docs.select(F.col(f"`{id_col}`").alias("mix_id"), F.col(f"`{source_col}`").alias("mix_source"), words_in(F.col(f"`{text_col}`")).alias("mix_size"), shuffled(id_col, text_col).alias("mix_hash"))
 
 
-def placed(rows: DataFrame, goal: DataFrame, buckets: int, id_col: str) -> DataFrame:
+def placed(rows: DataFrame, goal: DataFrame, buckets: int) -> DataFrame:
     """rows of sized() with their source's target and mix_end, the words of the source up to and with the row."""
     goal = goal.withColumnRenamed("mix_source", "mix_goal")
     rows = rows.join(goal, F.col("mix_source").eqNullSafe(F.col("mix_goal"))).drop("mix_goal")
-    rows = ranked(rows, ["mix_source"], [F.col("mix_hash"), F.col(id_col).asc_nulls_last(), F.col("mix_size")], F.xxhash64("mix_hash"), buckets, "mix_rank", "mix_size", "mix_before")
+    rows = ranked(rows, ["mix_source"], [F.col("mix_hash"), F.col("mix_id").asc_nulls_last(), F.col("mix_size")], F.xxhash64("mix_hash"), buckets, "mix_rank", "mix_size", "mix_before")
     return rows.withColumn("mix_end", F.col("mix_before") + F.col("mix_size")).drop("mix_before")
 
 
@@ -101,23 +111,53 @@ def taken(plan: DataFrame, at: tuple[float, int] | None, repeats: int = REPEATS)
     return plan.withColumn("mix_copies", sum((one(c) for c in range(1, repeats)), one(0)))
 
 
+def planned(docs: DataFrame, weights: list[float], budget: int | None, repeats: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, int]:
+    """The mix as lean rows (sized(), source_size, target, mix_end, mix_copies), and how many buckets order a source."""
+    lean = written(sized(docs, id_col, text_col, source_col))
+    buckets = buckets_for(lean.count())
+    plan = written(placed(lean, targets(lean, weights, budget, repeats), buckets))
+    return taken(plan, cut(plan, repeats), repeats), buckets
+
+
 def mix(docs: DataFrame, weights: list[float], budget: int | None = None, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A lean row per document: id, mix_size, mix_source, source_size, target, mix_copies."""
-    lean = written(sized(docs, id_col, text_col, source_col).select(F.col(id_col), "mix_size", "mix_source", "mix_hash"))
-    plan = written(placed(lean, targets(lean, weights, budget, repeats), buckets_for(lean.count()), id_col))
-    return taken(plan, cut(plan, repeats), repeats)
+    with Scratch(docs.sparkSession) as made:
+        rows, _ = planned(docs, weights, budget, repeats, id_col, text_col, source_col)
+        return made.outlive(rows.select(F.col("mix_id").alias(id_col), "mix_size", "mix_source", "source_size", "target", "mix_copies"))
+
+
+def bounds(rows: DataFrame, buckets: int, repeats: int) -> DataFrame:
+    """Lean rows with mix_copies -> (__mix_source, __mix_to, __mix_n): a row per source, with the last place that each pass takes, and how many rows it takes there."""
+    rows = rows.where("mix_copies > 0").withColumn("at", place(spread(F.col("mix_hash"), buckets), F.col("mix_hash"), F.col("mix_id")))
+    rows = rows.select("mix_source", "at", "mix_copies")
+    to = rows.groupBy(F.col("mix_source").alias("__mix_source")).agg(F.array(*[F.max(F.when(F.col("mix_copies") > c, F.col("at"))) for c in range(repeats)]).alias("__mix_to"))
+    last = rows.join(to, F.col("mix_source").eqNullSafe(F.col("__mix_source"))).where(F.exists("__mix_to", lambda x: x == F.col("at")))
+    return last.groupBy("__mix_source", "__mix_to").agg(F.array(*[F.count_if((F.col("mix_copies") > c) & (F.col("__mix_to")[c] == F.col("at"))) for c in range(repeats)]).alias("__mix_n"))
+
+
+def place(bucket: Column, shuffle: Column, ident: Column) -> Column:
+    return F.struct(bucket.alias("bucket"), shuffle.alias("shuffle"), ident.isNull().alias("none"), ident.alias("id"))
 
 
 def mixed(docs: DataFrame, weights: list[float], budget: int | None = None, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: whole rows of docs, each as often as it is taken."""
-    columns = docs.columns
-    wide = sized(docs, id_col, text_col, source_col)
-    lean = written(wide.select(F.col(id_col), "mix_size", "mix_source", "mix_hash"))
-    n = buckets_for(lean.count(), 10_000)
-    goal = written(targets(lean, weights, budget, repeats))
-    at = cut(written(placed(lean, goal, n, id_col)), repeats)
-    rows = taken(placed(wide, goal, n, id_col), at, repeats)
-    return rows.where("mix_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in columns])
+    """The mix itself: whole rows of docs, each as often as it is taken.
+
+    The rows do not move: what a pass takes of a source is a prefix of the source's order, so its last place is all that they have to meet. Of rows equal
+    in id and text at such a place, as many are taken as the plan says; only these are numbered.
+    """
+    with Scratch(docs.sparkSession) as made:
+        rows, buckets = planned(docs, weights, budget, repeats, id_col, text_col, source_col)
+        goal = made.outlive(bounds(rows, buckets, repeats))
+    wide = docs.where(F.col(f"`{text_col}`").rlike(WORD)).withColumn("__mix_hash", shuffled(id_col, text_col))
+    wide = wide.withColumn("__mix_at", place(spread(F.col("__mix_hash"), buckets), F.col("__mix_hash"), F.col(f"`{id_col}`")))
+    wide = wide.join(goal, F.col(f"`{source_col}`").eqNullSafe(F.col("__mix_source")))
+    edge = F.coalesce(F.exists("__mix_to", lambda x: x == F.col("__mix_at")), F.lit(False))
+    inner = F.size(F.filter("__mix_to", lambda x: F.col("__mix_at") < x))
+    turn = F.row_number().over(Window.partitionBy("__mix_source", "__mix_at").orderBy(F.lit(1)))
+    here = F.size(F.filter(F.arrays_zip("__mix_to", "__mix_n"), lambda x: (x["__mix_to"] == F.col("__mix_at")) & (F.col("__mix_turn") <= x["__mix_n"])))
+    rows = wide.where(~edge).withColumn("__mix_copies", inner)
+    rows = rows.unionByName(wide.where(edge).withColumn("__mix_turn", turn).withColumn("__mix_copies", inner + here).drop("__mix_turn"))
+    return rows.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

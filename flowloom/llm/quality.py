@@ -1,11 +1,12 @@
 """Quality classifier: random Fourier features of document statistics, ridge regression, isotonic calibration.
 
-Statistics are taken from whole texts, once, and written as a lean table. Labelled rows of it (at most MAX_LABELLED, chosen by hash; a documented bound)
+Statistics are taken from whole texts. Those of labelled documents (at most MAX_LABELLED, chosen by hash; a documented bound) are written as a lean table and
 fit the model: moments for scaling, then each partition's sums of the normal equations of ridge scores on 2 x FEATURES random Fourier features of a
-Gaussian kernel, then pool-adjacent-violators on rows that the ridge fit has not seen (a fifth of the training rows). The model is a few hundred numbers.
+Gaussian kernel, then pool-adjacent-violators on rows that the ridge fit has not seen (a fifth of the training rows). The model is a few hundred numbers, sent
+to one pass over all documents that measures and scores (or filters) them where they lie.
 
 Defined results: null and empty texts have the statistics of an empty text and get a score; documents without label, or with a null label, are scored but
-not learned from; with labels of one kind only (or none) every score is that kind's share (or 0.5); without calibration rows (a handful of labels) the
+not learned from; of labelled documents that share an id one teaches; with labels of one kind only (or none) every score is that kind's share (or 0.5); without calibration rows (a handful of labels) the
 ridge score is clipped to 0..1, with none but these every score is the share of ones; repeated ids are scored each; an empty table gives an
 empty table; other columns play no part.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 MAX_LABELLED, FEATURES, RIDGE, SEED, CUT = 200_000, 192, 1e-3, 50_021, 0.3
 STATISTICS = ["log_bytes", "log_words", "word_length", "distinct_words", "top_word", "upper", "lower", "digit", "space", "non_ascii", "punctuation", "other_symbol", "bar", "exclamation", "entropy", "log_lines", "distinct_lines", "line_words", "all_upper_words", "symbol_words", "stop_ends", "short_words"]
@@ -100,13 +101,11 @@ def _rows(b: pa.RecordBatch) -> np.ndarray:
     return b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
 
 
-def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """From (key long, x, y double). key is a hash of the id: it chooses the bounded sample and the fifth that calibrates."""
+def fit(labelled: DataFrame) -> Model:
+    """From (key long, x, y double), which are few (learned() bounds them). key is a hash of the id: it chooses the fifth that calibrates."""
     spark, d = labelled.sparkSession, len(STATISTICS)
     model = Model(d)
     n = labelled.count()
-    if n > max_labelled:
-        labelled = labelled.where(F.pmod("key", F.lit(1_000_003)) < int(1_000_003 * max_labelled / n))
     kinds = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         model.value = np.array([float(next(iter(kinds), 0.5))])
@@ -144,17 +143,47 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     return model
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """rows of measured() with score in place of x."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in rows.columns if c != "x"]
-    schema = rows.select(*[F.col(f"`{c}`") for c in names]).withColumn("score", F.lit(1.0)).schema
+def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, quality). Labels are chosen by a hash of the id, max_labelled of them at most, and sent to the documents, so no text moves."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("double").alias("y")).withColumn("key", F.xxhash64(F.lit(SEED), "__id"))
+    with Scratch(docs.sparkSession):
+        known = written(known)
+        n = known.count()
+        if n > max_labelled:  # so much less that chance does not pass the bound: 13 deviations
+            known = known.where(F.pmod("key", F.lit(1_000_003)) < int(1_000_003 * 0.97 * max_labelled / n))
+        rows = docs.select(F.col("doc_id").alias("__doc"), "text").join(F.broadcast(known), F.col("__doc") == F.col("__id"))
+        rows = measured(rows.select("key", "y", F.xxhash64("text").alias("tie"), "text"))
+        return fit(written(rows.groupBy("key").agg(F.min_by("x", "tie").alias("x"), F.first("y").alias("y"))))
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with the text's score (double) in place of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in docs.columns if c != text_col]
+    kept = [F.col(f"`{c}`") for c in names]
+    schema = docs.select(*kept, F.lit(1.0).alias("score")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores(shared.value, b.column(b.num_columns - 1)))], [*names, "score"])
+
+    return docs.select(*kept, F.col(f"`{text_col}`").cast("binary").alias("__text")).mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score reaches the cut."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.score(_rows(b)) if b.num_rows else np.zeros(0))], [*names, "score"])
+            yield b.filter(pa.array(scores(shared.value, b.column(at).cast(pa.large_binary())) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
 
-    return rows.select(*[F.col(f"`{c}`") for c in names], "x").mapInArrow(run, schema)
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    x = np.array([statistics(t.as_py() or b"") for t in texts], np.float32).reshape(-1, len(STATISTICS))
+    return model.score(x.astype(np.float64)) if len(x) else np.zeros(0)
 
 
 def id_fold(doc_id: Column) -> Column:
@@ -164,9 +193,8 @@ def id_fold(doc_id: Column) -> Column:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> DataFrame:
     """doc_id and score for every row of docs; labels (doc_id, quality) where learn_from (of doc_id) holds teach it."""
-    rows = written(measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(learn_from if learn_from is not None else F.lit(True)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    return scored(rows, fit(rows.join(known, "doc_id").select(F.xxhash64(F.lit(SEED), "doc_id").alias("key"), "x", "y")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scored(docs, learned(docs, labels.where(learn_from if learn_from is not None else F.lit(True))))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

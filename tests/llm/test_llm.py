@@ -446,11 +446,21 @@ def test_lines_equal_brute_force(spark):
         texts.append(f"{fresh(rnd.randint(0, 40))} {passage} {fresh(rnd.randint(0, 40))}")
     one = " ".join(f"v{i}" for i in range(60))
     texts += [one, one.upper(), "la " * 100, f"{one}\n{one}", None, ""]
-    got = line_stage(spark, texts)
-    assert [words(got[i]["text"]) for i in range(len(texts))] == brute_lines(texts)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("3", batch):  # classes that go on over many batches, too
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        got = line_stage(spark, texts)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert [words(got[i]["text"]) for i in range(len(texts))] == brute_lines(texts)
     assert got[211]["text"] == "" and got[211]["words_removed"] == 60 and got[211]["lines_removed"] == 1
 
 
+def test_line_counts():
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab .\n.!? ") for _ in range(rnd.randint(0, 30))).encode() for _ in range(2000)]
+    assert lines.line_counts(pa.array([*texts, None])).tolist() == [len(lines.cut(t)) for t in [*texts, b""]]
+
+
 def test_lines_inside_lines(spark):
     """A passage pasted into the middle of a line goes whole, its partial lines too; the rest of the line and its line break stay."""
     passage = " ".join(f"p{i}" for i in range(30))
