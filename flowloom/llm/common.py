@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextvars import ContextVar
 
 import numpy as np
@@ -65,8 +65,16 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def parted(wide: DataFrame, keys: DataFrame, on: list[Column], buckets: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """wide -> (rows that may have one of the keys, rows that have none), with a column __hit that is null for the latter, so that only the former have to move.
+
+    on: the expressions of wide that the columns of keys stand for, in order. What is sent to all rows are the hashes' buckets that keys fall into, `buckets` rows at
+    most, whatever the input. Where keys are so many that they fill all buckets, all rows may have one.
+    """
+    bucket = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+    hit = keys.select(bucket(keys.columns).alias("__hit")).distinct()
+    wide = wide.withColumn("__b", bucket(on)).join(F.broadcast(hit), F.col("__b") == F.col("__hit"), "left").drop("__b")
+    return wide.where("__hit IS NOT NULL"), wide.where("__hit IS NULL")
 
 
 def buckets_for(rows: int, each: int = 40_000) -> int:

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, width, written
+from .common import Scratch, parted, width, written
 
-GRAM, MIN_WORDS, BUCKETS, CHUNK = 8, 25, 1 << 18, 1 << 17
+GRAM, MIN_WORDS, CHUNK = 8, 25, 1 << 17
 BASE, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE, STOP = np.isin(np.arange(256), list(b" \t\n\r\f\v")), np.isin(np.arange(256), list(b".!?"))
@@ -270,12 +270,9 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = Tru
     others = [c for c in docs.columns if c != "text" and c not in counts]
     wide = docs.select(*[F.col(f"`{c}`") for c in others], "text", F.xxhash64("text").alias("__key"))
     spans = repeated(wide.select("doc_id", F.col("__key").alias("key"), "text"), min_words).select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("spans").alias("__spans"))
-    # Only texts whose key falls into a bucket with deletions move; the set of buckets has at most BUCKETS rows, whatever the input.
-    bucket = F.pmod(F.xxhash64("doc_id", "__key"), F.lit(BUCKETS))
-    hit = spans.select(F.pmod(F.xxhash64("__id", "__k"), F.lit(BUCKETS)).alias("__hit")).distinct()
-    wide = wide.withColumn("__b", bucket).join(F.broadcast(hit), F.col("__b") == F.col("__hit"), "left")
-    near = wide.where("__hit IS NOT NULL").join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
-    rows = near.unionByName(wide.where("__hit IS NULL").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)), allowMissingColumns=True)
+    near, rest = parted(wide, spans.select("__id", "__k"), [F.col("doc_id"), F.col("__key")])
+    near = near.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
+    rows = near.unionByName(rest.withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType)), allowMissingColumns=True)
     rows = rows.select(*[F.col(f"`{c}`") for c in others], "text", "__spans")
     schema = rows.select(*[F.col(f"`{c}`") for c in others], "text", *[F.lit(0).alias(c) for c in counts]).schema
 

@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, width, written
+from .common import Scratch, components, parted, width, written
 from .hamming import links
+from .lines import Hashed
 
-TAU, WORDS, SIMILARITY, BLOCK, CHUNK, EPS, SAMPLE, FREQUENT = 4, 5, 0.8, 2048, 1 << 18, 1e-9, 5_000, 1 << 18
+TAU, WORDS, SIMILARITY, BLOCK, CHUNK, EPS, SAMPLE, FREQUENT, WORDS_HELD = 4, 5, 0.8, 2048, 1 << 18, 1e-9, 5_000, 1 << 18, 1 << 17
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -76,15 +77,36 @@ def linked(docs: DataFrame, words: int = 4, tau: int = TAU) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text in turn the distinct hashes of its shingles, rising; the whole sequence where it has fewer words."""
+    held: list[list[bytes]] = []
+    size = 0
+
+    def out() -> Iterator[np.ndarray]:
+        s = Hashed(held)
+        for a, n in zip(s.start.tolist(), s.size.tolist()):
+            yield np.unique(s.of(np.arange(a, a + max(1, n - words + 1)), min(words, n))) if n else np.zeros(0, np.uint64)
+
+    for t in texts.cast(pa.large_binary()):
+        held.append((t.as_py() or b"").lower().split())
+        size += len(held[-1])
+        if size > WORDS_HELD:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
+
+
 def frequent(keyed: DataFrame, n: int, words: int) -> np.ndarray:
     """Shingles that three texts or more of a sample have (SAMPLE texts, or a sixteenth), rising in frequency, FREQUENT at most. They only choose an order."""
     share = max(1 / 16, SAMPLE / max(n, 1))
-    some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select("key", F.col("text").cast("binary").alias("text")).dropDuplicates(["key"])
+    some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py() or b"", words)).view(np.int64))], ["token"])
+            key, once = np.unique(b[0].to_numpy(), return_index=True)
+            for h in shingle_sets(b[1].take(pa.array(once)), words):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["token"])
 
     most = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
     return most["token"].to_numpy(np.int64)[::-1].view(np.uint64)
@@ -108,8 +130,7 @@ def prefixes(keyed: DataFrame, words: int, similarity: float, last: np.ndarray)
         for b in batches:
             key, once = np.unique(b[0].to_numpy(), return_index=True)
             held, size = [], []
-            for i in once.tolist():
-                h = ordered(np.unique(shingle_hashes(b[1][i].as_py() or b"", words)))
+            for h in map(ordered, shingle_sets(b[1].take(pa.array(once)), words)):
                 size.append(len(h))
                 held.append(h[: len(h) - int(np.ceil(similarity * len(h) - EPS)) + 1] if len(h) else np.zeros(1, np.uint64))
             if held:
@@ -117,7 +138,7 @@ def prefixes(keyed: DataFrame, words: int, similarity: float, last: np.ndarray)
                 at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(np.array(size, np.int32), each)), pa.array(at.astype(np.int32)), pa.array(np.repeat(key, each))], ["token", "n", "at", "key"])
 
-    return keyed.select("key", F.col("text").cast("binary")).mapInArrow(run, "token long, n int, at int, key long")
+    return keyed.select("key", "text").mapInArrow(run, "token long, n int, at int, key long")
 
 
 def possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
@@ -192,47 +213,57 @@ def candidates(rows: DataFrame, similarity: float) -> DataFrame:
 def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """pairs (a, b) of keys -> those whose texts (keyed: key, text) are similar."""
     need = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    whole = written(keyed.join(need, F.col("key") == F.col("k"), "left_semi").select("key", F.col("text").cast("binary").alias("text")).dropDuplicates(["key"]))
-    both = pairs.join(whole.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(whole.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    near, _ = parted(keyed.select("key", "text"), need, [F.col("key")])
+    with Scratch(keyed.sparkSession) as made:
+        whole = written(near.join(need, F.col("key") == F.col("k"), "left_semi").select("key", "text").dropDuplicates(["key"]))
+        both = pairs.join(whole.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(whole.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good, now, t = [], None, np.zeros(0, np.uint64)
-            for b, x, y in zip(batch["b"].to_pylist(), batch["s"], batch["t"]):
-                if b != now:
-                    now, t = b, np.unique(shingle_hashes(y.as_py() or b"", words))
-                s = np.unique(shingle_hashes(x.as_py() or b"", words))
-                n = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(n >= similarity * (len(s) + len(t) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = []
+                for s, t in zip(shingle_sets(batch["s"], words), shingle_sets(batch["t"], words)):
+                    n = len(np.intersect1d(s, t, assume_unique=True))
+                    good.append(n >= similarity * (len(s) + len(t) - n))
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+        return made.outlive(both.mapInArrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> (key, keep_id): for each distinct text (key: a hash) the id of the document that stays for its group."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    texts = written(keyed.groupBy("key").agg(F.min("doc_id").alias("first")))
-    rows = written(shared(prefixes(keyed, words, similarity, frequent(keyed, texts.count(), words)), similarity))
-    next_to = written(rows.where("before IS NOT NULL").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct())
-    edges = written(verified(next_to, keyed, words, similarity))
-    near = components(edges).withColumnRenamed("node", "key")
-    rest = written(candidates(rows.join(near, "key", "left").select("token", "n", "at", "key", F.coalesce("component", "key").alias("component")), similarity).join(next_to, ["a", "b"], "left_anti"))
-    same = components(edges.unionByName(verified(rest, keyed, words, similarity))).withColumnRenamed("node", "key")
-    same = same.join(texts, "key")
-    smallest = same.groupBy("component").agg(F.min("first").alias("smallest"))
-    same = same.join(smallest, "component").select("key", "smallest")
-    return texts.join(same, "key", "left").select("key", F.coalesce("smallest", "first").alias("keep_id"))
+    with Scratch(docs.sparkSession) as made:
+        texts = written(keyed.groupBy("key").agg(F.min("doc_id").alias("first")))
+        rows = written(shared(prefixes(keyed, words, similarity, frequent(keyed, texts.count(), words)), similarity))
+        next_to = written(rows.where("before IS NOT NULL").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct())
+        edges = verified(next_to, keyed, words, similarity)
+        near = components(edges).withColumnRenamed("node", "key")
+        grouped = rows.join(near, "key", "left").select("token", "n", "at", "key", F.coalesce("component", "key").alias("component"))
+        rest = written(candidates(grouped, similarity).join(next_to, ["a", "b"], "left_anti"))
+        made.drop(rows, next_to)
+        same = components(edges.unionByName(verified(rest, keyed, words, similarity))).withColumnRenamed("node", "key")
+        same = written(same.join(texts, "key"))
+        smallest = same.groupBy("component").agg(F.min("first").alias("smallest"))
+        same = same.join(smallest, "component").select("key", "smallest")
+        return made.outlive(texts.join(same, "key", "left").select("key", F.coalesce("smallest", "first").alias("keep_id")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any other columns) that stay: one document for each group of near duplicates, the one of the smallest id.
 
-    Of repeated rows with the same id and text one stays.
+    Of repeated rows with the same id and text one stays. Only rows that may have to go move.
     """
-    keep = written(near_duplicates(docs)).select(F.col("key").alias("__key"), F.col("keep_id").alias("__keep"))
-    kept = docs.withColumn("__k", F.xxhash64("text")).join(keep, (F.col("__k") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__keep")))
-    return kept.dropDuplicates(["doc_id", "__k"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    wide = docs.withColumn("__k", F.xxhash64("text"))
+    with Scratch(docs.sparkSession) as made:
+        keep = near_duplicates(docs.select("doc_id", "text"))
+        rows = wide.groupBy(F.col("__k").alias("key"), F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(keep, "key").withColumn("stays", F.col("id").eqNullSafe(F.col("keep_id")))
+        few = made.outlive(rows.where("n > 1 OR NOT stays").select(F.col("key").alias("__key"), F.col("id").alias("__id"), F.col("stays").alias("__stays")))
+    near, rest = parted(wide, few.select("__key", "__id"), [F.col("__k"), F.col("doc_id")])
+    near = near.join(few, (F.col("__k") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    once = near.where("__stays").dropDuplicates(["__k", "doc_id"])
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return rest.select(*kept).unionByName(near.where("__stays IS NULL").select(*kept)).unionByName(once.select(*kept))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
