@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import half_open_bin, pressure_bucket, rank_pct
 
 KEYS = ["symbol", "label"]
-EPS = 1e-9
+EPS, EXACT = 1e-9, "decimal(28,10)"
 
 
 def percentile_table(rows: DataFrame, columns: list[str], percents: list[float], keys: list[str] = KEYS) -> DataFrame:
@@ -25,8 +25,9 @@ def percentile_table(rows: DataFrame, columns: list[str], percents: list[float],
 
 
 def cells(rows: DataFrame, by: list[str], columns: list[str], digits: int = 4) -> DataFrame:
-    """n and p50, p90, mean of each column per cell."""
-    aggs = [F.round(f, digits).alias(f"{c}_{k}") for c in columns for k, f in (("p50", F.percentile(c, 0.5)), ("p90", F.percentile(c, 0.9)), ("mean", F.avg(c)))]
+    """n and p50, p90, mean of each column per cell. The mean's sum is one of decimals, so that it is the same in any order."""
+    mean = lambda c: F.sum(F.col(c).cast(EXACT)).cast("double") / F.count(c)
+    aggs = [F.round(f, digits).alias(f"{c}_{k}") for c in columns for k, f in (("p50", F.percentile(c, 0.5)), ("p90", F.percentile(c, 0.9)), ("mean", mean(c)))]
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 

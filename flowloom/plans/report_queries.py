@@ -162,8 +162,9 @@ QUERIES = [r1_rank_pct, g5_percentile_table, g7_rates, g8_joint_state, g9_condit
 _rank = lambda c, w="": f"(rank() OVER (PARTITION BY symbol, label ORDER BY {c}) + (count(*) OVER (PARTITION BY symbol, label, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol, label) * 100"
 _bucket = "CASE WHEN pct <= 50 THEN '0-50' WHEN pct <= 90 THEN '50-90' WHEN pct <= 95 THEN '90-95' WHEN pct <= 99 THEN '95-99' ELSE '99-100' END"
 _bin = lambda p: f"CASE WHEN {p} <= 25 THEN '0-25' WHEN {p} <= 50 THEN '25-50' WHEN {p} <= 75 THEN '50-75' WHEN {p} <= 90 THEN '75-90' ELSE '90-100' END"
-_cells = lambda *cs: "count(*) AS n, " + ", ".join(f"round(quantile_cont({c}, 0.5), 4) AS {c}_p50, round(quantile_cont({c}, 0.9), 4) AS {c}_p90, round(avg({c}), 4) AS {c}_mean" for c in cs)
-_split = f"hp AS (SELECT * FROM (SELECT *, {_rank('pressure')} AS pct FROM fr) WHERE pct > 90), hk AS (SELECT *, count(*) OVER (PARTITION BY symbol, label) AS nk FROM hp), cs AS (SELECT symbol, label, CASE WHEN net > 0.1 THEN 'adds' WHEN net < -0.1 THEN 'cancels' ELSE 'neutral' END AS reaction, response AS v FROM hk WHERE nk >= 10), ct AS (SELECT symbol, label, reaction, count(*) AS n, round(quantile_cont(v, 0.5), 4) AS response_p50, round(quantile_cont(v, 0.9), 4) AS response_p90, round(avg(v), 4) AS response_mean FROM cs GROUP BY ALL HAVING count(*) >= 3)"
+_mean = lambda c: f"CAST(sum(CAST({c} AS DECIMAL(28,10))) AS DOUBLE) / count({c})"
+_cells = lambda *cs: "count(*) AS n, " + ", ".join(f"round(quantile_cont({c}, 0.5), 4) AS {c}_p50, round(quantile_cont({c}, 0.9), 4) AS {c}_p90, round({_mean(c)}, 4) AS {c}_mean" for c in cs)
+_split = f"hp AS (SELECT * FROM (SELECT *, {_rank('pressure')} AS pct FROM fr) WHERE pct > 90), hk AS (SELECT *, count(*) OVER (PARTITION BY symbol, label) AS nk FROM hp), cs AS (SELECT symbol, label, CASE WHEN net > 0.1 THEN 'adds' WHEN net < -0.1 THEN 'cancels' ELSE 'neutral' END AS reaction, response AS v FROM hk WHERE nk >= 10), ct AS (SELECT symbol, label, reaction, count(*) AS n, round(quantile_cont(v, 0.5), 4) AS response_p50, round(quantile_cont(v, 0.9), 4) AS response_p90, round({_mean('v')}, 4) AS response_mean FROM cs GROUP BY ALL HAVING count(*) >= 3)"
 _vq = lambda c, lo, hi: f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing, CAST(0 AS BIGINT) AS infinite, count(*) FILTER ({c} < {lo} - 1e-9 OR {c} > {hi} + 1e-9) AS out_of_range, max({c}) = min({c}) AS constant FROM fr"
 
 ORACLE = {
