@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -25,22 +25,30 @@ def taker(events: DataFrame) -> DataFrame:
     return events.where((F.col("event_type") == "Execution") & F.col("aggressor").isin("buy", "sell")).select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "taker_uid", "aggressor", F.when(F.col("aggressor") == "buy", 1).otherwise(-1).alias("sign"), F.coalesce("execution_qty", F.lit(0)).alias("qty"), F.col("execution_price").alias("price"), F.coalesce(usd, q * F.col("execution_price"), F.lit(0.0)).alias("notional"))
 
 
+def book_side(events: DataFrame) -> Column:
+    """bid or ask from the raw direction, exactly Buy or Sell; else the event is no passive flow. Streams without raw directions have their side."""
+    if "direction" in events.columns:
+        return F.when(F.col("direction") == "Buy", "bid").when(F.col("direction") == "Sell", "ask")
+    return F.when(F.col("side") == "buy", "bid").when(F.col("side") == "sell", "ask")
+
+
 def passive(events: DataFrame) -> DataFrame:
     """Adds and cancels of resting liquidity. Placed (resting types only) adds what is not filled, Cancelled takes what is left, an update at an unchanged or unknown price adds or takes the difference; updates that move the price and rejections are no passive flow."""
     t, filled = F.col("event_type"), F.coalesce(F.col("filled_qty"), F.lit(0)) if "filled_qty" in events.columns else F.lit(0)
     left, change = F.greatest(F.col("qty") - filled, F.lit(0)), F.col("qty") - F.col("old_qty")
     same = F.col("price").isNull() | F.col("old_price").isNull() | (F.abs(F.col("price") - F.col("old_price")) < 1e-9)
     action = F.when((t == "OrderPlaced") & F.col("order_type").isin(*RESTING), "add").when(t == "OrderCancelled", "cancel").when((t == "OrderUpdated") & same & (F.abs(change) >= 1e-9), F.when(change > 0, "add").otherwise("cancel"))
-    return events.where(F.col("side").isin("buy", "sell")).select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "order_uid", F.when(F.col("side") == "buy", "bid").otherwise("ask").alias("book_side"), action.alias("action"), F.when(t == "OrderUpdated", F.abs(change)).otherwise(left).alias("qty"), "price").where(F.col("action").isNotNull())
+    return events.where(book_side(events).isNotNull() & F.col("timestamp_ms").isNotNull()).select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "order_uid", book_side(events).alias("book_side"), action.alias("action"), F.when(t == "OrderUpdated", F.abs(change)).otherwise(left).alias("qty"), "price").where(F.col("action").isNotNull())
 
 
 def reprice(events: DataFrame) -> DataFrame:
     """Two atoms per update that moves the price: the old quantity out, the new one in. Away from the touch: bids down, asks up."""
-    moved = events.where((F.col("event_type") == "OrderUpdated") & F.col("side").isin("buy", "sell") & (F.abs(F.col("price") - F.col("old_price")) >= 1e-9))
-    away = F.when(F.col("side") == "buy", F.col("price") < F.col("old_price")).otherwise(F.col("price") > F.col("old_price"))
+    moved = events.where((F.col("event_type") == "OrderUpdated") & book_side(events).isNotNull() & F.col("timestamp_ms").isNotNull() & (F.abs(F.col("price") - F.col("old_price")) >= 1e-9))
+    moved = moved.withColumn("book_side", book_side(events))
+    away = F.when(F.col("book_side") == "bid", F.col("price") < F.col("old_price")).otherwise(F.col("price") > F.col("old_price"))
     two = F.array(F.struct(F.lit("reprice_out").alias("action"), F.col("old_qty").alias("qty")), F.struct(F.lit("reprice_in").alias("action"), F.col("qty").alias("qty")))
     rows = moved.withColumn("atom", F.explode(two))
-    return rows.select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "order_uid", F.when(F.col("side") == "buy", "bid").otherwise("ask").alias("book_side"), "atom.action", "atom.qty", "old_price", F.col("price").alias("new_price"), F.when(away, "away").otherwise("toward").alias("direction"))
+    return rows.select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "order_uid", "book_side", "atom.action", "atom.qty", "old_price", F.col("price").alias("new_price"), F.when(away, "away").otherwise("toward").alias("direction"))
 
 
 def flow_taxonomy(events: DataFrame, since: int, before: int, bucket_ms: int) -> DataFrame:

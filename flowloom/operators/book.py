@@ -42,13 +42,18 @@ def best(l: DataFrame) -> DataFrame:
     return out.withColumn("spread", F.col("best_ask") - F.col("best_bid")).withColumn("mid", (F.col("best_ask") + F.col("best_bid")) / 2)
 
 
+def within(bps: int) -> Column:
+    """Whether a level of its side (columns side, price, mid) lies from the mid to so many basis points beyond it: bids below, asks above."""
+    price, mid, buy = F.col("price"), F.col("mid"), F.col("side") == "buy"
+    return (buy & price.between(mid * (1 - bps / 1e4), mid)) | (~buy & price.between(mid, mid * (1 + bps / 1e4)))
+
+
 def depth(l: DataFrame, top: DataFrame, bps: list[int]) -> DataFrame:
     """Quantity within so many basis points of the mid on each side, and their imbalance."""
     rows = l.join(top.select("symbol", "anchor", "mid"), ["symbol", "anchor"])
     aggs = []
     for n in bps:
-        near = {"bid": (F.col("side") == "buy") & F.col("price").between(F.col("mid") * (1 - n / 1e4), F.col("mid")), "ask": (F.col("side") == "sell") & F.col("price").between(F.col("mid"), F.col("mid") * (1 + n / 1e4))}
-        aggs += [F.sum(F.when(c, F.col("qty"))).alias(f"__{s}{n}") for s, c in near.items()]
+        aggs += [F.sum(F.when(within(n) & (F.col("side") == s), F.col("qty"))).alias(f"__{name}{n}") for name, s in (("bid", "buy"), ("ask", "sell"))]
     out = rows.groupBy("symbol", "anchor", "mid").agg(*aggs)
     known = lambda c: F.when(F.col("mid").isNotNull(), F.coalesce(c.cast("double"), F.lit(0.0)))
     cols: list[Column] = []
@@ -81,10 +86,10 @@ def market_state(spans: DataFrame, grid: DataFrame, step: int) -> DataFrame:
 
 
 def completeness(l: DataFrame, n_levels: int = 10) -> DataFrame:
-    """Per side: quantity near the touch and how much of it belongs to orders whose placing was seen."""
+    """Per side: quantity near the touch and how much of it belongs to orders whose placing was seen. Zones in basis points reach from the mid outwards, and need one."""
     top = best(l).select("symbol", "anchor", "mid")
     r = l.where("price > 0").withColumn("r", F.dense_rank().over(Window.partitionBy("symbol", "anchor", "side").orderBy(F.when(F.col("side") == "buy", -F.col("price")).otherwise(F.col("price"))))).join(top, ["symbol", "anchor"])
-    zones = [("L1", F.col("r") <= 1), ("L5", F.col("r") <= 5), (f"L{n_levels}", F.col("r") <= n_levels), *[(f"{b}bps", F.abs(F.col("price") - F.col("mid")) <= F.col("mid") * b / 1e4) for b in (10, 25)]]
+    zones = [("L1", F.col("r") <= 1), ("L5", F.col("r") <= 5), (f"L{n_levels}", F.col("r") <= n_levels), *[(f"{b}bps", within(b)) for b in (10, 25)]]
     inside = r.withColumn("zone", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(z)) for z, c in zones]))))
     out = inside.groupBy("symbol", "anchor", "side", "zone").agg(F.sum("qty").alias("total_qty"), F.coalesce(F.sum("known_qty"), F.lit(0)).alias("known_qty"))
     return out.withColumn("pct_known", F.round(F.try_divide(F.col("known_qty").cast("double") * 100, F.col("total_qty").cast("double")), 2))

@@ -18,13 +18,14 @@ ORDER_BY = ["symbol", "uid", "ts", "prio", "ingest_pos", "leg"]
 
 
 def legs(events: DataFrame) -> DataFrame:
+    """The events of known types and times as legs of single orders."""
     t = F.col("event_type")
     kind = F.when(t == "OrderPlaced", "place").when(t == "OrderUpdated", "update").when(t.isin("OrderCancelled", "OrderRejected"), "cancel")
     part = lambda uid, leg, kind, qty: F.struct(F.coalesce(uid, F.lit("")).alias("uid"), F.lit(leg).alias("leg"), kind.alias("kind"), F.col(qty).alias("qty"))
     two = F.filter(F.array(part(F.col("maker_uid"), 0, F.lit("maker"), "execution_qty"), part(F.col("taker_uid"), 1, F.lit("taker"), "execution_qty")), lambda x: x["uid"] != "")
     each = F.when(t == "Execution", two).otherwise(F.array(part(F.col("order_uid"), 0, kind, "qty")))
     rows = events.select("symbol", F.col("timestamp_ms").alias("ts"), priority(t).alias("prio"), "ingest_pos", "side", "price", F.explode(each).alias("x"))
-    return rows.select("symbol", "x.uid", "ts", "prio", "ingest_pos", "x.leg", "x.kind", "side", "price", "x.qty").where("kind IS NOT NULL")
+    return rows.select("symbol", "x.uid", "ts", "prio", "ingest_pos", "x.leg", "x.kind", "side", "price", "x.qty").where("kind IS NOT NULL AND ts IS NOT NULL")
 
 
 def folded(rows: DataFrame, start: Callable[[], object], step: Callable, schema) -> DataFrame:

@@ -20,7 +20,8 @@ def ceil_to(ts: Column, step: int) -> Column:
 
 
 def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column], windows: list[int], step: int) -> DataFrame:
-    """Sums of values over (t - W, t] at each anchor, as columns name_W; zero where nothing falls in. anchors (symbol, anchor) lie on multiples of step."""
+    """Sums of values over (t - W, t] at each anchor, as columns name_W; zero where nothing falls in. anchors (symbol, anchor) lie on multiples of step. Rows without a time count nowhere."""
+    atoms = atoms.where("ts IS NOT NULL")
     short = [w for w in windows if w < step]
     long = [w for w in windows if w >= step and w % step == 0]
     odd = [w for w in windows if w not in short and w not in long]
@@ -44,7 +45,7 @@ def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column], wi
 
 def distinct_counts(rows: DataFrame, anchors: DataFrame, name: str, key: Column, windows: list[int], step: int) -> DataFrame:
     """How many distinct non-null keys rows (symbol, ts, ..) have in (t - W, t], as columns name_W."""
-    r = rows.select(KEY, "ts", key.alias("k")).where("k IS NOT NULL").distinct()
+    r = rows.select(KEY, "ts", key.alias("k")).where("k IS NOT NULL AND ts IS NOT NULL").distinct()
     r = r.withColumn("next", F.lead("ts").over(Window.partitionBy(KEY, "k").orderBy("ts")))
     spans = r.select(KEY, F.explode(F.array(*[F.struct(F.lit(w).alias("w"), ceil_to(F.col("ts"), step).alias("a"), ceil_to(F.least(F.coalesce("next", F.col("ts") + w), F.col("ts") + w), step).alias("b")) for w in windows])).alias("x")).where("x.a < x.b")
     steps = spans.select(KEY, "x.w", F.explode(F.array(F.struct(F.col("x.a").alias("anchor"), F.lit(1).alias("d")), F.struct(F.col("x.b").alias("anchor"), F.lit(-1).alias("d")))).alias("y"))
@@ -124,9 +125,9 @@ def price_response(book: DataFrame, flow: DataFrame, anchors: DataFrame, windows
     cols = {}
     for w in windows:
         move = F.col("m0") - F.col(f"m_{w}")
-        ticks = F.abs(move) / tick
+        ticks = move / tick  # signed in the ratios, a magnitude in ticks_moved and levels_crossed
         levels = F.abs(F.rint(ticks))
-        cols |= {f"signed_mid_change_{w}": move, f"ticks_moved_{w}": ticks, f"levels_crossed_{w}": levels}
+        cols |= {f"signed_mid_change_{w}": move, f"ticks_moved_{w}": F.abs(ticks), f"levels_crossed_{w}": levels}
         for side in ("buy", "sell"):
             q, n = F.col(f"{side}_taker_qty_{w}").cast("double"), F.col(f"{side}_notional_{w}").cast("double")
             per = lambda a, b, q=q: F.when(q >= 1e-8, a / (b + EPS))

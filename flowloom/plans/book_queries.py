@@ -182,9 +182,10 @@ _cross = "bt AS (SELECT DISTINCT timestamp_ms AS ts FROM ev), cb AS (SELECT ts,
 _cls = _cross + ", xu AS (SELECT DISTINCT timestamp_ms AS xts, unnest([maker_uid, taker_uid]) AS uid FROM ev WHERE event_type = 'Execution'), fe AS (SELECT ts, min(xts - ts) AS explained_dt FROM cu JOIN xu ON cu.uid = xu.uid AND xts BETWEEN ts + 1 AND ts + 3 JOIN cr USING (ts) WHERE cross_width > 0 GROUP BY ts), cl AS (SELECT ts, CASE WHEN cross_width = 0 THEN 'LOCKED_MARKET' WHEN explained_dt IS NOT NULL THEN 'CROSS_STREAM_TS_AMBIGUITY' ELSE 'UNEXPLAINED' END AS classification, explained_dt, ts + 1 IN (SELECT ts FROM cr WHERE cross_width > 0) AS persistent FROM cr LEFT JOIN fe USING (ts))"
 _rp = f"pr AS (SELECT x.ts AS exec_ts, a.ts AS add_ts, x.side, x.price, x.qty AS exec_qty, a.qty AS refill_qty, a.ts - x.ts AS delay_ms FROM lat x JOIN lat a ON a.side = x.side AND a.price = x.price AND a.ts > x.ts AND a.ts <= x.ts + {HORIZON} WHERE x.action = 'exec_reduce' AND a.action = 'add')"
 _zone = lambda z, c: f"SELECT side, '{z}' AS zone, sum(qty) AS total_qty, sum(qty) AS known_qty FROM lz WHERE {c} GROUP BY side"
+_within = lambda n: f"(side = 'buy' AND price >= mid * (1 - {n} / 1e4) AND price <= mid OR side = 'sell' AND price >= mid AND price <= mid * (1 + {n} / 1e4))"
 _near = "CASE WHEN side = 'buy' THEN -price ELSE price END"
 _med = "(quantile_cont(q, 0.5) + 1e-12)"
-_pr = lambda w: ", ".join([r(f"m0 - m{w}", f"signed_mid_change_{w}"), r(f"abs(m0 - m{w}) / {TICK}", f"ticks_moved_{w}"), r(f"round_even(abs(m0 - m{w}) / {TICK}, 0)", f"levels_crossed_{w}"), *[x for q in ("buy", "sell") for x in (r(f"CASE WHEN {q}q{w} >= 1e-8 THEN (m0 - m{w}) / ({q}q{w} + 1e-12) END", f"mid_change_per_{q}_qty_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN abs(m0 - m{w}) / {TICK} / ({q}n{w} + 1e-12) END", f"ticks_per_{q}_notional_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN round_even(abs(m0 - m{w}) / {TICK}, 0) / ({q}q{w} + 1e-12) END", f"levels_per_{q}_qty_{w}"))]])
+_pr = lambda w: ", ".join([r(f"m0 - m{w}", f"signed_mid_change_{w}"), r(f"abs(m0 - m{w}) / {TICK}", f"ticks_moved_{w}"), r(f"round_even(abs(m0 - m{w}) / {TICK}, 0)", f"levels_crossed_{w}"), *[x for q in ("buy", "sell") for x in (r(f"CASE WHEN {q}q{w} >= 1e-8 THEN (m0 - m{w}) / ({q}q{w} + 1e-12) END", f"mid_change_per_{q}_qty_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN (m0 - m{w}) / {TICK} / ({q}n{w} + 1e-12) END", f"ticks_per_{q}_notional_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN round_even(abs(m0 - m{w}) / {TICK}, 0) / ({q}q{w} + 1e-12) END", f"levels_per_{q}_qty_{w}"))]])
 
 ORACLE = {
     "b1_transitions": f"{REC} SELECT uid, ts, ingest_pos, leg, kind, outcome, active, side, {r('price', 'price')}, {r('qty', 'qty')}, placed_ms, placed_pos FROM f WHERE n > 0",
@@ -192,7 +193,7 @@ ORACLE = {
     "b8_counters": f"{REC} SELECT 'SYN' AS symbol, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("unknown_update", "unknown_cancel", "unknown_exec_maker", "unknown_exec_taker", "duplicate_active_uid", "negative_qty")) + ", (SELECT count(*) FROM (SELECT timestamp_ms FROM ev GROUP BY 1 HAVING count(*) > 1)) AS n_ambiguous_ms FROM f",
     "b9_snapshot": f"{REC}, {_live_t} SELECT side, {r('price', 'price')}, {r("CASE WHEN side = 'buy' THEN sum(qty) END", 'bid_qty')}, {r("CASE WHEN side <> 'buy' THEN sum(qty) END", 'ask_qty')}, count(*) AS n_orders, round(CAST(sum(qty) AS DOUBLE) / count(*), 3) AS mean_size, max({T} - placed_ms) AS oldest_age_ms, min({T} - placed_ms) AS newest_age_ms, count(placed_ms) AS n_known_age, count(*) - count(placed_ms) AS n_censored_age FROM lv GROUP BY side, price",
     "b10_bbo": f"{REC}, {_live_t}, b AS (SELECT {_bb} AS bb, {_ba} AS ba, count(*) AS n FROM lv) SELECT 'SYN' AS symbol, {r('bb', 'best_bid')}, {r('ba', 'best_ask')}, {r("(SELECT qty FROM lv WHERE side = 'buy' AND price = bb ORDER BY placed_ms, placed_pos LIMIT 1)", 'best_bid_qty')}, {r("(SELECT qty FROM lv WHERE side = 'sell' AND price = ba ORDER BY placed_ms, placed_pos LIMIT 1)", 'best_ask_qty')}, {r('ba - bb', 'spread')}, {r('(ba + bb) / 2', 'mid')}, n AS n_active FROM b",
-    "b12_completeness": f"{REC}, {_live_t}, m AS (SELECT ({_bb} + {_ba}) / 2 AS mid FROM lv), lz AS (SELECT lv.*, mid, dense_rank() OVER (PARTITION BY side ORDER BY {_near}) AS k FROM lv, m WHERE price > 0), u AS ({_zone('L1', 'k <= 1')} UNION ALL {_zone('L5', 'k <= 5')} UNION ALL {_zone('L10', 'k <= 10')} UNION ALL {_zone('10bps', 'abs(price - mid) <= mid * 10 / 1e4')} UNION ALL {_zone('25bps', 'abs(price - mid) <= mid * 25 / 1e4')}) SELECT side, zone, {r('total_qty', 'total_qty')}, {r('known_qty', 'known_qty')}, CAST(100 AS DOUBLE) AS pct_known FROM u",
+    "b12_completeness": f"{REC}, {_live_t}, m AS (SELECT ({_bb} + {_ba}) / 2 AS mid FROM lv), lz AS (SELECT lv.*, mid, dense_rank() OVER (PARTITION BY side ORDER BY {_near}) AS k FROM lv, m WHERE price > 0), u AS ({_zone('L1', 'k <= 1')} UNION ALL {_zone('L5', 'k <= 5')} UNION ALL {_zone('L10', 'k <= 10')} UNION ALL {_zone('10bps', _within(10))} UNION ALL {_zone('25bps', _within(25))}) SELECT side, zone, {r('total_qty', 'total_qty')}, {r('known_qty', 'known_qty')}, CAST(100 AS DOUBLE) AS pct_known FROM u",
     "b13_bbo_series": f"{SERIES} SELECT 'SYN' AS symbol, anchor, " + ", ".join(r(c, c) for c in ["best_bid", "best_ask", "spread", "mid", *DEPTHS, "near_book_depth"]) + ", n_active FROM bx",
     "b14_market_state": f"{REC}, {_series(_g360, (50,))}, rk AS (SELECT *, dense_rank() OVER (PARTITION BY anchor, side ORDER BY {_near}) AS k FROM av), tl AS (SELECT anchor, " + ", ".join(f"coalesce(sum(qty) FILTER (side = '{sd}' AND k <= {n}), 0) AS {b}_l{n}_qty" for b, sd in (("bid", "buy"), ("ask", "sell")) for n in (1, 5, 10)) + f" FROM rk GROUP BY anchor) SELECT 'SYN' AS symbol, anchor, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, {r('b50', 'depth_bid_50bps')}, {r('a50', 'depth_ask_50bps')}, {_obi(50)}, " + ", ".join(r(f"{b}_l{n}_qty", f"{b}_l{n}_qty") for b in ("bid", "ask") for n in (1, 5, 10)) + " FROM bs JOIN dp USING (anchor) JOIN tl USING (anchor)",
     "b7_crossed": f"{XREC}, {_cross} SELECT ts, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, {r('cross_width', 'cross_width')}, count(DISTINCT uid) FILTER (side = 'buy') AS n_bid_uids, count(DISTINCT uid) FILTER (side = 'sell') AS n_ask_uids, min(uid) FILTER (side = 'buy') AS first_bid_uid FROM cr JOIN cu USING (ts) GROUP BY ts, best_bid, best_ask, cross_width",
