@@ -35,26 +35,29 @@ def side_of(order: Column) -> Column:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of raw events with ingest_pos, their place: files by name, then lines as they stand (monotonic within a file's splits)."""
-    return spark.read.schema(RAW).json(path).withColumn("ingest_pos", F.monotonically_increasing_id())
+    """Lines of raw events with ingest_pos, their place: files by name, then lines as they stand (monotonic within a file's splits), and event_key, the name of the line's event even where it is of no known type."""
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("ingest_pos", F.monotonically_increasing_id())
+    key = F.nullif(F.regexp_extract("value", r'"event"\s*:\s*\{\s*"([^"]*)"', 1), F.lit(""))
+    return lines.select(F.from_json("value", RAW).alias("x"), key.alias("event_key"), "ingest_pos").select("x.*", "event_key", "ingest_pos")
 
 
 def canonical(orders: DataFrame, executions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Raw orders and executions -> canonical events. Executions come after orders of one timestamp and place; keys (symbol, session) are carried."""
+    """Raw orders and executions -> canonical events. ingest_pos interleaves the two files, so it is unique; events of no known type keep their name (event_key)
+    and have no fields; keys (symbol, session) are carried."""
     e = F.col("event")
     known = [*TYPES[:2], *TYPES[3:]]
-    kind = F.coalesce(*[F.when(e[t].isNotNull(), F.lit(t)) for t in known])
+    kind = F.coalesce(*[F.when(e[t].isNotNull(), F.lit(t)) for t in known], F.col("event_key") if "event_key" in orders.columns else F.lit(None))
     body = F.coalesce(*[e[t]["order"] for t in ("OrderPlaced", "OrderCancelled", "OrderRejected")], e["OrderUpdated"]["newOrder"])
     null = F.lit(None)
     a = orders.select(
-        *keys, F.col("ingest_pos"), F.lit(0).alias("file"), F.col("timestamp").cast("long").alias("timestamp_ms"), kind.alias("event_type"), F.col("uid").alias("event_uid"), body["uid"].alias("order_uid"), side_of(body).alias("side"),
+        *keys, (F.col("ingest_pos") * 2).alias("ingest_pos"), F.lit(0).alias("file"), F.col("timestamp").cast("long").alias("timestamp_ms"), kind.alias("event_type"), F.col("uid").alias("event_uid"), body["uid"].alias("order_uid"), side_of(body).alias("side"),
         number(body["limitPrice"]).alias("price"), number(body["quantity"]).alias("qty"), number(e["OrderUpdated"]["oldOrder"]["quantity"]).alias("old_qty"), number(e["OrderUpdated"]["oldOrder"]["limitPrice"]).alias("old_price"), number(body["filled"]).alias("filled_qty"),
         null.cast("string").alias("maker_uid"), null.cast("string").alias("taker_uid"), null.cast("double").alias("execution_price"), null.cast("double").alias("execution_qty"), null.cast("double").alias("usd_value"),
         F.coalesce(*[e[t]["reason"] for t in known]).alias("reason"), body["orderType"].alias("order_type"), body["direction"].alias("direction"), null.cast("string").alias("aggressor"),
     )
     x = e["Execution"]["execution"]
     b = executions.select(
-        *keys, F.col("ingest_pos"), F.lit(1).alias("file"), F.col("timestamp").cast("long").alias("timestamp_ms"), F.lit("Execution").alias("event_type"), F.coalesce("uid", x["uid"]).alias("event_uid"), null.cast("string").alias("order_uid"), null.cast("string").alias("side"),
+        *keys, (F.col("ingest_pos") * 2 + 1).alias("ingest_pos"), F.lit(1).alias("file"), F.col("timestamp").cast("long").alias("timestamp_ms"), F.lit("Execution").alias("event_type"), F.coalesce("uid", x["uid"]).alias("event_uid"), null.cast("string").alias("order_uid"), null.cast("string").alias("side"),
         *[null.cast("double").alias(c) for c in ("price", "qty", "old_qty", "old_price", "filled_qty")], x["makerOrder"]["uid"].alias("maker_uid"), x["takerOrder"]["uid"].alias("taker_uid"), number(x["price"]).alias("execution_price"), number(x["quantity"]).alias("execution_qty"),
         number(x["usdValue"]).alias("usd_value"), null.cast("string").alias("reason"), null.cast("string").alias("order_type"), null.cast("string").alias("direction"), F.lower(x["takerOrder"]["direction"]).alias("aggressor"),
     )
@@ -71,9 +74,26 @@ def time_bounds(events: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return events.groupBy(*keys).agg(F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"), F.count(F.lit(1)).alias("n"))
 
 
+SESSION = ["symbol", "session_label"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_features(features: DataFrame, path: str, skip_existing: bool = True) -> None:
-    """Parquet by symbol and session; existing output stays with skip_existing."""
-    features.write.mode("ignore" if skip_existing else "overwrite").partitionBy("symbol", "session_label").parquet(path)
+    """Parquet by symbol and session. Sessions that are there already stay with skip_existing, else they are replaced; others are never touched."""
+    spark = features.sparkSession
+    if skip_existing and _exists(spark, path):
+        done = spark.read.parquet(path).select(*[F.col(c).cast("string").alias(f"__{c}") for c in SESSION]).distinct()
+        on = [F.col(c).cast("string").eqNullSafe(F.col(f"__{c}")) for c in SESSION]
+        features = features.join(F.broadcast(done), on, "left_anti")  # a row per session
+    features.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SESSION).parquet(path)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -81,5 +101,7 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def content_hash(rows: DataFrame) -> DataFrame:
-    """Row count and an order-free hash of the rows."""
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.hex(F.bit_xor(F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))).alias("content_hash"))
+    """Row count and an order-free hash of the rows, in which repeated rows count."""
+    h = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    total = F.sum(F.shiftright(h, 32)).cast("long"), F.sum(h.bitwiseAND(F.lit((1 << 32) - 1))).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.lower(F.hex(F.bit_xor(h))).alias("x"), *[F.lower(F.hex(t)).alias(f"s{i}") for i, t in enumerate(total)]).select("rows", F.concat_ws("-", "x", "s0", "s1").alias("content_hash"))

@@ -102,6 +102,55 @@ def test_as_of_takes_the_last_row_with_its_null(spark):
     assert {r["anchor"]: r["mid"] for r in windows.as_of(pts, obs, "anchor", ["mid"]).collect()} == {4: None, 5: 1.0, 9: None}
 
 
+def test_price_response_keeps_its_sign(spark):
+    """A falling mid gives negative ratios; ticks moved and levels crossed are magnitudes."""
+    mids = spark.createDataFrame([("X", 0, 100.0), ("X", 10, 97.0)], "symbol string, ts long, mid double")
+    flow = spark.createDataFrame([("X", 10, 2.0, 4.0, 200.0, 400.0)], "symbol string, anchor long, buy_taker_qty_10 double, sell_taker_qty_10 double, buy_notional_10 double, sell_notional_10 double")
+    r = windows.price_response(mids, flow, flow.select("symbol", "anchor"), [10], 0.5).collect()[0]
+    assert (r["signed_mid_change_10"], r["ticks_moved_10"], r["levels_crossed_10"]) == (-3.0, 6.0, 6.0)
+    assert r["ticks_per_buy_notional_10"] == pytest.approx(-6 / 200) and r["ticks_per_sell_notional_10"] == pytest.approx(-6 / 400)
+    assert r["mid_change_per_buy_qty_10"] == pytest.approx(-1.5) and r["levels_per_sell_qty_10"] == pytest.approx(1.5)
+
+
+def test_completeness_zones_have_one_side(spark):
+    """In a crossed book the best bid lies above the mid, so it is in no zone in basis points."""
+    m, _ = states(spark, [place(0, 1, "a", "buy", 1000.5, 1.0), place(1, 1, "b", "buy", 999.9, 2.0), place(2, 1, "c", "sell", 999.5, 4.0), place(3, 1, "d", "sell", 1000.2, 8.0)])
+    got = {(r["side"], r["zone"]): r["total_qty"] for r in book.completeness(book.levels(book.at_time(lifecycle.intervals(m), 1))).collect()}
+    assert (got["buy", "L1"], got["sell", "L1"]) == (1.0, 4.0)
+    assert (got["buy", "10bps"], got["sell", "10bps"], got["buy", "25bps"]) == (2.0, 8.0, 2.0)
+
+
+def test_passive_flow_needs_an_exact_direction(spark):
+    rows = [(i, 5, d, "buy", 1.0) for i, d in enumerate(["Buy", "Sell", "buy", "", None])]
+    e = spark.createDataFrame(rows, "ingest_pos long, timestamp_ms long, direction string, side string, qty double").selectExpr("'X' AS symbol", "*", "'OrderPlaced' AS event_type", "'o' AS order_uid", "10.0D AS price", "'Limit' AS order_type", "CAST(NULL AS DOUBLE) AS old_qty", "CAST(NULL AS DOUBLE) AS old_price")
+    assert sorted((r["ingest_pos"], r["book_side"]) for r in atoms.passive(e).collect()) == [(0, "bid"), (1, "ask")]
+    moved = e.withColumn("event_type", F.lit("OrderUpdated")).withColumn("old_price", F.lit(9.0)).withColumn("old_qty", F.lit(1.0))
+    assert sorted((r["ingest_pos"], r["direction"]) for r in atoms.reprice(moved).collect()) == [(0, "toward"), (0, "toward"), (1, "away"), (1, "away")]
+
+
+def test_events_without_a_time_do_nothing(spark):
+    rows = [place(0, None, "a", "buy", 10.0, 5.0), place(1, 4, "a", "buy", 11.0, 2.0), change(2, None, "a", "buy", 11.0, 2.0, "OrderCancelled")]
+    m, live = states(spark, rows)
+    assert m.count() == 1 and live["a"]["price"] == 11.0
+    e = spark.createDataFrame(rows, EVENT)
+    grid = spark.createDataFrame([("X", 10)], "symbol string, anchor long")
+    assert windows.regime_counts(e, grid, [5, 10], 10).collect()[0]["order_event_count_10"] == 1
+    assert lifecycle.level_atoms(e).count() == 1
+
+
+def test_second_session_is_written_and_first_stays(spark, tmp_path):
+    path, of = str(tmp_path / "features"), lambda label, v: spark.createDataFrame([("X", label, 1, v)], "symbol string, session_label string, timestamp_ms long, x double")
+    for frame, kw in ((of("LOW", 1.0), {}), (of("HIGH", 2.0), {}), (of("LOW", 3.0), {}), (of("HIGH", 4.0), {"skip_existing": False})):
+        canonical.write_features(frame, path, **kw)
+    assert {(r["session_label"], r["x"]) for r in canonical.read_features(spark, path).collect()} == {("LOW", 1.0), ("HIGH", 4.0)}
+
+
+def test_content_hash_counts_repeated_rows(spark):
+    h = lambda rows: canonical.content_hash(spark.createDataFrame(rows, "a long, b string")).collect()[0]
+    assert h([(1, "x"), (2, None)]) == h([(2, None), (1, "x")])
+    assert len({h(r)["content_hash"] for r in ([(1, "x")], [(1, "x")] * 2, [(1, "x")] * 3, [(2, "x")] * 2)}) == 4
+
+
 def test_average_rank(spark):
     r = rank_pct(spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 3.0), ("a", None)], "k string, v double"), "v", ["k"], "p")
     assert sorted(x["p"] for x in r.where("v IS NOT NULL").collect()) == [50.0, 50.0, 100.0]
@@ -117,11 +166,19 @@ def test_jsonl_to_canonical(spark, tmp_path):
     (tmp_path / "orders.jsonl").write_text("\n".join(map(json.dumps, lines)))
     (tmp_path / "exec.jsonl").write_text(json.dumps({"uid": "x1", "timestamp": 6, "event": {"Execution": {"execution": {"makerOrder": {"uid": "o1"}, "takerOrder": {"uid": "o2", "direction": "Sell"}, "quantity": "1", "price": "10.5", "usdValue": ""}}}}))
     c = canonical.canonical(canonical.read_jsonl(spark, str(tmp_path / "orders.jsonl")), canonical.read_jsonl(spark, str(tmp_path / "exec.jsonl"))).orderBy("timestamp_ms", "file").collect()
-    assert [r["event_type"] for r in c] == ["OrderPlaced", "OrderUpdated", "Execution"]
+    assert [r["event_type"] for r in c] == ["OrderPlaced", "OrderUpdated", "Execution"] and len({r["ingest_pos"] for r in c}) == 3
     assert (c[0]["side"], c[0]["price"], c[0]["reason"]) == ("buy", 10.5, "new") and (c[1]["side"], c[1]["qty"], c[1]["old_qty"]) == ("sell", None, 2.0)
     assert (c[2]["aggressor"], c[2]["execution_qty"], c[2]["usd_value"], c[2]["ordering_ambiguous"]) == ("sell", 1.0, None, True)
 
 
+def test_unknown_event_type_keeps_its_name(spark, tmp_path):
+    (tmp_path / "o.jsonl").write_text('{"uid": "e1", "timestamp": 5, "event": {"MarginCall": {"order": {"uid": "o"}}}}\n\n{"uid": "e2", "timestamp": null, "event": {}}\n')
+    o = canonical.read_jsonl(spark, str(tmp_path / "o.jsonl"))
+    c = canonical.canonical(o, o.limit(0)).orderBy("event_uid").collect()
+    assert [(r["event_type"], r["order_uid"], r["timestamp_ms"]) for r in c] == [("MarginCall", None, 5), (None, None, None)]
+    assert lifecycle.transitions(canonical.canonical(o, o.limit(0)).withColumn("symbol", F.lit("X"))).count() == 0
+
+
 def test_stream_gives_the_batch_rows(spark, tmp_path):
     rows = [place(i, i * 7, f"u{i % 5}", "buy" if i % 2 else "sell", 10.0 + i % 3, float(i % 4 + 1)) for i in range(40)] + [execute(100 + i, i * 20 + 3, f"u{i % 5}", "t", 10.0, 1.0) for i in range(10)]
     batch = spark.createDataFrame(rows, EVENT)
