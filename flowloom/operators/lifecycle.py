@@ -87,11 +87,15 @@ def intervals(moves: DataFrame) -> DataFrame:
     return nxt.where("active AND (to_ts IS NULL OR to_ts > ts)").select("symbol", "uid", F.col("ts").alias("from_ts"), "to_ts", "side", "price", "qty", "placed_ms", "placed_pos")
 
 
-def counters(moves: DataFrame, events: DataFrame) -> DataFrame:
-    """Counts of odd transitions, and of timestamps with several events."""
+def counters(moves: DataFrame, events: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """Counts of odd transitions, of timestamps with several events and, with the best prices after each timestamp (symbol, best_bid, best_ask), of crossed and locked books."""
     odd = ["unknown_update", "unknown_cancel", "unknown_exec_maker", "unknown_exec_taker", "duplicate_active_uid", "negative_qty"]
     shared = events.groupBy("symbol", "timestamp_ms").agg(F.count(F.lit(1)).alias("n")).groupBy("symbol").agg(F.count_if(F.col("n") > 1).alias("n_ambiguous_ms"))
-    return moves.groupBy("symbol").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in odd]).join(shared, "symbol")
+    out = moves.groupBy("symbol").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in odd]).join(shared, "symbol")
+    if top is not None:
+        met = top.groupBy("symbol").agg(F.count_if(F.col("best_bid") > F.col("best_ask")).alias("crossed_book"), F.count_if(F.col("best_bid") == F.col("best_ask")).alias("locked_book"))
+        out = out.join(met, "symbol", "left").fillna(0, ["crossed_book", "locked_book"])
+    return out
 
 
 def level_step(state, row):
