@@ -220,7 +220,9 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with Scratch(docs.sparkSession) as made:
         found = written(met(fingerprints(docs, min_words)))
         at = of_document(found.where("first"), "at").select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "at")
-        single = met(opened(docs.join(at, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "at"), min_words))
+        at = written(at)
+        near, _ = parted(docs, at.select("i", "k"), [F.col("doc_id"), F.col("key")])
+        single = met(opened(near.join(at, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "at"), min_words))
         return made.outlive(of_document(found.where(~F.col("first")).unionByName(single), "spans"))
 
 

@@ -147,28 +147,42 @@ def possible(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, simil
 
 
 def shared(rows: DataFrame, similarity: float) -> DataFrame:
-    """prefixes() -> its distinct rows whose token two texts or more have, with `before`: the text before it in (n, key) order where they can be similar."""
+    """prefixes() -> its distinct rows whose token two texts or more have, with `before`: a text next to it in the token's list where they can be similar.
+
+    Rows come sorted by one number, most of the token and some of the key, so repeated rows are neighbours; each batch is put in order of (token, n, key). A
+    task holds one batch, and of the tokens that may go on the last row and those that may be repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shown = None, False  # the last row; whether it has been sent
+        held, sent = None, np.zeros(0, bool)  # rows, and which have been sent
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
-            token, n, at, key = (t[i].to_numpy() for i in range(4))
-            again = np.concatenate([[False], (token[1:] == token[:-1]) & (key[1:] == key[:-1])])
-            token, n, at, key = (x[~again] for x in (token, n, at, key))
+            last = int(b[0][-1].as_py()) >> 24, int(b[3][-1].as_py()) & (1 << 24) - 1
+            columns = [b[i].to_numpy() for i in range(4)]
+            old = np.zeros(b.num_rows, bool)
+            if held is not None:
+                columns, old = [np.concatenate([x, y]) for x, y in zip(held, columns)], np.concatenate([np.ones(len(held[0]), bool), old])
+            gone = np.concatenate([sent, np.zeros(b.num_rows, bool)])
+            token, n, at, key = columns
+            order = np.lexsort((~old, key, n, token))
+            token, n, at, key, gone, old = (x[order] for x in (token, n, at, key, gone, old))
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+            token, n, at, key, gone, old = (x[new] for x in (token, n, at, key, gone, old))
             same = np.concatenate([[False], token[1:] == token[:-1]])
-            out = same | np.concatenate([same[1:], [False]])
+            out = (same | np.concatenate([same[1:], [False]])) & ~gone
             before = same.copy()
-            before[1:] &= possible(n[1:], at[1:], n[:-1], at[:-1], similarity)
-            sent = bool(out[-1]) or (len(out) == 1 and shown)
-            out[0] &= not shown
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(n[out]), pa.array(at[out]), pa.array(key[out]), pa.array(np.roll(key, 1)[out], mask=~before[out])], ["token", "n", "at", "key", "before"])
-            held, shown = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (token, n, at, key)], schema=t.schema), sent
+            before[1:] &= possible(n[1:], at[1:], n[:-1], at[:-1], similarity) & ~(old[1:] & old[:-1])
+            link = gone & before  # rows that have been sent without this neighbour go again, for the pair alone
+            put = out | link
+            if put.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[put]), pa.array(n[put]), pa.array(at[put]), pa.array(key[put]), pa.array(np.roll(key, 1)[put], mask=~before[put]), pa.array(out[put])], ["token", "n", "at", "key", "before", "whole"])
+            ends = np.concatenate([token[1:] != token[:-1], [True]])
+            stay = (token >> 24 == last[0]) & (ends | (key & ((1 << 24) - 1) == last[1]))
+            held, sent = [x[stay] for x in (token, n, at, key)], (gone | out)[stay]
 
-    return rows.repartition(width(rows.sparkSession), "token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "token long, n int, at int, key long, before long")
+    by = F.col("token").bitwiseAND(F.lit(-1 << 24)).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 24) - 1)))
+    return rows.repartition(width(rows.sparkSession), "token").sortWithinPartitions(by).mapInArrow(run, "token long, n int, at int, key long, before long, whole boolean")
 
 
 def candidates(rows: DataFrame, similarity: float) -> DataFrame:
@@ -210,15 +224,57 @@ def candidates(rows: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition(width(rows.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of about as many bits, a power of two. Sets that differ in d shingles differ in d bits at most."""
+    bits = 1 << max(6, int(len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """How many bits two sketches differ in, the larger folded to the size of the smaller."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(key, text) -> (key, n, bits), once for each batch and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, once = np.unique(b[0].to_numpy(), return_index=True)
+            sets = [(len(h), sketch(h)) for h in shingle_sets(b[1].take(pa.array(once)), words)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([n for n, _ in sets], pa.int32()), pa.array([x for _, x in sets], pa.binary())], ["key", "n", "bits"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, n int, bits binary")
+
+
 def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
-    """pairs (a, b) of keys -> those whose texts (keyed: key, text) are similar."""
-    need = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    near, _ = parted(keyed.select("key", "text"), need, [F.col("key")])
-    with Scratch(keyed.sparkSession) as made:
-        whole = written(near.join(need, F.col("key") == F.col("k"), "left_semi").select("key", "text").dropDuplicates(["key"]))
-        both = pairs.join(whole.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(whole.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    """pairs (a, b) of keys -> those whose texts (keyed: key, text) are similar.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Sketches meet first: sets of n and m shingles that differ in d share (n + m - d) / 2, so more than (1 - s) / (1 + s) (n + m) bits apart is too far. Only
+    the texts of pairs that pass move, to be compared exactly.
+    """
+    ends = lambda pairs: pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    with Scratch(keyed.sparkSession) as made:
+        need = written(ends(pairs))
+        lean = written(sketches(parted(keyed.select("key", "text"), need, [F.col("key")])[0], words).join(need, F.col("key") == F.col("k")).groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                far = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(b["x"], b["y"])], np.int64)
+                good = far <= (1 - similarity) / (1 + similarity) * (b["n"].to_numpy().astype(np.int64) + b["m"].to_numpy()) + EPS
+                yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        side = lambda k, n, x: lean.select(F.col("key").alias(k), F.col("n").alias(n), F.col("bits").alias(x))
+        left = written(pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(near, "a long, b long"))
+        made.drop(need, lean)
+        need = written(ends(left))
+        whole = written(parted(keyed.select("key", "text"), need, [F.col("key")])[0].join(need, F.col("key") == F.col("k")).select("key", "text").dropDuplicates(["key"]))
+        both = left.join(whole.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(whole.select(F.col("key").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = []
                 for s, t in zip(shingle_sets(batch["s"], words), shingle_sets(batch["t"], words)):
@@ -226,7 +282,7 @@ def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float)
                     good.append(n >= similarity * (len(s) + len(t) - n))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        return made.outlive(both.mapInArrow(run, "a long, b long"))
+        return made.outlive(both.mapInArrow(exact, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -238,7 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         next_to = written(rows.where("before IS NOT NULL").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct())
         edges = verified(next_to, keyed, words, similarity)
         near = components(edges).withColumnRenamed("node", "key")
-        grouped = rows.join(near, "key", "left").select("token", "n", "at", "key", F.coalesce("component", "key").alias("component"))
+        grouped = rows.where("whole").join(near, "key", "left").select("token", "n", "at", "key", F.coalesce("component", "key").alias("component"))
         rest = written(candidates(grouped, similarity).join(next_to, ["a", "b"], "left_anti"))
         made.drop(rows, next_to)
         same = components(edges.unionByName(verified(rest, keyed, words, similarity))).withColumnRenamed("node", "key")

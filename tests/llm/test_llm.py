@@ -483,6 +483,16 @@ def test_lines_meet_beyond_the_first_holder(spark):
     assert sum(r["words_removed"] for r in got.values()) == 39 * 36
 
 
+def test_sketches_never_pass_the_difference():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        n, m, both = rnd.integers(0, 400, 3)
+        c, a, b = (rnd.integers(0, 2**63, k, dtype=np.uint64) for k in (both, n, m))
+        x, y = np.unique(np.concatenate([c, a])), np.unique(np.concatenate([c, b]))
+        assert simhash.apart(simhash.sketch(x), simhash.sketch(y)) <= len(np.setxor1d(x, y))
+    assert simhash.apart(simhash.sketch(x), simhash.sketch(x)) == 0
+
+
 def test_near_duplicates_of_block_edits(spark):
     """Copies with a block appended, cut off or replaced, similarity around 0.8, in one and in many batches: the kept ids are those of brute force."""
     rnd = random.Random(21)
