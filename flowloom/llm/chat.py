@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import width
-from .packing import default_vocabulary, encoder
+from .packing import chunked, default_vocabulary, encoder
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 # Control strings of common chat templates, which must not stand in a formatted text as themselves.
@@ -53,27 +52,23 @@ def unescape(text: str) -> str:
 
 
 class Decoder:
-    """Ids of a byte-level BPE file -> bytes."""
+    """Ids of a byte-level BPE file -> text."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        known = encoder(path).pieces.written
-        byte = {c: bytes([b]) for b, c in enumerate(known)}
-        self.bytes = {i: b"".join(byte.get(c, c.encode()) for c in t) for t, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()}
+        self.bytes = encoder(path).bytes
 
     def __call__(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()
 
 
-def assembled(role: str, text: str, encode) -> tuple[bytes, bytes]:
-    """Ids (little-endian 32-bit) and mask (a byte each) of one turn."""
-    one = lambda i: array("I", [i]).tobytes()
-    segments = [one(TURN_ID), encode(escape(role)), one(TEXT_ID), encode(escape(text)), one(END_ID)]
-    ends = np.cumsum([len(s) // 4 for s in segments])  # prefix sums of the segments' lengths: the mask is a span between two of them
+def assembled(role: np.ndarray, text: np.ndarray, learned: bool) -> tuple[bytes, bytes]:
+    """Ids (little-endian 32-bit) and mask (a byte each) of one turn, from the ids of its segments."""
+    one = lambda i: np.array([i], "<u4")
+    segments = [one(TURN_ID), role, one(TEXT_ID), text, one(END_ID)]
+    ends = np.cumsum([len(s) for s in segments])  # prefix sums of the segments' lengths: the mask is a span between two of them
     mask = np.zeros(ends[-1], np.uint8)
-    mask[ends[2] :] = role == "assistant"
-    return b"".join(segments), mask.tobytes()
+    mask[ends[2] :] = learned
+    return np.concatenate(segments).astype("<u4").tobytes(), mask.tobytes()
 
 
 def formatted(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -81,8 +76,12 @@ def formatted(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary or default_vocabulary())
-        for b in batches:
-            made = [assembled(r or "", t or "", encode) for r, t in zip(b["role"].to_pylist(), b["text"].to_pylist())]
+        for b in chunked(batches, 3):
+            roles = [r or "" for r in b["role"].to_pylist()]
+            segments = [*map(escape, roles), *(escape(t or "") for t in b["text"].to_pylist())]
+            ids, n = encode.many(pa.array(segments, pa.large_string()))
+            part = np.split(ids, np.cumsum(n)[:-1]) if segments else []
+            made = [assembled(part[i], part[len(roles) + i], r == "assistant") for i, r in enumerate(roles)]
             yield pa.RecordBatch.from_arrays([b["conv_id"], b["turn"], b["tie"], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["conv_id", "turn", "tie", "ids", "mask"])
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")

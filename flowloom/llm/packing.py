@@ -61,6 +61,7 @@ class Encoder:
             self.size[i] = len(t)
         self.odd = "|".join([WIDE, *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
         self.tokenizer = tokenizer
+        self.bytes = {i: t for t, i in ranks.items()}  # what each id stands for
 
     def __call__(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -115,17 +116,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def chunked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at least one row and about CHUNK bytes in a column."""
+    for b in batches:
+        lo, to = 0, np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False))
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(to, to[lo] + CHUNK, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, tie (a hash of the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary or default_vocabulary())
-        for b in batches:
-            lo, bytes_to = 0, np.cumsum(pc.fill_null(pc.binary_length(b[2]), 0).to_numpy(zero_copy_only=False))
-            while lo < b.num_rows:  # at least one text, and about CHUNK bytes of them
-                hi = max(lo + 1, int(np.searchsorted(bytes_to, bytes_to[lo] + CHUNK, "right")))
-                yield cut_pieces(b.slice(lo, hi - lo), *encode.many(b[2].slice(lo, hi - lo)), capacity, end)
-                lo = hi
+        for x in chunked(batches, 2):
+            yield cut_pieces(x, *encode.many(x[2]), capacity, end)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, tie long")
 
