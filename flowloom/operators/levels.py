@@ -46,7 +46,7 @@ def summary(atoms: DataFrame, grid: DataFrame, book: DataFrame, step: int, tick:
 def refill_pairs(atoms: DataFrame, horizon: int) -> DataFrame:
     """Executions at a level with every add there in (t, t + horizon]. Both sides meet in time buckets as long as the horizon, so the join is by equality."""
     bucket = lambda c: F.floor(c / horizon)
-    x = atoms.where("action = 'exec_reduce'").select(*LEVEL, F.col("ts").alias("exec_ts"), F.col("qty").alias("exec_qty")).withColumn("b", F.explode(F.array(bucket(F.col("exec_ts")), bucket(F.col("exec_ts")) + 1)))
+    x = atoms.where("action = 'exec_reduce'").select(*LEVEL, F.col("ts").alias("exec_ts"), F.col("ingest_pos").alias("exec_pos"), F.col("qty").alias("exec_qty")).withColumn("b", F.explode(F.array(bucket(F.col("exec_ts")), bucket(F.col("exec_ts")) + 1)))
     a = atoms.where("action = 'add'").select(*LEVEL, F.col("ts").alias("add_ts"), F.col("qty").alias("refill_qty")).withColumn("b", bucket(F.col("add_ts")))
     return x.join(a, [*LEVEL, "b"]).where(F.col("add_ts").between(F.col("exec_ts") + 1, F.col("exec_ts") + horizon)).drop("b").withColumn("delay_ms", F.col("add_ts") - F.col("exec_ts"))
 
@@ -60,7 +60,7 @@ def replenishment(pairs: DataFrame, grid: DataFrame, windows: list[int], step: i
         lo = F.greatest((F.ceil(F.greatest(F.col("add_ts"), F.col("exec_ts") + 1) / step) * step).cast("long"), F.col("a0"))
         hi = F.least((F.floor((F.col("exec_ts") + w) / step) * step).cast("long"), F.col("a1"))
         p = p.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("anchor", F.explode(F.sequence("lo", "hi", F.lit(step).cast("long"))))
-        once = p.groupBy("symbol", *keys, "anchor", "exec_ts").agg(F.sum("refill_qty").alias("r"), F.count(F.lit(1)).alias("n"), F.max("refill_qty").alias("m"), F.min_by("exec_qty", F.struct("side", "price", "add_ts", "exec_qty")).alias("x"))
+        once = p.groupBy("symbol", *keys, "anchor", "exec_ts").agg(F.sum("refill_qty").alias("r"), F.count(F.lit(1)).alias("n"), F.max("refill_qty").alias("m"), F.min_by("exec_qty", F.struct("side", "price", "exec_pos")).alias("x"))
         got = once.groupBy("symbol", *keys, "anchor").agg(F.sum("x").cast("double").alias("total_exec_qty"), F.sum("r").cast("double").alias("total_refill_qty"), F.sum("n").alias("refill_count"), F.max("m").cast("double").alias("max_refill"))
         parts.append(got.withColumn("w", F.lit(w)))
     out = parts[0]

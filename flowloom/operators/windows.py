@@ -55,13 +55,21 @@ def distinct_counts(rows: DataFrame, anchors: DataFrame, name: str, key: Column,
     return out.join(anchors, [KEY, "anchor"], "left_semi")
 
 
-def as_of(points: DataFrame, observed: DataFrame, at: str, columns: list[str]) -> DataFrame:
-    """points (symbol, at, ..) with the columns of the last observation (symbol, ts) at or before at, its nulls included; ties by order of columns' values."""
+def as_of(points: DataFrame, observed: DataFrame, at: str, columns: list[str], chunk: int = 3_600_000) -> DataFrame:
+    """points (symbol, at, ..) with the columns of the last observation (symbol, ts) at or before at, its nulls included; ties by order of columns' values.
+
+    Time is cut into chunks, which are sorted apart; what a chunk starts with is the last observation of the chunks before it, one row for each of them.
+    """
     left = points.select(*points.columns, F.col(at).alias("__t"), F.lit(1).alias("__src"), F.lit(None).cast(observed.select(F.struct(*columns).alias("s")).schema["s"].dataType).alias("__s"))
-    right = observed.select(KEY, F.col("ts").alias("__t"), F.lit(0).alias("__src"), F.struct(*columns).alias("__s"))
-    both = right.unionByName(left, allowMissingColumns=True)
-    last = F.last("__s", ignorenulls=True).over(Window.partitionBy(KEY).orderBy("__t", "__src", "__s").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("__l", last).where("__src = 1").select(*[F.col(c) for c in points.columns], *[F.col(f"__l.{c}").alias(c) for c in columns])
+    right = observed.where("ts IS NOT NULL").select(KEY, F.col("ts").alias("__t"), F.lit(0).alias("__src"), F.struct(*columns).alias("__s"))
+    both = right.unionByName(left, allowMissingColumns=True).withColumn("__c", F.floor(F.col("__t") / chunk))
+    so_far = Window.partitionBy(KEY, "__c").orderBy("__t", "__src", "__s").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy(KEY, "__c").agg(F.max(F.when(F.col("__src") == 0, F.struct("__t", "__s"))).alias("e"))
+    earlier = F.last("e", ignorenulls=True).over(Window.partitionBy(KEY).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+    start = ends.select(F.col(KEY).alias("__k"), F.col("__c").alias("__d"), earlier["__s"].alias("__e"))
+    rows = both.withColumn("__l", F.last("__s", ignorenulls=True).over(so_far)).where("__src = 1")
+    rows = rows.join(start, F.col(KEY).eqNullSafe(F.col("__k")) & F.col("__c").eqNullSafe(F.col("__d")), "left").withColumn("__l", F.coalesce("__l", "__e"))
+    return rows.select(*[F.col(c) for c in points.columns], *[F.col(f"__l.{c}").alias(c) for c in columns])
 
 
 def aggressive_flow(taker: DataFrame, anchors: DataFrame, windows: list[int], step: int) -> DataFrame:
@@ -117,10 +125,9 @@ def bbo_changes(book: DataFrame, anchors: DataFrame, windows: list[int], step: i
 
 def price_response(book: DataFrame, flow: DataFrame, anchors: DataFrame, windows: list[int], tick: float) -> DataFrame:
     """How far the mid moved over each window, per unit of aggressive flow (columns of aggressive_flow)."""
-    now = as_of(anchors, book, "anchor", ["mid"]).withColumnRenamed("mid", "m0")
-    for w in windows:
-        back = as_of(anchors.withColumn("t", F.col("anchor") - w), book, "t", ["mid"]).select(KEY, "anchor", F.col("mid").alias(f"m_{w}"))
-        now = now.join(back, [KEY, "anchor"])
+    asked = anchors.select(KEY, "anchor", F.explode(F.array(*[F.lit(w).cast("long") for w in (0, *windows)])).alias("w")).withColumn("t", F.col("anchor") - F.col("w"))
+    mids = as_of(asked, book.select(KEY, "ts", "mid"), "t", ["mid"])
+    now = mids.groupBy(KEY, "anchor").agg(*[F.max(F.when(F.col("w") == w, F.col("mid"))).alias(n) for n, w in (("m0", 0), *((f"m_{w}", w) for w in windows))])
     out = now.join(flow, [KEY, "anchor"])
     cols = {}
     for w in windows:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import atoms, book, levels, lifecycle, windows
 from ..sources import demo
-from .flow_queries import CROSSED, GRID, PLAIN, STEP, d, r
+from ..sources.shared import stored
+from .flow_queries import CROSSED, GRID, PLAIN, STEP, WINDOWS, d, r
 
 T, HORIZON, TICK = 28_425_000, 360, demo.TICK
 
@@ -56,10 +59,15 @@ def b13_bbo_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.series(spans(spark, sf_dir), demo.anchors(e), STEP).select("symbol", "anchor", *d("best_bid", "best_ask", "spread", "mid", *DEPTHS, "near_book_depth"), "n_active")
 
 
+GRIDS = [120, 180, 360, 720, 1_440, 2_880]
+
+
 def b14_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    s = book.market_state(spans(spark, sf_dir), demo.anchors(e, 360), 360)
-    return s.select("symbol", "anchor", *d("best_bid", "best_ask", "depth_bid_50bps", "depth_ask_50bps", "obi_50bps", *[f"{x}_l{n}_qty" for x in ("bid", "ask") for n in (1, 5, 10)]))
+    """On six grids."""
+    e, s = events(spark, sf_dir), stored(spans(spark, sf_dir))
+    names = ["best_bid", "best_ask", *[f"{x}_{n}bps" for n in (5, 10, 25, 50) for x in ("depth_bid", "depth_ask", "obi")], *[f"{x}_l{n}_qty" for x in ("bid", "ask") for n in (1, 5, 10)]]
+    parts = [book.market_state(s, demo.anchors(e, g), g).select("symbol", F.lit(g).alias("grid"), "anchor", *d(*names)) for g in GRIDS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def b7_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +131,16 @@ def w5_bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     g = demo.anchors(e)
     b = book.series(spans(spark, sf_dir), g, STEP).withColumnRenamed("anchor", "ts")
-    c = windows.bbo_changes(b, g, [60, 360, 1440], STEP)
-    return windows.as_of(c, b, "anchor", ["spread", "near_book_depth"]).select("anchor", *d("bbo_change_count_60", "bbo_change_count_360", "bbo_change_count_1440", "spread", "near_book_depth"))
+    c = windows.bbo_changes(b, g, WINDOWS, STEP)
+    return windows.as_of(c, b, "anchor", ["spread", "near_book_depth"]).select("anchor", *d(*[f"bbo_change_count_{w}" for w in WINDOWS], "spread", "near_book_depth"))
+
+
+MOVES = [6, 15, 30, 60, 120, 360, 1440]
 
 
 def w9_price_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    g, ws = demo.anchors(e), [60, 360, 1440]
+    g, ws = demo.anchors(e), MOVES
     b = book.series(spans(spark, sf_dir), g, STEP).select("symbol", F.col("anchor").alias("ts"), "mid")
     p = windows.price_response(b, windows.aggressive_flow(atoms.taker(e), g, ws, STEP), g, ws, TICK)
     return p.select("anchor", *d(*[c for c in p.columns if c not in ("symbol", "anchor")]))
@@ -177,10 +188,10 @@ def _series(grid: str, bps: tuple, extra: str = "") -> str:
 _obi = lambda n: f"round(CASE WHEN mid IS NOT NULL THEN coalesce((CAST(b{n} AS DOUBLE) - CAST(a{n} AS DOUBLE)) / nullif(CAST(b{n} AS DOUBLE) + CAST(a{n} AS DOUBLE), 0), 0) END, 4) AS obi_{n}bps"
 _ser = "bx AS (SELECT anchor, best_bid, best_ask, best_ask - best_bid AS spread, mid, " + ", ".join(f"b{n} AS depth_bid_{n}bps, a{n} AS depth_ask_{n}bps, {_obi(n)}" for n in (5, 10, 25)) + ", coalesce(b10, 0) + coalesce(a10, 0) AS near_book_depth, coalesce(n_active, 0) AS n_active FROM an LEFT JOIN bs USING (anchor) LEFT JOIN dp USING (anchor))"
 SERIES = f"{REC}, {_series(GRID, (5, 10, 25))}, {_ser}"
-_g360 = GRID.replace(f"ceil(min(timestamp_ms) / {STEP}.0) * {STEP}", "ceil(min(timestamp_ms) / 360.0) * 360").replace(f"ceil(max(timestamp_ms) / {STEP}.0) * {STEP}", "ceil(max(timestamp_ms) / 360.0) * 360").replace(f", {STEP}))", ", 360))")
+_grid = lambda g: GRID.replace(f" / {STEP}.0) * {STEP}", f" / {g}.0) * {g}").replace(f", {STEP}))", f", {g}))")
 _cross = "bt AS (SELECT DISTINCT timestamp_ms AS ts FROM ev), cb AS (SELECT ts, max(price) FILTER (side = 'buy' AND price > 0) AS best_bid, min(price) FILTER (side = 'sell' AND price > 0) AS best_ask FROM bt JOIN sp ON from_ts <= ts AND (to_ts IS NULL OR to_ts > ts) GROUP BY ts), cr AS (SELECT ts, best_bid, best_ask, best_bid - best_ask AS cross_width FROM cb WHERE best_bid >= best_ask), cu AS (SELECT ts, uid, s.side FROM cr JOIN sp s ON from_ts <= ts AND (to_ts IS NULL OR to_ts > ts) AND ((side = 'buy' AND price = best_bid) OR (side = 'sell' AND price = best_ask)))"
 _cls = _cross + ", xu AS (SELECT DISTINCT timestamp_ms AS xts, unnest([maker_uid, taker_uid]) AS uid FROM ev WHERE event_type = 'Execution'), fe AS (SELECT ts, min(xts - ts) AS explained_dt FROM cu JOIN xu ON cu.uid = xu.uid AND xts BETWEEN ts + 1 AND ts + 3 JOIN cr USING (ts) WHERE cross_width > 0 GROUP BY ts), cl AS (SELECT ts, CASE WHEN cross_width = 0 THEN 'LOCKED_MARKET' WHEN explained_dt IS NOT NULL THEN 'CROSS_STREAM_TS_AMBIGUITY' ELSE 'UNEXPLAINED' END AS classification, explained_dt, ts + 1 IN (SELECT ts FROM cr WHERE cross_width > 0) AS persistent FROM cr LEFT JOIN fe USING (ts))"
-_rp = f"pr AS (SELECT x.ts AS exec_ts, a.ts AS add_ts, x.side, x.price, x.qty AS exec_qty, a.qty AS refill_qty, a.ts - x.ts AS delay_ms FROM lat x JOIN lat a ON a.side = x.side AND a.price = x.price AND a.ts > x.ts AND a.ts <= x.ts + {HORIZON} WHERE x.action = 'exec_reduce' AND a.action = 'add')"
+_rp = f"pr AS (SELECT x.ts AS exec_ts, a.ts AS add_ts, x.side, x.price, x.ingest_pos AS exec_pos, x.qty AS exec_qty, a.qty AS refill_qty, a.ts - x.ts AS delay_ms FROM lat x JOIN lat a ON a.side = x.side AND a.price = x.price AND a.ts > x.ts AND a.ts <= x.ts + {HORIZON} WHERE x.action = 'exec_reduce' AND a.action = 'add')"
 _zone = lambda z, c: f"SELECT side, '{z}' AS zone, sum(qty) AS total_qty, sum(qty) AS known_qty FROM lz WHERE {c} GROUP BY side"
 _within = lambda n: f"(side = 'buy' AND price >= mid * (1 - {n} / 1e4) AND price <= mid OR side = 'sell' AND price >= mid AND price <= mid * (1 + {n} / 1e4))"
 _near = "CASE WHEN side = 'buy' THEN -price ELSE price END"
@@ -195,7 +206,7 @@ ORACLE = {
     "b10_bbo": f"{REC}, {_live_t}, b AS (SELECT {_bb} AS bb, {_ba} AS ba, count(*) AS n FROM lv) SELECT 'SYN' AS symbol, {r('bb', 'best_bid')}, {r('ba', 'best_ask')}, {r("(SELECT qty FROM lv WHERE side = 'buy' AND price = bb ORDER BY placed_ms, placed_pos LIMIT 1)", 'best_bid_qty')}, {r("(SELECT qty FROM lv WHERE side = 'sell' AND price = ba ORDER BY placed_ms, placed_pos LIMIT 1)", 'best_ask_qty')}, {r('ba - bb', 'spread')}, {r('(ba + bb) / 2', 'mid')}, n AS n_active FROM b",
     "b12_completeness": f"{REC}, {_live_t}, m AS (SELECT ({_bb} + {_ba}) / 2 AS mid FROM lv), lz AS (SELECT lv.*, mid, dense_rank() OVER (PARTITION BY side ORDER BY {_near}) AS k FROM lv, m WHERE price > 0), u AS ({_zone('L1', 'k <= 1')} UNION ALL {_zone('L5', 'k <= 5')} UNION ALL {_zone('L10', 'k <= 10')} UNION ALL {_zone('10bps', _within(10))} UNION ALL {_zone('25bps', _within(25))}) SELECT side, zone, {r('total_qty', 'total_qty')}, {r('known_qty', 'known_qty')}, CAST(100 AS DOUBLE) AS pct_known FROM u",
     "b13_bbo_series": f"{SERIES} SELECT 'SYN' AS symbol, anchor, " + ", ".join(r(c, c) for c in ["best_bid", "best_ask", "spread", "mid", *DEPTHS, "near_book_depth"]) + ", n_active FROM bx",
-    "b14_market_state": f"{REC}, {_series(_g360, (50,))}, rk AS (SELECT *, dense_rank() OVER (PARTITION BY anchor, side ORDER BY {_near}) AS k FROM av), tl AS (SELECT anchor, " + ", ".join(f"coalesce(sum(qty) FILTER (side = '{sd}' AND k <= {n}), 0) AS {b}_l{n}_qty" for b, sd in (("bid", "buy"), ("ask", "sell")) for n in (1, 5, 10)) + f" FROM rk GROUP BY anchor) SELECT 'SYN' AS symbol, anchor, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, {r('b50', 'depth_bid_50bps')}, {r('a50', 'depth_ask_50bps')}, {_obi(50)}, " + ", ".join(r(f"{b}_l{n}_qty", f"{b}_l{n}_qty") for b in ("bid", "ask") for n in (1, 5, 10)) + " FROM bs JOIN dp USING (anchor) JOIN tl USING (anchor)",
+    "b14_market_state": f"{REC} " + " UNION ALL ".join(f"SELECT * FROM (WITH {_series(_grid(g), (5, 10, 25, 50))}, rk AS (SELECT *, dense_rank() OVER (PARTITION BY anchor, side ORDER BY {_near}) AS k FROM av), tl AS (SELECT anchor, " + ", ".join(f"coalesce(sum(qty) FILTER (side = '{sd}' AND k <= {n}), 0) AS {b}_l{n}_qty" for b, sd in (("bid", "buy"), ("ask", "sell")) for n in (1, 5, 10)) + f" FROM rk GROUP BY anchor) SELECT 'SYN' AS symbol, {g} AS grid, anchor, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, " + ", ".join(f"{r(f'b{n}', f'depth_bid_{n}bps')}, {r(f'a{n}', f'depth_ask_{n}bps')}, {_obi(n)}" for n in (5, 10, 25, 50)) + ", " + ", ".join(r(f"{b}_l{n}_qty", f"{b}_l{n}_qty") for b in ("bid", "ask") for n in (1, 5, 10)) + " FROM bs JOIN dp USING (anchor) JOIN tl USING (anchor))" for g in GRIDS),
     "b7_crossed": f"{XREC}, {_cross} SELECT ts, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, {r('cross_width', 'cross_width')}, count(DISTINCT uid) FILTER (side = 'buy') AS n_bid_uids, count(DISTINCT uid) FILTER (side = 'sell') AS n_ask_uids, min(uid) FILTER (side = 'buy') AS first_bid_uid FROM cr JOIN cu USING (ts) GROUP BY ts, best_bid, best_ask, cross_width",
     "j6_crossing_classes": f"{XREC}, {_cls} SELECT * FROM cl",
     "g3_crossing_summary": f"{XREC}, {_cls} SELECT classification, count(*) AS n, count(*) FILTER (persistent) AS n_persistent FROM cl GROUP BY 1",
@@ -205,6 +216,6 @@ ORACLE = {
     "l7_level_summary": f"{REC}, {LV[len(_legs) + 2:]}, {_series(GRID, (10,))}, ls AS (SELECT * FROM (SELECT *, lead(ts) OVER (PARTITION BY side, price ORDER BY i) AS nt FROM la) WHERE (nt IS NULL OR nt > ts) AND level_qty > 0), al AS (SELECT anchor, side, price, CAST(level_qty AS DOUBLE) AS q FROM an JOIN ls ON ts <= anchor AND (nt IS NULL OR nt > anchor)), md AS (SELECT anchor, side, {_med} AS med FROM al GROUP BY 1, 2), sm AS (SELECT anchor, side, med, count(*) AS n_levels, sum(q) AS t, max(q) AS mx, quantile_cont(q, [0.5, 0.75, 0.9, 0.95]) AS p, min({_near}) AS nr, count(*) FILTER (q > 3 * med) AS n3, count(*) FILTER (q > 5 * med) AS n5 FROM al JOIN md USING (anchor, side) GROUP BY 1, 2, 3) SELECT anchor, side, n_levels, n3 AS n_above_3x_median, n5 AS n_above_5x_median, {r('t', 'total_qty')}, {r('mx', 'max_qty')}, {r('p[1]', 'p50_qty')}, {r('p[2]', 'p75_qty')}, {r('p[3]', 'p90_qty')}, {r('p[4]', 'p95_qty')}, {r('mx / med', 'max_qty_vs_median')}, {r('CASE WHEN n_levels >= 20 THEN p[4] ELSE mx END / med', 'p95_qty_vs_median')}, {r('mx / (t + 1e-12)', 'max_share')}, {r(f'abs(abs(nr) - mid) / {TICK}', 'top1_dist_ticks')}, {r('abs(abs(nr) - mid) / mid * 10000', 'top1_dist_bps')} FROM sm LEFT JOIN bs USING (anchor)",
     "j2_refill_pairs": f"WITH RECURSIVE {PLAIN}, {_lv}, {_rp} SELECT exec_ts, add_ts, side, {r('price', 'price')}, {r('exec_qty', 'exec_qty')}, {r('refill_qty', 'refill_qty')}, delay_ms FROM pr",
     "f1_level_refill": f"WITH RECURSIVE {PLAIN}, {_lv}, {_rp}, s AS (SELECT * FROM pr WHERE exec_ts >= {T - HORIZON} AND exec_ts < {T} AND add_ts <= {T}), x AS (SELECT side, price, sum(q) AS x FROM (SELECT side, price, exec_ts, min(exec_qty) AS q FROM s GROUP BY ALL) GROUP BY 1, 2) SELECT side, {r('price', 'price')}, {r('sum(refill_qty)', 'refilled_qty')}, {r('max(refill_qty)', 'max_refill')}, {r('median(delay_ms)', 'median_refill_delay')}, {r('CAST(sum(refill_qty) AS DOUBLE) / CAST(any_value(x) AS DOUBLE)', 'replenishment_ratio')}, count(*) AS refill_count FROM s JOIN x USING (side, price) GROUP BY side, price",
-    "w5_bbo_changes": f"{SERIES}, ch AS (SELECT anchor AS ts, CAST(mid IS NULL OR mid IS DISTINCT FROM lag(mid) OVER (ORDER BY anchor) AS INT) AS c FROM bx) SELECT anchor, " + ", ".join(f"(SELECT CAST(sum(c) AS DOUBLE) FROM ch WHERE ts > anchor - {w} AND ts <= anchor) AS bbo_change_count_{w}" for w in (60, 360, 1440)) + f", {r('spread', 'spread')}, {r('near_book_depth', 'near_book_depth')} FROM bx",
-    "w9_price_response": f"{SERIES}, z AS (SELECT b.anchor, b.mid AS m0, " + ", ".join(f"(SELECT mid FROM bx y WHERE y.anchor <= b.anchor - {w} ORDER BY y.anchor DESC LIMIT 1) AS m{w}, " + ", ".join(f"CAST(coalesce((SELECT sum(execution_qty) FROM ev WHERE aggressor = '{q}' AND timestamp_ms > b.anchor - {w} AND timestamp_ms <= b.anchor), 0) AS DOUBLE) AS {q}q{w}, coalesce((SELECT sum(CAST(execution_qty AS DOUBLE) * execution_price) FROM ev WHERE aggressor = '{q}' AND timestamp_ms > b.anchor - {w} AND timestamp_ms <= b.anchor), 0) AS {q}n{w}" for q in ("buy", "sell")) for w in (60, 360, 1440)) + f" FROM bx b) SELECT anchor, {', '.join(_pr(w) for w in (60, 360, 1440))} FROM z",
+    "w5_bbo_changes": f"{SERIES}, ch AS (SELECT anchor AS ts, CAST(mid IS NULL OR mid IS DISTINCT FROM lag(mid) OVER (ORDER BY anchor) AS INT) AS c FROM bx) SELECT anchor, " + ", ".join(f"(SELECT CAST(sum(c) AS DOUBLE) FROM ch WHERE ts > anchor - {w} AND ts <= anchor) AS bbo_change_count_{w}" for w in WINDOWS) + f", {r('spread', 'spread')}, {r('near_book_depth', 'near_book_depth')} FROM bx",
+    "w9_price_response": f"{SERIES}, z AS (SELECT b.anchor, b.mid AS m0, " + ", ".join(f"(SELECT mid FROM bx y WHERE y.anchor <= b.anchor - {w} ORDER BY y.anchor DESC LIMIT 1) AS m{w}, " + ", ".join(f"CAST(coalesce((SELECT sum(execution_qty) FROM ev WHERE aggressor = '{q}' AND timestamp_ms > b.anchor - {w} AND timestamp_ms <= b.anchor), 0) AS DOUBLE) AS {q}q{w}, coalesce((SELECT sum(CAST(execution_qty AS DOUBLE) * execution_price) FROM ev WHERE aggressor = '{q}' AND timestamp_ms > b.anchor - {w} AND timestamp_ms <= b.anchor), 0) AS {q}n{w}" for q in ("buy", "sell")) for w in MOVES) + f" FROM bx b) SELECT anchor, {', '.join(_pr(w) for w in MOVES)} FROM z",
 }

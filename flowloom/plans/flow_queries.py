@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import atoms, windows
 from ..sources import canonical, demo
+from ..sources.shared import shared_dir
 
 STEP, WINDOWS = demo.STEP, demo.WINDOWS
 SINCE, BEFORE, SPLIT, BUCKET = 28_402_000, 28_440_000, 28_420_000, 360
@@ -30,6 +33,24 @@ def e1_canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.events(spark, sf_dir).select("symbol", "ingest_pos", "timestamp_ms", "event_type", "order_uid", "side", *d("price", "qty"), "maker_uid", "taker_uid", *d("execution_price", "execution_qty"), "n_events_same_ms", "ordering_ambiguous")
 
 
+def s1_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream written as raw JSON lines, orders and executions apart, then read and flattened again."""
+    e = with_old(spark, sf_dir)
+    order = lambda qty, price: F.struct(F.col("order_uid").alias("uid"), F.initcap("side").alias("direction"), price.cast("string").alias("limitPrice"), qty.cast("string").alias("quantity"), F.lit("0").alias("filled"), F.col("order_type").alias("orderType"))
+    one = F.struct(order(F.col("qty"), F.col("price")).alias("order"), F.lit("r").alias("reason"))
+    two = F.struct(order(F.col("old_qty"), F.col("old_price")).alias("oldOrder"), order(F.col("qty"), F.col("price")).alias("newOrder"), F.lit("r").alias("reason"))
+    made = F.struct(F.struct(F.struct(F.col("maker_uid").alias("uid")).alias("makerOrder"), F.struct(F.col("taker_uid").alias("uid"), F.initcap("aggressor").alias("direction")).alias("takerOrder"), F.col("execution_qty").cast("string").alias("quantity"), F.col("execution_price").cast("string").alias("price")).alias("execution"))
+    t = F.col("event_type")
+    body = F.coalesce(*[F.when(t == k, F.concat(F.lit(f'{{"{k}":'), F.to_json(v), F.lit("}"))) for k, v in (("OrderPlaced", one), ("OrderCancelled", one), ("OrderRejected", one), ("OrderUpdated", two), ("Execution", made))])
+    line = F.concat(F.lit('{"uid":"'), F.col("ingest_pos"), F.lit('","timestamp":'), F.col("timestamp_ms"), F.lit(',"event":'), body, F.lit("}"))
+    top = f"{shared_dir(spark)}/flowloom-lines/{uuid.uuid4().hex}"
+    parts = {"orders": t != "Execution", "executions": t == "Execution"}
+    for name, m in parts.items():
+        e.where(m).select(line.alias("value")).write.text(f"{top}/{name}")
+    c = canonical.canonical(*[canonical.read_jsonl(spark, f"{top}/{name}") for name in parts])
+    return c.select("timestamp_ms", "event_type", F.col("event_uid").cast("long").alias("event_uid"), "order_uid", "side", *d("price", "qty", "old_qty", "old_price", "filled_qty"), "maker_uid", "taker_uid", *d("execution_price", "execution_qty"), "reason", "aggressor", "n_events_same_ms", "ordering_ambiguous")
+
+
 def e5_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.events(spark, sf_dir).groupBy("event_type").agg(F.count_if("ordering_ambiguous").alias("ambiguous"), F.max("n_events_same_ms").alias("most_in_one_ms"), F.count(F.lit(1)).alias("n"))
 
@@ -135,7 +156,7 @@ def j7_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(known, "uid", "left").agg(F.count(F.lit(1)).alias("n_uids"), F.count("k").alias("n_known"), F.round(100 * F.count("k") / F.count(F.lit(1)), 2).alias("known_pct"))
 
 
-QUERIES = [e1_canonical_events, e5_ambiguity, e7_phases, e9_lifecycle, e10_neighbourhood, a1_taker_atoms, p1_passive_atoms, p3_reprice_atoms, g1_flow_taxonomy, g2_ofi_atoms, w1_aggressive_flow, w2_passive_flow, w3_reprice_flow, w4_regime, w7_relative_activity, w10_acceleration, v1_stream_quality, j7_linkage]
+QUERIES = [e1_canonical_events, s1_json_lines, e5_ambiguity, e7_phases, e9_lifecycle, e10_neighbourhood, a1_taker_atoms, p1_passive_atoms, p3_reprice_atoms, g1_flow_taxonomy, g2_ofi_atoms, w1_aggressive_flow, w2_passive_flow, w3_reprice_flow, w4_regime, w7_relative_activity, w10_acceleration, v1_stream_quality, j7_linkage]
 
 EV = """raw AS (SELECT event_id AS ingest_pos, CAST(floor(epoch_ms(ts) / 60000) AS BIGINT) AS timestamp_ms, CAST(json_extract_string(props, '$.k') AS INT) AS k, user_id, event_type AS et, CAST(value AS DECIMAL(18,2)) AS v FROM events),
 raw2 AS (SELECT *, CASE WHEN et IN ('signup','view') THEN 'OrderPlaced' WHEN et = 'click' THEN 'OrderUpdated' WHEN et = 'purchase' THEN 'Execution' WHEN k % 10 = 0 THEN 'OrderRejected' ELSE 'OrderCancelled' END AS event_type, user_id % 2 = 0 AS isbuy, CAST(CASE WHEN {cross} user_id % 2 = 0 THEN 1000 - k % 20 ELSE 1001 + k % 20 END AS DOUBLE) AS p FROM raw),
@@ -182,6 +203,7 @@ def _relative(name: str, n: int) -> str:
 
 ORACLE = {
     "e1_canonical_events": f"WITH {PLAIN} SELECT symbol, ingest_pos, timestamp_ms, event_type, order_uid, side, {r('price', 'price')}, {r('qty', 'qty')}, maker_uid, taker_uid, {r('execution_price', 'execution_price')}, {r('execution_qty', 'execution_qty')}, n_events_same_ms, ordering_ambiguous FROM ev",
+    "s1_json_lines": f"WITH {OLD} SELECT timestamp_ms, event_type, ingest_pos AS event_uid, order_uid, side, {r('price', 'price')}, {r('qty', 'qty')}, {r("CASE WHEN event_type = 'OrderUpdated' THEN old_qty END", 'old_qty')}, {r("CASE WHEN event_type = 'OrderUpdated' THEN old_price END", 'old_price')}, CASE WHEN event_type <> 'Execution' THEN CAST(0 AS DOUBLE) END AS filled_qty, maker_uid, taker_uid, {r('execution_price', 'execution_price')}, {r('execution_qty', 'execution_qty')}, CASE WHEN event_type <> 'Execution' THEN 'r' END AS reason, aggressor, n_events_same_ms, ordering_ambiguous FROM eo",
     "e5_ambiguity": f"WITH {PLAIN} SELECT event_type, count(*) FILTER (ordering_ambiguous) AS ambiguous, max(n_events_same_ms) AS most_in_one_ms, count(*) AS n FROM ev GROUP BY 1",
     "e7_phases": f"WITH {PLAIN} SELECT CASE WHEN timestamp_ms < {SPLIT} THEN 'warmup' ELSE 'research' END AS phase, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms FROM ev WHERE {_rng} GROUP BY 1",
     "e9_lifecycle": f"WITH {PLAIN}, u AS (SELECT order_uid AS uid, 'order' AS role, timestamp_ms, event_type FROM ev UNION ALL SELECT maker_uid, 'maker', timestamp_ms, event_type FROM ev UNION ALL SELECT taker_uid, 'taker', timestamp_ms, event_type FROM ev) SELECT uid, role, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms, count(DISTINCT event_type) AS kinds FROM u WHERE uid IS NOT NULL GROUP BY 1, 2",

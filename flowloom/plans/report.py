@@ -64,11 +64,45 @@ def by_execution(rows: DataFrame, executed: str, columns: list[str]) -> DataFram
     return cells(both, [*KEYS, "bucket"], columns).where("n >= 3")
 
 
-def buckets_complete(table: DataFrame, rows: DataFrame, executed: str) -> DataFrame:
-    """Keys whose non-zero buckets do not add up to their non-zero rows (none, if all is well)."""
+def bucket_totals(table: DataFrame, rows: DataFrame, executed: str) -> DataFrame:
+    """Per key: its non-zero rows, what its non-zero buckets add up to, and whether that is the same."""
     have = table.where("bucket <> 'zero'").groupBy(*KEYS).agg(F.sum("n").alias("in_buckets"))
     want = rows.where(F.col(executed) > EPS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
-    return want.join(have, KEYS, "left").where("NOT in_buckets <=> rows")
+    return want.join(have, KEYS, "left").withColumn("complete", F.col("in_buckets").eqNullSafe(F.col("rows")))
+
+
+def buckets_complete(table: DataFrame, rows: DataFrame, executed: str) -> DataFrame:
+    """Keys whose non-zero buckets do not add up to their non-zero rows (none, if all is well)."""
+    return bucket_totals(table, rows, executed).where("NOT complete")
+
+
+FAMILY_PERCENTS = [1, 5, 10, 25, 50, 75, 90, 95, 99]
+
+
+def distributions(rows: DataFrame, families: dict[str, list[str]], keys: list[str] = KEYS, percents: list[float] = FAMILY_PERCENTS) -> DataFrame:
+    """Per key, family and feature: n, share of nulls, mean, deviation, percentiles and the largest value. Features that rows lack are left out."""
+    named = {c: f for f, columns in families.items() for c in columns if c in rows.columns}
+    p = percentile_table(rows, list(named), [*percents, 100], keys).withColumnRenamed("p100", "max")
+    family = F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), F.col("feature"))
+    names = {f"p{str(x).replace('.', '_')}": 6 for x in percents}
+    return p.select(*keys, family.alias("family"), "feature", "n", F.round("nan_pct", 1).alias("nan_pct"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), *[F.round(c, d).alias(c) for c, d in names.items()], F.round("max", 6).alias("max"))
+
+
+def densities(rows: DataFrame, column: str, bins: int, keys: list[str] = KEYS) -> DataFrame:
+    """A histogram's counts with the bins' edges and densities, as a figure needs them."""
+    edges = rows.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.01), F.lit(0.99))).alias("e"))
+    h = histogram(rows, column, bins, keys).join(edges, keys)
+    width = (F.col("e")[1] - F.col("e")[0]) / bins
+    total = F.sum("n").over(Window.partitionBy(*keys))  # at most `bins` rows
+    return h.select(*keys, "bin", "n", (F.col("e")[0] + F.col("bin") * width).alias("left_edge"), F.try_divide(F.col("n"), total * width).alias("density"))
+
+
+def log_pairs(rows: DataFrame, x: str, y: str, bins: int, keys: list[str] = KEYS) -> DataFrame:
+    """Counts on a grid of log1p(x) and log1p(y), each in equal bins from 0 to the key's largest, as behind a scatter plot."""
+    a, b = F.log1p(F.greatest(F.col(x), F.lit(0.0))), F.log1p(F.greatest(F.col(y), F.lit(0.0)))
+    most = rows.groupBy(*keys).agg(F.max(a).alias("__a"), F.max(b).alias("__b"))
+    at = lambda v, m: F.least(F.floor(F.coalesce(F.try_divide(v, F.col(m)), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(most, keys).groupBy(*keys, at(a, "__a").alias("x_bin"), at(b, "__b").alias("y_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -100,14 +134,24 @@ def sample_k(rows: DataFrame, key: list[str], k: int, seed: int = 42) -> DataFra
     return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k)
 
 
-def episodes(rows: DataFrame, pressure: str, response: str, k: int = 3) -> DataFrame:
-    """Anchors of extreme pressure with small or with large response, k of each by hash."""
-    q = rows.agg(F.percentile(pressure, 0.99).alias("hi"), F.percentile(response, F.array(F.lit(0.5), F.lit(0.9))).alias("r"))
-    r = rows.crossJoin(F.broadcast(q))  # q is one row
-    kind = F.when((F.col(pressure) >= F.col("hi")) & (F.col(response) <= F.col("r")[0]), "absorbed").when((F.col(pressure) >= F.col("hi")) & (F.col(response) >= F.col("r")[1]), "moved")
-    w = Window.partitionBy("kind").orderBy(F.xxhash64(F.lit(42), "ts"), "ts")
-    c = r.withColumn("kind", kind).where("kind IS NOT NULL")
-    return c.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).select("kind", "i", "ts", *KEYS)
+def episode_candidates(rows: DataFrame, sell: str, buy: str, response: str, executed: str, refill: str) -> DataFrame:
+    """Rows of each mechanical set (kind): the largest percent of either side's flow, high selling with low and with high response, and much executed that was much refilled. Thresholds are of the key; a row may be in several sets."""
+    cut = {"sell99": (sell, 0.99), "buy99": (buy, 0.99), "sell90": (sell, 0.9), "resp50": (response, 0.5), "exec90": (executed, 0.9), "refill90": (refill, 0.9)}
+    q = rows.groupBy(*KEYS).agg(*[F.percentile(c, p).alias(f"__{n}") for n, (c, p) in cut.items()])
+    v, zero = F.col, lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    high = v(sell) > v("__sell90")
+    kinds = {"top1pct_sell": v(sell) >= v("__sell99"), "top1pct_buy": v(buy) >= v("__buy99"), "high_flow_low_response": high & (zero(response) < v("__resp50")), "high_flow_high_response": high & (zero(response) >= v("__resp50")), "high_exec_high_repl": (v(executed) > v("__exec90")) & (zero(refill) > v("__refill90"))}
+    kind = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()])))
+    return rows.join(q, KEYS).withColumn("kind", kind).drop(*[f"__{n}" for n in cut])
+
+
+def episodes(candidates: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """k of each kind and key by the least hash of their time."""
+    least = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "ts").alias("h"), F.col("ts").alias("ts"))))
+    part = F.pmod(F.xxhash64("ts"), F.lit(64))  # k of each part first: no set is held together
+    some = candidates.withColumn("__h", F.xxhash64(F.lit(seed), "ts")).withColumn("__p", part)
+    some = some.withColumn("__i", F.row_number().over(Window.partitionBy(*KEYS, "kind", "__p").orderBy("__h", "ts"))).where(F.col("__i") <= k)
+    return some.groupBy(*KEYS, "kind").agg(F.slice(least, 1, k).alias("x")).select(*KEYS, "kind", F.posexplode("x").alias("i", "x")).select("kind", (F.col("i") + 1).alias("i"), "x.ts", *KEYS)
 
 
 def slices(rows: DataFrame, chosen: DataFrame, reach: int = 30) -> DataFrame:

@@ -19,7 +19,7 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FR = "fr AS (SELECT l_returnflag AS symbol, l_linestatus AS label, l_orderkey * 10 + l_linenumber AS ts, CAST(l_quantity AS DOUBLE) AS pressure, CAST(l_extendedprice AS DOUBLE) AS response, CAST(l_discount AS DOUBLE) AS ratio, CAST(l_tax AS DOUBLE) * 10 - 0.4 AS net, CASE WHEN l_linenumber <= 2 THEN 0.0 ELSE CAST(l_quantity AS DOUBLE) END AS executed FROM lineitem)"
-PCTS = [1, 5, 25, 50, 75, 90, 95, 99]
+PCTS = [0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100]
 
 
 def r1_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +40,31 @@ def g8_joint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.joint_state(frame(spark, sf_dir), {"SELL": "pressure", "BUY": "response"}, ["ratio", "net"])
 
 
-def split(spark, sf_dir) -> DataFrame:
-    return report.conditional_split(frame(spark, sf_dir), "pressure", "net", ["response"])
+def split(spark, sf_dir, pressure: str = "pressure") -> DataFrame:
+    return report.conditional_split(frame(spark, sf_dir), pressure, "net", ["response"])
 
 
 def g9_conditional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split(spark, sf_dir)
+    """Both sides: selling against one column's pressure, buying against the other's."""
+    return split(spark, sf_dir).withColumn("aggressor", F.lit("SELL")).unionByName(split(spark, sf_dir, "response").withColumn("aggressor", F.lit("BUY")))
+
+
+FAMILIES = {"FLOW": ["pressure", "executed"], "RESPONSE": ["response", "net"], "RATIO": ["ratio", "absent"]}
+
+
+def g6_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.distributions(frame(spark, sf_dir).withColumn("executed", F.nullif("executed", F.lit(0.0))), FAMILIES).withColumn("std", F.round("std", 2))
+
+
+def s16_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of 30, 50 and 60 bins."""
+    f, columns = frame(spark, sf_dir), {"pressure": 30, "response": 50, "ratio": 60}
+    parts = [report.densities(f, c, n).withColumn("feature", F.lit(c)) for c, n in columns.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("symbol", "label", "feature", "bin", "n", F.round("left_edge", 4).alias("left_edge"), F.round("density", 9).alias("density"))
+
+
+def s16_log_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.log_pairs(frame(spark, sf_dir), "pressure", "response", 8)
 
 
 def g10_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +77,7 @@ def g11_by_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g12_buckets_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frame(spark, sf_dir)
-    return report.buckets_complete(report.by_execution(f, "executed", ["response"]), f, "executed")
+    return report.bucket_totals(report.by_execution(f, "executed", ["response"]), f, "executed")
 
 
 def g13_near_market(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +86,7 @@ def g13_near_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g14_reprice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = rank_pct(frame(spark, sf_dir), "pressure", ["symbol", "label"], "pct").where("pct > 95")
+    h = rank_pct(frame(spark, sf_dir), "pressure", ["symbol", "label"], "pct").where("pct > 99")
     m = h.groupBy("symbol", "label").agg(F.round(F.percentile("response", 0.5), 2).alias("away"), F.round(F.percentile("ratio", 0.5), 2).alias("toward"))
     return m.withColumn("away_to_toward", F.round(F.try_divide("away", "toward"), 4))
 
@@ -101,8 +120,17 @@ def o6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sample_k(frame(spark, sf_dir), ["ts"], 20).select("ts", "symbol", "label")
 
 
+def candidates(spark, sf_dir) -> DataFrame:
+    return report.episode_candidates(frame(spark, sf_dir), "pressure", "response", "ratio", "executed", "net")
+
+
+def o7_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).groupBy("symbol", "label", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("ts").alias("sum_ts"))
+
+
 def o7_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.episodes(frame(spark, sf_dir), "pressure", "ratio")
+    """Three of each set and key by hash."""
+    return report.episodes(candidates(spark, sf_dir))
 
 
 def o8_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,13 +179,16 @@ def s17_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.content_hash(demo.events(spark, sf_dir))
 
 
+REFILL = [15, 60, 120, 360]
+
+
 def w11_replenishment(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = demo.events(spark, sf_dir)
-    out = levels.replenishment(levels.refill_pairs(lifecycle.level_atoms(e), HORIZON), demo.anchors(e), [60, 360], STEP)
-    return out.select("anchor", "w", *d("total_refill_qty", "max_refill"), "refill_count")
+    out = levels.replenishment(levels.refill_pairs(lifecycle.level_atoms(e), HORIZON), demo.anchors(e), REFILL, STEP)
+    return out.select("anchor", "w", *d("total_exec_qty", "total_refill_qty", "max_refill", "replenishment_ratio"), "refill_count")
 
 
-QUERIES = [r1_rank_pct, g5_percentile_table, g7_rates, g8_joint_state, g9_conditional_split, g10_regularity, g11_by_execution, g12_buckets_complete, g13_near_market, g14_reprice_summary, g15_global_ratio, g16_contingency, g17_comparison, g18_ratio_medians, s16_histogram, o4_top_k, o6_sample, o7_episodes, o8_slices, o9_closest, o10_ecdf, o11_union_all, o13_first_per_key, v4_feature_quality, v6_window_checks, s10_time_bounds, s17_content_hash, w11_replenishment]
+QUERIES = [r1_rank_pct, g5_percentile_table, g7_rates, g8_joint_state, g9_conditional_split, g10_regularity, g11_by_execution, g12_buckets_complete, g6_distributions, s16_densities, s16_log_pairs, o7_candidates, g13_near_market, g14_reprice_summary, g15_global_ratio, g16_contingency, g17_comparison, g18_ratio_medians, s16_histogram, o4_top_k, o6_sample, o7_episodes, o8_slices, o9_closest, o10_ecdf, o11_union_all, o13_first_per_key, v4_feature_quality, v6_window_checks, s10_time_bounds, s17_content_hash, w11_replenishment]
 
 _rank = lambda c, w="": f"(rank() OVER (PARTITION BY symbol, label ORDER BY {c}) + (count(*) OVER (PARTITION BY symbol, label, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol, label) * 100"
 _bucket = "CASE WHEN pct <= 50 THEN '0-50' WHEN pct <= 90 THEN '50-90' WHEN pct <= 95 THEN '90-95' WHEN pct <= 99 THEN '95-99' ELSE '99-100' END"
@@ -172,12 +203,12 @@ ORACLE = {
     "g5_percentile_table": f"WITH {FR}, u AS (UNPIVOT fr ON pressure, response, ratio INTO NAME feature VALUE v) SELECT symbol, label, feature, count(v) AS n, CAST(0 AS DOUBLE) AS nan_pct, {r('avg(v)', 'mean')}, " + ", ".join(r(f"quantile_cont(v, {p / 100})", f"p{p}") for p in PCTS) + ", round(stddev_samp(v), 3) AS std FROM u GROUP BY 1, 2, 3",
     "g7_rates": f"WITH {FR} SELECT symbol, label, round(avg(pressure), 4) AS mean, round(quantile_cont(pressure, 0.5), 4) AS p50, round(quantile_cont(pressure, 0.9), 4) AS p90, round(quantile_cont(pressure, 0.99), 4) AS p99, round(max(pressure), 4) AS most FROM fr GROUP BY 1, 2",
     "g8_joint_state": f"WITH {FR}, p AS (SELECT 'SELL' AS side, *, {_rank('pressure')} AS pct FROM fr UNION ALL SELECT 'BUY', *, {_rank('response')} FROM fr) SELECT symbol, label, side, {_bucket} AS bucket, {_cells('ratio', 'net')} FROM p GROUP BY 1, 2, 3, 4",
-    "g9_conditional_split": f"WITH {FR}, {_split} SELECT * FROM ct",
+    "g9_conditional_split": f"WITH {FR}, a AS (WITH {_split} SELECT *, 'SELL' AS aggressor FROM ct), b AS (WITH {_split.replace(_rank('pressure'), _rank('response'))} SELECT *, 'BUY' AS aggressor FROM ct) SELECT * FROM a UNION ALL SELECT * FROM b",
     "g10_regularity": f"WITH {FR}, {_split} SELECT a.symbol, a.label, a.response_p50 AS adds, c.response_p50 AS cancels, CASE WHEN a.response_p50 < c.response_p50 THEN 'lower' WHEN a.response_p50 = c.response_p50 THEN 'equal' ELSE 'higher' END AS adds_vs_cancels FROM ct a JOIN ct c USING (symbol, label) WHERE a.reaction = 'adds' AND c.reaction = 'cancels'",
     "g11_by_execution": f"WITH {FR}, p AS (SELECT *, {_rank('executed')} AS pct FROM fr WHERE executed > 1e-9), b AS (SELECT symbol, label, response, CASE WHEN pct < 50 THEN '0-50' WHEN pct < 75 THEN '50-75' WHEN pct < 90 THEN '75-90' WHEN pct < 99 THEN '90-99' ELSE '99-100' END AS bucket FROM p UNION ALL SELECT symbol, label, response, 'zero' FROM fr WHERE executed <= 1e-9) SELECT symbol, label, bucket, {_cells('response')} FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 3",
-    "g12_buckets_complete": f"WITH {FR} SELECT symbol, label, count(*) AS rows, count(*) AS in_buckets FROM fr WHERE false GROUP BY 1, 2",
+    "g12_buckets_complete": f"WITH {FR}, t AS (WITH p AS (SELECT *, {_rank('executed')} AS pct FROM fr WHERE executed > 1e-9), b AS (SELECT symbol, label, response, CASE WHEN pct < 50 THEN '0-50' WHEN pct < 75 THEN '50-75' WHEN pct < 90 THEN '75-90' WHEN pct < 99 THEN '90-99' ELSE '99-100' END AS bucket FROM p UNION ALL SELECT symbol, label, response, 'zero' FROM fr WHERE executed <= 1e-9) SELECT symbol, label, bucket, {_cells('response')} FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 3), h AS (SELECT symbol, label, sum(n) AS in_buckets FROM t WHERE bucket <> 'zero' GROUP BY 1, 2), w AS (SELECT symbol, label, count(*) AS rows FROM fr WHERE executed > 1e-9 GROUP BY 1, 2) SELECT symbol, label, rows, in_buckets, in_buckets IS NOT DISTINCT FROM rows AS complete FROM w LEFT JOIN h USING (symbol, label)",
     "g13_near_market": f"WITH {FR} SELECT symbol, label, " + ", ".join(f"round(quantile_cont({c}, {p}), 4) AS {c}_{n}" for c in ("pressure", "response") for n, p in (("p50", 0.5), ("p90", 0.9))) + ", round(quantile_cont(pressure / response, 0.5), 6) AS near_ratio_p50 FROM fr GROUP BY 1, 2",
-    "g14_reprice_summary": f"WITH {FR}, p AS (SELECT *, {_rank('pressure')} AS pct FROM fr), m AS (SELECT symbol, label, round(quantile_cont(response, 0.5), 2) AS away, round(quantile_cont(ratio, 0.5), 2) AS toward FROM p WHERE pct > 95 GROUP BY 1, 2) SELECT *, round(away / nullif(toward, 0), 4) AS away_to_toward FROM m",
+    "g14_reprice_summary": f"WITH {FR}, p AS (SELECT *, {_rank('pressure')} AS pct FROM fr), m AS (SELECT symbol, label, round(quantile_cont(response, 0.5), 2) AS away, round(quantile_cont(ratio, 0.5), 2) AS toward FROM p WHERE pct > 99 GROUP BY 1, 2) SELECT *, round(away / nullif(toward, 0), 4) AS away_to_toward FROM m",
     "g15_global_ratio": f"WITH {FR} SELECT symbol, label, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS p50, round(quantile_cont(ratio, 0.9), 6) AS p90, round(quantile_cont(ratio, 0.99), 6) AS p99, max(ratio) AS most FROM fr WHERE executed > 1e-9 GROUP BY 1, 2 HAVING count(*) >= 3",
     "g16_contingency": f"WITH {FR}, p AS (SELECT *, {_rank('pressure')} AS pa, {_rank('response')} AS pb FROM fr), n AS (SELECT symbol, label, {_bin('pa')} AS a_bin, {_bin('pb')} AS b_bin, count(*) AS n FROM p GROUP BY 1, 2, 3, 4) SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY symbol, label), 4) AS pct FROM n",
     "g17_comparison": f"WITH {FR} SELECT symbol, {_cells('pressure', 'response')} FROM fr GROUP BY 1",
@@ -190,7 +221,11 @@ ORACLE = {
     "o11_union_all": f"WITH {PLAIN} SELECT CASE event_type WHEN 'Execution' THEN 'executions' ELSE 'orders' END AS file, count(*) AS n FROM ev GROUP BY 1",
     "o13_first_per_key": f"WITH {PLAIN} SELECT timestamp_ms, maker_uid, ingest_pos FROM (SELECT *, row_number() OVER (PARTITION BY timestamp_ms ORDER BY ingest_pos) AS i FROM ev WHERE event_type = 'Execution') WHERE i = 1",
     "v4_feature_quality": f"WITH {FR} {_vq('pressure', 0, 1e9)} UNION ALL {_vq('response', -1e300, 1e300)} UNION ALL {_vq('ratio', 0, 0.05)} UNION ALL {_vq('net', -0.4, 0.4)} UNION ALL {_vq('executed', -1e300, 1e300)}",
-    "v6_window_checks": f"WITH {PLAIN}, {TK}, {GRID}, f AS ({over('tk', _w1)}) SELECT count(*) FILTER (bad) AS violations, count(*) AS checked FROM (SELECT coalesce(buy_taker_qty < lag(buy_taker_qty) OVER x, false) OR coalesce(sell_taker_qty < lag(sell_taker_qty) OVER x, false) AS bad FROM f WINDOW x AS (PARTITION BY anchor ORDER BY w))",
+    "v6_window_checks": f"WITH {PLAIN}, {TK}, {GRID}, f AS ({over('tk', _w1)}) SELECT count(*) FILTER (bad) AS violations, count(*) AS checked FROM (SELECT coalesce(buy_taker_qty < lag(buy_taker_qty) OVER x, false) OR coalesce(sell_taker_qty < lag(sell_taker_qty) OVER x, false) OR coalesce(buy_taker_count < lag(buy_taker_count) OVER x, false) OR coalesce(ask_levels_consumed < lag(ask_levels_consumed) OVER x, false) AS bad FROM f WINDOW x AS (PARTITION BY anchor ORDER BY w))",
     "s10_time_bounds": f"WITH {PLAIN} SELECT symbol, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms, count(*) AS n FROM ev GROUP BY 1",
-    "w11_replenishment": f"WITH RECURSIVE {PLAIN}, {_lv}, {_rp}, {GRID.split(', ws AS')[0]}, ww AS (SELECT unnest([60, 360]) AS w) SELECT anchor, w, {r('sum(refill_qty)', 'total_refill_qty')}, {r('max(refill_qty)', 'max_refill')}, count(*) AS refill_count FROM an CROSS JOIN ww JOIN pr ON exec_ts >= anchor - w AND exec_ts < anchor AND add_ts <= anchor AND delay_ms <= w GROUP BY 1, 2",
+    "w11_replenishment": f"WITH RECURSIVE {PLAIN}, {_lv}, {_rp}, {GRID.split(', ws AS')[0]}, ww AS (SELECT unnest({REFILL}) AS w), m AS (SELECT anchor, w, pr.*, row_number() OVER (PARTITION BY anchor, w, exec_ts ORDER BY side, price, exec_pos, add_ts) AS i FROM an CROSS JOIN ww JOIN pr ON exec_ts >= anchor - w AND exec_ts < anchor AND add_ts <= anchor AND delay_ms <= w) SELECT anchor, w, {r('sum(exec_qty) FILTER (i = 1)', 'total_exec_qty')}, {r('sum(refill_qty)', 'total_refill_qty')}, {r('max(refill_qty)', 'max_refill')}, {r('CAST(sum(refill_qty) AS DOUBLE) / CAST(sum(exec_qty) FILTER (i = 1) AS DOUBLE)', 'replenishment_ratio')}, count(*) AS refill_count FROM m GROUP BY 1, 2",
+    "g6_distributions": f"WITH {FR}, u AS (SELECT symbol, label, unnest([struct_pack(f := 'FLOW', c := 'pressure', v := pressure), struct_pack(f := 'FLOW', c := 'executed', v := nullif(executed, 0.0)), struct_pack(f := 'RESPONSE', c := 'response', v := response), struct_pack(f := 'RESPONSE', c := 'net', v := net), struct_pack(f := 'RATIO', c := 'ratio', v := ratio)], recursive := true) FROM fr) SELECT symbol, label, f AS family, c AS feature, count(v) AS n, round(100.0 * (count(*) - count(v)) / count(*), 1) AS nan_pct, round(avg(v), 4) AS mean, round(stddev_samp(v), 2) AS std, " + ", ".join(f"round(quantile_cont(v, {p / 100}), 6) AS p{p}" for p in report.FAMILY_PERCENTS) + ", round(max(v), 6) AS max FROM u GROUP BY 1, 2, 3, 4",
+    "s16_densities": f"WITH {FR} " + " UNION ALL ".join(f"SELECT * FROM (WITH e AS (SELECT symbol, label, quantile_cont({c}, 0.01) AS a, quantile_cont({c}, 0.99) AS b FROM fr GROUP BY 1, 2), h AS (SELECT symbol, label, a, (b - a) / {n} AS w, CAST(least(floor(({c} - a) / ((b - a) / {n})), {n - 1}) AS INT) AS bin FROM fr JOIN e USING (symbol, label) WHERE {c} BETWEEN a AND b), g AS (SELECT symbol, label, a, w, bin, count(*) AS n FROM h GROUP BY ALL) SELECT symbol, label, '{c}' AS feature, bin, n, round(a + bin * w, 4) AS left_edge, round(n / (sum(n) OVER (PARTITION BY symbol, label) * w), 9) AS density FROM g)" for c, n in (("pressure", 30), ("response", 50), ("ratio", 60))),
+    "s16_log_pairs": f"WITH {FR}, l AS (SELECT symbol, label, ln(1 + greatest(pressure, 0)) AS a, ln(1 + greatest(response, 0)) AS b FROM fr), m AS (SELECT symbol, label, max(a) AS ma, max(b) AS mb FROM l GROUP BY 1, 2) SELECT symbol, label, CAST(least(floor(a / ma * 8), 7) AS INT) AS x_bin, CAST(least(floor(b / mb * 8), 7) AS INT) AS y_bin, count(*) AS n FROM l JOIN m USING (symbol, label) GROUP BY 1, 2, 3, 4",
+    "o7_candidates": f"WITH {FR}, q AS (SELECT symbol, label, quantile_cont(pressure, 0.99) AS s99, quantile_cont(response, 0.99) AS b99, quantile_cont(pressure, 0.9) AS s90, quantile_cont(ratio, 0.5) AS r50, quantile_cont(executed, 0.9) AS e90, quantile_cont(net, 0.9) AS f90 FROM fr GROUP BY 1, 2), j AS (SELECT * FROM fr JOIN q USING (symbol, label)), k AS (" + " UNION ALL ".join(f"SELECT symbol, label, ts, '{k}' AS kind FROM j WHERE {c}" for k, c in (("top1pct_sell", "pressure >= s99"), ("top1pct_buy", "response >= b99"), ("high_flow_low_response", "pressure > s90 AND ratio < r50"), ("high_flow_high_response", "pressure > s90 AND ratio >= r50"), ("high_exec_high_repl", "executed > e90 AND net > f90"))) + ") SELECT symbol, label, kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(ts) AS sum_ts FROM k GROUP BY 1, 2, 3",
 }

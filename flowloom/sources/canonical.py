@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_pct
+
 ORDER = "struct<uid string, direction string, side string, limitPrice string, quantity string, filled string, orderType string, reduceOnly boolean>"
 RAW = (
     "uid string, timestamp long, event struct<"
@@ -34,13 +36,29 @@ def side_of(order: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(order["direction"], F.lit("")), order["side"]))
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of raw events with ingest_pos, their place: files by name, then lines as they stand (monotonic within a file's splits), and event_key, the name of the line's event even where it is of no known type."""
-    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("ingest_pos", F.monotonically_increasing_id())
+def parsed(lines: DataFrame) -> DataFrame:
+    """Lines (value, ingest_pos) of raw events as columns, with event_key, the name of the line's event even where it is of no known type. Lines that are no JSON have null columns."""
     key = F.nullif(F.regexp_extract("value", r'"event"\s*:\s*\{\s*"([^"]*)"', 1), F.lit(""))
     return lines.select(F.from_json("value", RAW).alias("x"), key.alias("event_key"), "ingest_pos").select("x.*", "event_key", "ingest_pos")
 
 
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of raw events with ingest_pos, their place: files by name, then lines as they stand (monotonic within a file's splits). Empty lines do not count."""
+    return parsed(spark.read.text(path).where("trim(value) <> ''").withColumn("ingest_pos", F.monotonically_increasing_id()))
+
+
+#: The selected sessions, in the order of reports.
+LABELS = ["LOW", "MEDIAN", "HIGH"]
+
+
+def read_sessions(spark: SparkSession, path: str, labels: list[str] = LABELS) -> DataFrame:
+    """The manifest's selected sessions in the labels' order, with since and before in ms (a CSV with selected, warmup_start, research_end)."""
+    rows = spark.read.option("header", True).csv(path).where(F.col("selected").isin(*labels))
+    ms = lambda c: F.unix_millis(F.to_timestamp(F.col(c)))
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("selected"))
+    return rows.withColumns({"since_ms": ms("warmup_start"), "before_ms": ms("research_end")}).orderBy(place)
+
+
 def canonical(orders: DataFrame, executions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Raw orders and executions -> canonical events. ingest_pos interleaves the two files, so it is unique; events of no known type keep their name (event_key)
     and have no fields; keys (symbol, session) are carried."""
@@ -93,7 +111,24 @@ def write_features(features: DataFrame, path: str, skip_existing: bool = True) -
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The feature table of all sessions, with {side}_pressure_pct: the average rank of a second's aggressive quantity within its session, in percent."""
+    rows = spark.read.parquet(path)
+    for side in ("buy", "sell"):
+        if f"{side}_taker_qty_1s" in rows.columns:
+            rows = rank_pct(rows, f"{side}_taker_qty_1s", SESSION, f"{side}_pressure_pct")
+    return rows
+
+
+def write_text(lines: list[str], path: str, spark: SparkSession) -> None:
+    """A report's few lines as one text file, in their order."""
+    spark.createDataFrame(list(enumerate(lines)), "n long, value string").coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
+def markdown(rows: DataFrame, limit: int = 1_000) -> list[str]:
+    """A report table (at most `limit` rows are rendered) as lines of Markdown."""
+    text = lambda x: "" if x is None else str(x).replace("|", "\\|")
+    found = rows.limit(limit).collect()
+    return ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *["| " + " | ".join(map(text, r)) + " |" for r in found]]
 
 
 def write_report(report: DataFrame, path: str) -> None:
