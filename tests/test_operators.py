@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.ranking import rank_pct
 from flowloom.operators import atoms, book, levels, lifecycle, windows
-from flowloom.plans import features, report
+from flowloom.plans import features, gates, report
 from flowloom.sources import canonical
 from flowloom.streaming import flows
 
@@ -197,6 +197,81 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     assert moved == {(r["uid"], r["ts"], r["ingest_pos"], r["outcome"]) for r in lifecycle.transitions(batch).collect()}
 
 
-def test_feature_names():
-    n = 1 + 13 * 10 + 10 + 8 + 90 + 100 + 140 + 63 + 15 + 28 + 16 + 8 + 6
-    assert n == 615 and len(features.BOOK) == 15 and len(features.SUMMARY) == 14
+def feature_names():
+    """The 615 names by their rule: families by windows, families by sides, and single columns."""
+    every, sides = features.LABELS, ("bid", "ask")
+    by_window = ["order_event_count", "placed_count", "cancel_count", "update_count", "execution_count", "execution_qty", "execution_notional", "unique_order_uids", "levels_touched", "events_per_sec", "trades_per_sec", "qty_per_sec", "notional_per_sec", "bbo_change_count"]
+    by_window += [f"{s}_{x}" for s in ("buy", "sell") for x in ("taker_qty", "taker_count", "notional")] + ["afi", "ask_levels_consumed", "bid_levels_consumed"]
+    by_window += [f"{s}_{x}" for s in sides for x in ("add_qty", "add_orders", "cancel_qty", "cancel_orders", "net_passive", "reprice_out_qty", "reprice_in_qty", "reprice_net", "reprice_away_qty", "reprice_toward_qty", "reprice_away_count", "reprice_toward_count")]
+    names = {f"{n}_{w}" for n in by_window for w in every}
+    moves = ["signed_mid_change", "ticks_moved", "levels_crossed", *[f"{a}_{s}_{b}" for a, b in (("price_response_per", "qty"), ("ticks_per", "notional"), ("levels_per", "qty")) for s in ("buy", "sell")]]
+    names |= {f"{n}_{w}" for n in moves for w in every[:7]}
+    names |= {f"{n}_{w}" for n in ("total_exec_qty", "total_refill_qty", "replenishment_ratio", "refill_count") for w in ("100ms", "500ms", "1s", "5s")}
+    names |= {f"{s}_flow_accel_{w}" for s in ("buy", "sell") for w in ("1s", "2s", "5s", "10s")}
+    levels_ = ["n_levels", "total_qty", "max_qty", "p50_qty", "p75_qty", "p90_qty", "p95_qty", "max_qty_vs_median", "p95_qty_vs_median", "n_above_3x_median", "n_above_5x_median", "max_share", "top1_dist_ticks", "top1_dist_bps"]
+    names |= {f"{s}_{n}" for s in sides for n in levels_} | {f"activity_{x}_{c}" for x in ("vs_trailing_median", "robust_z", "rolling_percentile") for c in ("5m", "30m")}
+    names |= {"timestamp_ms", "symbol", "session_label", "source_session", "data_version", "feature_version", "book_semantics_version", "regime_percentile", "regime_state", "best_bid", "best_ask", "spread", "mid", "n_active", "near_book_depth"}
+    return names | {f"{x}_{n}bps" for x in ("depth_bid", "depth_ask", "obi") for n in (5, 10, 25)}
+
+
+def test_feature_names(spark):
+    """The plan itself has them, each once; it is only analysed here."""
+    rows = [place(i, i * 700, f"u{i}", "buy" if i % 2 else "sell", 10.0 + i % 3, 1.0) for i in range(6)] + [execute(9, 2_500, "u1", "u2", 10.0, 1.0)]
+    e = canonical.with_ambiguity(spark.createDataFrame(rows, EVENT), ("symbol",))
+    grid = spark.createDataFrame([("X", 1_000), ("X", 2_000), ("X", 3_000)], "symbol string, anchor long")
+    columns = features.build(e, grid).columns
+    assert len(columns) == len(set(columns)) == 615 and set(columns) == feature_names()
+
+
+def test_samples_and_episodes(spark):
+    """The same rows every time, no more than asked for, each from its own set."""
+    rows = spark.createDataFrame([("X", "LOW", i, float(i), float(i % 10), float(i % 7), float(i % 50), float(i % 40)) for i in range(400)], "symbol string, label string, ts long, sell double, buy double, resp double, done double, refill double")
+    a, b = (report.sample_k(rows.repartition(n), ["ts"], 20).select("ts").collect() for n in (2, 5))
+    assert a == b and len(a) == 20
+    c = report.episode_candidates(rows, "sell", "buy", "resp", "done", "refill")
+    held = {}
+    for r in c.select("kind", "ts").collect():
+        held.setdefault(r["kind"], set()).add(r["ts"])
+    assert set(held) == {"top1pct_sell", "top1pct_buy", "high_flow_low_response", "high_flow_high_response", "high_exec_high_repl"}
+    assert held["top1pct_sell"] == {396, 397, 398, 399} and held["high_flow_low_response"] | held["high_flow_high_response"] == set(range(360, 400))
+    got = [report.episodes(c.repartition(n)).collect() for n in (2, 5)]
+    assert sorted(got[0]) == sorted(got[1]) and all(r["ts"] in held[r["kind"]] and r["i"] <= 3 for r in got[0]) and len(got[0]) == 15
+
+
+def test_session_gate_and_manifest(spark):
+    """Stage two runs where the files pass; a late interval, a repeated id or times that rise and fall stop it."""
+    lines = lambda ts: spark.createDataFrame([(f"e{i}", t, i) for i, t in enumerate(ts)], "uid string, timestamp long, ingest_pos long")
+    e = canonical.with_ambiguity(spark.createDataFrame([place(0, 1_000, "a", "buy", 10.0, 1.0), place(1, 1_000, "b", "sell", 11.0, 1.0), execute(2, 3_000, "a", "b", 10.0, 1.0)], EVENT), ("symbol",))
+    gate = lambda ts, before=5_000: gates.session_gate(lines(ts), lines([1]), e, 0, 2_000, before).collect()[0]
+    good = gate([3_000, 2_000, 2_000, 1_000])
+    assert (good["dl_verdict"], good["mkt_verdict"], good["final_verdict"]) == ("PASS", "PASS", "PASS")
+    bad = gate([3_000, 1_000, 2_000])
+    assert (bad["dl_verdict"], bad["mkt_verdict"], bad["final_verdict"], bad["dl_reason"]) == ("FAIL", "SKIPPED", "FAIL", "times rise and fall")
+    assert gate([1_000, 2_000], 10**9)["dl_reason"].startswith("newest 2000")
+    twice = spark.createDataFrame([("x", 1, 0), ("x", 2, 1), (None, 3, 2)], "uid string, timestamp long, ingest_pos long")
+    assert gates.download_truth(twice, lines([1]), 0, 10).collect()[0]["dup_event_uid"] == 2
+    m = gates.manifest(lines([9, 5, 1]), "orders", 0, 10).collect()[0]
+    assert (m["first_ts"], m["last_ts"], m["status"]) == (9, 1, "COMPLETE_LEGACY_VERIFIED") and gates.manifest(lines([9]), "orders", 0, 10**9).count() == 0
+    far = lines([*range(2_000_000, 2_000_010)]).withColumn("ingest_pos", F.col("ingest_pos") * (1 << 20)).withColumnRenamed("timestamp", "ts")
+    assert gates.line_order(far).collect()[0]["ts_order"] == "asc"
+
+
+def test_reports_as_text(spark, tmp_path):
+    rows = spark.createDataFrame([("LOW", 1.5), (None, 2.0)], "label string, x double").coalesce(1)
+    lines = canonical.markdown(rows)
+    assert lines == ["| label | x |", "|---|---|", "| LOW | 1.5 |", "|  | 2.0 |"]
+    canonical.write_text(lines, str(tmp_path / "r"), spark)
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()] == lines
+    canonical.write_report(rows, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+    (tmp_path / "m.csv").write_text("selected,warmup_start,research_end\nHIGH,2026-01-01T02:00:00Z,2026-01-01T04:00:00Z\n,x,y\nLOW,2026-01-01T00:00:00Z,2026-01-01T02:00:00Z\n")
+    s = canonical.read_sessions(spark, str(tmp_path / "m.csv")).collect()
+    assert [r["selected"] for r in s] == ["LOW", "HIGH"] and s[0]["before_ms"] - s[0]["since_ms"] == 7_200_000
+
+
+def test_as_of_over_chunks(spark):
+    """An observation is carried over chunks that have none."""
+    obs = spark.createDataFrame([("X", 5, 1.0), ("X", 42, None), ("X", 95, 3.0), ("Y", 1, 9.0)], "symbol string, ts long, mid double")
+    pts = spark.createDataFrame([("X", t) for t in (0, 5, 39, 42, 90, 300)] + [("Y", 300), ("Z", 5)], "symbol string, anchor long")
+    got = {(r["symbol"], r["anchor"]): r["mid"] for r in windows.as_of(pts, obs, "anchor", ["mid"], 10).collect()}
+    assert got == {("X", 0): None, ("X", 5): 1.0, ("X", 39): 1.0, ("X", 42): None, ("X", 90): None, ("X", 300): 3.0, ("Y", 300): 9.0, ("Z", 5): None}
