@@ -49,6 +49,12 @@ class Scratch:
             made.append(out)
         return out[0]
 
+    def keep(self, table: DataFrame) -> None:
+        """Gives a table made here to the span around it."""
+        for made in self.outer[-1:]:
+            made.extend(x for x in self.made if x[0] is table)
+        self.made[:] = [x for x in self.made if x[0] is not table]
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes these now."""
         for path in [p for df, p in self.made if any(df is t for t in tables)]:
@@ -61,6 +67,13 @@ class Scratch:
         self.drop(*(df for df, _ in self.made))
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Batches that go to Python and back hold about `size` of data, unless the session has a setting of its own: texts pass in and out, on both sides, in several copies."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m"):  # Spark's own setting
+        spark.conf.set(key, size)
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,7 +90,7 @@ def parted(wide: DataFrame, keys: DataFrame, on: list[Column], buckets: int = 1
     return wide.where("__hit IS NOT NULL"), wide.where("__hit IS NULL")
 
 
-def buckets_for(rows: int, each: int = 40_000) -> int:
+def buckets_for(rows: int, each: int = 10_000) -> int:
     """How many buckets keep about `each` rows in one."""
     return max(1, -(-rows // each))
 

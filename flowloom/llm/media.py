@@ -40,8 +40,8 @@ def some(values: Iterator[bytes], size: int = TOGETHER) -> Iterator[list[bytes]]
 
 
 def stored(rows: DataFrame, column: str, media: str = "media") -> DataFrame:
-    """rows with a binary column in place of `column`: the file that holds it."""
-    others = [c for c in rows.columns if c != column]
+    """rows with a binary column in place of `column`: the file that holds it. A column of the name that media gives is replaced."""
+    others = [c for c in rows.columns if c not in (column, media)]
     schema = rows.select(*[F.col(f"`{c}`") for c in others], F.lit(b"").alias(media)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

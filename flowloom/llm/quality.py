@@ -157,9 +157,9 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the text's score (double) in place of the text."""
+    """docs with the text's score (double) in place of the text; a column named score is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != text_col]
+    names = [c for c in docs.columns if c not in (text_col, "score")]
     kept = [F.col(f"`{c}`") for c in names]
     schema = docs.select(*kept, F.lit(1.0).alias("score")).schema
 

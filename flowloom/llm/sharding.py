@@ -3,10 +3,11 @@
 Rows are ordered by a hash of their text, so equal texts are one group and stay together. Exact bytes below 4,096 candidate boundaries are counted over all
 partitions; each further round puts 4,096 probes into the intervals that hold a splitter, until every splitter is within `tolerance` of its quota. Groups
 above 1 % of a shard (at most 100 x shards of them) are placed whole beforehand, largest first into the emptiest shard, and the quotas of the rest make
-up for them; a group above half a shard is the exception: its rows are dealt out singly by a hash of the id, as no whole placement could be even.
+up for them. The law is even bytes; where it and whole groups cannot both hold, it goes first: a group above half a shard is dealt out row by row by a hash
+of the id, at every size of the input.
 
 Defined results: a null text has size 1 (no bytes plus 1) and crc 0, and shares a group with other null texts; an empty table gives an empty table;
-repeated rows are separate rows; other columns are kept by sharded() (its own columns start with "shard_").
+repeated rows are separate rows; other columns are kept by sharded(), but for shard, slot and names that start with "shard_" or "__shard_", which are its own.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, ranked, written
+from .common import Scratch, buckets_for, ranked, written
 
 SEED = 40_009
 BITS = 12
@@ -84,19 +85,27 @@ def splitters(rest: DataFrame, quotas: list[float], tolerance: float = TOLERANCE
     return [d if d is not None else x for d, x in zip(done, lo)]
 
 
+def law(lean: DataFrame, shards: int, tolerance: float) -> tuple[DataFrame, Column, list[int], int]:
+    """From lean rows: the table of groups that are placed beforehand (-1: dealt out singly), the key that orders the rest, its splitters, and how many buckets number a shard."""
+    whole, single, quotas = placement(lean, shards)
+    table = lean.sparkSession.createDataFrame([(g, k) for g, k in whole.items()] + [(g, -1) for g in single], "__shard_g long, __shard_place int")
+    key = F.shiftrightunsigned(F.when(F.col("__shard_place") == -1, F.xxhash64("shard_row", "shard_group")).otherwise(F.col("shard_group")), 1)
+    placed = lean.join(F.broadcast(table), F.col("shard_group") == F.col("__shard_g"), "left")  # below 100 x shards rows
+    rest = placed.where("__shard_place IS NULL OR __shard_place = -1").select(key.alias("shard_key"), "shard_size")
+    return table, key, splitters(rest, quotas, tolerance), buckets_for(lean.count() // shards)
+
+
 def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """docs with shard (int) and slot (its place in the shard, gapless from 0). The rows move once, to (shard, bucket of a hash)."""
-    wide = keyed(docs, id_col, text_col)
-    lean = written(wide.select("shard_size", "shard_group", "shard_row"))
-    whole, single, quotas = placement(lean, shards)
-    table = lean.sparkSession.createDataFrame([(g, k) for g, k in whole.items()] + [(g, -1) for g in single], "place_group long, place int")
-    place = lambda df: df.join(F.broadcast(table), F.col("shard_group") == F.col("place_group"), "left").drop("place_group")  # noqa: E731  below 100 x shards rows
-    key = F.shiftrightunsigned(F.when(F.col("place") == -1, F.xxhash64("shard_row", "shard_group")).otherwise(F.col("shard_group")), 1)
-    rest = place(lean).where("place IS NULL OR place = -1").select(key.alias("shard_key"), "shard_size")
-    cuts = splitters(rest, quotas, tolerance)
-    by_key: Column = reduce(lambda a, b: a + b, [(F.col("shard_key") >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
-    out = place(wide).withColumn("shard_key", key).withColumn("shard", F.when(F.col("place") >= 0, F.col("place")).otherwise(by_key).cast("int"))
-    return ranked(out, ["shard"], [F.col("shard_key"), F.col("shard_row"), F.col(id_col)], F.xxhash64("shard_row"), buckets_for(lean.count() // shards), "slot").drop("place", "shard_key")
+    wide = keyed(docs.drop("shard", "slot"), id_col, text_col)
+    with Scratch(docs.sparkSession):
+        lean = written(wide.select("shard_size", "shard_group", "shard_row"))
+        table, key, cuts, buckets = law(lean, shards, tolerance)
+    by_key: Column = reduce(lambda a, b: a + b, [(F.col("__shard_key") >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    out = wide.join(F.broadcast(table), F.col("shard_group") == F.col("__shard_g"), "left").withColumn("__shard_key", key)  # below 100 x shards rows
+    out = out.withColumn("shard", F.when(F.col("__shard_place") >= 0, F.col("__shard_place")).otherwise(by_key).cast("int"))
+    out = ranked(out, ["shard"], [F.col("__shard_key"), F.col("shard_row"), F.col(f"`{id_col}`")], F.xxhash64("shard_row"), buckets, "slot")
+    return out.drop("__shard_g", "__shard_place", "__shard_key")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

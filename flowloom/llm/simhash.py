@@ -68,12 +68,14 @@ def fingerprints(docs: DataFrame, words: int, text_col: str = "text") -> DataFra
 def linked(docs: DataFrame, words: int = 4, tau: int = TAU) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp, component_id) for every row."""
     rows = written(fingerprints(docs.select("doc_id", "text"), words))
-    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    group = components(links(first, "fp", tau)).withColumnRenamed("node", "fp")
-    group = group.join(first, "fp")
-    smallest = group.groupBy("component").agg(F.min("first").alias("smallest"))
-    group = group.join(smallest, "component").select("fp", "smallest")
-    ids = first.join(group, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    with Scratch(docs.sparkSession) as made:
+        first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        group = components(links(first, "fp", tau)).withColumnRenamed("node", "fp")
+        group = group.join(first, "fp")
+        smallest = group.groupBy("component").agg(F.min("first").alias("smallest"))
+        group = group.join(smallest, "component").select("fp", "smallest")
+        # a table of its own, so that the join below can part a fingerprint that many rows have
+        ids = made.outlive(first.join(group, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 

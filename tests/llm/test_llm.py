@@ -283,6 +283,25 @@ def test_embeddings(spark):
     assert embeddings.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_clusters(spark):
+    """Clusters of many different near vectors, in dense tasks of several blocks: links and groups as by all pairs."""
+    rnd = np.random.default_rng(6)
+    x = np.concatenate([c + rnd.standard_normal((n, 64)) * s for c, n, s in ((rnd.standard_normal(64) * 2, 300, 0.35), (rnd.standard_normal(64) * 2, 150, 0.2), (0, 200, 1.0))])
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1_000 + i, x[3].tolist()) for i in range(3)]
+    x = np.concatenate([x, x[[3, 3, 3]]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    for block in (2048, 64):
+        embeddings.BLOCK = block
+        got = {r["vec_id"]: r for r in embeddings.linked(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)).collect()}
+        embeddings.BLOCK = 2048
+        found = [got[i]["n_links"] for i, _ in data]
+        assert near.sum() > 5_000 and 0.98 * near.sum() <= sum(found) <= near.sum() and all(f <= n for f, n in zip(found, near.sum(1)))
+        root = closed(len(data), [(int(i), int(j)) for i, j in zip(*np.nonzero(near))])
+        assert [got[i]["component_id"] for i, _ in data[:450]] == [min(data[k][0] for k in range(len(data)) if root[k] == root[i]) for i in range(450)]
+
+
 def test_jpeg_round_trip_and_transform():
     rnd = random.Random(3)
     for n in (576, 576 * 5, 576 * 70):
