@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, width, written
 
-COSINE, SAMPLE, TABLES, BITS, RADIUS, ROUNDS, BLOCK, DENSE, SEED = 0.9, 20_000, 4, 64, 20, 30, 2048, 4, 70_001
+COSINE, SAMPLE, TABLES, BITS, RADIUS, ROUNDS, BLOCK, DENSE, FEW, SEED = 0.9, 20_000, 4, 64, 20, 30, 2048, 4, 64, 70_001
 PIECE = BITS // TABLES
 
 
@@ -93,6 +93,26 @@ def candidates(coded: DataFrame) -> DataFrame:
         def sent(kind: int, a: np.ndarray, b: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *map(pa.array, rows)], ["kind", "a", "b", "k", "code", "alone", "own"])
 
+        def small(task: np.ndarray, k: np.ndarray, rep: np.ndarray, code: np.ndarray, alone: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """The pairs of many tasks of few rows each."""
+            start = np.concatenate([[True], task[1:] != task[:-1]])
+            first = np.maximum.accumulate(np.where(start, np.arange(len(task)), 0))
+            before = np.arange(len(task)) - first  # each row meets the rows of its task before it
+            ends, lo = np.cumsum(before), 0
+            while lo < len(task):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), "right")))
+                n = before[lo:hi]
+                i = np.repeat(np.arange(lo, hi), n)
+                j = np.repeat(first[lo:hi], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                m = alone[i] | (own[i] != own[j])
+                i, j = i[m], j[m]
+                m = first_met(i, j, k, code)
+                if m.any():
+                    a, b = rep[i[m]], rep[j[m]]
+                    none = np.zeros(len(a), np.int64)
+                    yield sent(0, np.minimum(a, b), np.maximum(a, b), [none, none, none > 0, none.astype(np.int32)])
+                lo = hi
+
         def of_task(task: int, k: np.ndarray, rep: np.ndarray, code: np.ndarray, alone: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
             """The pairs of one task; where they are more than DENSE for each row, its rows."""
             rows, found, n = np.arange(len(rep)), [], 0
@@ -114,13 +134,17 @@ def candidates(coded: DataFrame) -> DataFrame:
             return sent(0, np.minimum(a, b), np.maximum(a, b), [none, none, none > 0, none.astype(np.int32)])
 
         def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not len(rows[0]):
+                return
+            cuts = np.concatenate([[0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, [len(rows[0])]])
+            size = np.diff(cuts)
+            few = np.repeat(size <= FEW, size)
             task, k, rep, code, alone, own = rows
-            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi > lo + 1:
-                    out = of_task(task[lo], k[lo:hi], rep[lo:hi], code[lo:hi].view(np.uint64), alone[lo:hi], own[lo:hi])
-                    if out.num_rows:
-                        yield out
+            yield from small(task[few], k[few], rep[few], code[few].view(np.uint64), alone[few], own[few])
+            for lo, hi in zip(cuts[:-1][size > FEW].tolist(), cuts[1:][size > FEW].tolist()):
+                out = of_task(task[lo], k[lo:hi], rep[lo:hi], code[lo:hi].view(np.uint64), alone[lo:hi], own[lo:hi])
+                if out.num_rows:
+                    yield out
 
         for b in batches:
             if b.num_rows:
