@@ -7,6 +7,8 @@ Distinct counts use intervals: a row is the newest of its key from its time unti
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,40 +21,57 @@ def ceil_to(ts: Column, step: int) -> Column:
     return (F.ceil(ts / step) * step).cast("long")
 
 
-def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column], windows: list[int], step: int) -> DataFrame:
-    """Sums of values over (t - W, t] at each anchor, as columns name_W; zero where nothing falls in. anchors (symbol, anchor) lie on multiples of step. Rows without a time count nowhere."""
-    atoms = atoms.where("ts IS NOT NULL")
+def deltas(rows: DataFrame, distinct: dict[str, tuple[str | None, str]], windows: list[int], step: int) -> DataFrame:
+    """rows (symbol, ts, ..) -> (symbol, anchor, __name_W): +1 where a key starts to count in the window W, -1 where it ends to.
+
+    distinct: name -> (condition, key) as SQL. A row is the newest of its key from its time until the next of its key, or W later.
+    """
+    keyed = ", ".join(f"named_struct('n', '{n}', 'k', CASE WHEN {c or 'true'} THEN cast({k} AS string) END)" for n, (c, k) in distinct.items())
+    r = rows.selectExpr(KEY, "ts", f"inline(array({keyed})) AS (n, k)").where("k IS NOT NULL")
+    r = r.withColumn("next", F.lead("ts").over(Window.partitionBy(KEY, "n", "k").orderBy("ts")))
+    up = lambda x: f"cast(ceil(({x}) / {step}) * {step} AS bigint)"
+    ends = ", ".join(f"named_struct('w', {w}, 'anchor', {up(f'least(coalesce(next, ts + {w}), ts + {w})')})" for w in windows)
+    r = r.selectExpr(KEY, "n", f"{up('ts')} AS a", f"array({ends}) AS e").selectExpr(KEY, "n", "filter(e, x -> x.anchor > a) AS e", "a").where("size(e) > 0")
+    r = r.selectExpr(KEY, "n", "e", "inline(concat(array(named_struct('w', 0, 'anchor', a)), e)) AS (w, anchor)")
+    return r.selectExpr(KEY, "anchor", *[f"CASE WHEN n <> '{n}' THEN NULL WHEN w = {w} THEN -1 WHEN w = 0 AND exists(e, x -> x.w = {w}) THEN 1 END AS `__{n}_{w}`" for n in distinct for w in windows])
+
+
+def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column | str], windows: list[int], step: int, distinct: dict[str, tuple[str | None, str]] | None = None) -> DataFrame:
+    """Sums of values over (t - W, t] at each anchor, as columns name_W; zero where nothing falls in. anchors (symbol, anchor) lie on multiples of step. Rows without a time count nowhere.
+
+    distinct (name -> condition and key, as SQL) adds how many distinct non-null keys fall in. Atoms, changes of these counts and anchors are summed in one
+    exchange; one pass over the short table of anchors then gives all windows.
+    """
+    atoms, distinct = atoms.where("ts IS NOT NULL"), distinct or {}
     short = [w for w in windows if w < step]
     long = [w for w in windows if w >= step and w % step == 0]
-    odd = [w for w in windows if w not in short and w not in long]
-    a = atoms.withColumn("anchor", ceil_to(F.col("ts"), step))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    aggs = [zero(F.sum(v)).alias(f"__{n}") for n, v in values.items()] if long else []
-    aggs += [zero(F.sum(F.when(F.col("ts") > F.col("anchor") - w, v))).alias(f"{n}_{w}") for w in short for n, v in values.items()]
-    out = anchors
-    if aggs:
-        out = anchors.join(a.groupBy(KEY, "anchor").agg(*aggs), [KEY, "anchor"], "full")
-        over = lambda w: Window.partitionBy(KEY).orderBy("anchor").rangeBetween(-(w - step), 0)
-        out = out.select(KEY, "anchor", *[zero(F.col(f"{n}_{w}")).alias(f"{n}_{w}") for w in short for n in values], *[zero(F.sum(f"__{n}").over(over(w))).alias(f"{n}_{w}") for w in long for n in values])
-        out = out.join(anchors, [KEY, "anchor"], "left_semi")
+    odd = [w for w in windows if w not in short and w not in long and values]
+    of = lambda v: F.expr(v) if isinstance(v, str) else v
+    parts = [anchors.selectExpr(KEY, "anchor", "1 AS __on")]
+    if values:
+        parts.append(atoms.select(KEY, "ts", ceil_to(F.col("ts"), step).alias("anchor"), *[of(v).alias(f"__{n}") for n, v in values.items()]))
+    else:
+        parts[0] = parts[0].withColumn("ts", F.lit(None).cast("long"))
+    if distinct:
+        parts.append(deltas(atoms, distinct, windows, step))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = ["max(__on) AS __on", *[f"coalesce(sum(CASE WHEN ts > anchor - {w} THEN `__{n}` END), 0) AS `{n}_{w}`" for w in short for n in values]]
+    sums += [f"coalesce(sum(`__{n}`), 0) AS `__{n}`" for n in values] * bool(long) + [f"coalesce(sum(`__{n}_{w}`), 0) AS `__{n}_{w}`" for n in distinct for w in windows]
+    frame = f"OVER (PARTITION BY {KEY} ORDER BY anchor"
+    wide = [f"{n}_{w}" for w in short for n in values] + [f"sum(`__{n}`) {frame} RANGE BETWEEN {w - step} PRECEDING AND CURRENT ROW) AS `{n}_{w}`" for w in long for n in values]
+    wide += [f"sum(`__{n}_{w}`) {frame} ROWS UNBOUNDED PRECEDING) AS `{n}_{w}`" for n in distinct for w in windows]
+    out = rows.groupBy(KEY, "anchor").agg(*map(F.expr, sums)).selectExpr(KEY, "anchor", "__on", *wide).where("__on = 1").drop("__on")
     for w in odd:
-        both = atoms.select(KEY, "ts", *[v.alias(n) for n, v in values.items()], F.lit(False).alias("is_anchor")).unionByName(anchors.select(KEY, F.col("anchor").alias("ts"), F.lit(True).alias("is_anchor")), allowMissingColumns=True)
-        over_w = Window.partitionBy(KEY).orderBy("ts").rangeBetween(-(w - 1), 0)
-        got = both.select(KEY, F.col("ts").alias("anchor"), "is_anchor", *[zero(F.sum(n).over(over_w)).alias(f"{n}_{w}") for n in values]).where("is_anchor").drop("is_anchor")
+        both = atoms.select(KEY, "ts", *[of(v).alias(n) for n, v in values.items()], F.lit(False).alias("is_anchor")).unionByName(anchors.select(KEY, F.col("anchor").alias("ts"), F.lit(True).alias("is_anchor")), allowMissingColumns=True)
+        over = f"OVER (PARTITION BY {KEY} ORDER BY ts RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        got = both.selectExpr(KEY, "ts AS anchor", "is_anchor", *[f"coalesce(sum(`{n}`) {over}, 0) AS `{n}_{w}`" for n in values]).where("is_anchor").drop("is_anchor")
         out = out.join(got, [KEY, "anchor"])
     return out
 
 
 def distinct_counts(rows: DataFrame, anchors: DataFrame, name: str, key: Column, windows: list[int], step: int) -> DataFrame:
     """How many distinct non-null keys rows (symbol, ts, ..) have in (t - W, t], as columns name_W."""
-    r = rows.select(KEY, "ts", key.alias("k")).where("k IS NOT NULL AND ts IS NOT NULL").distinct()
-    r = r.withColumn("next", F.lead("ts").over(Window.partitionBy(KEY, "k").orderBy("ts")))
-    spans = r.select(KEY, F.explode(F.array(*[F.struct(F.lit(w).alias("w"), ceil_to(F.col("ts"), step).alias("a"), ceil_to(F.least(F.coalesce("next", F.col("ts") + w), F.col("ts") + w), step).alias("b")) for w in windows])).alias("x")).where("x.a < x.b")
-    steps = spans.select(KEY, "x.w", F.explode(F.array(F.struct(F.col("x.a").alias("anchor"), F.lit(1).alias("d")), F.struct(F.col("x.b").alias("anchor"), F.lit(-1).alias("d")))).alias("y"))
-    d = steps.groupBy(KEY, F.col("y.anchor").alias("anchor")).agg(*[F.sum(F.when(F.col("w") == w, F.col("y.d")).otherwise(0)).alias(f"d{w}") for w in windows])
-    over = Window.partitionBy(KEY).orderBy("anchor").rowsBetween(Window.unboundedPreceding, 0)
-    out = anchors.join(d, [KEY, "anchor"], "full").select(KEY, "anchor", *[F.coalesce(F.sum(f"d{w}").over(over), F.lit(0)).alias(f"{name}_{w}") for w in windows])
-    return out.join(anchors, [KEY, "anchor"], "left_semi")
+    return windowed(rows.select(KEY, "ts", key.alias("__key")), anchors, {}, windows, step, {name: (None, "__key")})
 
 
 def as_of(points: DataFrame, observed: DataFrame, at: str, columns: list[str], chunk: int = 3_600_000) -> DataFrame:
@@ -73,47 +92,44 @@ def as_of(points: DataFrame, observed: DataFrame, at: str, columns: list[str], c
 
 
 def aggressive_flow(taker: DataFrame, anchors: DataFrame, windows: list[int], step: int) -> DataFrame:
-    buy, q, n = F.col("aggressor") == "buy", F.col("qty"), F.col("notional")
-    values = {"buy_taker_qty": F.when(buy, q), "sell_taker_qty": F.when(~buy, q), "buy_taker_count": F.when(buy, 1), "sell_taker_count": F.when(~buy, 1), "buy_notional": F.when(buy, n), "sell_notional": F.when(~buy, n)}
-    out = windowed(taker, anchors, values, windows, step)
-    for side, name in ((buy, "ask_levels_consumed"), (~buy, "bid_levels_consumed")):
-        out = out.join(distinct_counts(taker.where(side), anchors, name, F.col("price"), windows, step), [KEY, "anchor"])
-    d = lambda c: F.col(c).cast("double")
-    return out.withColumns({f"afi_{w}": (d(f"buy_taker_qty_{w}") - d(f"sell_taker_qty_{w}")) / (d(f"buy_taker_qty_{w}") + d(f"sell_taker_qty_{w}") + EPS) for w in windows})
+    of = {side: f"aggressor = '{side}'" for side in ("buy", "sell")}
+    values = {f"{side}_{name}": f"CASE WHEN {c} THEN {v} END" for name, v in (("taker_qty", "qty"), ("taker_count", "1"), ("notional", "notional")) for side, c in of.items()}
+    out = windowed(taker, anchors, values, windows, step, {"ask_levels_consumed": (of["buy"], "price"), "bid_levels_consumed": (of["sell"], "price")})
+    b, s = (lambda w, side=side: f"cast(`{side}_taker_qty_{w}` AS double)" for side in ("buy", "sell"))
+    return out.selectExpr("*", *[f"({b(w)} - {s(w)}) / ({b(w)} + {s(w)} + {EPS}D) AS `afi_{w}`" for w in windows])
 
 
 def passive_flow(atoms: DataFrame, anchors: DataFrame, windows: list[int], step: int) -> DataFrame:
     values = {}
     for side in ("bid", "ask"):
         for action in ("add", "cancel"):
-            m = (F.col("book_side") == side) & (F.col("action") == action)
-            values |= {f"{side}_{action}_qty": F.when(m, F.col("qty")), f"{side}_{action}_orders": F.when(m, 1)}
+            m = f"book_side = '{side}' AND action = '{action}'"
+            values |= {f"{side}_{action}_qty": f"CASE WHEN {m} THEN qty END", f"{side}_{action}_orders": f"CASE WHEN {m} THEN 1 END"}
     out = windowed(atoms, anchors, values, windows, step)
-    return out.withColumns({f"{s}_net_passive_{w}": F.col(f"{s}_add_qty_{w}") - F.col(f"{s}_cancel_qty_{w}") for w in windows for s in ("bid", "ask")})
+    return out.selectExpr("*", *[f"`{s}_add_qty_{w}` - `{s}_cancel_qty_{w}` AS `{s}_net_passive_{w}`" for w in windows for s in ("bid", "ask")])
 
 
 def reprice_flow(atoms: DataFrame, anchors: DataFrame, windows: list[int], step: int) -> DataFrame:
     values = {}
     for side in ("bid", "ask"):
-        at = F.col("book_side") == side
-        leaves = at & (F.col("action") == "reprice_out")
-        values |= {f"{side}_reprice_out_qty": F.when(leaves, F.col("qty")), f"{side}_reprice_in_qty": F.when(at & (F.col("action") == "reprice_in"), F.col("qty"))}
+        at = f"book_side = '{side}' AND action = "
+        values |= {f"{side}_reprice_{way}_qty": f"CASE WHEN {at} 'reprice_{way}' THEN qty END" for way in ("out", "in")}
         for way in ("away", "toward"):
-            values |= {f"{side}_reprice_{way}_qty": F.when(leaves & (F.col("direction") == way), F.col("qty")), f"{side}_reprice_{way}_count": F.when(leaves & (F.col("direction") == way), 1)}
+            leaves = f"{at} 'reprice_out' AND direction = '{way}'"
+            values |= {f"{side}_reprice_{way}_qty": f"CASE WHEN {leaves} THEN qty END", f"{side}_reprice_{way}_count": f"CASE WHEN {leaves} THEN 1 END"}
     out = windowed(atoms, anchors, values, windows, step)
-    return out.withColumns({f"{s}_reprice_net_qty_{w}": F.col(f"{s}_reprice_in_qty_{w}") - F.col(f"{s}_reprice_out_qty_{w}") for w in windows for s in ("bid", "ask")})
+    return out.selectExpr("*", *[f"`{s}_reprice_in_qty_{w}` - `{s}_reprice_out_qty_{w}` AS `{s}_reprice_net_qty_{w}`" for w in windows for s in ("bid", "ask")])
 
 
 def regime_counts(events: DataFrame, anchors: DataFrame, windows: list[int], step: int) -> DataFrame:
     """Activity per window: counts by type, executed quantity and notional, distinct orders and prices, rates per unit of time (windows are in ms)."""
     e = events.withColumnRenamed("timestamp_ms", "ts")
-    t, x = F.col("event_type"), F.col("event_type") == "Execution"
-    values = {"order_event_count": F.lit(1), "placed_count": F.when(t == "OrderPlaced", 1), "cancel_count": F.when(t == "OrderCancelled", 1), "update_count": F.when(t == "OrderUpdated", 1), "execution_count": F.when(x, 1), "execution_qty": F.when(x, F.col("execution_qty")), "execution_notional": F.when(x, F.col("execution_qty").cast("double") * F.col("execution_price"))}
-    out = windowed(e, anchors, values, windows, step)
-    out = out.join(distinct_counts(e, anchors, "unique_order_uids", F.col("order_uid"), windows, step), [KEY, "anchor"])
-    out = out.join(distinct_counts(e, anchors, "levels_touched", F.col("price"), windows, step), [KEY, "anchor"])
+    one = lambda t: f"CASE WHEN event_type = '{t}' THEN 1 END"
+    done = lambda v: f"CASE WHEN event_type = 'Execution' THEN {v} END"
+    values = {"order_event_count": "1", "placed_count": one("OrderPlaced"), "cancel_count": one("OrderCancelled"), "update_count": one("OrderUpdated"), "execution_count": one("Execution"), "execution_qty": done("execution_qty"), "execution_notional": done("cast(execution_qty AS double) * execution_price")}
+    out = windowed(e, anchors, values, windows, step, {"unique_order_uids": (None, "order_uid"), "levels_touched": (None, "price")})
     rates = {"events_per_sec": "order_event_count", "trades_per_sec": "execution_count", "qty_per_sec": "execution_qty", "notional_per_sec": "execution_notional"}
-    return out.withColumns({f"{r}_{w}": F.col(f"{c}_{w}").cast("double") / (w / 1000) for w in windows for r, c in rates.items()})
+    return out.selectExpr("*", *[f"cast(`{c}_{w}` AS double) / {w / 1000}D AS `{r}_{w}`" for w in windows for r, c in rates.items()])
 
 
 def bbo_changes(book: DataFrame, anchors: DataFrame, windows: list[int], step: int) -> DataFrame:
@@ -129,17 +145,18 @@ def price_response(book: DataFrame, flow: DataFrame, anchors: DataFrame, windows
     mids = as_of(asked, book.select(KEY, "ts", "mid"), "t", ["mid"])
     now = mids.groupBy(KEY, "anchor").agg(*[F.max(F.when(F.col("w") == w, F.col("mid"))).alias(n) for n, w in (("m0", 0), *((f"m_{w}", w) for w in windows))])
     out = now.join(flow, [KEY, "anchor"])
-    cols = {}
+    cols = []
     for w in windows:
-        move = F.col("m0") - F.col(f"m_{w}")
-        ticks = move / tick  # signed in the ratios, a magnitude in ticks_moved and levels_crossed
-        levels = F.abs(F.rint(ticks))
-        cols |= {f"signed_mid_change_{w}": move, f"ticks_moved_{w}": F.abs(ticks), f"levels_crossed_{w}": levels}
+        # ticks are signed in the ratios, a magnitude in ticks_moved and levels_crossed
+        move = f"(m0 - m_{w})"
+        ticks = f"({move} / {float(tick)}D)"
+        levels = f"abs(rint({ticks}))"
+        cols += [f"{move} AS `signed_mid_change_{w}`", f"abs({ticks}) AS `ticks_moved_{w}`", f"{levels} AS `levels_crossed_{w}`"]
         for side in ("buy", "sell"):
-            q, n = F.col(f"{side}_taker_qty_{w}").cast("double"), F.col(f"{side}_notional_{w}").cast("double")
-            per = lambda a, b, q=q: F.when(q >= 1e-8, a / (b + EPS))
-            cols |= {f"mid_change_per_{side}_qty_{w}": per(move, q), f"ticks_per_{side}_notional_{w}": per(ticks, n), f"levels_per_{side}_qty_{w}": per(levels, q)}
-    return out.select(KEY, "anchor", *[v.alias(k) for k, v in cols.items()])
+            q, n = (f"cast(`{side}_{x}_{w}` AS double)" for x in ("taker_qty", "notional"))
+            per = lambda a, b, q=q: f"CASE WHEN {q} >= 1e-8D THEN {a} / ({b} + {EPS}D) END"
+            cols += [f"{per(move, q)} AS `mid_change_per_{side}_qty_{w}`", f"{per(ticks, n)} AS `ticks_per_{side}_notional_{w}`", f"{per(levels, q)} AS `levels_per_{side}_qty_{w}`"]
+    return out.selectExpr(KEY, "anchor", *cols)
 
 
 def acceleration(flow: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:

@@ -21,8 +21,8 @@ def d(*names: str) -> list:
 
 def stacked(wide: DataFrame, names: list[str], ws: list[int] = WINDOWS) -> DataFrame:
     """Columns name_W as rows (symbol, anchor, w, names)."""
-    rows = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), *[F.round(F.col(f"{n}_{w}").cast("double"), 6).alias(n) for n in names]) for w in ws]))
-    return wide.select("symbol", "anchor", rows.alias("x")).select("symbol", "anchor", "x.*")
+    rows = ", ".join(f"named_struct('w', {w}, " + ", ".join(f"'{n}', round(cast(`{n}_{w}` AS double), 6)" for n in names) + ")" for w in ws)
+    return wide.selectExpr("symbol", "anchor", f"inline(array({rows}))")
 
 
 def with_old(spark: SparkSession, sf_dir: str) -> DataFrame:

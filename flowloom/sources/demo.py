@@ -11,27 +11,21 @@ STEP, WINDOWS, TICK = 60, [6, 15, 30, 60, 120, 360, 1440, 10_080], 1.0
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("ingest_pos"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60_000).cast("long").alias("timestamp_ms"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"), "user_id", F.col("event_type").alias("et"), F.col("value").cast("decimal(18,2)").alias("v"),
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id AS ingest_pos", "cast(floor(unix_millis(cast(ts AS timestamp)) / 60000) AS bigint) AS timestamp_ms", "cast(get_json_object(props, '$.k') AS int) AS k", "user_id", "event_type AS et", "cast(value AS decimal(18,2)) AS v",
     )
 
 
 def events(spark: SparkSession, sf_dir: str, crossing: bool = False) -> DataFrame:
-    r = raw(spark, sf_dir)
-    et, k, buy = F.col("et"), F.col("k"), F.col("user_id") % 2 == 0
-    kind = F.when(et.isin("signup", "view"), "OrderPlaced").when(et == "click", "OrderUpdated").when(et == "purchase", "Execution").when(k % 10 == 0, "OrderRejected").otherwise("OrderCancelled")
-    price = F.when(buy, 1000 - k % 20).otherwise(1001 + k % 20)
-    if crossing:
-        price = F.when(buy & (k >= 98), 1003).otherwise(price)
-    x = F.col("event_type") == "Execution"
-    out = r.select("ingest_pos", "timestamp_ms", kind.alias("event_type"), (F.col("user_id") * 4 + k % 4).cast("string").alias("uid"), ((F.col("user_id") + 1) * 4 + k % 4).cast("string").alias("taker"), F.when(buy, "buy").otherwise("sell").alias("own_side"), price.cast("double").alias("p"), "v", F.when(k % 7 == 0, "Market").when(k % 2 == 0, "Post").otherwise("Limit").alias("ot"))
-    out = out.select(
-        F.lit("SYN").alias("symbol"), "ingest_pos", "timestamp_ms", "event_type", F.when(~x, F.col("uid")).alias("order_uid"), F.when(~x, F.col("own_side")).alias("side"), F.when(~x, F.col("p")).alias("price"), F.when(~x, F.col("v")).alias("qty"),
-        F.when(x, F.col("uid")).alias("maker_uid"), F.when(x, F.col("taker")).alias("taker_uid"), F.when(x, F.col("p")).alias("execution_price"), F.when(x, F.col("v")).alias("execution_qty"),
-        F.when(~x, F.col("ot")).alias("order_type"), F.when(x, F.when(F.col("own_side") == "buy", "sell").otherwise("buy")).alias("aggressor"),
-    )
-    return with_ambiguity(out, ("symbol",))
+    kind = "CASE WHEN et IN ('signup', 'view') THEN 'OrderPlaced' WHEN et = 'click' THEN 'OrderUpdated' WHEN et = 'purchase' THEN 'Execution' WHEN k % 10 = 0 THEN 'OrderRejected' ELSE 'OrderCancelled' END"
+    crossed = "WHEN user_id % 2 = 0 AND k >= 98 THEN 1003" if crossing else ""
+    price = f"CASE {crossed} WHEN user_id % 2 = 0 THEN 1000 - k % 20 ELSE 1001 + k % 20 END"
+    out = raw(spark, sf_dir).selectExpr("ingest_pos", "timestamp_ms", f"{kind} AS event_type", "cast(user_id * 4 + k % 4 AS string) AS uid", "cast((user_id + 1) * 4 + k % 4 AS string) AS taker", "CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS own_side", f"cast({price} AS double) AS p", "v", "CASE WHEN k % 7 = 0 THEN 'Market' WHEN k % 2 = 0 THEN 'Post' ELSE 'Limit' END AS ot")
+    order = {"order_uid": "uid", "side": "own_side", "price": "p", "qty": "v", "order_type": "ot"}
+    done = {"maker_uid": "uid", "taker_uid": "taker", "execution_price": "p", "execution_qty": "v", "aggressor": "CASE WHEN own_side = 'buy' THEN 'sell' ELSE 'buy' END"}
+    columns = {n: f"CASE WHEN event_type {'<>' if n in order else '='} 'Execution' THEN {v} END AS {n}" for n, v in (order | done).items()}
+    names = ["order_uid", "side", "price", "qty", "maker_uid", "taker_uid", "execution_price", "execution_qty", "order_type", "aggressor"]
+    return with_ambiguity(out.selectExpr("'SYN' AS symbol", "ingest_pos", "timestamp_ms", "event_type", *[columns[n] for n in names]), ("symbol",))
 
 
 def anchors(events: DataFrame, step: int = STEP) -> DataFrame:
