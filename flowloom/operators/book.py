@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -106,19 +107,30 @@ def batches_best(spans: DataFrame, events: DataFrame, chunk: int) -> DataFrame:
     both = moves.unionByName(times, allowMissingColumns=True)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, live = None, ({}, {})
+        now, live, heaps = None, ({}, {}), ([], [])
+
+        def best(ask: bool) -> float | None:
+            """The best price alive; prices that are gone leave the heap when they come up."""
+            heap, sign = heaps[ask], 1 if ask else -1
+            while heap and sign * heap[0] not in live[ask]:
+                heappop(heap)
+            return sign * heap[0] if heap else None
+
         for b in found:
             out = []
             for symbol, c, ts, d, side, price in zip(*(b[n].to_pylist() for n in ("symbol", "c", "ts", "d", "side", "price"))):
                 if (symbol, c) != now:
-                    now, live = (symbol, c), ({}, {})
+                    now, live, heaps = (symbol, c), ({}, {}), ([], [])
                 if d:
-                    book = live[side != "buy"]
+                    ask = side != "buy"
+                    book = live[ask]
+                    if price not in book:
+                        heappush(heaps[ask], price if ask else -price)
                     book[price] = book.get(price, 0) + d
                     if not book[price]:
                         del book[price]
                 else:
-                    out.append((symbol, ts, max(live[0], default=None), min(live[1], default=None)))
+                    out.append((symbol, ts, best(False), best(True)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.float64(), pa.float64()))], ["symbol", "ts", "best_bid", "best_ask"])
 
@@ -126,12 +138,14 @@ def batches_best(spans: DataFrame, events: DataFrame, chunk: int) -> DataFrame:
     return both.repartition(width, "symbol", "c").sortWithinPartitions("symbol", "c", "ts", F.col("d") == 0).mapInArrow(run, "symbol string, ts long, best_bid double, best_ask double")
 
 
-def crossings(top: DataFrame, spans: DataFrame) -> DataFrame:
-    """Timestamps after which the book is crossed or locked, with the orders at the best prices."""
+def crossings(top: DataFrame, spans: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Timestamps after which the book is crossed or locked, with the orders at the best prices. Both sides meet by price and chunk of time."""
     c = top.where("best_bid >= best_ask").withColumn("cross_width", F.col("best_bid") - F.col("best_ask"))
     price = F.explode(F.array(F.struct(F.lit("buy").alias("side"), F.col("best_bid").alias("price")), F.struct(F.lit("sell").alias("side"), F.col("best_ask").alias("price"))))
-    at = c.select("symbol", "ts", price.alias("x")).select("symbol", "ts", "x.side", "x.price")
-    orders = at.join(spans, ["symbol", "side", "price"]).where("from_ts <= ts AND (to_ts IS NULL OR to_ts > ts)")
+    at = c.select("symbol", "ts", price.alias("x")).select("symbol", "ts", "x.side", "x.price", F.floor(F.col("ts") / chunk).alias("c"))
+    ends = c.groupBy("symbol").agg(F.max("ts").alias("end"))
+    held = spans.join(ends, "symbol").where("from_ts <= end").select("symbol", "side", "price", "uid", "from_ts", "to_ts", F.explode(F.sequence(F.floor(F.col("from_ts") / chunk), F.floor(F.least(F.coalesce("to_ts", "end"), "end") / chunk))).alias("c"))
+    orders = at.join(held, ["symbol", "side", "price", "c"]).where("from_ts <= ts AND (to_ts IS NULL OR to_ts > ts)")
     uids = orders.groupBy("symbol", "ts").agg(*[F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("uid")))).alias(f"{n}_uids") for n, s in (("bid", "buy"), ("ask", "sell"))])
     return c.join(uids, ["symbol", "ts"])
 

@@ -27,8 +27,8 @@ def percentile_table(rows: DataFrame, columns: list[str], percents: list[float],
 def cells(rows: DataFrame, by: list[str], columns: list[str], digits: int = 4) -> DataFrame:
     """n and p50, p90, mean of each column per cell. The mean's sum is one of decimals, so that it is the same in any order."""
     mean = lambda c: F.sum(F.col(c).cast(EXACT)).cast("double") / F.count(c)
-    aggs = [F.round(f, digits).alias(f"{c}_{k}") for c in columns for k, f in (("p50", F.percentile(c, 0.5)), ("p90", F.percentile(c, 0.9)), ("mean", mean(c)))]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.array(F.lit(0.5), F.lit(0.9))).alias(f"__{c}") for c in columns], *[mean(c).alias(f"{c}_mean") for c in columns])
+    return found.select(*by, "n", *[F.round(f, digits).alias(f"{c}_{k}") for c in columns for k, f in (("p50", F.col(f"__{c}")[0]), ("p90", F.col(f"__{c}")[1]), ("mean", F.col(f"{c}_mean")))])
 
 
 def joint_state(rows: DataFrame, pressures: dict[str, str], columns: list[str]) -> DataFrame:
