@@ -30,7 +30,8 @@ from .common import Scratch, parted, width, written
 
 GRAM, MIN_WORDS, CHUNK = 8, 25, 1 << 17
 BASE, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+OTHER = np.uint64(0xBF58476D1CE4E5B9)
+INVERSE, OTHER_INVERSE = (np.uint64(pow(int(b), -1, 1 << 64)) for b in (BASE, OTHER))
 SPACE, STOP = np.isin(np.arange(256), list(b" \t\n\r\f\v")), np.isin(np.arange(256), list(b".!?"))
 PLAIN, LATER, OPEN, MARK = np.arange(4, dtype=np.int8)
 ROW = "g long, c long, doc_id long, key long, at long"  # at: word, number of windows, kind
@@ -63,13 +64,19 @@ class Hashed:
         x = np.fromiter((xxhash.xxh64_intdigest(w) for t in words for w in t), np.uint64, n)
         powers = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b)]))
         self.power, self.total = powers(BASE), np.concatenate([[np.uint64(0)], np.cumsum(x * powers(INVERSE)[:n])])
-        self.start = np.cumsum(self.size) - self.size
+        self.start, self.word, self.powers = np.cumsum(self.size) - self.size, x, powers
 
     def of(self, a: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """Hashes of words [a, a + n)."""
         return mixed((self.total[a + n] - self.total[a]) * self.power[a])
 
 
+    def other(self, a: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hashes of the same words by another base, so that both have 128 bits."""
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.word ^ ODD) * self.powers(OTHER_INVERSE)[: len(self.word)])])
+        return mixed((total[a + n] - total[a]) * self.powers(OTHER)[a])
+
+
 def least(h: np.ndarray, window: int) -> np.ndarray:
     """The place of the least hash of each window, the last of equal ones."""
     view = np.lib.stride_tricks.sliding_window_view(h[::-1], window)
@@ -162,14 +169,15 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def opened(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, key, text, at array of packed places) -> ROW of single windows, g their hash."""
+    """(doc_id, key, text, at array of packed places) -> ROW of single windows, g and c their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, s in chunks(b[2], min_words):
                 own = [np.unique(np.concatenate([np.arange(p, p + n) for p, n in zip(*(x.tolist() for x in unpacked(b[3][i].values.to_numpy())))])) for i in at.tolist()]
                 text, pos = np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate(own)
-                yield sent(b, at[text], s.of(s.start[text] + pos, min_words), np.zeros(len(pos), np.uint64), pos.astype(np.int32), np.ones(len(pos), np.int32))
+                a = s.start[text] + pos
+                yield sent(b, at[text], s.of(a, min_words), s.other(a, min_words), pos.astype(np.int32), np.ones(len(pos), np.int32))
 
     return docs.select("doc_id", "key", F.col("text").cast("binary"), "at").mapInArrow(run, ROW)
 
@@ -223,7 +231,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         at = written(at)
         near, _ = parted(docs, at.select("i", "k"), [F.col("doc_id"), F.col("key")])
         single = met(opened(near.join(at, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "at"), min_words))
-        return made.outlive(of_document(found.where(~F.col("first")).unionByName(single), "spans"))
+        return made.outlive(of_document(found.where(~F.col("first")).unionByName(single.where(~F.col("first"))), "spans"))
 
 
 def line_counts(texts: pa.Array) -> np.ndarray:
