@@ -12,7 +12,7 @@ from ..sources import canonical, demo
 from ..sources.shared import shared_dir
 
 STEP, WINDOWS = demo.STEP, demo.WINDOWS
-SINCE, BEFORE, SPLIT, BUCKET = 28_402_000, 28_440_000, 28_420_000, 360
+SPLIT, BUCKET = 28_420_000, 360
 
 
 def d(*names: str) -> list:
@@ -55,8 +55,16 @@ def e5_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.events(spark, sf_dir).groupBy("event_type").agg(F.count_if("ordering_ambiguous").alias("ambiguous"), F.max("n_events_same_ms").alias("most_in_one_ms"), F.count(F.lit(1)).alias("n"))
 
 
+def whole_span(e: DataFrame) -> tuple[int, int]:
+    """The half-open span that holds all events."""
+    lo, hi = e.agg(F.min("timestamp_ms"), F.max("timestamp_ms")).collect()[0]
+    return (lo, hi + 1) if lo is not None else (0, 0)
+
+
 def e7_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = demo.events(spark, sf_dir).where((F.col("timestamp_ms") >= SINCE) & (F.col("timestamp_ms") < BEFORE))
+    e = demo.events(spark, sf_dir)
+    since, before = whole_span(e)
+    e = e.where((F.col("timestamp_ms") >= since) & (F.col("timestamp_ms") < before))
     return e.groupBy(F.when(F.col("timestamp_ms") < SPLIT, "warmup").otherwise("research").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
 
 
@@ -88,11 +96,13 @@ def p3_reprice_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g1_flow_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return atoms.flow_taxonomy(demo.events(spark, sf_dir), SINCE, BEFORE, BUCKET)
+    e = demo.events(spark, sf_dir)
+    return atoms.flow_taxonomy(e, *whole_span(e), BUCKET)
 
 
 def g2_ofi_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return atoms.ofi_atoms(demo.events(spark, sf_dir), SINCE, BEFORE, BUCKET)
+    e = demo.events(spark, sf_dir)
+    return atoms.ofi_atoms(e, *whole_span(e), BUCKET)
 
 
 AGGRESSIVE = ["buy_taker_qty", "sell_taker_qty", "buy_taker_count", "sell_taker_count", "buy_notional", "sell_notional", "afi", "ask_levels_consumed", "bid_levels_consumed"]
@@ -190,7 +200,7 @@ _w3 = [x for b in ("bid", "ask") for x in (r(s("qty", f"book_side = '{b}' AND ac
 _cnt = lambda t: f"count(ts) FILTER (event_type = '{t}')"
 _w4 = [r("count(ts)", "order_event_count"), r(_cnt("OrderPlaced"), "placed_count"), r(_cnt("OrderCancelled"), "cancel_count"), r(_cnt("OrderUpdated"), "update_count"), r(_cnt("Execution"), "execution_count"), r("coalesce(sum(execution_qty), 0)", "execution_qty"), r("coalesce(sum(CAST(execution_qty AS DOUBLE) * execution_price), 0)", "execution_notional"), r("count(DISTINCT order_uid)", "unique_order_uids"), r("count(DISTINCT price)", "levels_touched"), r("count(ts) / (w / 1000.0)", "events_per_sec"), r(f"{_cnt('Execution')} / (w / 1000.0)", "trades_per_sec"), r("CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) / (w / 1000.0)", "qty_per_sec")]
 _evs = "(SELECT *, timestamp_ms AS ts FROM ev)"
-_rng = f"timestamp_ms >= {SINCE} AND timestamp_ms < {BEFORE}"
+_rng = "timestamp_ms >= (SELECT min(timestamp_ms) FROM ev) AND timestamp_ms < (SELECT max(timestamp_ms) + 1 FROM ev)"
 _b = f"timestamp_ms - timestamp_ms % {BUCKET}"
 _q = lambda t, more="": f"CAST(coalesce(sum(qty) FILTER (event_type = '{t}'{more}), 0) AS DOUBLE)"
 _n = lambda t, more="": f"count(*) FILTER (event_type = '{t}'{more})"

@@ -269,6 +269,13 @@ def test_reports_as_text(spark, tmp_path):
     assert [r["selected"] for r in s] == ["LOW", "HIGH"] and s[0]["before_ms"] - s[0]["since_ms"] == 7_200_000
 
 
+def test_spans_are_half_open(spark):
+    """An event at since counts, one at before does not; buckets start at multiples of their width."""
+    e = canonical.with_ambiguity(spark.createDataFrame([place(i, t, f"u{i}", "buy", 10.0, 1.0) for i, t in enumerate((99, 100, 149, 150, 199, 200))], EVENT), ("symbol",))
+    assert {r["bucket_ms"]: r["placed_orders"] for r in atoms.flow_taxonomy(e, 100, 200, 50).collect()} == {100: 2, 150: 2}
+    assert {r["bucket_ms"]: r["bid_new_orders"] for r in atoms.ofi_atoms(e, 100, 200, 50).collect()} == {100: 2, 150: 2}
+
+
 def test_as_of_over_chunks(spark):
     """An observation is carried over chunks that have none."""
     obs = spark.createDataFrame([("X", 5, 1.0), ("X", 42, None), ("X", 95, 3.0), ("Y", 1, 9.0)], "symbol string, ts long, mid double")
