@@ -139,16 +139,23 @@ def by_subtree(table: DataFrame, depth: int, f, schema: str) -> DataFrame:
     """f(k, n) over whole subtrees of two context bytes, many of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, n, shift = np.zeros(0, np.int64), np.zeros(0, np.int64), 8 * (depth - 1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # joined once, when a subtree ends after enough rows
+        size, shift = 0, 8 * (depth - 1)
+        whole = lambda: f(*(np.concatenate(x) for x in zip(*held)))
         for b in batches:
-            k, n = np.concatenate([k, b[0].to_numpy()]), np.concatenate([n, b[1].to_numpy()])
-            if len(k) > 100_000:
-                cut = int(np.searchsorted(k, k[-1] >> shift << shift))
-                if cut:
-                    yield f(k[:cut], n[:cut])
-                    k, n = k[cut:], n[cut:]
-        if len(k):
-            yield f(k, n)
+            k, n = b[0].to_numpy(), b[1].to_numpy()
+            if not len(k):
+                continue
+            if size > 100_000:
+                cut = int(np.searchsorted(k, k[-1] >> shift << shift))  # the subtree at the end may go on
+                if k[-1] >> shift != held[-1][0][-1] >> shift:
+                    held.append((k[:cut], n[:cut]))
+                    yield whole()
+                    held, size, k, n = [], 0, k[cut:], n[cut:]
+            held.append((k, n))
+            size += len(k)
+        if held:
+            yield whole()
 
     return table.repartition(width(table.sparkSession), F.shiftright("k", 8 * (depth - 1))).sortWithinPartitions("k").mapInArrow(run, schema)
 

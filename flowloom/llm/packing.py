@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import buckets_for, ranked, written
 
 CAPACITY, END, GROUPS, SMALL, GAIN = 1024, 2, 96, 32, 1e-4
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space before a blank, or a blank at an end: there a blank does not start a word for sure. Or so much of it that a regular expression's stack ends.
 WIDE = rf"{SPACES} |^ | $|{SPACES}{{256}}"
