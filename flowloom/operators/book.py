@@ -45,8 +45,7 @@ def best(l: DataFrame) -> DataFrame:
 
 def within(bps: int) -> Column:
     """Whether a level of its side (columns side, price, mid) lies from the mid to so many basis points beyond it: bids below, asks above."""
-    price, mid, buy = F.col("price"), F.col("mid"), F.col("side") == "buy"
-    return (buy & price.between(mid * (1 - bps / 1e4), mid)) | (~buy & price.between(mid, mid * (1 + bps / 1e4)))
+    return F.expr(f"CASE WHEN side = 'buy' THEN price BETWEEN mid * {1 - bps / 1e4}D AND mid ELSE price BETWEEN mid AND mid * {1 + bps / 1e4}D END")
 
 
 def depth(l: DataFrame, top: DataFrame, bps: list[int]) -> DataFrame:
@@ -56,12 +55,10 @@ def depth(l: DataFrame, top: DataFrame, bps: list[int]) -> DataFrame:
     for n in bps:
         aggs += [F.sum(F.when(within(n) & (F.col("side") == s), F.col("qty"))).alias(f"__{name}{n}") for name, s in (("bid", "buy"), ("ask", "sell"))]
     out = rows.groupBy("symbol", "anchor", "mid").agg(*aggs)
-    known = lambda c: F.when(F.col("mid").isNotNull(), F.coalesce(c.cast("double"), F.lit(0.0)))
-    cols: list[Column] = []
-    for n in bps:
-        b, a = known(F.col(f"__bid{n}")), known(F.col(f"__ask{n}"))
-        cols += [b.alias(f"depth_bid_{n}bps"), a.alias(f"depth_ask_{n}bps"), F.when(F.col("mid").isNotNull(), F.round(F.coalesce(F.try_divide(b - a, b + a), F.lit(0.0)), 4)).alias(f"obi_{n}bps")]
-    return out.select("symbol", "anchor", *cols)
+    known = [f"CASE WHEN mid IS NOT NULL THEN coalesce(cast(__{s}{n} AS double), 0D) END AS depth_{s}_{n}bps" for n in bps for s in ("bid", "ask")]
+    share = lambda n: f"try_divide(depth_bid_{n}bps - depth_ask_{n}bps, depth_bid_{n}bps + depth_ask_{n}bps)"
+    out = out.selectExpr("symbol", "anchor", "mid", *known)
+    return out.selectExpr("symbol", "anchor", *[x for n in bps for x in (f"depth_bid_{n}bps", f"depth_ask_{n}bps", f"CASE WHEN mid IS NOT NULL THEN round(coalesce({share(n)}, 0D), 4) END AS obi_{n}bps")])
 
 
 def series(spans: DataFrame, grid: DataFrame, step: int, bps: tuple[int, ...] = (5, 10, 25)) -> DataFrame:

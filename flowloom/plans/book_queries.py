@@ -19,8 +19,12 @@ def events(spark, sf_dir, crossing=False) -> DataFrame:
     return demo.events(spark, sf_dir, crossing)
 
 
+def intervals(e: DataFrame) -> DataFrame:
+    return lifecycle.intervals(lifecycle.transitions(e))
+
+
 def spans(spark, sf_dir, crossing=False) -> DataFrame:
-    return lifecycle.intervals(lifecycle.transitions(events(spark, sf_dir, crossing)))
+    return intervals(events(spark, sf_dir, crossing))
 
 
 def b1_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def b12_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b13_bbo_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    return book.series(spans(spark, sf_dir), demo.anchors(e), STEP).select("symbol", "anchor", *d("best_bid", "best_ask", "spread", "mid", *DEPTHS, "near_book_depth"), "n_active")
+    return book.series(intervals(e), demo.anchors(e), STEP).select("symbol", "anchor", *d("best_bid", "best_ask", "spread", "mid", *DEPTHS, "near_book_depth"), "n_active")
 
 
 GRIDS = [120, 180, 360, 720, 1_440, 2_880]
@@ -64,7 +68,8 @@ GRIDS = [120, 180, 360, 720, 1_440, 2_880]
 
 def b14_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On six grids."""
-    e, s = events(spark, sf_dir), stored(spans(spark, sf_dir))
+    e = events(spark, sf_dir)
+    s = stored(intervals(e))
     names = ["best_bid", "best_ask", *[f"{x}_{n}bps" for n in (5, 10, 25, 50) for x in ("depth_bid", "depth_ask", "obi")], *[f"{x}_l{n}_qty" for x in ("bid", "ask") for n in (1, 5, 10)]]
     parts = [book.market_state(s, demo.anchors(e, g), g).select("symbol", F.lit(g).alias("grid"), "anchor", *d(*names)) for g in GRIDS]
     return reduce(DataFrame.unionByName, parts)
@@ -72,13 +77,13 @@ def b14_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b7_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir, True)
-    s = spans(spark, sf_dir, True)
+    s = intervals(e)
     return book.crossings(book.batches_best(s, e, 500), s, 500).select("ts", *d("best_bid", "best_ask", "cross_width"), F.size("bid_uids").alias("n_bid_uids"), F.size("ask_uids").alias("n_ask_uids"), F.element_at("bid_uids", 1).alias("first_bid_uid"))
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir, True)
-    s = spans(spark, sf_dir, True)
+    s = intervals(e)
     return book.classified(book.crossings(book.batches_best(s, e, 500), s, 500), e)
 
 
@@ -114,7 +119,7 @@ SUMMARY = ["total_qty", "max_qty", "p50_qty", "p75_qty", "p90_qty", "p95_qty", "
 def l7_level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     g = demo.anchors(e)
-    s = levels.summary(level_atoms(spark, sf_dir), g, book.series(spans(spark, sf_dir), g, STEP), STEP, TICK)
+    s = levels.summary(lifecycle.level_atoms(e), g, book.series(intervals(e), g, STEP), STEP, TICK)
     return s.select("anchor", "side", "n_levels", "n_above_3x_median", "n_above_5x_median", *d(*SUMMARY))
 
 
@@ -130,7 +135,7 @@ def f1_level_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w5_bbo_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     g = demo.anchors(e)
-    b = book.series(spans(spark, sf_dir), g, STEP).withColumnRenamed("anchor", "ts")
+    b = book.series(intervals(e), g, STEP).withColumnRenamed("anchor", "ts")
     c = windows.bbo_changes(b, g, WINDOWS, STEP)
     return windows.as_of(c, b, "anchor", ["spread", "near_book_depth"]).select("anchor", *d(*[f"bbo_change_count_{w}" for w in WINDOWS], "spread", "near_book_depth"))
 
@@ -141,7 +146,7 @@ MOVES = [6, 15, 30, 60, 120, 360, 1440]
 def w9_price_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     g, ws = demo.anchors(e), MOVES
-    b = book.series(spans(spark, sf_dir), g, STEP).select("symbol", F.col("anchor").alias("ts"), "mid")
+    b = book.series(intervals(e), g, STEP).select("symbol", F.col("anchor").alias("ts"), "mid")
     p = windows.price_response(b, windows.aggressive_flow(atoms.taker(e), g, ws, STEP), g, ws, TICK)
     return p.select("anchor", *d(*[c for c in p.columns if c not in ("symbol", "anchor")]))
 

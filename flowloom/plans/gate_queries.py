@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import atoms, book, levels, lifecycle, windows
 from ..sources import demo
 from . import gates
-from .book_queries import HORIZON, XREC, _cls, _lv, _rp, _zone, _within, spans
+from .book_queries import HORIZON, XREC, _cls, _lv, _rp, _zone, _within, intervals
 from .flow_queries import GRID, PLAIN, STEP, TK, s
 
 RESEARCH, KEYS = 28_420_000, ["symbol", "label"]
@@ -33,7 +33,7 @@ def v2_market_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b8_crossed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters over the stream whose books cross, with crossed and locked books."""
     e = demo.events(spark, sf_dir, True)
-    return lifecycle.counters(lifecycle.transitions(e), e, book.batches_best(spans(spark, sf_dir, True), e, 500))
+    return lifecycle.counters(lifecycle.transitions(e), e, book.batches_best(intervals(e), e, 500))
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
