@@ -28,27 +28,35 @@ def legs(events: DataFrame) -> DataFrame:
     return rows.select("symbol", "x.uid", "ts", "prio", "ingest_pos", "x.leg", "x.kind", "side", "price", "x.qty").where("kind IS NOT NULL AND ts IS NOT NULL")
 
 
-def folded(rows: DataFrame, start: Callable[[], object], step: Callable, schema) -> DataFrame:
-    """step(state, row) -> (state, output tuples) over each order's legs in order."""
+def folded(rows: DataFrame, start: Callable[[], object], step: Callable, schema, end: Callable | None = None) -> DataFrame:
+    """step(state, row) -> (state, output tuples) over each order's legs in order; end(state) -> what an order's last state gives."""
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        now, state = None, None
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], names=names)
+        uid, symbol, state = None, None, None
         for b in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[:2] != now:
-                    now, state = row[:2], start()
-                state, made = step(state, row)
-                out += made
+                if row[1] != uid or row[0] != symbol:
+                    if end and uid is not None:
+                        out += end(state)
+                    symbol, uid, state = row[0], row[1], start()
+                state, more = step(state, row)
+                if more:
+                    out += more
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], names=names)
+                yield made(out)
+        if end and uid is not None and (out := end(state)):
+            yield made(out)
 
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*ORDER_BY, "kind", "side", "price", "qty").repartition(width, "symbol", "uid").sortWithinPartitions(*ORDER_BY).mapInArrow(run, schema)
+    # ids go first: their first bytes part most rows, where those of a symbol part none
+    order = ["uid", "symbol", *ORDER_BY[2:]]
+    return rows.select(*ORDER_BY, "kind", "side", "price", "qty").repartition(width, "symbol", "uid").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def book_step(state, row):
@@ -87,6 +95,22 @@ def intervals(moves: DataFrame) -> DataFrame:
     return nxt.where("active AND (to_ts IS NULL OR to_ts > ts)").select("symbol", "uid", F.col("ts").alias("from_ts"), "to_ts", "side", "price", "qty", "placed_ms", "placed_pos")
 
 
+def interval_step(held, row):
+    """book_step, with the state that the order has had since the leg before: it is an interval if it lasts beyond its timestamp."""
+    before, since = held[:2] if held else (None, None)
+    state, _ = book_step(before, row)
+    made = [(row[0], row[1], since, row[2], *before)] if before is not None and since < row[2] else []
+    return (state, row[2], row[0], row[1]), made
+
+
+def book_intervals(events: DataFrame) -> DataFrame:
+    """intervals(transitions(events)) in one pass, for where the transitions themselves are not asked for."""
+    rows = legs(events)
+    null = lambda t: F.lit(None).cast(t)
+    schema = rows.select("symbol", "uid", F.col("ts").alias("from_ts"), null("long").alias("to_ts"), "side", null("double").alias("price"), "qty", null("long").alias("placed_ms"), null("long").alias("placed_pos")).schema
+    return folded(rows, lambda: None, interval_step, schema, lambda held: [(*held[2:4], held[1], None, *held[0])] if held[0] is not None else [])
+
+
 def counters(moves: DataFrame, events: DataFrame, top: DataFrame | None = None) -> DataFrame:
     """Counts of odd transitions, of timestamps with several events and, with the best prices after each timestamp (symbol, best_bid, best_ask), of crossed and locked books."""
     odd = ["unknown_update", "unknown_cancel", "unknown_exec_maker", "unknown_exec_taker", "duplicate_active_uid", "negative_qty"]

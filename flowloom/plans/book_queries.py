@@ -20,7 +20,7 @@ def events(spark, sf_dir, crossing=False) -> DataFrame:
 
 
 def intervals(e: DataFrame) -> DataFrame:
-    return lifecycle.intervals(lifecycle.transitions(e))
+    return lifecycle.book_intervals(e)
 
 
 def spans(spark, sf_dir, crossing=False) -> DataFrame:

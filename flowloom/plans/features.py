@@ -27,7 +27,7 @@ def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: i
     events, grid = stored(events), stored(grid)
     moved = stored(atoms.with_old(events, canonical.priority))
     taker = atoms.taker(events)
-    spans = lifecycle.intervals(lifecycle.transitions(events))
+    spans = lifecycle.book_intervals(events)
     series = stored(book.series(spans, grid, step))
     seen = series.withColumnRenamed("anchor", "ts")
     named = lambda df, names, labels, new=None: df.select("symbol", "anchor", *[F.col(f"{n}_{of[w]}").cast("double").alias(f"{(new or {}).get(n, n)}_{w}") for w in labels for n in names])

@@ -27,7 +27,9 @@ def execute(pos, t, maker, taker, price, qty, aggressor="buy"):
 
 
 def states(spark, rows):
-    m = lifecycle.transitions(spark.createDataFrame(rows, EVENT))
+    e = spark.createDataFrame(rows, EVENT)
+    m = lifecycle.transitions(e)
+    assert sorted(map(str, lifecycle.book_intervals(e).collect())) == sorted(map(str, lifecycle.intervals(m).collect()))
     return m, {r["uid"]: r for r in lifecycle.intervals(m).where("to_ts IS NULL").collect()}
 
 
@@ -151,6 +153,23 @@ def test_content_hash_counts_repeated_rows(spark):
     assert len({h(r)["content_hash"] for r in ([(1, "x")], [(1, "x")] * 2, [(1, "x")] * 3, [(2, "x")] * 2)}) == 4
 
 
+def test_intervals_in_one_pass(spark):
+    """Random legs of a few orders of two symbols, many in one timestamp, in one and in many batches."""
+    import random
+
+    rnd = random.Random(2)
+    rows = []
+    for i in range(600):
+        t, uid, side = rnd.randint(0, 60), f"u{rnd.randint(0, 8)}", rnd.choice(["buy", "sell"])
+        r = rnd.choice([place(i, t, uid, side, 10.0 + rnd.randint(0, 3), float(rnd.randint(1, 4))), change(i, t, uid, side, rnd.choice([None, 11.0]), float(rnd.randint(0, 4))), change(i, t, uid, side, 10.0, 1.0, "OrderCancelled"), execute(i, t, uid, f"u{rnd.randint(0, 8)}", 10.0, float(rnd.randint(0, 3)))])
+        rows.append((rnd.choice("XY"), *r[1:]))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("7", batch):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        states(spark, rows)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_average_rank(spark):
     r = rank_pct(spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 3.0), ("a", None)], "k string, v double"), "v", ["k"], "p")
     assert sorted(x["p"] for x in r.where("v IS NOT NULL").collect()) == [50.0, 50.0, 100.0]
