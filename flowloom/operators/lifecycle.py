@@ -30,12 +30,11 @@ def legs(events: DataFrame) -> DataFrame:
 
 def folded(rows: DataFrame, start: Callable[[], object], step: Callable, schema, end: Callable | None = None) -> DataFrame:
     """step(state, row) -> (state, output tuples) over each order's legs in order; end(state) -> what an order's last state gives."""
-    names = [f.name for f in schema.fields]
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    names, arrow = [f.name for f in schema.fields], to_arrow_schema(schema)
 
-        arrow = to_arrow_schema(schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], names=names)
         uid, symbol, state = None, None, None
         for b in batches:

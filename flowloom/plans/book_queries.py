@@ -77,14 +77,14 @@ def b14_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def b7_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir, True)
-    s = intervals(e)
-    return book.crossings(book.batches_best(s, e, 500), s, 500).select("ts", *d("best_bid", "best_ask", "cross_width"), F.size("bid_uids").alias("n_bid_uids"), F.size("ask_uids").alias("n_ask_uids"), F.element_at("bid_uids", 1).alias("first_bid_uid"))
+    s = stored(intervals(e))
+    return book.crossings(stored(book.batches_best(s, e, 500)), s, 500).select("ts", *d("best_bid", "best_ask", "cross_width"), F.size("bid_uids").alias("n_bid_uids"), F.size("ask_uids").alias("n_ask_uids"), F.element_at("bid_uids", 1).alias("first_bid_uid"))
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir, True)
-    s = intervals(e)
-    return book.classified(book.crossings(book.batches_best(s, e, 500), s, 500), e)
+    s = stored(intervals(e))
+    return book.classified(book.crossings(stored(book.batches_best(s, e, 500)), s, 500), e)
 
 
 def j6_crossing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

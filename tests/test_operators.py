@@ -301,3 +301,18 @@ def test_as_of_over_chunks(spark):
     pts = spark.createDataFrame([("X", t) for t in (0, 5, 39, 42, 90, 300)] + [("Y", 300), ("Z", 5)], "symbol string, anchor long")
     got = {(r["symbol"], r["anchor"]): r["mid"] for r in windows.as_of(pts, obs, "anchor", ["mid"], 10).collect()}
     assert got == {("X", 0): None, ("X", 5): 1.0, ("X", 39): 1.0, ("X", 42): None, ("X", 90): None, ("X", 300): 3.0, ("Y", 300): 9.0, ("Z", 5): None}
+
+
+def test_state_in_one_pass(spark):
+    """best(), depth() and top_levels() apart give what state() gives together, in crossed, one-sided and odd-priced books too."""
+    import random
+
+    rnd = random.Random(5)
+    rows = [place(i, rnd.randint(0, 30), f"u{i}", rnd.choice(["buy", "sell"]), rnd.choice([0.0, -1.0, *(100 + x / 100 for x in range(-30, 30, 7))]), float(rnd.randint(1, 9))) for i in range(60)]
+    spans = lifecycle.book_intervals(spark.createDataFrame(rows, EVENT))
+    l = book.levels(book.at_anchors(spans, spark.createDataFrame([("X", t) for t in range(0, 40, 5)], "symbol string, anchor long"), 5))
+    top = book.best(l)
+    apart = top.join(book.depth(l, top, [5, 10, 25]), ["symbol", "anchor"]).join(book.top_levels(l), ["symbol", "anchor"])
+    got = book.state(l, (5, 10, 25), (1, 5, 10))
+    assert set(got.columns) == set(apart.columns)
+    assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, apart.select(*sorted(got.columns)).collect()))
