@@ -118,7 +118,7 @@ def reprice_flow(atoms: DataFrame, anchors: DataFrame, windows: list[int], step:
             leaves = f"{at} 'reprice_out' AND direction = '{way}'"
             values |= {f"{side}_reprice_{way}_qty": f"CASE WHEN {leaves} THEN qty END", f"{side}_reprice_{way}_count": f"CASE WHEN {leaves} THEN 1 END"}
     out = windowed(atoms, anchors, values, windows, step)
-    return out.selectExpr("*", *[f"`{s}_reprice_in_qty_{w}` - `{s}_reprice_out_qty_{w}` AS `{s}_reprice_net_qty_{w}`" for w in windows for s in ("bid", "ask")])
+    return out.selectExpr("*", *[f"`{s}_reprice_in_qty_{w}` - `{s}_reprice_out_qty_{w}` AS `{s}_reprice_net_{w}`" for w in windows for s in ("bid", "ask")])
 
 
 def regime_counts(events: DataFrame, anchors: DataFrame, windows: list[int], step: int) -> DataFrame:
@@ -155,7 +155,7 @@ def price_response(book: DataFrame, flow: DataFrame, anchors: DataFrame, windows
         for side in ("buy", "sell"):
             q, n = (f"cast(`{side}_{x}_{w}` AS double)" for x in ("taker_qty", "notional"))
             per = lambda a, b, q=q: f"CASE WHEN {q} >= 1e-8D THEN {a} / ({b} + {EPS}D) END"
-            cols += [f"{per(move, q)} AS `mid_change_per_{side}_qty_{w}`", f"{per(ticks, n)} AS `ticks_per_{side}_notional_{w}`", f"{per(levels, q)} AS `levels_per_{side}_qty_{w}`"]
+            cols += [f"{per(move, q)} AS `price_response_per_{side}_qty_{w}`", f"{per(ticks, n)} AS `ticks_per_{side}_notional_{w}`", f"{per(levels, q)} AS `levels_per_{side}_qty_{w}`"]
     return out.selectExpr(KEY, "anchor", *cols)
 
 

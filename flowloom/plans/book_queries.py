@@ -201,7 +201,7 @@ _zone = lambda z, c: f"SELECT side, '{z}' AS zone, sum(qty) AS total_qty, sum(qt
 _within = lambda n: f"(side = 'buy' AND price >= mid * (1 - {n} / 1e4) AND price <= mid OR side = 'sell' AND price >= mid AND price <= mid * (1 + {n} / 1e4))"
 _near = "CASE WHEN side = 'buy' THEN -price ELSE price END"
 _med = "(quantile_cont(q, 0.5) + 1e-12)"
-_pr = lambda w: ", ".join([r(f"m0 - m{w}", f"signed_mid_change_{w}"), r(f"abs(m0 - m{w}) / {TICK}", f"ticks_moved_{w}"), r(f"round_even(abs(m0 - m{w}) / {TICK}, 0)", f"levels_crossed_{w}"), *[x for q in ("buy", "sell") for x in (r(f"CASE WHEN {q}q{w} >= 1e-8 THEN (m0 - m{w}) / ({q}q{w} + 1e-12) END", f"mid_change_per_{q}_qty_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN (m0 - m{w}) / {TICK} / ({q}n{w} + 1e-12) END", f"ticks_per_{q}_notional_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN round_even(abs(m0 - m{w}) / {TICK}, 0) / ({q}q{w} + 1e-12) END", f"levels_per_{q}_qty_{w}"))]])
+_pr = lambda w: ", ".join([r(f"m0 - m{w}", f"signed_mid_change_{w}"), r(f"abs(m0 - m{w}) / {TICK}", f"ticks_moved_{w}"), r(f"round_even(abs(m0 - m{w}) / {TICK}, 0)", f"levels_crossed_{w}"), *[x for q in ("buy", "sell") for x in (r(f"CASE WHEN {q}q{w} >= 1e-8 THEN (m0 - m{w}) / ({q}q{w} + 1e-12) END", f"price_response_per_{q}_qty_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN (m0 - m{w}) / {TICK} / ({q}n{w} + 1e-12) END", f"ticks_per_{q}_notional_{w}"), r(f"CASE WHEN {q}q{w} >= 1e-8 THEN round_even(abs(m0 - m{w}) / {TICK}, 0) / ({q}q{w} + 1e-12) END", f"levels_per_{q}_qty_{w}"))]])
 
 ORACLE = {
     "b1_transitions": f"{REC} SELECT uid, ts, ingest_pos, leg, kind, outcome, active, side, {r('price', 'price')}, {r('qty', 'qty')}, placed_ms, placed_pos FROM f WHERE n > 0",

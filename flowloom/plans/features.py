@@ -17,7 +17,7 @@ RESPONSE, REFILL, ACCEL = LABELS[:7], ["100ms", "500ms", "1s", "5s"], [("500ms",
 SUMMARY = ["n_levels", "total_qty", "max_qty", "p50_qty", "p75_qty", "p90_qty", "p95_qty", "max_qty_vs_median", "p95_qty_vs_median", "n_above_3x_median", "n_above_5x_median", "max_share", "top1_dist_ticks", "top1_dist_bps"]
 ACTIVITY = [f"activity_{x}_{c}" for x in ("vs_trailing_median", "robust_z", "rolling_percentile") for c in ("5m", "30m")]
 BOOK = ["best_bid", "best_ask", "spread", "mid", "n_active", *[f"{x}_{n}bps" for n in (5, 10, 25) for x in ("depth_bid", "depth_ask", "obi")], "near_book_depth"]
-PRICE = {"signed_mid_change": "signed_mid_change", "ticks_moved": "ticks_moved", "levels_crossed": "levels_crossed", **{f"{new}_{s}_{u}": f"{old}_{s}_{u}" for new, old, u in (("price_response_per", "mid_change_per", "qty"), ("ticks_per", "ticks_per", "notional"), ("levels_per", "levels_per", "qty")) for s in ("buy", "sell")}}
+PRICE = ["signed_mid_change", "ticks_moved", "levels_crossed", *[f"{a}_per_{s}_{u}" for a, u in (("price_response", "qty"), ("ticks", "notional"), ("levels", "qty")) for s in ("buy", "sell")]]
 PROVENANCE = {"source_session": "demo", "data_version": "1", "feature_version": "1", "book_semantics_version": "1"}
 
 
@@ -30,7 +30,7 @@ def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: i
     spans = lifecycle.book_intervals(events)
     series = stored(book.series(spans, grid, step))
     seen = series.withColumnRenamed("anchor", "ts")
-    named = lambda df, names, labels, new=None: df.select("symbol", "anchor", *[F.col(f"{n}_{of[w]}").cast("double").alias(f"{(new or {}).get(n, n)}_{w}") for w in labels for n in names])
+    named = lambda df, names, labels: df.selectExpr("symbol", "anchor", *[f"cast(`{n}_{of[w]}` AS double) AS `{n}_{w}`" for w in labels for n in names])
     flow = stored(windows.aggressive_flow(taker, grid, sizes, step))
     counts = stored(windows.regime_counts(events, grid, sizes, step))
     base = windows.relative_activity(counts, f"order_event_count_{of['1s']}", {"5m": contexts[0], "30m": contexts[1]})
@@ -46,7 +46,7 @@ def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: i
     accel = accel.select("symbol", "anchor", *[F.col(f"{s}_flow_accel_{of[a]}_{of[b]}").alias(f"{s}_flow_accel_{b}") for a, b in ACCEL for s in ("buy", "sell")])
     families = [
         named(counts, [*REGIME, "notional_per_sec"], LABELS), named(windows.bbo_changes(seen, grid, sizes, step), ["bbo_change_count"], LABELS), activity, named(flow, AGGRESSIVE, LABELS), named(windows.passive_flow(atoms.passive(moved), grid, sizes, step), PASSIVE, LABELS),
-        named(windows.reprice_flow(atoms.reprice(moved), grid, sizes, step), REPRICE, LABELS, {f"{s}_reprice_net_qty": f"{s}_reprice_net" for s in ("bid", "ask")}), named(response, list(PRICE.values()), RESPONSE, {v: k for k, v in PRICE.items()}),
+        named(windows.reprice_flow(atoms.reprice(moved), grid, sizes, step), REPRICE, LABELS), named(response, PRICE, RESPONSE),
         series.select("symbol", "anchor", *[F.col(c).cast("double").alias(c) for c in BOOK]), sides, refill, accel,
     ]
     out = grid

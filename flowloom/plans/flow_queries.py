@@ -121,7 +121,7 @@ def w2_passive_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacked(windows.passive_flow(atoms.passive(e), demo.anchors(e), WINDOWS, STEP), PASSIVE)
 
 
-REPRICE = [f"{s}_reprice_{x}" for s in ("bid", "ask") for x in ("out_qty", "in_qty", "net_qty", "away_qty", "toward_qty", "away_count", "toward_count")]
+REPRICE = [f"{s}_reprice_{x}" for s in ("bid", "ask") for x in ("out_qty", "in_qty", "net", "away_qty", "toward_qty", "away_count", "toward_count")]
 
 
 def w3_reprice_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +196,7 @@ s = lambda v, c: f"coalesce(sum({v}) FILTER ({c}), 0)"
 _flow = {q: (s("qty", f"aggressor = '{q}'"), f"count(ts) FILTER (aggressor = '{q}')", s("notional", f"aggressor = '{q}'")) for q in ("buy", "sell")}
 _w1 = [r(_flow["buy"][0], "buy_taker_qty"), r(_flow["sell"][0], "sell_taker_qty"), r(_flow["buy"][1], "buy_taker_count"), r(_flow["sell"][1], "sell_taker_count"), r(_flow["buy"][2], "buy_notional"), r(_flow["sell"][2], "sell_notional"), r(f"(CAST({_flow['buy'][0]} AS DOUBLE) - CAST({_flow['sell'][0]} AS DOUBLE)) / (CAST({_flow['buy'][0]} AS DOUBLE) + CAST({_flow['sell'][0]} AS DOUBLE) + 1e-12)", "afi"), r("count(DISTINCT price) FILTER (aggressor = 'buy')", "ask_levels_consumed"), r("count(DISTINCT price) FILTER (aggressor = 'sell')", "bid_levels_consumed")]
 _w2 = [x for b in ("bid", "ask") for x in (*[r(e, f"{b}_{n}") for a in ("add", "cancel") for e, n in ((s("qty", f"book_side = '{b}' AND action = '{a}'"), f"{a}_qty"), (f"count(ts) FILTER (book_side = '{b}' AND action = '{a}')", f"{a}_orders"))], r(f"{s('qty', f"book_side = '{b}' AND action = 'add'")} - {s('qty', f"book_side = '{b}' AND action = 'cancel'")}", f"{b}_net_passive"))]
-_w3 = [x for b in ("bid", "ask") for x in (r(s("qty", f"book_side = '{b}' AND action = 'reprice_out'"), f"{b}_reprice_out_qty"), r(s("qty", f"book_side = '{b}' AND action = 'reprice_in'"), f"{b}_reprice_in_qty"), r(s("CASE action WHEN 'reprice_in' THEN qty ELSE -qty END", f"book_side = '{b}'"), f"{b}_reprice_net_qty"), *[y for y_ in ("away", "toward") for y in (r(s("qty", f"book_side = '{b}' AND action = 'reprice_out' AND direction = '{y_}'"), f"{b}_reprice_{y_}_qty"), r(f"count(ts) FILTER (book_side = '{b}' AND action = 'reprice_out' AND direction = '{y_}')", f"{b}_reprice_{y_}_count"))])]
+_w3 = [x for b in ("bid", "ask") for x in (r(s("qty", f"book_side = '{b}' AND action = 'reprice_out'"), f"{b}_reprice_out_qty"), r(s("qty", f"book_side = '{b}' AND action = 'reprice_in'"), f"{b}_reprice_in_qty"), r(s("CASE action WHEN 'reprice_in' THEN qty ELSE -qty END", f"book_side = '{b}'"), f"{b}_reprice_net"), *[y for y_ in ("away", "toward") for y in (r(s("qty", f"book_side = '{b}' AND action = 'reprice_out' AND direction = '{y_}'"), f"{b}_reprice_{y_}_qty"), r(f"count(ts) FILTER (book_side = '{b}' AND action = 'reprice_out' AND direction = '{y_}')", f"{b}_reprice_{y_}_count"))])]
 _cnt = lambda t: f"count(ts) FILTER (event_type = '{t}')"
 _w4 = [r("count(ts)", "order_event_count"), r(_cnt("OrderPlaced"), "placed_count"), r(_cnt("OrderCancelled"), "cancel_count"), r(_cnt("OrderUpdated"), "update_count"), r(_cnt("Execution"), "execution_count"), r("coalesce(sum(execution_qty), 0)", "execution_qty"), r("coalesce(sum(CAST(execution_qty AS DOUBLE) * execution_price), 0)", "execution_notional"), r("count(DISTINCT order_uid)", "unique_order_uids"), r("count(DISTINCT price)", "levels_touched"), r("count(ts) / (w / 1000.0)", "events_per_sec"), r(f"{_cnt('Execution')} / (w / 1000.0)", "trades_per_sec"), r("CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) / (w / 1000.0)", "qty_per_sec")]
 _evs = "(SELECT *, timestamp_ms AS ts FROM ev)"

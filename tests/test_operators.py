@@ -111,7 +111,7 @@ def test_price_response_keeps_its_sign(spark):
     r = windows.price_response(mids, flow, flow.select("symbol", "anchor"), [10], 0.5).collect()[0]
     assert (r["signed_mid_change_10"], r["ticks_moved_10"], r["levels_crossed_10"]) == (-3.0, 6.0, 6.0)
     assert r["ticks_per_buy_notional_10"] == pytest.approx(-6 / 200) and r["ticks_per_sell_notional_10"] == pytest.approx(-6 / 400)
-    assert r["mid_change_per_buy_qty_10"] == pytest.approx(-1.5) and r["levels_per_sell_qty_10"] == pytest.approx(1.5)
+    assert r["price_response_per_buy_qty_10"] == pytest.approx(-1.5) and r["levels_per_sell_qty_10"] == pytest.approx(1.5)
 
 
 def test_completeness_zones_have_one_side(spark):
