@@ -22,7 +22,18 @@ def taker(events: DataFrame) -> DataFrame:
     """Executions with a known aggressor: sign +1 for a buyer, notional (the dollar value, else quantity x price, else 0)."""
     usd = F.col("usd_value") if "usd_value" in events.columns else F.lit(None).cast("double")
     q = F.coalesce(F.col("execution_qty").cast("double"), F.lit(0.0))
-    return events.where((F.col("event_type") == "Execution") & F.col("aggressor").isin("buy", "sell")).select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "taker_uid", "aggressor", F.when(F.col("aggressor") == "buy", 1).otherwise(-1).alias("sign"), F.coalesce("execution_qty", F.lit(0)).alias("qty"), F.col("execution_price").alias("price"), F.coalesce(usd, q * F.col("execution_price"), F.lit(0.0)).alias("notional"))
+    known = events.where((F.col("event_type") == "Execution") & F.col("aggressor").isin("buy", "sell"))
+    return known.select(
+        "symbol",
+        F.col("timestamp_ms").alias("ts"),
+        "ingest_pos",
+        "taker_uid",
+        "aggressor",
+        F.when(F.col("aggressor") == "buy", 1).otherwise(-1).alias("sign"),
+        F.coalesce("execution_qty", F.lit(0)).alias("qty"),
+        F.col("execution_price").alias("price"),
+        F.coalesce(usd, q * F.col("execution_price"), F.lit(0.0)).alias("notional"),
+    )
 
 
 def book_side(events: DataFrame) -> Column:

@@ -40,7 +40,22 @@ def summary(atoms: DataFrame, grid: DataFrame, book: DataFrame, step: int, tick:
     med = F.col("p")[0] + EPS
     above = live.join(s.select(*key, med.alias("med")), key).groupBy(*key).agg(*[F.count_if(F.col("q") > n * F.col("med")).alias(f"n_above_{n}x_median") for n in (3, 5)])
     s = s.join(above, key).join(book.select("symbol", "anchor", "mid"), ["symbol", "anchor"], "left")
-    return s.select(*key, "n_levels", "total_qty", "max_qty", *[F.col("p")[i].alias(f"p{n}_qty") for i, n in enumerate((50, 75, 90, 95))], (F.col("max_qty") / med).alias("max_qty_vs_median"), (F.when(F.col("n_levels") >= 20, F.col("p")[3]).otherwise(F.col("max_qty")) / med).alias("p95_qty_vs_median"), "n_above_3x_median", "n_above_5x_median", (F.col("max_qty") / (F.col("total_qty") + EPS)).alias("max_share"), (F.abs(F.col("nearest") - F.col("mid")) / tick).alias("top1_dist_ticks"), (F.abs(F.col("nearest") - F.col("mid")) / F.col("mid") * 10_000).alias("top1_dist_bps"))
+    away = F.abs(F.col("nearest") - F.col("mid"))
+    high = F.when(F.col("n_levels") >= 20, F.col("p")[3]).otherwise(F.col("max_qty"))
+    return s.select(
+        *key,
+        "n_levels",
+        "total_qty",
+        "max_qty",
+        *[F.col("p")[i].alias(f"p{n}_qty") for i, n in enumerate((50, 75, 90, 95))],
+        (F.col("max_qty") / med).alias("max_qty_vs_median"),
+        (high / med).alias("p95_qty_vs_median"),
+        "n_above_3x_median",
+        "n_above_5x_median",
+        (F.col("max_qty") / (F.col("total_qty") + EPS)).alias("max_share"),
+        (away / tick).alias("top1_dist_ticks"),
+        (away / F.col("mid") * 10_000).alias("top1_dist_bps"),
+    )
 
 
 def refill_pairs(atoms: DataFrame, horizon: int) -> DataFrame:
