@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, embeddings, lines, media, mixing, packing, phrases, quality, sharding, simhash
+from . import chat, ctw, embeddings, lines, media, merkle, mixing, packing, phrases, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": media.op8_media,
         "op9_chat": chat.op9_chat,
         "op10_packing": packing.op10_packing,
+        "op11_merkle": merkle.op11_merkle,
         "op12_phrases": phrases.op12_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_phrases": phrases.SQL}
+    return {"op11_merkle": merkle.SQL, "op12_phrases": phrases.SQL}
