@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, ctw, embeddings, lines, media, merkle, mixing, packing, phrases, quality, sharding, simhash
+from . import chat, ctw, embeddings, lines, media, merkle, mixing, packing, phrases, quality, sharding, simhash, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": packing.op10_packing,
         "op11_merkle": merkle.op11_merkle,
         "op12_phrases": phrases.op12_phrases,
+        "op13_urls": urls.op13_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle": merkle.SQL, "op12_phrases": phrases.SQL}
+    return {"op11_merkle": merkle.SQL, "op12_phrases": phrases.SQL, "op13_urls": urls.SQL}
