@@ -94,7 +94,7 @@ def pairs_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def neighbours(chunks: DataFrame) -> DataFrame:
-    """Chunks (chunk, seq, names) -> their distinct pairs of names (chunk, at, left, right, c)."""
+    """Chunks (chunk, seq, names) -> their distinct pairs of names (place, left, right, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,14 +103,14 @@ def neighbours(chunks: DataFrame) -> DataFrame:
                 names = b["names"][i].values.to_numpy()
                 for s in range(0, len(pairs), 1 << 16):
                     p = pairs[s : s + (1 << 16)]
-                    columns = np.full(len(p), chunk), np.arange(s + 1, s + 1 + len(p)), names[(p >> 32) - 1], names[(p & 0xFFFFFFFF) - 1], counts[s : s + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["chunk", "at", "left", "right", "c"])
+                    columns = chunk * PLACES + np.arange(s + 1, s + 1 + len(p)), names[(p >> 32) - 1], names[(p & 0xFFFFFFFF) - 1], counts[s : s + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["place", "left", "right", "c"])
 
-    return chunks.select("chunk", "seq", "names").mapInArrow(run, "chunk long, at long, left long, right long, c long")
+    return chunks.select("chunk", "seq", "names").mapInArrow(run, "place long, left long, right long, c long")
 
 
 def renamed(chunks: DataFrame, named: DataFrame, words: bool) -> DataFrame:
-    """Chunks in numbers of the named (chunk, at, id): of words, or of the pairs that their sequence has. What has no name becomes 0."""
+    """Chunks in numbers of the named (place, id): of words, or of the pairs that their sequence has. What has no name becomes 0."""
 
     def one(old: pa.Table, new: pa.Table) -> pa.Table:
         if not (len(old) and len(new)):
@@ -122,16 +122,19 @@ def renamed(chunks: DataFrame, named: DataFrame, words: bool) -> DataFrame:
         to[at] = np.arange(1, len(at) + 1)
         return pa.table([old["chunk"].slice(0, 1), pa.array([to[seq].tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["chunk", "seq", "names"])
 
-    sides = chunks.select("chunk", "seq").groupBy("chunk"), named.select("chunk", "at", "id").groupBy("chunk")
+    named = named.selectExpr(f"place div {PLACES} AS chunk", f"place % {PLACES} AS at", "id")
+    sides = chunks.select("chunk", "seq").groupBy("chunk"), named.groupBy("chunk")
     return sides[0].cogroup(sides[1]).applyInArrow(one, "chunk long, seq binary, names array<long>")
 
 
 def frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Rows (chunk, at, key, c) of the keys that occur `least` times in all, with that number f and the key's name id: its first place. One exchange; a key has a row per chunk."""
+    """Rows (place, key, c) of the keys that occur `least` times in all as (place, id): the key's name is its first place. Rows at that place have the key and its number f.
+
+    One exchange; a key has a row per chunk.
+    """
     w = Window.partitionBy(*key)
-    place = F.col("chunk") * PLACES + F.col("at")
-    out = rows.select("*", F.sum("c").over(w).alias("f"), F.min(place).over(w).alias("id")).where(F.col("f") >= least)
-    return out.withColumn("own", F.col("id") == place).drop("c")
+    out = rows.select("*", F.sum("c").over(w).alias("f"), F.min("place").over(w).alias("id")).where(F.col("f") >= least)
+    return out.select("place", "id", *[F.when(F.col("id") == F.col("place"), F.col(c)).alias(c) for c in (*key, "f")])
 
 
 def joined(pairs: DataFrame, below: DataFrame) -> DataFrame:
@@ -157,12 +160,12 @@ def scored(names: DataFrame, longer: DataFrame | None, words: int, inside: int)
 def best(rows: DataFrame, top: int, buckets: int) -> DataFrame:
     """The first `top` rows of each lang by score, count and phrase, with their rank.
 
-    A histogram of scores (at most a million and one bins for a lang) gives the least score that can be among them; ties at that score are cut by buckets, so that
-    a task sorts no more than about buckets * top rows, however many phrases a lang has.
+    A histogram of scores (at most 1,001 bins for a lang, as no score passes a million) gives the lowest bin that they can fall into; what lies in it is cut by buckets,
+    so that a task sorts no more than about buckets * top rows, however many phrases a lang has.
     """
-    bins = rows.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
-    least = bins.select("lang", "score", F.coalesce(above, F.lit(0)).alias("above")).where(F.col("above") < top).groupBy("lang").agg(F.min("score").alias("least"))
+    bins = rows.groupBy("lang", F.expr("score div 1000").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
+    least = bins.select("lang", "bin", F.coalesce(above, F.lit(0)).alias("above")).where(F.col("above") < top).groupBy("lang").agg((F.min("bin") * 1000).alias("least"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     out = rows.join(least, "lang").where("score >= least").withColumn("b", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
     out = out.withColumn("in_bucket", F.row_number().over(Window.partitionBy("lang", "b").orderBy(*order))).where(F.col("in_bucket") <= top)
@@ -178,10 +181,10 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, inside: int =
     with Scratch(spark) as made:
         chunks = start = written(coded(docs))
         totals = start.selectExpr("lang", "aggregate(counts, 0L, (s, x) -> s + x) AS n").groupBy("lang").agg(F.sum("n").alias("n"))
-        local = start.selectExpr("chunk", "lang", "posexplode(arrays_zip(words, counts)) AS (i, x)").selectExpr("chunk", "lang", "i + 1L AS at", "x.words AS word", "cast(x.counts AS bigint) AS c")
-        named = written(frequent(local, ["lang", "word"], least).withColumn("word", F.when(F.col("own"), F.col("word"))))
+        local = start.selectExpr("chunk", "lang", "posexplode(arrays_zip(words, counts)) AS (i, x)").selectExpr(f"chunk * {PLACES} + i + 1 AS place", "lang", "x.words AS word", "cast(x.counts AS bigint) AS c")
+        named = written(frequent(local, ["lang", "word"], least))
         none = F.array().cast("array<bigint>")
-        levels = [named.where("own").select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))]
+        levels = [named.where("f IS NOT NULL").select("id", "f", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))]
         for k in range(2, words + 1):
             new = written(renamed(chunks, named, k == 2))
             if chunks is not start:
@@ -189,7 +192,7 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, inside: int =
             chunks, pairs = new, neighbours(new)
             if k < words:
                 named = written(frequent(pairs, ["left", "right"], least))
-                names = named.where("own")
+                names = named.where("f IS NOT NULL")
             else:
                 names = pairs.groupBy("left", "right").agg(F.sum("c").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
             levels.append(written(joined(names, levels[-1].select("id", "lang", "phrase", "last", "f", "heads", "tails"))))
