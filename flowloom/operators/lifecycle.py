@@ -6,13 +6,13 @@ of constant size, whatever the order's length; quantities keep their type, so de
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.canonical import priority
+from . import fold
 
 ORDER_BY = ["symbol", "uid", "ts", "prio", "ingest_pos", "leg"]
 
@@ -28,30 +28,8 @@ def legs(events: DataFrame) -> DataFrame:
     return rows.select("symbol", "x.uid", "ts", "prio", "ingest_pos", "x.leg", "x.kind", "side", "price", "x.qty").where("kind IS NOT NULL AND ts IS NOT NULL")
 
 
-def folded(rows: DataFrame, start: Callable[[], object], step: Callable, schema, end: Callable | None = None) -> DataFrame:
-    """step(state, row) -> (state, output tuples) over each order's legs in order; end(state) -> what an order's last state gives."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    names, arrow = [f.name for f in schema.fields], to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], names=names)
-        uid, symbol, state = None, None, None
-        for b in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[1] != uid or row[0] != symbol:
-                    if end and uid is not None:
-                        out += end(state)
-                    symbol, uid, state = row[0], row[1], start()
-                state, more = step(state, row)
-                if more:
-                    out += more
-            if out:
-                yield made(out)
-        if end and uid is not None and (out := end(state)):
-            yield made(out)
-
+def folded(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """run over the legs of each order, in order, one task for all of an order's."""
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # ids go first: their first bytes part most rows, where those of a symbol part none
     order = ["uid", "symbol", *ORDER_BY[2:]]
@@ -84,7 +62,7 @@ def transitions(events: DataFrame) -> DataFrame:
     rows = legs(events)
     null = lambda t: F.lit(None).cast(t)
     schema = rows.select(*ORDER_BY, "kind", null("string").alias("outcome"), null("boolean").alias("active"), "side", null("double").alias("price"), "qty", null("long").alias("placed_ms"), null("long").alias("placed_pos")).schema
-    return folded(rows, lambda: None, book_step, schema)
+    return folded(rows, fold.streamed(fold.book, fold.transitions, lambda _: None), schema)
 
 
 def intervals(moves: DataFrame) -> DataFrame:
@@ -94,20 +72,12 @@ def intervals(moves: DataFrame) -> DataFrame:
     return nxt.where("active AND (to_ts IS NULL OR to_ts > ts)").select("symbol", "uid", F.col("ts").alias("from_ts"), "to_ts", "side", "price", "qty", "placed_ms", "placed_pos")
 
 
-def interval_step(held, row):
-    """book_step, with the state that the order has had since the leg before: it is an interval if it lasts beyond its timestamp."""
-    before, since = held[:2] if held else (None, None)
-    state, _ = book_step(before, row)
-    made = [(row[0], row[1], since, row[2], *before)] if before is not None and since < row[2] else []
-    return (state, row[2], row[0], row[1]), made
-
-
 def book_intervals(events: DataFrame) -> DataFrame:
     """intervals(transitions(events)) in one pass, for where the transitions themselves are not asked for."""
     rows = legs(events)
     null = lambda t: F.lit(None).cast(t)
     schema = rows.select("symbol", "uid", F.col("ts").alias("from_ts"), null("long").alias("to_ts"), "side", null("double").alias("price"), "qty", null("long").alias("placed_ms"), null("long").alias("placed_pos")).schema
-    return folded(rows, lambda: None, interval_step, schema, lambda held: [(*held[2:4], held[1], None, *held[0])] if held[0] is not None else [])
+    return folded(rows, fold.streamed(fold.book, fold.spans, lambda held: held), schema)
 
 
 def counters(moves: DataFrame, events: DataFrame, top: DataFrame | None = None) -> DataFrame:
@@ -121,35 +91,6 @@ def counters(moves: DataFrame, events: DataFrame, top: DataFrame | None = None)
     return out
 
 
-def level_step(state, row):
-    """Signed changes at price levels. A second Placed overwrites and adds again; only makers are reduced, by the whole execution; takers stay."""
-    symbol, uid, ts, prio, pos, leg, kind, side, price, qty = row
-    out: list[tuple] = []
-    atom = lambda p, a, q, i=0: out.append((symbol, ts, prio, pos, leg, i, state[0], p, a, q, uid))
-    if kind == "place" and side and price is not None and qty is not None and qty > 0:
-        state = (side, price, qty)
-        atom(price, "add", qty)
-    elif state and kind == "cancel":
-        if state[2] > 0:
-            atom(state[1], "cancel", state[2])
-        state = None
-    elif state and kind == "update":
-        p, q = state[1] if price is None else price, state[2] if qty is None else qty
-        if abs(p - state[1]) > 1e-9:
-            if state[2] > 0:
-                atom(state[1], "cancel", state[2], 0)
-            if q > 0:
-                atom(p, "add", q, 1)
-        elif abs(q - state[2]) > 1e-12:
-            atom(p, "add" if q > state[2] else "cancel", abs(q - state[2]))
-        state = (state[0], p, q)
-    elif state and kind == "maker" and qty is not None and qty > 0:
-        atom(state[1], "exec_reduce", qty)
-        left = state[2] - qty
-        state = (*state[:2], left) if left > 1e-12 else None
-    return state, out
-
-
 def level_atoms(events: DataFrame) -> DataFrame:
     """(symbol, ts, .., side, price, action, qty, order_uid) with the level's running quantity and its episode: a level that was empty starts a new one.
 
@@ -158,7 +99,7 @@ def level_atoms(events: DataFrame) -> DataFrame:
     rows = legs(events)
     null = lambda t: F.lit(None).cast(t)
     schema = rows.select("symbol", "ts", "prio", "ingest_pos", "leg", null("int").alias("emit"), "side", null("double").alias("price"), null("string").alias("action"), "qty", F.col("uid").alias("order_uid")).schema
-    atoms = folded(rows, lambda: None, level_step, schema)
+    atoms = folded(rows, fold.streamed(fold.level, fold.changes, lambda _: None), schema)
     w = Window.partitionBy("symbol", "side", "price").orderBy("ts", "prio", "ingest_pos", "leg", "emit")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     atoms = atoms.withColumn("s", F.sum(F.when(F.col("action") == "add", F.col("qty")).otherwise(-F.col("qty"))).over(run))
