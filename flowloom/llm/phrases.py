@@ -157,15 +157,23 @@ def scored(names: DataFrame, longer: DataFrame | None, words: int, inside: int)
     return names.selectExpr("lang", "phrase", "f AS a", f"array_min(transform(sequence(1, {words - 1}), k -> {cut})) AS x").selectExpr("lang", "phrase", "a", "x.l AS l", "x.r AS r", "x.score AS score")
 
 
+def cut_at(bins: DataFrame, bin_: str, top: int) -> DataFrame:
+    """Counts n by lang and bin, the first of them with `above` rows over it -> the bin of each lang that its row `top` falls into, or its lowest, and the rows above that bin."""
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc(bin_)).rowsBetween(Window.unboundedPreceding, -1))
+    rows = bins.select("lang", bin_, (F.col("above") + F.coalesce(before, F.lit(0))).alias("above")).where(F.col("above") < top)
+    return rows.groupBy("lang").agg(F.min(bin_).alias(bin_), F.max("above").alias("above"))
+
+
 def best(rows: DataFrame, top: int, buckets: int) -> DataFrame:
     """The first `top` rows of each lang by score, count and phrase, with their rank.
 
-    A histogram of scores (at most 1,001 bins for a lang, as no score passes a million) gives the lowest bin that they can fall into; what lies in it is cut by buckets,
-    so that a task sorts no more than about buckets * top rows, however many phrases a lang has.
+    Scores do not pass a million: counts by the thousand and then by single scores within one thousand (at most 1,001 bins for a lang) give the score of the last
+    row. Ties at that score are cut by buckets, so that a task sorts about `top` rows and no more than buckets * top, however many phrases a lang has.
     """
-    bins = rows.groupBy("lang", F.expr("score div 1000").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
-    least = bins.select("lang", "bin", F.coalesce(above, F.lit(0)).alias("above")).where(F.col("above") < top).groupBy("lang").agg((F.min("bin") * 1000).alias("least"))
+    count = F.count(F.lit(1)).alias("n")
+    coarse = cut_at(rows.groupBy("lang", F.expr("score div 1000").alias("bin")).agg(count).withColumn("above", F.lit(0)), "bin", top)
+    fine = rows.withColumn("bin", F.expr("score div 1000")).join(coarse, ["lang", "bin"]).groupBy("lang", "above", "score").agg(count)
+    least = cut_at(fine, "score", top).select("lang", F.col("score").alias("least"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     out = rows.join(least, "lang").where("score >= least").withColumn("b", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
     out = out.withColumn("in_bucket", F.row_number().over(Window.partitionBy("lang", "b").orderBy(*order))).where(F.col("in_bucket") <= top)
