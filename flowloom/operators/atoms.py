@@ -62,7 +62,7 @@ def reprice(events: DataFrame) -> DataFrame:
     return rows.select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "order_uid", "book_side", "atom.action", "atom.qty", "old_price", F.col("price").alias("new_price"), F.when(away, "away").otherwise("toward").alias("direction"))
 
 
-def flow_taxonomy(events: DataFrame, since: int, before: int, bucket_ms: int) -> DataFrame:
+def flow_taxonomy(events: DataFrame, since: int | Column, before: int | Column, bucket_ms: int) -> DataFrame:
     """Counts and quantities per bucket and side; execution totals of the bucket stand on each of its side rows."""
     rows = events.where((F.col("timestamp_ms") >= since) & (F.col("timestamp_ms") < before)).withColumn("bucket_ms", F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(bucket_ms)))
     t = F.col("event_type")
@@ -74,7 +74,7 @@ def flow_taxonomy(events: DataFrame, since: int, before: int, bucket_ms: int) ->
     return out.withColumn("executed_qty", F.sum("x").over(w).cast("double")).withColumn("executions", F.sum("xn").over(w)).drop("x", "xn")
 
 
-def ofi_atoms(events: DataFrame, since: int, before: int, bucket_ms: int) -> DataFrame:
+def ofi_atoms(events: DataFrame, since: int | Column, before: int | Column, bucket_ms: int) -> DataFrame:
     rows = events.where((F.col("timestamp_ms") >= since) & (F.col("timestamp_ms") < before)).withColumn("bucket_ms", F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(bucket_ms)))
     t, aggs = F.col("event_type"), []
     for name, s in (("bid", "buy"), ("ask", "sell")):

@@ -24,6 +24,11 @@ def at_time(spans: DataFrame, t: int) -> DataFrame:
     return spans.where((F.col("from_ts") <= t) & (F.col("to_ts").isNull() | (F.col("to_ts") > t))).withColumn("anchor", F.lit(t).cast("long"))
 
 
+def watched(spans: DataFrame, since: int) -> DataFrame:
+    """Spans as known to one who has watched from `since` on: when older orders were placed is unknown."""
+    return spans.withColumn("placed_ms", F.when(F.col("placed_ms") >= since, F.col("placed_ms")))
+
+
 def levels(live: DataFrame) -> DataFrame:
     """Live orders (at_anchors, at_time) per side and price; first_qty is that of the order placed first."""
     age = F.col("anchor") - F.col("placed_ms")

@@ -85,8 +85,8 @@ def replenishment(pairs: DataFrame, grid: DataFrame, windows: list[int], step: i
 
 
 def level_refill(pairs: DataFrame, t: int, w: int) -> DataFrame:
-    """Replenishment of every level at time t: refills of executions in [t - w, t), known by t."""
+    """Replenishment of every level at time t: refills of executions in [t - w, t), known by t. Executions of one time count once, as the first of them."""
     p = pairs.where((F.col("exec_ts") >= t - w) & (F.col("exec_ts") < t) & (F.col("add_ts") <= t) & (F.col("delay_ms") <= w))
-    x = p.groupBy(*LEVEL, "exec_ts").agg(F.min("exec_qty").alias("x")).groupBy(*LEVEL).agg(F.sum("x").alias("x"))
+    x = p.groupBy(*LEVEL, "exec_ts").agg(F.min_by("exec_qty", "exec_pos").alias("x")).groupBy(*LEVEL).agg(F.sum("x").alias("x"))
     out = p.groupBy(*LEVEL).agg(F.sum("refill_qty").alias("refilled_qty"), F.count(F.lit(1)).alias("refill_count"), F.max("refill_qty").alias("max_refill"), F.percentile("delay_ms", 0.5).alias("median_refill_delay"))
     return out.join(x, LEVEL).withColumn("replenishment_ratio", F.coalesce(F.try_divide(F.col("refilled_qty").cast("double"), F.col("x").cast("double")), F.lit(0.0))).drop("x")

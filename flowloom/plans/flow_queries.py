@@ -12,7 +12,7 @@ from ..sources import canonical, demo
 from ..sources.shared import shared_dir
 
 STEP, WINDOWS = demo.STEP, demo.WINDOWS
-SPLIT, BUCKET = 28_420_000, 360
+BUCKET = 360
 
 
 def d(*names: str) -> list:
@@ -55,17 +55,16 @@ def e5_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.events(spark, sf_dir).groupBy("event_type").agg(F.count_if("ordering_ambiguous").alias("ambiguous"), F.max("n_events_same_ms").alias("most_in_one_ms"), F.count(F.lit(1)).alias("n"))
 
 
-def whole_span(e: DataFrame) -> tuple[int, int]:
-    """The half-open span that holds all events."""
-    lo, hi = e.agg(F.min("timestamp_ms"), F.max("timestamp_ms")).collect()[0]
-    return (lo, hi + 1) if lo is not None else (0, 0)
+def inner(e: DataFrame) -> DataFrame:
+    """Events with the half-open span [since, before) that leaves out the first and the last eighth of the stream's time."""
+    eighth = F.expr("(max(timestamp_ms) - min(timestamp_ms)) div 8")
+    span = e.agg((F.min("timestamp_ms") + eighth).alias("since"), (F.max("timestamp_ms") - eighth).alias("before"))
+    return e.crossJoin(F.broadcast(span))  # one row
 
 
 def e7_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = demo.events(spark, sf_dir)
-    since, before = whole_span(e)
-    e = e.where((F.col("timestamp_ms") >= since) & (F.col("timestamp_ms") < before))
-    return e.groupBy(F.when(F.col("timestamp_ms") < SPLIT, "warmup").otherwise("research").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
+    e = inner(demo.events(spark, sf_dir)).where("timestamp_ms >= since AND timestamp_ms < before")
+    return e.groupBy(F.when(F.expr("timestamp_ms < (since + before) div 2"), "warmup").otherwise("research").alias("phase")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms"))
 
 
 def e9_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +95,11 @@ def p3_reprice_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g1_flow_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = demo.events(spark, sf_dir)
-    return atoms.flow_taxonomy(e, *whole_span(e), BUCKET)
+    return atoms.flow_taxonomy(inner(demo.events(spark, sf_dir)), F.col("since"), F.col("before"), BUCKET)
 
 
 def g2_ofi_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = demo.events(spark, sf_dir)
-    return atoms.ofi_atoms(e, *whole_span(e), BUCKET)
+    return atoms.ofi_atoms(inner(demo.events(spark, sf_dir)), F.col("since"), F.col("before"), BUCKET)
 
 
 AGGRESSIVE = ["buy_taker_qty", "sell_taker_qty", "buy_taker_count", "sell_taker_count", "buy_notional", "sell_notional", "afi", "ask_levels_consumed", "bid_levels_consumed"]
@@ -200,7 +197,8 @@ _w3 = [x for b in ("bid", "ask") for x in (r(s("qty", f"book_side = '{b}' AND ac
 _cnt = lambda t: f"count(ts) FILTER (event_type = '{t}')"
 _w4 = [r("count(ts)", "order_event_count"), r(_cnt("OrderPlaced"), "placed_count"), r(_cnt("OrderCancelled"), "cancel_count"), r(_cnt("OrderUpdated"), "update_count"), r(_cnt("Execution"), "execution_count"), r("coalesce(sum(execution_qty), 0)", "execution_qty"), r("coalesce(sum(CAST(execution_qty AS DOUBLE) * execution_price), 0)", "execution_notional"), r("count(DISTINCT order_uid)", "unique_order_uids"), r("count(DISTINCT price)", "levels_touched"), r("count(ts) / (w / 1000.0)", "events_per_sec"), r(f"{_cnt('Execution')} / (w / 1000.0)", "trades_per_sec"), r("CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) / (w / 1000.0)", "qty_per_sec")]
 _evs = "(SELECT *, timestamp_ms AS ts FROM ev)"
-_rng = "timestamp_ms >= (SELECT min(timestamp_ms) FROM ev) AND timestamp_ms < (SELECT max(timestamp_ms) + 1 FROM ev)"
+_since, _before = ("(SELECT min(timestamp_ms) + (max(timestamp_ms) - min(timestamp_ms)) // 8 FROM ev)", "(SELECT max(timestamp_ms) - (max(timestamp_ms) - min(timestamp_ms)) // 8 FROM ev)")
+_rng = f"timestamp_ms >= {_since} AND timestamp_ms < {_before}"
 _b = f"timestamp_ms - timestamp_ms % {BUCKET}"
 _q = lambda t, more="": f"CAST(coalesce(sum(qty) FILTER (event_type = '{t}'{more}), 0) AS DOUBLE)"
 _n = lambda t, more="": f"count(*) FILTER (event_type = '{t}'{more})"
@@ -215,7 +213,7 @@ ORACLE = {
     "e1_canonical_events": f"WITH {PLAIN} SELECT symbol, ingest_pos, timestamp_ms, event_type, order_uid, side, {r('price', 'price')}, {r('qty', 'qty')}, maker_uid, taker_uid, {r('execution_price', 'execution_price')}, {r('execution_qty', 'execution_qty')}, n_events_same_ms, ordering_ambiguous FROM ev",
     "s1_json_lines": f"WITH {OLD} SELECT timestamp_ms, event_type, ingest_pos AS event_uid, order_uid, side, {r('price', 'price')}, {r('qty', 'qty')}, {r("CASE WHEN event_type = 'OrderUpdated' THEN old_qty END", 'old_qty')}, {r("CASE WHEN event_type = 'OrderUpdated' THEN old_price END", 'old_price')}, CASE WHEN event_type <> 'Execution' THEN CAST(0 AS DOUBLE) END AS filled_qty, maker_uid, taker_uid, {r('execution_price', 'execution_price')}, {r('execution_qty', 'execution_qty')}, CASE WHEN event_type <> 'Execution' THEN 'r' END AS reason, aggressor, n_events_same_ms, ordering_ambiguous FROM eo",
     "e5_ambiguity": f"WITH {PLAIN} SELECT event_type, count(*) FILTER (ordering_ambiguous) AS ambiguous, max(n_events_same_ms) AS most_in_one_ms, count(*) AS n FROM ev GROUP BY 1",
-    "e7_phases": f"WITH {PLAIN} SELECT CASE WHEN timestamp_ms < {SPLIT} THEN 'warmup' ELSE 'research' END AS phase, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms FROM ev WHERE {_rng} GROUP BY 1",
+    "e7_phases": f"WITH {PLAIN} SELECT CASE WHEN timestamp_ms < ({_since} + {_before}) // 2 THEN 'warmup' ELSE 'research' END AS phase, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms FROM ev WHERE {_rng} GROUP BY 1",
     "e9_lifecycle": f"WITH {PLAIN}, u AS (SELECT order_uid AS uid, 'order' AS role, timestamp_ms, event_type FROM ev UNION ALL SELECT maker_uid, 'maker', timestamp_ms, event_type FROM ev UNION ALL SELECT taker_uid, 'taker', timestamp_ms, event_type FROM ev) SELECT uid, role, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms, count(DISTINCT event_type) AS kinds FROM u WHERE uid IS NOT NULL GROUP BY 1, 2",
     "e10_neighbourhood": f"WITH {PLAIN} SELECT x.ingest_pos AS execution, count(*) AS n, count(*) FILTER (e.event_type = 'OrderPlaced') AS placed, count(*) FILTER (e.timestamp_ms BETWEEN x.timestamp_ms + 1 AND x.timestamp_ms + 3) AS soon_after FROM ev x JOIN ev e ON e.timestamp_ms BETWEEN x.timestamp_ms - 5 AND x.timestamp_ms + 5 WHERE x.execution_qty > 100 GROUP BY 1",
     "a1_taker_atoms": f"WITH {PLAIN}, {TK} SELECT ts, ingest_pos, taker_uid, aggressor, sign, {r('qty', 'qty')}, {r('price', 'price')}, {r('notional', 'notional')} FROM tk",

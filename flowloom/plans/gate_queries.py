@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import atoms, book, levels, lifecycle, windows
 from ..sources import demo
 from . import gates
-from .book_queries import HORIZON, XREC, _cls, _lv, _rp, _zone, _within, intervals
+from .book_queries import HORIZON, KNOWN, WATCHED, XREC, _cls, _lv, _rp, intervals, zones
 from .flow_queries import GRID, PLAIN, STEP, TK, s
 
 RESEARCH, KEYS = 28_420_000, ["symbol", "label"]
@@ -26,7 +26,7 @@ def v1_download_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v2_market_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = gates.market_truth(demo.events(spark, sf_dir, True), RESEARCH, 500)
+    m = gates.market_truth(demo.events(spark, sf_dir, True), RESEARCH, 500, RESEARCH - WATCHED)
     return m.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c.startswith(("comp_", "maker_", "taker_")) else F.col(c) for c in m.columns])
 
 
@@ -101,8 +101,9 @@ _odd = ("unknown_update", "unknown_cancel", "unknown_exec_maker", "unknown_exec_
 _counted = ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in _odd) + ", (SELECT count(*) FROM (SELECT timestamp_ms FROM ev GROUP BY 1 HAVING count(*) > 1)) AS n_ambiguous_ms, (SELECT count(*) FROM cr WHERE cross_width > 0) AS crossed_book, (SELECT count(*) FROM cr WHERE cross_width = 0) AS locked_book"
 _link = lambda q: f"(SELECT round(round(100.0 * count(*) FILTER (u IN (SELECT order_uid FROM ev WHERE order_uid IS NOT NULL)) / count(*), 2), 6) FROM (SELECT DISTINCT {q}_uid AS u FROM ev WHERE {q}_uid IS NOT NULL)) AS {q}_link_pct"
 _bb, _ba = "max(price) FILTER (side = 'buy' AND price > 0)", "min(price) FILTER (side = 'sell' AND price > 0)"
-_zones = " UNION ALL ".join([_zone("L1", "k <= 1"), _zone("L5", "k <= 5"), _zone("L10", "k <= 10"), _zone("10bps", _within(10)), _zone("25bps", _within(25))])
-_comp = ", ".join(f"(SELECT CAST(100 AS DOUBLE) FROM zz WHERE side = '{q}' AND zone = '{z}') AS comp_{n}_{z}" for z in ("L1", "L5", "L10", "10bps", "25bps") for n, q in (("bid", "buy"), ("ask", "sell")))
+_zones = zones(RESEARCH - WATCHED)
+_comp = ", ".join(f"(SELECT {KNOWN} FROM zz WHERE side = '{q}' AND zone = '{z}') AS comp_{n}_{z}" for z in ("L1", "L5", "L10", "10bps", "25bps") for n, q in (("bid", "buy"), ("ask", "sell")))
+_low = "concat_ws(', ', " + ", ".join(f"CASE WHEN (SELECT {KNOWN} FROM zz WHERE side = '{q}' AND zone = 'L1' AND total_qty > 0) < 99.9 THEN '{n}_L1' END" for n, q in (("bid", "buy"), ("ask", "sell"))) + ")"
 TB = "tb AS (SELECT l_returnflag AS symbol, l_linestatus AS label, l_orderkey * 10 + l_linenumber // 3 AS timestamp_ms, (CAST(l_tax AS DOUBLE) - 0.04) * 26 AS afi_1s, CAST(l_discount AS DOUBLE) * 10.5 AS activity_percentile, CAST(l_quantity AS DOUBLE) - 3 AS spread, CAST(l_extendedprice AS DOUBLE) AS depth_bid_10bps, CASE WHEN l_linenumber > 1 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS buy_taker_qty_1s, 7.0::DOUBLE AS flat, CAST(NULL AS DOUBLE) AS context_120m, CASE WHEN l_linenumber <= 3 THEN 'not_ready' ELSE 'NORMAL' END AS regime_state FROM lineitem)"
 COLUMNS = ["timestamp_ms", "afi_1s", "activity_percentile", "spread", "depth_bid_10bps", "buy_taker_qty_1s", "flat", "context_120m"]
 
@@ -136,7 +137,7 @@ _top = lambda group, c: f"(SELECT '{group}' AS \"group\", anchor AS timestamp_ms
 
 ORACLE = {
     "v1_download_truth": f"WITH {PLAIN}, a AS (SELECT timestamp_ms AS ts FROM ev), o AS (SELECT order_uid, ingest_pos, timestamp_ms AS ts FROM ev WHERE event_type <> 'Execution'), f AS (SELECT ts FROM o ORDER BY ingest_pos LIMIT 1), l AS (SELECT ts FROM o ORDER BY ingest_pos DESC LIMIT 1), m AS (SELECT ts, count(*) AS c FROM o GROUP BY 1), d AS (SELECT ts - lag(ts) OVER (ORDER BY ingest_pos) AS d FROM o), k AS (SELECT CASE WHEN coalesce(min(d), 0) >= 0 THEN 'asc' WHEN max(d) <= 0 THEN 'desc' ELSE 'mixed' END AS k FROM d) {_case('own', 'ingest_pos', 0)} UNION ALL {_case('longer', 'ingest_pos', 10**6)} UNION ALL {_case('repeats', 'order_uid', 0)}",
-    "v2_market_truth": f"{XREC}, {_cls}, lv AS (SELECT * FROM sp WHERE from_ts <= {RESEARCH - 1} AND (to_ts IS NULL OR to_ts > {RESEARCH - 1})), md AS (SELECT ({_bb} + {_ba}) / 2 AS mid FROM lv), lz AS (SELECT lv.*, mid, dense_rank() OVER (PARTITION BY side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS k FROM lv, md WHERE price > 0), zz AS ({_zones}), cn AS (SELECT {_counted} FROM f), ks AS (SELECT count(*) FILTER (classification = 'CROSS_STREAM_TS_AMBIGUITY') AS explained, count(*) FILTER (classification = 'UNEXPLAINED') AS unexplained, count(*) FILTER (persistent AND classification <> 'LOCKED_MARKET') AS persisting FROM cl), rs AS (SELECT concat_ws('; ', CASE WHEN negative_qty > 0 THEN 'negative_qty=' || negative_qty END, CASE WHEN duplicate_active_uid > 0 THEN 'duplicate_active_uid=' || duplicate_active_uid END, CASE WHEN unexplained > 0 THEN 'unexplained=' || unexplained END, CASE WHEN persisting > 0 THEN 'persisting=' || persisting END) AS t FROM cn, ks) SELECT 'SYN' AS symbol, (SELECT count(*) FROM ev WHERE timestamp_ms < {RESEARCH}) AS warmup_events, (SELECT count(*) FROM ev WHERE timestamp_ms >= {RESEARCH}) AS research_events, {_comp}, cn.*, ks.*, (SELECT count(*) FROM sp WHERE to_ts IS NULL) AS n_active_final, (SELECT count(*) FROM ev WHERE event_type = 'Execution') AS n_executions, {_link('maker')}, {_link('taker')}, nullif(t, '') AS reason, CASE WHEN t = '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM cn, ks, rs",
+    "v2_market_truth": f"{XREC}, {_cls}, lv AS (SELECT * FROM sp WHERE from_ts <= {RESEARCH - 1} AND (to_ts IS NULL OR to_ts > {RESEARCH - 1})), md AS (SELECT ({_bb} + {_ba}) / 2 AS mid FROM lv), lz AS (SELECT lv.*, mid, dense_rank() OVER (PARTITION BY side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END) AS k FROM lv, md WHERE price > 0), zz AS ({_zones}), cn AS (SELECT {_counted} FROM f), ks AS (SELECT count(*) FILTER (classification = 'CROSS_STREAM_TS_AMBIGUITY') AS explained, count(*) FILTER (classification = 'UNEXPLAINED') AS unexplained, count(*) FILTER (persistent AND classification <> 'LOCKED_MARKET') AS persisting FROM cl), rs AS (SELECT concat_ws('; ', CASE WHEN negative_qty > 0 THEN 'negative_qty=' || negative_qty END, CASE WHEN duplicate_active_uid > 0 THEN 'duplicate_active_uid=' || duplicate_active_uid END, CASE WHEN unexplained > 0 THEN 'unexplained=' || unexplained END, CASE WHEN persisting > 0 THEN 'persisting=' || persisting END) AS t FROM cn, ks), lo AS (SELECT {_low} AS b) SELECT 'SYN' AS symbol, (SELECT count(*) FROM ev WHERE timestamp_ms < {RESEARCH}) AS warmup_events, (SELECT count(*) FROM ev WHERE timestamp_ms >= {RESEARCH}) AS research_events, {_comp}, cn.*, ks.*, (SELECT count(*) FROM sp WHERE to_ts IS NULL) AS n_active_final, (SELECT count(*) FROM ev WHERE event_type = 'Execution') AS n_executions, {_link('maker')}, {_link('taker')}, CASE WHEN b <> '' THEN 'known below 99.9%: ' || b ELSE nullif(t, '') END AS reason, CASE WHEN t = '' AND b = '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM cn, ks, rs, lo",
     "b8_crossed_counters": f"{XREC}, {_cls.split(', xu AS')[0]} SELECT 'SYN' AS symbol, {_counted} FROM f",
     "v4_feature_gate": f"WITH {TB}, g AS (SELECT symbol, label, count(*) AS n_rows, 11 AS n_cols, count(*) = 3600 AS rows_ok, min(timestamp_ms) AS first_ts, max(timestamp_ms) AS last_ts, abs(min(timestamp_ms) - 10) <= 20 AS first_ts_ok, abs(max(timestamp_ms) - 60000) <= 20 AS last_ts_ok, count(*) - count(DISTINCT timestamp_ms) AS dup_ts, round(({' + '.join(_missing.values())}) / (count(*) * {len(COLUMNS)}.0), 4) AS nan_share, CAST(0 AS BIGINT) AS inf_count, {len(COLUMNS)} AS n_num_cols, len({_high}) AS high_nan_cols, array_to_string({_high}[1:5], '; ') AS high_nan_examples, round(count(*) FILTER (regime_state = 'not_ready') / count(*), 3) AS regime_not_ready_share, {_ranges} AS range_violations, len({_flat}) AS constant_cols, array_to_string({_flat}[1:5], '; ') AS constant_examples, count(context_120m) = 0 AS context_120m_all_nan FROM tb GROUP BY 1, 2) SELECT *, regime_not_ready_share BETWEEN 0.4 AND 0.6 AS regime_not_ready_ok, CASE WHEN NOT rows_ok OR dup_ts > 0 OR range_violations <> '' OR NOT context_120m_all_nan THEN 'FAIL' ELSE 'PASS' END AS verdict FROM g",
     "v5_range_rules": f"WITH {TB} " + " UNION ALL ".join(f"SELECT symbol, label, '{rule[0]}' AS rule, {sum(rule[0] in c for c in COLUMNS)} AS checked, {_broken(*rule)} AS violations FROM tb GROUP BY 1, 2" for rule in gates.RANGES),

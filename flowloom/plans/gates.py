@@ -89,10 +89,10 @@ def linkage(events: DataFrame) -> DataFrame:
 ZONES = [f"{s}_{z}" for z in ("L1", "L5", "L10", "10bps", "25bps") for s in ("bid", "ask")]
 
 
-def market_truth(events: DataFrame, research: int, chunk: int = 10_000) -> DataFrame:
+def market_truth(events: DataFrame, research: int, chunk: int = 10_000, watched: int | None = None) -> DataFrame:
     """Stage 2, a row per symbol: known quantity near the touch when research starts, odd transitions, crossings by kind, linkage, verdict and reason.
 
-    The gate on the best levels comes first; then no negative quantity, no second Placed of an active order, and no crossing that is unexplained or lasts.
+    watched: from when on placings were seen, if not from the first event on. The gate on the best levels comes first; then no negative quantity, no second Placed of an active order, and no crossing that is unexplained or lasts.
     """
     events = stored(events)
     moves = stored(lifecycle.transitions(events))
@@ -100,7 +100,8 @@ def market_truth(events: DataFrame, research: int, chunk: int = 10_000) -> DataF
     top = stored(book.batches_best(spans, events, chunk))
     t = F.col("timestamp_ms")
     out = events.groupBy("symbol").agg(F.count_if(t < research).alias("warmup_events"), F.count_if(t >= research).alias("research_events"))
-    comp = book.completeness(book.levels(book.at_time(spans, research - 1)))
+    known = spans if watched is None else book.watched(spans, watched)
+    comp = book.completeness(book.levels(book.at_time(known, research - 1)))
     side = F.when(F.col("side") == "buy", "bid").otherwise("ask")
     comp = comp.withColumn("z", F.concat_ws("_", side, "zone")).groupBy("symbol").agg(*[F.max(F.when(F.col("z") == z, F.col("pct_known"))).alias(f"comp_{z}") for z in ZONES], *[F.max(F.when(F.col("z") == z, F.col("total_qty") > 0)).alias(f"held_{z}") for z in ZONES[:2]])
     kinds = book.classified(book.crossings(top, spans, chunk), events).groupBy("symbol").agg(*[F.count_if(F.col("classification") == k).alias(n) for n, k in (("explained", "CROSS_STREAM_TS_AMBIGUITY"), ("unexplained", "UNEXPLAINED"))], F.count_if(F.col("persistent") & (F.col("classification") != "LOCKED_MARKET")).alias("persisting"))

@@ -43,8 +43,25 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of raw events with ingest_pos, their place: files by name, then lines as they stand (monotonic within a file's splits). Empty lines do not count."""
-    return parsed(spark.read.text(path).where("trim(value) <> ''").withColumn("ingest_pos", F.monotonically_increasing_id()))
+    """Lines of raw events with ingest_pos, their number from 0: files by name, then lines as they stand. Empty lines do not count."""
+    return parsed(line_numbers(spark.read.text(path).where("trim(value) <> ''")))
+
+
+def line_numbers(lines: DataFrame) -> DataFrame:
+    """Lines of text files (value) with ingest_pos. A split of a file is read in order by one task, so a line's number is what the splits before it hold, and its place among its own.
+
+    The table of splits has a row for each. A split is cut alike in both scans; if the cluster has changed so that it is not, the lines fail rather than get no number.
+    """
+    rows = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    files = splits.groupBy("file").agg(F.sum("n").alias("in_file"))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select(F.col("file").alias("f"), before("in_file", Window.orderBy("file")).alias("files"))
+    inside = before("n", Window.partitionBy("file").orderBy("start"))
+    splits = splits.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", "last", inside.alias("inside")).join(files, "f")
+    out = rows.join(splits, (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")), "left")
+    found = F.col("at").between(F.col("first"), F.col("last"))
+    return out.select("value", F.when(found, F.col("files") + F.col("inside") + F.col("at") - F.col("first")).otherwise(F.raise_error(F.lit("splits of the files changed between two scans"))).alias("ingest_pos"))
 
 
 #: The selected sessions, in the order of reports.
@@ -74,10 +91,12 @@ def canonical(orders: DataFrame, executions: DataFrame, keys: tuple[str, ...] =
         F.coalesce(*[e[t]["reason"] for t in known]).alias("reason"), body["orderType"].alias("order_type"), body["direction"].alias("direction"), null.cast("string").alias("aggressor"),
     )
     x = e["Execution"]["execution"]
+    taker = x["takerOrder"]["direction"]  # exactly Buy or Sell
+    aggressor = F.when(taker == "Buy", "buy").when(taker == "Sell", "sell")
     b = executions.select(
         *keys, (F.col("ingest_pos") * 2 + 1).alias("ingest_pos"), F.lit(1).alias("file"), F.col("timestamp").cast("long").alias("timestamp_ms"), F.lit("Execution").alias("event_type"), F.coalesce("uid", x["uid"]).alias("event_uid"), null.cast("string").alias("order_uid"), null.cast("string").alias("side"),
         *[null.cast("double").alias(c) for c in ("price", "qty", "old_qty", "old_price", "filled_qty")], x["makerOrder"]["uid"].alias("maker_uid"), x["takerOrder"]["uid"].alias("taker_uid"), number(x["price"]).alias("execution_price"), number(x["quantity"]).alias("execution_qty"),
-        number(x["usdValue"]).alias("usd_value"), null.cast("string").alias("reason"), null.cast("string").alias("order_type"), null.cast("string").alias("direction"), F.lower(x["takerOrder"]["direction"]).alias("aggressor"),
+        number(x["usdValue"]).alias("usd_value"), null.cast("string").alias("reason"), null.cast("string").alias("order_type"), null.cast("string").alias("direction"), aggressor.alias("aggressor"),
     )
     return with_ambiguity(a.unionByName(b), keys)
 

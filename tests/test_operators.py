@@ -190,6 +190,48 @@ def test_jsonl_to_canonical(spark, tmp_path):
     assert (c[2]["aggressor"], c[2]["execution_qty"], c[2]["usd_value"], c[2]["ordering_ambiguous"]) == ("sell", 1.0, None, True)
 
 
+def test_lines_of_several_files(spark, tmp_path):
+    """A small file before a large one of many splits: numbers run on in the order of names, so a session parted over files keeps its order."""
+    line = lambda t: json.dumps({"uid": f"e{t}", "timestamp": t, "event": {}})
+    (tmp_path / "a.jsonl").write_text("\n".join(map(line, range(3))))
+    (tmp_path / "b.jsonl").write_text("\n".join(f"{line(t)}\n" for t in range(3, 300)))
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = canonical.read_jsonl(spark, str(tmp_path))
+        assert sorted((r["ingest_pos"], r["timestamp"]) for r in rows.collect()) == [(i, i) for i in range(300)]
+        assert gates.line_order(rows.select("ingest_pos", F.col("timestamp").alias("ts"))).collect()[0]["ts_order"] == "asc"
+        for c in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{c}")
+    (tmp_path / "none.jsonl").write_text("\n \n")
+    assert canonical.read_jsonl(spark, str(tmp_path / "none.jsonl")).count() == 0
+
+
+def test_aggressor_needs_an_exact_direction(spark, tmp_path):
+    made = lambda d: json.dumps({"uid": d, "timestamp": 1, "event": {"Execution": {"execution": {"takerOrder": {"uid": "t", "direction": d}, "quantity": "1", "price": "2"}}}})
+    (tmp_path / "x.jsonl").write_text("\n".join(map(made, ["Buy", "Sell", "BUY", "sell", ""])))
+    x = canonical.read_jsonl(spark, str(tmp_path / "x.jsonl"))
+    got = atoms.taker(canonical.canonical(x.limit(0), x).withColumn("symbol", F.lit("X")))
+    assert sorted((r["ingest_pos"], r["aggressor"]) for r in got.collect()) == [(1, "buy"), (3, "sell")]
+
+
+def test_executions_of_one_time_count_as_their_first(spark):
+    """5 and 2 executed in one ms at one level, 3 added after each: six refilled over the first five."""
+    rows = [place(0, 1, "a", "buy", 10.0, 50.0), execute(1, 5, "a", "t", 10.0, 5.0), execute(2, 5, "a", "t", 10.0, 2.0), place(3, 6, "b", "buy", 10.0, 3.0)]
+    pairs = levels.refill_pairs(lifecycle.level_atoms(spark.createDataFrame(rows, EVENT)), 100)
+    r = levels.level_refill(pairs, 50, 100).collect()[0]
+    assert (r["refilled_qty"], r["refill_count"]) == (6.0, 2) and r["replenishment_ratio"] == pytest.approx(6 / 5)
+
+
+def test_unknown_placings_are_censored(spark):
+    rows = [place(0, 1, "a", "buy", 10.0, 2.0), place(1, 5, "b", "buy", 10.0, 1.0), place(2, 6, "c", "sell", 11.0, 1.0)]
+    live = book.at_time(book.watched(lifecycle.book_intervals(spark.createDataFrame(rows, EVENT)), 5), 9)
+    got = {(r["side"], r["zone"]): r["pct_known"] for r in book.completeness(book.levels(live)).collect()}
+    assert got["buy", "L1"] == 33.33 and got["sell", "L1"] == 100.0
+    ages = {r["side"]: (r["n_known_age"], r["n_censored_age"], r["oldest_age_ms"]) for r in book.snapshot(live).collect()}
+    assert ages == {"buy": (1, 1, 4), "sell": (1, 0, 3)}
+
+
 def test_unknown_event_type_keeps_its_name(spark, tmp_path):
     (tmp_path / "o.jsonl").write_text('{"uid": "e1", "timestamp": 5, "event": {"MarginCall": {"order": {"uid": "o"}}}}\n\n{"uid": "e2", "timestamp": null, "event": {}}\n')
     o = canonical.read_jsonl(spark, str(tmp_path / "o.jsonl"))
