@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweep
 from .windows import ceil_to
 
 
@@ -66,30 +67,9 @@ def depth(l: DataFrame, top: DataFrame, bps: list[int]) -> DataFrame:
     return out.selectExpr("symbol", "anchor", *[x for n in bps for x in (f"depth_bid_{n}bps", f"depth_ask_{n}bps", f"CASE WHEN mid IS NOT NULL THEN round(coalesce({share(n)}, 0D), 4) END AS obi_{n}bps")])
 
 
-def state(l: DataFrame, bps: tuple[int, ...], counts: tuple[int, ...] = ()) -> DataFrame:
-    """best(), depth() and, with counts, top_levels() of the same levels in one pass: every level gets its anchor's best prices by a window, then an anchor's levels are summed."""
-    over = "OVER (PARTITION BY symbol, anchor)"
-    side = {"bid": "side = 'buy'", "ask": "side = 'sell'"}
-    touch = {n: f"CASE WHEN {c} AND price > 0 THEN price END" for n, c in side.items()}
-    rows = l.selectExpr("*", f"max({touch['bid']}) {over} AS best_bid", f"min({touch['ask']}) {over} AS best_ask")
-    rows = rows.selectExpr("*", "(best_ask + best_bid) / 2 AS mid")
-    aggs = ["max(best_bid) AS best_bid", "max(best_ask) AS best_ask"]
-    aggs += [f"max(CASE WHEN {c} AND price = best_{n} THEN first_qty END) AS best_{n}_qty" for n, c in side.items()]  # a price is one level
-    aggs += ["sum(n_orders) AS n_active"]
-    out = [F.expr(x) for x in aggs] + [F.sum(F.when(within(n) & F.expr(c), F.col("qty"))).alias(f"__{s}{n}") for n in bps for s, c in side.items()]
-    if counts:
-        rank = "dense_rank() OVER (PARTITION BY symbol, anchor, side ORDER BY CASE WHEN side = 'buy' THEN -price ELSE price END)"
-        rows = rows.selectExpr("*", f"{rank} AS r")
-        out += [F.expr(f"cast(coalesce(sum(CASE WHEN {c} AND r <= {n} THEN qty END), 0) AS double) AS {s}_l{n}_qty") for n in counts for s, c in side.items()]
-    rows = rows.groupBy("symbol", "anchor").agg(*out).selectExpr("*", "best_ask - best_bid AS spread", "(best_ask + best_bid) / 2 AS mid")
-    rows = rows.selectExpr("*", *[f"CASE WHEN mid IS NOT NULL THEN coalesce(cast(__{s}{n} AS double), 0D) END AS depth_{s}_{n}bps" for n in bps for s in side])
-    share = lambda n: f"try_divide(depth_bid_{n}bps - depth_ask_{n}bps, depth_bid_{n}bps + depth_ask_{n}bps)"
-    return rows.selectExpr("*", *[f"CASE WHEN mid IS NOT NULL THEN round(coalesce({share(n)}, 0D), 4) END AS obi_{n}bps" for n in bps]).drop(*[f"__{s}{n}" for n in bps for s in side])
-
-
 def series(spans: DataFrame, grid: DataFrame, step: int, bps: tuple[int, ...] = (5, 10, 25)) -> DataFrame:
     """Best prices and depth at every anchor."""
-    out = grid.join(state(levels(at_anchors(spans, grid, step)), bps), ["symbol", "anchor"], "left")
+    out = grid.join(sweep.book_states(spans, grid, step, bps), ["symbol", "anchor"], "left")
     near = F.coalesce("depth_bid_10bps", F.lit(0.0)) + F.coalesce("depth_ask_10bps", F.lit(0.0))
     return out.withColumn("n_active", F.coalesce("n_active", F.lit(0))).withColumn("near_book_depth", near)
 
@@ -102,7 +82,8 @@ def top_levels(l: DataFrame, counts: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
 
 
 def market_state(spans: DataFrame, grid: DataFrame, step: int) -> DataFrame:
-    return state(levels(at_anchors(spans, grid, step)), (5, 10, 25, 50), (1, 5, 10))
+    """Best prices, depth and first levels at every anchor of the grid; several grids whose steps are multiples of step may be one."""
+    return sweep.book_states(spans, grid, step, (5, 10, 25, 50), (1, 5, 10))
 
 
 def completeness(l: DataFrame, n_levels: int = 10) -> DataFrame:

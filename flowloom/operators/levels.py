@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import rank_pct
+from . import sweep
 from .atoms import EPS
-from .book import at_anchors
 
 LEVEL = ["symbol", "side", "price"]
 
@@ -31,23 +31,16 @@ def snapshot(atoms: DataFrame, t: int, top: DataFrame | None = None, tick: float
 
 def summary(atoms: DataFrame, grid: DataFrame, book: DataFrame, step: int, tick: float) -> DataFrame:
     """Per anchor and side: the distribution of active levels' quantities, and how far the nearest level is from the mid."""
-    w = Window.partitionBy(*LEVEL).orderBy("ts", "prio", "ingest_pos", "leg", "emit")
-    spans = atoms.withColumn("to_ts", F.lead("ts").over(w)).where("(to_ts IS NULL OR to_ts > ts) AND level_qty > 0").select(*LEVEL, F.col("ts").alias("from_ts"), "to_ts", F.col("level_qty").cast("double").alias("q"))
-    live = at_anchors(spans, grid, step)
-    key = ["symbol", "anchor", "side"]
-    near = F.min(F.when(F.col("side") == "buy", -F.col("price")).otherwise(F.col("price")))
-    s = live.groupBy(*key).agg(F.count(F.lit(1)).alias("n_levels"), F.sum("q").alias("total_qty"), F.max("q").alias("max_qty"), F.percentile("q", F.array(*[F.lit(p) for p in (0.5, 0.75, 0.9, 0.95)])).alias("p"), F.abs(near).alias("nearest"))
-    med = F.col("p")[0] + EPS
-    above = live.join(s.select(*key, med.alias("med")), key).groupBy(*key).agg(*[F.count_if(F.col("q") > n * F.col("med")).alias(f"n_above_{n}x_median") for n in (3, 5)])
-    s = s.join(above, key).join(book.select("symbol", "anchor", "mid"), ["symbol", "anchor"], "left")
+    key, med = ["symbol", "anchor", "side"], F.col("p50_qty") + EPS
+    s = sweep.level_states(atoms, grid, step, EPS).join(book.select("symbol", "anchor", "mid"), ["symbol", "anchor"], "left")
     away = F.abs(F.col("nearest") - F.col("mid"))
-    high = F.when(F.col("n_levels") >= 20, F.col("p")[3]).otherwise(F.col("max_qty"))
+    high = F.when(F.col("n_levels") >= 20, F.col("p95_qty")).otherwise(F.col("max_qty"))
     return s.select(
         *key,
         "n_levels",
         "total_qty",
         "max_qty",
-        *[F.col("p")[i].alias(f"p{n}_qty") for i, n in enumerate((50, 75, 90, 95))],
+        *[f"{p}_qty" for p in sweep.QUANTILES],
         (F.col("max_qty") / med).alias("max_qty_vs_median"),
         (high / med).alias("p95_qty_vs_median"),
         "n_above_3x_median",

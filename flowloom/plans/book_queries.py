@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,12 +70,12 @@ GRIDS = [120, 180, 360, 720, 1_440, 2_880]
 
 
 def b14_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On six grids."""
-    e = events(spark, sf_dir)
-    s = stored(intervals(e))
+    """On six grids, from one fold and one sweep over all their anchors."""
+    e = stored(events(spark, sf_dir))
     names = ["best_bid", "best_ask", *[f"{x}_{n}bps" for n in (5, 10, 25, 50) for x in ("depth_bid", "depth_ask", "obi")], *[f"{x}_l{n}_qty" for x in ("bid", "ask") for n in (1, 5, 10)]]
-    parts = [book.market_state(s, demo.anchors(e, g), g).select("symbol", F.lit(g).alias("grid"), "anchor", *d(*names)) for g in GRIDS]
-    return reduce(DataFrame.unionByName, parts)
+    grids = reduce(DataFrame.unionByName, [demo.anchors(e, g).withColumn("grid", F.lit(g)) for g in GRIDS])
+    states = book.market_state(intervals(e), grids, gcd(*GRIDS)).where("n_active > 0")
+    return grids.join(states, ["symbol", "anchor"]).select("symbol", "grid", "anchor", *d(*names))
 
 
 def b7_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:

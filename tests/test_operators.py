@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions.ranking import rank_pct
-from flowloom.operators import atoms, book, levels, lifecycle, windows
+from flowloom.operators import atoms, book, levels, lifecycle, sweep, windows
 from flowloom.plans import features, gates, report
 from flowloom.sources import canonical
 from flowloom.streaming import flows
@@ -345,16 +345,52 @@ def test_as_of_over_chunks(spark):
     assert got == {("X", 0): None, ("X", 5): 1.0, ("X", 39): 1.0, ("X", 42): None, ("X", 90): None, ("X", 300): 3.0, ("Y", 300): 9.0, ("Z", 5): None}
 
 
-def test_state_in_one_pass(spark):
-    """best(), depth() and top_levels() apart give what state() gives together, in crossed, one-sided and odd-priced books too."""
+@pytest.mark.parametrize("chunk", [1, 3, 256])
+def test_swept_states_are_those_of_live_orders(spark, chunk):
+    """best(), depth() and top_levels() of the orders alive at each anchor, in crossed, one-sided, empty and odd-priced books of two symbols, over many chunks and in one; in doubles and in decimals."""
     import random
 
-    rnd = random.Random(5)
-    rows = [place(i, rnd.randint(0, 30), f"u{i}", rnd.choice(["buy", "sell"]), rnd.choice([0.0, -1.0, *(100 + x / 100 for x in range(-30, 30, 7))]), float(rnd.randint(1, 9))) for i in range(60)]
-    spans = lifecycle.book_intervals(spark.createDataFrame(rows, EVENT))
-    l = book.levels(book.at_anchors(spans, spark.createDataFrame([("X", t) for t in range(0, 40, 5)], "symbol string, anchor long"), 5))
-    top = book.best(l)
-    apart = top.join(book.depth(l, top, [5, 10, 25]), ["symbol", "anchor"]).join(book.top_levels(l), ["symbol", "anchor"])
-    got = book.state(l, (5, 10, 25), (1, 5, 10))
-    assert set(got.columns) == set(apart.columns)
-    assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, apart.select(*sorted(got.columns)).collect()))
+    rnd = random.Random(chunk)
+    rows = []
+    for i in range(160):
+        t, uid = rnd.randint(0, 60), f"u{rnd.randint(0, 50)}"
+        r = place(i, t, uid, rnd.choice(["buy", "sell", "odd"]), rnd.choice([0.0, -1.0, *(100 + x / 100 for x in range(-30, 30, 7))]), rnd.randint(1, 9) / 4) if rnd.random() < 0.7 else change(i, t, uid, None, None, None, "OrderCancelled")
+        rows.append((rnd.choice("XXY"), *r[1:]))
+    grid = spark.createDataFrame([("X", t) for t in range(10, 90, 5)] + [("Y", t) for t in range(-5, 30, 5)] + [("Z", 5)], "symbol string, anchor long")
+    for kind in ("double", "decimal(18,2)"):
+        e = spark.createDataFrame(rows, EVENT).withColumn("qty", F.col("qty").cast(kind))
+        spans = lifecycle.book_intervals(e)
+        l = book.levels(book.at_anchors(spans, grid, 5))
+        top = book.best(l)
+        apart = top.join(book.depth(l, top, [5, 10, 25]), ["symbol", "anchor"]).join(book.top_levels(l), ["symbol", "anchor"]).drop("best_bid_qty", "best_ask_qty")
+        got = sweep.book_states(spans, grid, 5, (5, 10, 25), (1, 5, 10), chunk)
+        assert set(got.columns) == set(apart.columns) and got.count() == grid.count()
+        names = sorted(got.columns)
+        assert sorted(map(str, got.where("n_active > 0").select(names).collect())) == sorted(map(str, apart.withColumn("n_active", F.col("n_active").cast("long")).select(names).collect()))
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 256])
+def test_swept_levels_match_brute_force(spark, chunk):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(chunk)
+    rows = sorted((rnd.choice("XY"), rnd.choice(["buy", "sell"]), 10.0 + rnd.randint(0, 12), rnd.randint(0, 90), i, rnd.choice([0.0, 0.5, 1.0, 2.0, 7.0, 30.0])) for i in range(400))
+    atoms_ = spark.createDataFrame(rows, "symbol string, side string, price double, ts long, ingest_pos long, level_qty double").selectExpr("*", "0 AS prio", "0 AS leg", "0 AS emit")
+    grid = spark.createDataFrame([("X", t) for t in range(0, 100, 5)] + [("Y", t) for t in range(40, 70, 5)], "symbol string, anchor long")
+    got = {(r["symbol"], r["anchor"], r["side"]): r for r in sweep.level_states(atoms_, grid, 5, 1e-12, chunk).collect()}
+    want = 0
+    for symbol, anchor in [tuple(r) for r in grid.collect()]:
+        for side in ("buy", "sell"):
+            last = {}
+            for r in sorted((r for r in rows if r[0] == symbol and r[1] == side and r[3] <= anchor), key=lambda r: (r[3], r[4])):
+                last[r[2]] = r[5]
+            q = {p: v for p, v in last.items() if v > 0}
+            if q:
+                want += 1
+                r, v = got[symbol, anchor, side], list(q.values())
+                assert (r["n_levels"], r["total_qty"], r["max_qty"], r["nearest"]) == (len(v), sum(v), max(v), (max if side == "buy" else min)(q))
+                assert [r[f"{p}_qty"] for p in sweep.QUANTILES] == pytest.approx(np.quantile(v, list(sweep.QUANTILES.values())).tolist())
+                assert (r["n_above_3x_median"], r["n_above_5x_median"]) == tuple(sum(x > k * (np.median(v) + 1e-12) for x in v) for k in (3, 5))
+    assert want == len(got)
