@@ -168,16 +168,19 @@ def best(rows: DataFrame, top: int, buckets: int) -> DataFrame:
     """The first `top` rows of each lang by score, count and phrase, with their rank.
 
     Scores do not pass a million: counts by the thousand and then by single scores within one thousand (at most 1,001 bins for a lang) give the score of the last
-    row. Ties at that score are cut by buckets, so that a task sorts about `top` rows and no more than buckets * top, however many phrases a lang has.
+    row, and counts of its ties by their number of occurrences give that. Ties in both are cut by buckets, so that a task sorts about `top` rows and no more than
+    buckets * top, however many phrases a lang has.
     """
     count = F.count(F.lit(1)).alias("n")
     coarse = cut_at(rows.groupBy("lang", F.expr("score div 1000").alias("bin")).agg(count).withColumn("above", F.lit(0)), "bin", top)
     fine = rows.withColumn("bin", F.expr("score div 1000")).join(coarse, ["lang", "bin"]).groupBy("lang", "above", "score").agg(count)
-    least = cut_at(fine, "score", top).select("lang", F.col("score").alias("least"))
+    least = cut_at(fine, "score", top)
+    ties = rows.join(least, ["lang", "score"]).groupBy("lang", "above", F.col("score").alias("least"), F.col("a").alias("often")).agg(count)
+    least = least.select("lang", F.col("score").alias("least")).join(cut_at(ties, "often", top).drop("above"), "lang")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    out = rows.join(least, "lang").where("score >= least").withColumn("b", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
+    out = rows.join(least, "lang").where("score > least OR score = least AND a >= often").withColumn("b", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
     out = out.withColumn("in_bucket", F.row_number().over(Window.partitionBy("lang", "b").orderBy(*order))).where(F.col("in_bucket") <= top)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top).drop("least", "b", "in_bucket")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top).drop("least", "often", "b", "in_bucket")
 
 
 def collocations(docs: DataFrame, words: int = 3, least: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:
