@@ -1,7 +1,7 @@
 """Backward windows (t - W, t] at anchors, and as-of lookups.
 
 Atoms are summed once per anchor step, with map-side combine, before any window runs: a window of several steps is then a range frame over the short anchor
-table, and one shorter than a step is a conditional sum of the same pass. Only windows that are neither go through a frame over atoms and anchors together.
+table, one shorter than a step is a conditional sum of the same pass, and any other is one of each. The anchor table is taken in spans of time.
 Distinct counts use intervals: a row is the newest of its key from its time until the next of its key or W later, so the count is a running sum of +1 and -1.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .atoms import EPS
+from .rolling import rolling
 
 KEY = "symbol"
 
@@ -21,10 +22,11 @@ def ceil_to(ts: Column, step: int) -> Column:
     return (F.ceil(ts / step) * step).cast("long")
 
 
-def deltas(rows: DataFrame, distinct: dict[str, tuple[str | None, str]], windows: list[int], step: int) -> DataFrame:
+def deltas(rows: DataFrame, distinct: dict[str, tuple[str | None, str]], windows: list[int], step: int, span: int) -> DataFrame:
     """rows (symbol, ts, ..) -> (symbol, anchor, __name_W): +1 where a key starts to count in the window W, -1 where it ends to.
 
-    distinct: name -> (condition, key) as SQL. A row is the newest of its key from its time until the next of its key, or W later.
+    distinct: name -> (condition, key) as SQL. A row is the newest of its key from its time until the next of its key, or W later. What reaches into the next span of
+    time (spans are no shorter than windows) starts once more with it, so that a span's sums need nothing from the one before.
     """
     keyed = ", ".join(f"named_struct('n', '{n}', 'k', CASE WHEN {c or 'true'} THEN cast({k} AS string) END)" for n, (c, k) in distinct.items())
     r = rows.selectExpr(KEY, "ts", f"inline(array({keyed})) AS (n, k)").where("k IS NOT NULL")
@@ -32,20 +34,23 @@ def deltas(rows: DataFrame, distinct: dict[str, tuple[str | None, str]], windows
     up = lambda x: f"cast(ceil(({x}) / {step}) * {step} AS bigint)"
     ends = ", ".join(f"named_struct('w', {w}, 'anchor', {up(f'least(coalesce(next, ts + {w}), ts + {w})')})" for w in windows)
     r = r.selectExpr(KEY, "n", f"{up('ts')} AS a", f"array({ends}) AS e").selectExpr(KEY, "n", "filter(e, x -> x.anchor > a) AS e", "a").where("size(e) > 0")
-    r = r.selectExpr(KEY, "n", "e", "inline(concat(array(named_struct('w', 0, 'anchor', a)), e)) AS (w, anchor)")
-    return r.selectExpr(KEY, "anchor", *[f"CASE WHEN n <> '{n}' THEN NULL WHEN w = {w} THEN -1 WHEN w = 0 AND exists(e, x -> x.w = {w}) THEN 1 END AS `__{n}_{w}`" for n in distinct for w in windows])
+    r = r.selectExpr("*", f"(cast(floor(a / {span}) AS bigint) + 1) * {span} AS b")
+    starts = "array(named_struct('anchor', a, 'd', 1, 'ws', transform(e, x -> x.w)), named_struct('anchor', b, 'd', 1, 'ws', transform(filter(e, x -> x.anchor >= b), x -> x.w)))"
+    r = r.selectExpr(KEY, "n", f"inline(concat({starts}, transform(e, x -> named_struct('anchor', x.anchor, 'd', -1, 'ws', array(x.w))))) AS (anchor, d, ws)")
+    return r.where("size(ws) > 0").selectExpr(KEY, "anchor", *[f"CASE WHEN n = '{n}' AND array_contains(ws, {w}) THEN d END AS `__{n}_{w}`" for n in distinct for w in windows])
 
 
-def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column | str], windows: list[int], step: int, distinct: dict[str, tuple[str | None, str]] | None = None) -> DataFrame:
+def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column | str], windows: list[int], step: int, distinct: dict[str, tuple[str | None, str]] | None = None, length: int = 1 << 12) -> DataFrame:
     """Sums of values over (t - W, t] at each anchor, as columns name_W; zero where nothing falls in. anchors (symbol, anchor) lie on multiples of step. Rows without a time count nowhere.
 
     distinct (name -> condition and key, as SQL) adds how many distinct non-null keys fall in. Atoms, changes of these counts and anchors are summed in one
-    exchange; one pass over the short table of anchors then gives all windows.
+    exchange; one pass over the short table of anchors then gives all windows: one of k steps and a rest is a frame of k steps and the rest's sum at the anchor k steps
+    back. The pass takes spans of at least `length` anchors apart, each with the anchors of the longest window before it.
     """
     atoms, distinct = atoms.where("ts IS NOT NULL"), distinct or {}
-    short = [w for w in windows if w < step]
-    long = [w for w in windows if w >= step and w % step == 0]
-    odd = [w for w in windows if w not in short and w not in long and values]
+    rests = sorted({w % step for w in windows} - {0}) if values else []
+    reach = max(windows)
+    span = step * max(length, -(-reach // step) + 1)
     of = lambda v: F.expr(v) if isinstance(v, str) else v
     parts = [anchors.selectExpr(KEY, "anchor", "1 AS __on")]
     if values:
@@ -53,20 +58,24 @@ def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column | st
     else:
         parts[0] = parts[0].withColumn("ts", F.lit(None).cast("long"))
     if distinct:
-        parts.append(deltas(atoms, distinct, windows, step))
+        parts.append(deltas(atoms, distinct, windows, step, span))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    sums = ["max(__on) AS __on", *[f"coalesce(sum(CASE WHEN ts > anchor - {w} THEN `__{n}` END), 0) AS `{n}_{w}`" for w in short for n in values]]
-    sums += [f"coalesce(sum(`__{n}`), 0) AS `__{n}`" for n in values] * bool(long) + [f"coalesce(sum(`__{n}_{w}`), 0) AS `__{n}_{w}`" for n in distinct for w in windows]
-    frame = f"OVER (PARTITION BY {KEY} ORDER BY anchor"
-    wide = [f"{n}_{w}" for w in short for n in values] + [f"sum(`__{n}`) {frame} RANGE BETWEEN {w - step} PRECEDING AND CURRENT ROW) AS `{n}_{w}`" for w in long for n in values]
-    wide += [f"sum(`__{n}_{w}`) {frame} ROWS UNBOUNDED PRECEDING) AS `{n}_{w}`" for n in distinct for w in windows]
-    out = rows.groupBy(KEY, "anchor").agg(*map(F.expr, sums)).selectExpr(KEY, "anchor", "__on", *wide).where("__on = 1").drop("__on")
-    for w in odd:
-        both = atoms.select(KEY, "ts", *[of(v).alias(n) for n, v in values.items()], F.lit(False).alias("is_anchor")).unionByName(anchors.select(KEY, F.col("anchor").alias("ts"), F.lit(True).alias("is_anchor")), allowMissingColumns=True)
-        over = f"OVER (PARTITION BY {KEY} ORDER BY ts RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
-        got = both.selectExpr(KEY, "ts AS anchor", "is_anchor", *[f"coalesce(sum(`{n}`) {over}, 0) AS `{n}_{w}`" for n in values]).where("is_anchor").drop("is_anchor")
-        out = out.join(got, [KEY, "anchor"])
-    return out
+    whole = any(w >= step for w in windows)
+    sums = ["max(__on) AS __on", *[f"coalesce(sum(CASE WHEN ts > anchor - {w} THEN `__{n}` END), 0) AS `__{n}_r{w}`" for w in rests for n in values]]
+    sums += [f"coalesce(sum(`__{n}`), 0) AS `__{n}`" for n in values] * whole + [f"coalesce(sum(`__{n}_{w}`), 0) AS `__{n}_{w}`" for n in distinct for w in windows]
+    frame = f"OVER (PARTITION BY {KEY}, __c ORDER BY anchor"
+    wide = []
+    for w in windows:
+        k, rest = w // step * step, w % step
+        for n in values:
+            at = f"sum(`__{n}_r{rest}`) {frame} RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING)" if k else f"`__{n}_r{rest}`"
+            steps = f"sum(`__{n}`) {frame} RANGE BETWEEN {k - step} PRECEDING AND CURRENT ROW)"
+            wide.append(f"{f'{steps} + coalesce({at}, 0)' if k and rest else steps if k else at} AS `{n}_{w}`")
+    wide += [f"sum(CASE WHEN __own THEN `__{n}_{w}` END) {frame} ROWS UNBOUNDED PRECEDING) AS `{n}_{w}`" for n in distinct for w in windows]
+    out = rows.groupBy(KEY, "anchor").agg(*map(F.expr, sums))
+    own, ahead = (f"cast(floor((anchor + {x}) / {span}) AS bigint)" for x in (0, reach))
+    out = out.selectExpr("*", f"explode(sequence({own}, {ahead})) AS __c").selectExpr("*", f"__c = {own} AS __own")
+    return out.selectExpr(KEY, "anchor", "__on", "__own", *wide).where("__on = 1 AND __own").drop("__on", "__own")
 
 
 def distinct_counts(rows: DataFrame, anchors: DataFrame, name: str, key: Column, windows: list[int], step: int) -> DataFrame:
@@ -169,24 +178,15 @@ def acceleration(flow: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return flow.select(KEY, "anchor", *cols)
 
 
-def relative_activity(series: DataFrame, value: str, contexts: dict[str, int]) -> DataFrame:
-    """Activity against the last n anchors: ratio to their median, robust z and percentile; null until n anchors are there."""
-    out = series
-    for name, n in contexts.items():
-        w = Window.partitionBy(KEY).orderBy("anchor").rowsBetween(-(n - 1), 0)
-        v = F.col(value).cast("double")
-        all_ = F.collect_list(v).over(w)
-        med = F.percentile(v, 0.5).over(w)
-        out = out.withColumns({"__full": F.count(v).over(w) == n, "__all": all_, "__med": med})
-        dev = F.array_sort(F.transform("__all", lambda x: F.abs(x - F.col("__med"))))
-        mid = lambda i: F.element_at("__dev", i)
-        out = out.withColumn("__dev", dev).withColumn("__mad", (mid(n // 2 + 1) + mid((n + 1) // 2)) / 2 if n else F.lit(None))
-        out = out.withColumns({
-            f"activity_vs_trailing_median_{name}": F.when(F.col("__full"), F.try_divide(v, F.col("__med"))),
-            f"activity_robust_z_{name}": F.when(F.col("__full"), F.try_divide(v - F.col("__med"), 1.4826 * F.col("__mad"))),
-            f"activity_rolling_percentile_{name}": F.when(F.col("__full"), F.size(F.filter("__all", lambda x: x <= v)) / F.lit(float(n))),
-        }).drop("__full", "__all", "__med", "__dev", "__mad")
-    return out
+def relative_activity(series: DataFrame, value: str, contexts: dict[str, int], part: int = 3_600_000) -> DataFrame:
+    """Activity against the last n anchors: ratio to their median, robust z and percentile; null until n anchors are there. Anchors are parted by `part` of time to be numbered."""
+    found = rolling(series, KEY, "anchor", value, contexts, part)
+    v = F.col(value).cast("double")
+    cols = {}
+    for c in contexts:
+        med = F.col(f"med_{c}")
+        cols |= {f"activity_vs_trailing_median_{c}": F.try_divide(v, med), f"activity_robust_z_{c}": F.try_divide(v - med, 1.4826 * F.col(f"mad_{c}")), f"activity_rolling_percentile_{c}": F.col(f"pct_{c}")}
+    return series.join(found, [KEY, "anchor"]).withColumns(cols).drop(*[f"{x}_{c}" for c in contexts for x in ("med", "mad", "pct")])
 
 
 def regime_label(percentile: Column) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import atoms, windows
 from ..sources import canonical, demo
-from ..sources.shared import shared_dir
+from ..sources.shared import private_dir
 
 STEP, WINDOWS = demo.STEP, demo.WINDOWS
 BUCKET = 360
@@ -43,7 +41,7 @@ def s1_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     body = F.coalesce(*[F.when(t == k, F.concat(F.lit(f'{{"{k}":'), F.to_json(v), F.lit("}"))) for k, v in (("OrderPlaced", one), ("OrderCancelled", one), ("OrderRejected", one), ("OrderUpdated", two), ("Execution", made))])
     line = F.concat(F.lit('{"uid":"'), F.col("ingest_pos"), F.lit('","timestamp":'), F.col("timestamp_ms"), F.lit(',"event":'), body, F.lit("}"))
-    top = f"{shared_dir(spark)}/flowloom-lines/{uuid.uuid4().hex}"
+    top = private_dir(spark, "lines")
     parts = {"orders": t != "Execution", "executions": t == "Execution"}
     for name, m in parts.items():
         e.where(m).select(line.alias("value")).write.text(f"{top}/{name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def private_dir(spark: SparkSession, kind: str) -> str:
+    """A new name for a folder of this application, which goes when the driver ends: results that read it are lazy, so it has to last until then."""
+    top = f"{shared_dir(spark)}/flowloom-tables/{spark.sparkContext.applicationId}"
+    if top not in _made:
+        _made.add(top)
+        atexit.register(_delete, spark, top)
+    return f"{top}/{kind}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: the folder can be deleted by its application's id
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as Parquet under spark.checkpoint.dir, read again: parts that several plans use are computed once and survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/flowloom-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = private_dir(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions.ranking import rank_pct
-from flowloom.operators import atoms, book, levels, lifecycle, sweep, windows
+from flowloom.operators import atoms, book, levels, lifecycle, rolling, sweep, windows
 from flowloom.plans import features, gates, report
 from flowloom.sources import canonical
 from flowloom.streaming import flows
@@ -74,7 +74,9 @@ def test_level_episodes_and_refills(spark):
     assert {r["anchor"]: r["refill_count"] for r in levels.replenishment(p, grid, [10], 1).collect()} == {t: 1 for t in range(3, 13)}
 
 
-def test_window_edges_match_brute_force(spark):
+@pytest.mark.parametrize("length", [1, 4, 4096])
+def test_window_edges_match_brute_force(spark, length):
+    """Windows shorter than a step, of whole steps and of neither, over spans of few anchors and in one."""
     import random
 
     rnd = random.Random(3)
@@ -82,7 +84,8 @@ def test_window_edges_match_brute_force(spark):
     a = spark.createDataFrame(rows, "symbol string, ts long, k int, qty double")
     grid = spark.createDataFrame([("X", t) for t in range(0, 330, 10)], "symbol string, anchor long")
     sizes = [3, 10, 25, 40]
-    got = windows.windowed(a, grid, {"q": F.col("qty")}, sizes, 10).join(windows.distinct_counts(a, grid, "d", F.col("k"), sizes, 10), ["symbol", "anchor"]).collect()
+    got = windows.windowed(a, grid, {"q": F.col("qty")}, sizes, 10, {"d": (None, "k")}, length).collect()
+    assert sorted(map(str, got)) == sorted(map(str, windows.windowed(a, grid, {"q": F.col("qty")}, sizes, 10, length=length).join(windows.distinct_counts(a, grid, "d", F.col("k"), sizes, 10), ["symbol", "anchor"]).select(got[0].__fields__).collect()))
     assert len(got) == 33
     for r in got:
         for w in sizes:
@@ -223,6 +226,58 @@ def test_executions_of_one_time_count_as_their_first(spark):
     assert (r["refilled_qty"], r["refill_count"]) == (6.0, 2) and r["replenishment_ratio"] == pytest.approx(6 / 5)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1_000])
+def test_running_levels_are_the_loop(spark, chunk):
+    """Levels that empty, stay empty and refill, in chunks of a few times: the quantity never falls below zero, and an add to an empty level starts an episode."""
+    import random
+
+    rnd = random.Random(chunk)
+    rows = sorted((rnd.choice("XY"), rnd.randint(0, 60), 0, i, 0, 0, rnd.choice(["buy", "sell"]), float(rnd.randint(1, 2)), rnd.choice(["add", "cancel", "exec_reduce"]), float(rnd.randint(1, 4)), "u") for i in range(500))
+    a = spark.createDataFrame(rows, "symbol string, ts long, prio int, ingest_pos long, leg int, emit int, side string, price double, action string, qty double, order_uid string")
+    held, episode, want = {}, {}, set()
+    for r in rows:
+        key = (r[0], r[6], r[7])
+        if r[8] == "add":
+            episode[key] = episode.get(key, 0) + (held.get(key, 0) <= 0)
+            held[key] = held.get(key, 0) + r[9]
+        else:
+            held[key] = max(0.0, held.get(key, 0) - r[9])
+        want.add((r[3], held[key], episode.get(key, 0)))
+    got = lifecycle.running_levels(a.repartition(3), chunk)
+    assert got.columns == [*a.columns, "level_qty", "episode_id"] and {(r["ingest_pos"], r["level_qty"], r["episode_id"]) for r in got.collect()} == want
+
+
+def test_rolling_windows_match_numpy(spark):
+    """Ties, unknown values and keys of a few rows; blocks of the longest context, so that a key has many."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(1)
+    rows = [(k, t * 10, None if rnd.random() < 0.01 else float(rnd.randint(0, 9))) for k, n in (("X", 400), ("Y", 5)) for t in range(n)]
+    series = spark.createDataFrame(rows, "symbol string, anchor long, v double").repartition(4)
+    for n in (1, 2, 7, 30):
+        values = [r[2] for r in rows[:400]]
+        for i, (m, far, share) in zip(range(50, 400), rolling.sliding(values, n, 50)):
+            w = values[i - n + 1 : i + 1]
+            want = (None, None, None) if None in w else (np.median(w), np.median(np.abs(np.array(w) - np.median(w))), sum(x <= w[-1] for x in w) / n)
+            assert (m, far, share) == want
+    got = {(r["symbol"], r["anchor"]): r for r in rolling.rolling(series, "symbol", "anchor", "v", {"a": 7, "b": 30}, 700).collect()}
+    assert len(got) == 405 and got["Y", 40]["med_a"] is None
+    for i in range(400):
+        for c, n in (("a", 7), ("b", 30)):
+            w = [r[2] for r in rows[max(0, i - n + 1) : i + 1]]
+            assert got["X", i * 10][f"med_{c}"] == (None if len(w) < n or None in w else np.median(w))
+
+
+def test_rolling_over_blocks(spark):
+    """More rows than a block has: the first of each block see those before it."""
+    series = spark.range(10_000).select(F.lit("X").alias("symbol"), (F.col("id") * 5).alias("anchor"), (F.col("id") % 101).cast("double").alias("v"))
+    got = {r["anchor"] // 5: r for r in rolling.rolling(series, "symbol", "anchor", "v", {"a": 101}, 3_000).collect()}
+    assert len(got) == 10_000 and got[99]["med_a"] is None and all(got[i]["med_a"] == 50.0 and got[i]["mad_a"] == 25.0 for i in range(100, 10_000))
+    assert got[4_096 + 7]["pct_a"] == pytest.approx(((4_103 % 101) + 1) / 101)
+
+
 def test_unknown_placings_are_censored(spark):
     rows = [place(0, 1, "a", "buy", 10.0, 2.0), place(1, 5, "b", "buy", 10.0, 1.0), place(2, 6, "c", "sell", 11.0, 1.0)]
     live = book.at_time(book.watched(lifecycle.book_intervals(spark.createDataFrame(rows, EVENT)), 5), 9)
