@@ -92,12 +92,17 @@ def counters(moves: DataFrame, events: DataFrame, top: DataFrame | None = None)
     return out
 
 
-def level_atoms(events: DataFrame, chunk: int = 3_600_000) -> DataFrame:
-    """(symbol, ts, .., side, price, action, qty, order_uid) with the level's running quantity and its episode: a level that was empty starts a new one."""
+def level_changes(events: DataFrame) -> DataFrame:
+    """(symbol, ts, .., side, price, action, qty, order_uid): what each leg adds to a level or takes from one."""
     rows = legs(events)
     null = lambda t: F.lit(None).cast(t)
     schema = rows.select("symbol", "ts", "prio", "ingest_pos", "leg", null("int").alias("emit"), "side", null("double").alias("price"), null("string").alias("action"), "qty", F.col("uid").alias("order_uid")).schema
-    return running_levels(folded(rows, fold.streamed(fold.level, fold.changes, lambda _: None), schema), chunk)
+    return folded(rows, fold.streamed(fold.level, fold.changes, lambda _: None), schema)
+
+
+def level_atoms(events: DataFrame, chunk: int = 3_600_000) -> DataFrame:
+    """level_changes() with the level's running quantity and its episode: a level that was empty starts a new one."""
+    return running_levels(level_changes(events), chunk)
 
 
 def running_levels(atoms: DataFrame, chunk: int) -> DataFrame:
@@ -105,24 +110,22 @@ def running_levels(atoms: DataFrame, chunk: int) -> DataFrame:
 
     In a chunk with running sums P and their least so far M, a level that starts with q holds max(q + P, P - M), so chunks compose by (P, M): what a chunk starts with
     comes from one row for each chunk before it. An episode starts with an add at the least sum so far, P = M, once -P reaches q; these sums only fall, so all
-    such adds count but the first ones, whose number follows from q. The rows are written once between the two passes over the table of chunks.
+    such adds of a chunk count but the first ones, whose number follows from q and the chunk's list of them. The rows are written once, as two passes read them.
     """
     key = ["symbol", "side", "price", "c"]
     w = Window.partitionBy(*key).orderBy("ts", "prio", "ingest_pos", "leg", "emit")
     run, before = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key[:-1]).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     signed = F.when(F.col("action") == "add", F.col("qty")).otherwise(-F.col("qty"))
-    rows = atoms.withColumn("c", F.floor(F.col("ts") / chunk)).withColumn("p", F.sum(signed).over(run))
+    rows = atoms.withColumn("c", F.floor(F.col("ts") / chunk)).withColumn("x", signed).withColumn("p", F.sum("x").over(run))
     zero = F.lit(0).cast(rows.schema["p"].dataType)
     rows = rows.withColumn("m", F.least(zero, F.min("p").over(run))).withColumns({"p0": F.coalesce(F.lag("p").over(w), zero), "m0": F.coalesce(F.lag("m").over(w), zero)})
-    rows = rows.withColumn("k", F.sum(((F.col("action") == "add") & (F.col("p0") == F.col("m0"))).cast("long")).over(run))
-    rows = stored(rows)
-    ends = rows.groupBy(*key).agg(F.sum(signed).alias("sum"), F.min("m").alias("least"), F.max("k").alias("starts"))
+    rows = rows.withColumn("down", F.when((F.col("action") == "add") & (F.col("p0") == F.col("m0")), -F.col("p0")))
+    rows = stored(rows.withColumn("k", F.count("down").over(run)).drop("p0", "m0"))
+    ends = rows.groupBy(*key).agg(F.sum("x").alias("sum"), F.min("m").alias("least"), F.collect_list("down").alias("down"))
     ends = ends.withColumn("s", F.coalesce(F.sum("sum").over(before), zero))
-    ends = ends.select(*key, "starts", (F.col("s") - F.coalesce(F.least(zero, F.min(F.col("s") + F.col("least")).over(before)), zero)).alias("q"))
-    of = lambda t: t.select(*[F.col(c).alias(f"__{c}") for c in key], *[c for c in t.columns if c not in key])
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
-    early = rows.where("action = 'add' AND p0 = m0").join(of(ends), on).where("-p0 < q").groupBy(*key).agg(F.count(F.lit(1)).alias("early"))
-    ends = ends.join(of(early), on, "left").select(*key, "q", F.coalesce("early", F.lit(0)).alias("early"), "starts")
-    ends = ends.withColumn("first", F.coalesce(F.sum(F.col("starts") - F.col("early")).over(before), F.lit(0))).drop("starts")
-    out = rows.join(of(ends), on)
+    ends = ends.withColumn("q", F.col("s") - F.coalesce(F.least(zero, F.min(F.col("s") + F.col("least")).over(before)), zero))
+    ends = ends.withColumn("early", F.size(F.filter("down", lambda d: d < F.col("q"))))
+    ends = ends.withColumn("first", F.coalesce(F.sum(F.size("down") - F.col("early")).over(before), F.lit(0)))
+    ends = ends.select(*[F.col(c).alias(f"__{c}") for c in key], "q", "early", "first")
+    out = rows.join(ends, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
     return out.select(*atoms.columns, F.greatest(F.col("q") + F.col("p"), F.col("p") - F.col("m")).alias("level_qty"), (F.col("first") + F.greatest(F.col("k") - F.col("early"), F.lit(0))).alias("episode_id"))

@@ -35,9 +35,10 @@ def deltas(rows: DataFrame, distinct: dict[str, tuple[str | None, str]], windows
     ends = ", ".join(f"named_struct('w', {w}, 'anchor', {up(f'least(coalesce(next, ts + {w}), ts + {w})')})" for w in windows)
     r = r.selectExpr(KEY, "n", f"{up('ts')} AS a", f"array({ends}) AS e").selectExpr(KEY, "n", "filter(e, x -> x.anchor > a) AS e", "a").where("size(e) > 0")
     r = r.selectExpr("*", f"(cast(floor(a / {span}) AS bigint) + 1) * {span} AS b")
-    starts = "array(named_struct('anchor', a, 'd', 1, 'ws', transform(e, x -> x.w)), named_struct('anchor', b, 'd', 1, 'ws', transform(filter(e, x -> x.anchor >= b), x -> x.w)))"
-    r = r.selectExpr(KEY, "n", f"inline(concat({starts}, transform(e, x -> named_struct('anchor', x.anchor, 'd', -1, 'ws', array(x.w))))) AS (anchor, d, ws)")
-    return r.where("size(ws) > 0").selectExpr(KEY, "anchor", *[f"CASE WHEN n = '{n}' AND array_contains(ws, {w}) THEN d END AS `__{n}_{w}`" for n in distinct for w in windows])
+    again = "CASE WHEN exists(e, x -> x.anchor >= b) THEN array(named_struct('w', 0, 'anchor', b)) ELSE array() END"
+    r = r.selectExpr(KEY, "n", "e", "a", f"inline(concat(array(named_struct('w', 0, 'anchor', a)), {again}, e)) AS (w, anchor)")
+    on = "exists(e, x -> x.w = {w} AND (anchor = a OR x.anchor >= anchor))"
+    return r.selectExpr(KEY, "anchor", *[f"CASE WHEN n <> '{n}' THEN NULL WHEN w = {w} THEN -1 WHEN w = 0 AND {on.format(w=w)} THEN 1 END AS `__{n}_{w}`" for n in distinct for w in windows])
 
 
 def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column | str], windows: list[int], step: int, distinct: dict[str, tuple[str | None, str]] | None = None, length: int = 1 << 12) -> DataFrame:

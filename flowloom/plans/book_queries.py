@@ -103,7 +103,7 @@ def level_atoms(spark, sf_dir) -> DataFrame:
 
 
 def l1_level_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return level_atoms(spark, sf_dir).select("ts", "ingest_pos", "leg", "emit", "side", *d("price"), "action", *d("qty"), "order_uid")
+    return lifecycle.level_changes(events(spark, sf_dir)).select("ts", "ingest_pos", "leg", "emit", "side", *d("price"), "action", *d("qty"), "order_uid")
 
 
 def l2_running_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +127,11 @@ def l7_level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j2_refill_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.refill_pairs(level_atoms(spark, sf_dir), HORIZON).select("exec_ts", "add_ts", "side", *d("price", "exec_qty", "refill_qty"), "delay_ms")
+    return levels.refill_pairs(lifecycle.level_changes(events(spark, sf_dir)), HORIZON).select("exec_ts", "add_ts", "side", *d("price", "exec_qty", "refill_qty"), "delay_ms")
 
 
 def f1_level_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = levels.level_refill(levels.refill_pairs(level_atoms(spark, sf_dir), HORIZON), T, HORIZON)
+    s = levels.level_refill(levels.refill_pairs(lifecycle.level_changes(events(spark, sf_dir)), HORIZON), T, HORIZON)
     return s.select("side", *d("price", "refilled_qty", "max_refill", "median_refill_delay", "replenishment_ratio"), "refill_count")
 
 

@@ -71,7 +71,7 @@ def v6_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v6_causality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.causality(levels.refill_pairs(lifecycle.level_atoms(demo.events(spark, sf_dir)), HORIZON))
+    return gates.causality(levels.refill_pairs(lifecycle.level_changes(demo.events(spark, sf_dir)), HORIZON))
 
 
 LENGTH, PROBE, PERCENTS = 1_440, 240, {"LOW": 15, "MEDIAN": 50, "HIGH": 92}
