@@ -37,27 +37,6 @@ def folded(rows: DataFrame, run: Callable, schema) -> DataFrame:
     return rows.select(*ORDER_BY, "kind", "side", "price", "qty").repartition(width, "symbol", "uid").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def book_step(state, row):
-    """Placed is ignored for an active order; an update replaces; an execution lowers the maker and removes the taker whatever its size."""
-    symbol, uid, ts, prio, pos, leg, kind, side, price, qty = row
-    outcome = {"cancel": "unknown_cancel", "update": "unknown_update", "maker": "unknown_exec_maker", "taker": "unknown_exec_taker"}.get(kind)
-    if kind == "place":
-        if state:
-            outcome = "duplicate_active_uid"
-        else:
-            state, outcome = (side or "", price or 0.0, qty if qty is not None else 0, ts, pos), "negative_qty" if qty is not None and qty < 0 else "placed"
-    elif state and kind in ("cancel", "taker"):
-        state, outcome = None, "removed" if kind == "cancel" else "taken"
-    elif state and kind == "update":
-        outcome = "negative_qty" if qty is not None and qty < 0 else "updated"
-        state = (state[0], state[1] if price is None else price, state[2] if qty is None else qty, *state[3:])
-    elif state and kind == "maker":
-        left = state[2] if qty is None else max(state[2] - qty, type(qty)(0))
-        outcome = "untouched" if qty is None else "reduced" if left else "filled"
-        state = (*state[:2], left, *state[3:]) if left or qty is None else None
-    return state, [(symbol, uid, ts, prio, pos, leg, kind, outcome, state is not None, *(state or (None,) * 5))]
-
-
 def transitions(events: DataFrame) -> DataFrame:
     """A row per leg: what it did (outcome) and the order's state after it."""
     rows = legs(events)

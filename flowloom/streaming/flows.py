@@ -5,12 +5,15 @@ Events carry event_time (a timestamp). Late events within the watermark are coun
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..operators.lifecycle import book_step, legs
+from ..operators import fold
+from ..operators.lifecycle import legs
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -39,26 +42,70 @@ def refill_pairs(executions: DataFrame, adds: DataFrame, horizon_ms: int, late_m
     return x.join(a, on).select("symbol", "side", "price", "exec_ts", "add_ts", "exec_qty", "refill_qty", (F.col("add_ts") - F.col("exec_ts")).alias("delay_ms"))
 
 
+LEG = "symbol string, uid string, ts long, prio int, ingest_pos long, leg int, kind string, side string, price double, qty double"
 MOVES = "symbol string, uid string, ts long, prio int, ingest_pos long, leg int, kind string, outcome string, active boolean, side string, price double, qty double, placed_ms long, placed_pos long"
-STATE = "side string, price double, qty double, placed_ms long, placed_pos long, active boolean"
-
-
-def book_transitions(events: DataFrame) -> DataFrame:
-    """The order book's fold with one state per order; a micro-batch's legs of an order are applied in batch-terminal order."""
-
-    def step(key: tuple, frames: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        rows = pd.concat(list(frames)).sort_values(["ts", "prio", "ingest_pos", "leg"])
-        now, out = None, []
-        if state.exists:
-            *held, active = state.get
-            now = tuple(held) if active else None
-        for r in rows[["symbol", "uid", "ts", "prio", "ingest_pos", "leg", "kind", "side", "price", "qty"]].astype(object).where(rows.notna(), None).itertuples(index=False, name=None):
-            now, made = book_step(now, r)
-            out += made
-        state.update((*now, True) if now else ("", 0.0, 0.0, 0, 0, False))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MOVES.split(", ")])
-
-    rows = legs(events).withColumn("qty", F.col("qty").cast("double"))
-    return rows.groupBy("symbol", "uid").applyInPandasWithState(step, MOVES, STATE, "append", "NoTimeout")
+CHANGES = "symbol string, ts long, prio int, ingest_pos long, leg int, emit int, side string, price double, action string, qty double, order_uid string"
+TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+LEG_TYPES = pa.schema([(n, TYPES[t]) for n, t in (c.split() for c in LEG.split(", "))])
+
+
+class Released(StatefulProcessor):
+    """A fold whose legs wait until the watermark passes their time.
+
+    State of an order: the place that stands for it, and a list of its open legs. A time's legs are an unordered batch until no more of them can come; a timer at that
+    time then applies them in batch-terminal order, however many micro-batches brought them.
+    """
+
+    def __init__(self, rule: Callable, out: Callable) -> None:
+        self.rule, self.out = rule, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.order, self.open = handle.getValueState("order", LEG), handle.getListState("open", LEG)
+
+    def handleInputRows(self, key: tuple, rows: Iterator, timerValues: TimerValues) -> Iterator:
+        for frame in rows:
+            legs_ = pa.RecordBatch.from_pandas(frame[LEG_TYPES.names], LEG_TYPES, preserve_index=False)
+            self.open.appendList([tuple(r.values()) for r in legs_.to_pylist()])
+            for ts in set(legs_["ts"].to_pylist()):
+                self.handle.registerTimer(ts)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        rows = sorted(self.open.get(), key=lambda r: r[2:6])
+        ready = [r for r in rows if r[2] <= now]
+        if not ready:
+            return
+        if len(ready) < len(rows):
+            self.open.put(rows[len(ready) :])
+        else:
+            self.open.clear()
+        of = lambda found: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), LEG_TYPES)], schema=LEG_TYPES)
+        b = fold.Batch(of(ready), of([self.order.get()]) if self.order.exists() else None)
+        f = self.rule(b)
+        made, state = self.out(b, f, None)[0], b.state(f)
+        if state is None:
+            self.order.clear()
+        else:
+            self.order.update(tuple(state.to_pylist()[0].values()))
+        yield made.to_pandas()
+
+    def close(self) -> None:
+        pass
+
+
+def _released(events: DataFrame, late_ms: int, rule: Callable, out: Callable, schema: str) -> DataFrame:
+    rows = legs(events).withColumn("qty", F.col("qty").cast("double")).withColumn("event_time", F.timestamp_millis("ts"))
+    rows = rows.withWatermark("event_time", f"{late_ms} milliseconds").groupBy("symbol", "uid")
+    return rows.transformWithStateInPandas(Released(rule, out), schema, "Append", "EventTime")
+
+
+def book_transitions(events: DataFrame, late_ms: int) -> DataFrame:
+    """The order book's fold over a stream, with one state per order. The session's state store is RocksDB's (spark.sql.streaming.stateStore.providerClass)."""
+    return _released(events, late_ms, fold.book, fold.transitions, MOVES)
+
+
+def level_changes(events: DataFrame, late_ms: int) -> DataFrame:
+    """Signed changes at price levels over a stream, in the same way."""
+    return _released(events, late_ms, fold.level, fold.changes, CHANGES)

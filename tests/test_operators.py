@@ -309,8 +309,37 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     got = {(r["bucket_ms"], r["bid_new_qty"], r["executed_qty"]) for r in ran(flows.ofi_buckets(stream, 50, 1000), "buckets", "complete").collect()}
     want = {(r["bucket_ms"], r["bid_new_qty"], r["bid_executed_qty"]) for r in atoms.ofi_atoms(canonical.with_ambiguity(batch, ("symbol",)), 0, 10_000, 50).collect()}
     assert got == want
-    moved = {(r["uid"], r["ts"], r["ingest_pos"], r["outcome"]) for r in ran(flows.book_transitions(stream), "moves", "append").collect()}
-    assert moved == {(r["uid"], r["ts"], r["ingest_pos"], r["outcome"]) for r in lifecycle.transitions(batch).collect()}
+
+
+@pytest.mark.parametrize("kind", ["book", "level"])
+def test_a_time_parted_over_micro_batches_is_one_batch(spark, tmp_path, kind):
+    """Events of one ms arrive in any split over micro-batches, cancels before their places: the stream gives the batch rows."""
+    import random
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(150):
+        t, uid = 1_000 + i // 10 * 5, f"u{rnd.randint(0, 4)}"
+        rows.append(rnd.choice([place(i, t, uid, "buy", 10.0 + rnd.randint(0, 1), float(rnd.randint(1, 3))), change(i, t, uid, "buy", None, float(rnd.randint(0, 3))), change(i, t, uid, "buy", 10.0, 1.0, "OrderCancelled"), execute(i, t, uid, f"u{rnd.randint(0, 4)}", 10.0, 1.0)]))
+    last = place(999, 99_999, "zz", "buy", 1.0, 1.0)  # moves the watermark past all others
+    parts = [[], [], []]
+    for r in rows:
+        parts[rnd.randrange(3) if r[2] == rows[75][2] else min(2, r[1] // 60)].append(r)
+    for n, part in enumerate([*parts, [last]]):
+        rnd.shuffle(part)
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"n={n}"))
+        for f in (tmp_path / "in" / f"n={n}").glob("part-*"):
+            import os
+
+            os.utime(f, (n * 1_000 + 1_000_000_000,) * 2)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(spark.createDataFrame(rows, EVENT).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*"))
+    fed, batch = (flows.book_transitions, lifecycle.transitions) if kind == "book" else (flows.level_changes, lifecycle.level_changes)
+    q = fed(stream, 500).writeStream.format("memory").queryName(f"fed_{kind}").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(200)
+    want = batch(spark.createDataFrame(rows, EVENT))
+    assert len(q.recentProgress) >= 4
+    assert sorted(map(str, spark.table(f"fed_{kind}").where("ts < 90000").select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
 def feature_names():
