@@ -9,17 +9,20 @@ cluster of n vectors costs rows in proportion to n, not to its pairs.
 
 Recall: at cosine 0.97 a piece of 16 bits differs in 1.25 bits on average and four such pieces miss about 3 pairs in 10,000; at exactly 0.9, 3 in 100.
 
-Defined results: null and zero vectors, and vectors with null or non-finite components, link with nothing; so do vectors of another length than most have;
-repeated rows link with each other; ties do not matter; an empty table gives an empty table; other columns play no part.
+Vectors of different lengths have no cosine: each length has a quantiser of its own and is taken apart (vectors of one model have one length).
+
+Defined results: null and zero vectors, and vectors with null or non-finite components, link with nothing; repeated rows link with each other; ties do not
+matter; an empty table gives an empty table; other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, forest, width, written
@@ -58,14 +61,9 @@ def unit(rows: pa.Array, d: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def representatives(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, embedding) -> one row per distinct usable vector (rep: its smallest id, copies, v), and the common length."""
-    e = F.col("embedding")
-    usable = vectors.where(e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0))
-    length = usable.groupBy(F.size(e).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    d = length[0]["d"] if length else 0
-    v = F.transform(e, lambda x: x.cast("double") + 0.0)
-    return usable.where(F.size(e) == d).select("vec_id", v.alias("v")), d
+def usable(e: Column) -> Column:
+    """Whether a vector can link: it is known, finite and not zero."""
+    return F.coalesce(e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
 def candidates(coded: DataFrame) -> DataFrame:
@@ -218,10 +216,20 @@ def dense(rows: DataFrame, cosine: float, d: int) -> DataFrame:
 def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, embedding) -> (vec_id, n_links, component_id, kept) for every row."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    usable, d = representatives(vectors)
-    usable = usable.withColumn("h", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
-    ids = written(usable.select("vec_id", "h"))
-    reps = written(usable.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("rid", F.xxhash64("h")))
+    e = F.col("embedding")
+    links = vectors.where(usable(e))
+    lengths = sorted(r["d"] for r in links.select(F.size(e).alias("d")).distinct().collect())  # a row for each length
+    v = F.transform(e, lambda x: x.cast("double") + 0.0).alias("v")
+    alone = vectors.where(~usable(e)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    parts = [of_length(links.where(F.size(e) == d).select("vec_id", v), d, cosine) for d in lengths]
+    return reduce(DataFrame.unionByName, [alone, *parts]).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def of_length(vectors: DataFrame, d: int, cosine: float) -> DataFrame:
+    """Usable vectors (vec_id, v) of one length -> (vec_id, n_links, component_id). Distinct vectors are numbered when they are written."""
+    vectors = vectors.withColumn("h", F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256))
+    ids = written(vectors.select("vec_id", "h"))
+    reps = written(vectors.groupBy("h").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("rid", F.monotonically_increasing_id()))
     n = reps.count()
     sample = reps.where(F.pmod(F.xxhash64(F.lit(SEED), "h"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(n, 1)))).select("v").toArrow()["v"].combine_chunks() if n else None
     quantiser = vectors.sparkSession.sparkContext.broadcast(Quantiser(unit(sample, d) if n and len(sample) else np.zeros((0, max(d, 1)))))
@@ -252,11 +260,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     group = group.join(group.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("rid", "component_id")
     result = reps.select("rid", "h", "rep", "copies").join(count, "rid", "left").join(group, "rid", "left")
     result = result.select("h", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    linked_ids = ids.join(result, "h").select(F.col("vec_id"), "n_links", "component_id")
-    e = F.col("embedding")
-    alone = vectors.where(F.coalesce(e.isNull() | (F.size(e) != d) | F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall(e, lambda x: x == 0), F.lit(True)))
-    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked_ids.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return ids.join(result, "h").select("vec_id", "n_links", "component_id")
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

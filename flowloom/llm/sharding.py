@@ -3,8 +3,8 @@
 Rows are ordered by a hash of their text, so equal texts are one group and stay together. Exact bytes below 4,096 candidate boundaries are counted over all
 partitions; each further round puts 4,096 probes into the intervals that hold a splitter, until every splitter is within `tolerance` of its quota. Groups
 above 1 % of a shard (at most 100 x shards of them) are placed whole beforehand, largest first into the emptiest shard, and the quotas of the rest make
-up for them. The law is even bytes; where it and whole groups cannot both hold, it goes first: a group above half a shard is dealt out row by row by a hash
-of the id, at every size of the input.
+up for them. The law is even bytes; where it and whole groups cannot both hold, it goes first: a group that no shard has room for any more is dealt out row by
+row by a hash of the id, at every size of the input.
 
 Defined results: a null text has size 1 (no bytes plus 1) and crc 0, and shares a group with other null texts; an empty table gives an empty table;
 repeated rows are separate rows; other columns are kept by sharded(), but for shard, slot and names that start with "shard_" or "__shard_", which are its own.
@@ -38,12 +38,13 @@ def placement(lean: DataFrame, shards: int) -> tuple[dict[int, int], list[int],
     total = lean.agg(F.sum("shard_size").alias("n")).collect()[0]["n"] or 0
     large = lean.groupBy("shard_group").agg(F.sum("shard_size").alias("n")).where(F.col("n") > max(1.0, total / shards / 100))  # fewer than 100 x shards
     found = sorted(((r["n"], r["shard_group"]) for r in large.collect()), reverse=True)
-    single = [g for n, g in found if n > total / shards / 2]
-    whole, held = {}, [0] * shards
+    whole, single, held = {}, [], [0] * shards
     for n, g in found:
-        if g not in single:
-            k = min(range(shards), key=lambda i: (held[i], i))
+        k = min(range(shards), key=lambda i: (held[i], i))
+        if held[k] + n <= total / shards:
             whole[g], held[k] = k, held[k] + n
+        else:
+            single.append(g)
     rest = total - sum(held)
     level, open_ = 0.0, sorted(held)
     for i in range(shards):  # the level to which the rest fills the shards
