@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import book_queries, features, flow_queries, gate_queries, report_queries
+from . import book_queries, features, figures, flow_queries, gate_queries, report_queries
 
-MODULES = [flow_queries, book_queries, report_queries, gate_queries, features]
+MODULES = [flow_queries, book_queries, report_queries, figures, gate_queries, features]
 
 
 def queries() -> dict:

@@ -129,9 +129,14 @@ def top_k(rows: DataFrame, column: str, tie: list[Column], k: int) -> DataFrame:
     return rows.orderBy(F.col(column).desc_nulls_last(), *tie).limit(k)
 
 
+def drawn(key: list[str], seed: int) -> Column:
+    """A hash that any engine can tell: of the seed and the key's values as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
+
+
 def sample_k(rows: DataFrame, key: list[str], k: int, seed: int = 42) -> DataFrame:
     """k rows by the least hash of their key: the same ones every time."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k)
+    return rows.orderBy(drawn(key, seed), *key).limit(k)
 
 
 def episode_candidates(rows: DataFrame, sell: str, buy: str, response: str, executed: str, refill: str) -> DataFrame:
@@ -147,9 +152,9 @@ def episode_candidates(rows: DataFrame, sell: str, buy: str, response: str, exec
 
 def episodes(candidates: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """k of each kind and key by the least hash of their time."""
-    least = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "ts").alias("h"), F.col("ts").alias("ts"))))
+    least = F.array_sort(F.collect_list(F.struct(drawn(["ts"], seed).alias("h"), F.col("ts").alias("ts"))))
     part = F.pmod(F.xxhash64("ts"), F.lit(64))  # k of each part first: no set is held together
-    some = candidates.withColumn("__h", F.xxhash64(F.lit(seed), "ts")).withColumn("__p", part)
+    some = candidates.withColumn("__h", drawn(["ts"], seed)).withColumn("__p", part)
     some = some.withColumn("__i", F.row_number().over(Window.partitionBy(*KEYS, "kind", "__p").orderBy("__h", "ts"))).where(F.col("__i") <= k)
     return some.groupBy(*KEYS, "kind").agg(F.slice(least, 1, k).alias("x")).select(*KEYS, "kind", F.posexplode("x").alias("i", "x")).select("kind", (F.col("i") + 1).alias("i"), "x.ts", *KEYS)
 

@@ -80,9 +80,18 @@ def g12_buckets_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.bucket_totals(report.by_execution(f, "executed", ["response"]), f, "executed")
 
 
+def near_market(rows: DataFrame, depths: dict[str, str], near: str, wide: str, distance: str) -> DataFrame:
+    """Per key: p50 and p90 of each depth (name -> column), of the share of the wide depth that is near, and p10, p50 and p90 of the nearest level's distance."""
+    share = F.col(near) / (F.col(wide) + 1e-12)
+    wanted = [(n, F.col(c), (50, 90), 4) for n, c in depths.items()] + [("concentration", share, (50, 90), 3), ("distance", F.col(distance), (10, 50, 90), 1)]
+    return rows.groupBy("symbol", "label").agg(*[F.round(F.percentile(c, p / 100), digits).alias(f"{n}_p{p}") for n, c, ps, digits in wanted for p in ps])
+
+
+DEPTHS = {"bid_5bps": "pressure", "ask_5bps": "executed", "bid_10bps": "response", "ask_10bps": "ratio", "bid_25bps": "response", "ask_25bps": "net"}
+
+
 def g13_near_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frame(spark, sf_dir)
-    return f.groupBy("symbol", "label").agg(*[F.round(F.percentile(c, p), 4).alias(f"{c}_{n}") for c in ("pressure", "response") for n, p in (("p50", 0.5), ("p90", 0.9))], F.round(F.percentile(F.col("pressure") / F.col("response"), 0.5), 6).alias("near_ratio_p50"))
+    return near_market(frame(spark, sf_dir), DEPTHS, "pressure", "response", "response")
 
 
 def g14_reprice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +207,9 @@ _cells = lambda *cs: "count(*) AS n, " + ", ".join(f"round(quantile_cont({c}, 0.
 _split = f"hp AS (SELECT * FROM (SELECT *, {_rank('pressure')} AS pct FROM fr) WHERE pct > 90), hk AS (SELECT *, count(*) OVER (PARTITION BY symbol, label) AS nk FROM hp), cs AS (SELECT symbol, label, CASE WHEN net > 0.1 THEN 'adds' WHEN net < -0.1 THEN 'cancels' ELSE 'neutral' END AS reaction, response AS v FROM hk WHERE nk >= 10), ct AS (SELECT symbol, label, reaction, count(*) AS n, round(quantile_cont(v, 0.5), 4) AS response_p50, round(quantile_cont(v, 0.9), 4) AS response_p90, round({_mean('v')}, 4) AS response_mean FROM cs GROUP BY ALL HAVING count(*) >= 3)"
 _vq = lambda c, lo, hi: f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing, CAST(0 AS BIGINT) AS infinite, count(*) FILTER ({c} < {lo} - 1e-9 OR {c} > {hi} + 1e-9) AS out_of_range, max({c}) = min({c}) AS constant FROM fr"
 
+_kinds = f"WITH {FR}, q AS (SELECT symbol, label, quantile_cont(pressure, 0.99) AS s99, quantile_cont(response, 0.99) AS b99, quantile_cont(pressure, 0.9) AS s90, quantile_cont(ratio, 0.5) AS r50, quantile_cont(executed, 0.9) AS e90, quantile_cont(net, 0.9) AS f90 FROM fr GROUP BY 1, 2), j AS (SELECT * FROM fr JOIN q USING (symbol, label)), k AS (" + " UNION ALL ".join(f"SELECT symbol, label, ts, '{k}' AS kind FROM j WHERE {c}" for k, c in (("top1pct_sell", "pressure >= s99"), ("top1pct_buy", "response >= b99"), ("high_flow_low_response", "pressure > s90 AND ratio < r50"), ("high_flow_high_response", "pressure > s90 AND ratio >= r50"), ("high_exec_high_repl", "executed > e90 AND net > f90")))
+_hashed = ["symbol", "ingest_pos", "timestamp_ms", "event_type", "order_uid", "side", "price", "qty", "maker_uid", "taker_uid", "execution_price", "execution_qty", "order_type", "aggressor", "n_events_same_ms", "ordering_ambiguous"]
+_fields = " || ',' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _hashed)
 ORACLE = {
     "r1_rank_pct": f"WITH {FR}, p AS (SELECT *, {_rank('pressure')} AS pct FROM fr) SELECT symbol, label, {_bucket} AS bucket, {_bin('pct')} AS bin, count(*) AS n, round(min(pct), 6) AS lo, round(max(pct), 6) AS hi FROM p GROUP BY 1, 2, 3, 4",
     "g5_percentile_table": f"WITH {FR}, u AS (UNPIVOT fr ON pressure, response, ratio INTO NAME feature VALUE v) SELECT symbol, label, feature, count(v) AS n, CAST(0 AS DOUBLE) AS nan_pct, {r('avg(v)', 'mean')}, " + ", ".join(r(f"quantile_cont(v, {p / 100})", f"p{p}") for p in PCTS) + ", round(stddev_samp(v), 3) AS std FROM u GROUP BY 1, 2, 3",
@@ -207,7 +219,7 @@ ORACLE = {
     "g10_regularity": f"WITH {FR}, {_split} SELECT a.symbol, a.label, a.response_p50 AS adds, c.response_p50 AS cancels, CASE WHEN a.response_p50 < c.response_p50 THEN 'lower' WHEN a.response_p50 = c.response_p50 THEN 'equal' ELSE 'higher' END AS adds_vs_cancels FROM ct a JOIN ct c USING (symbol, label) WHERE a.reaction = 'adds' AND c.reaction = 'cancels'",
     "g11_by_execution": f"WITH {FR}, p AS (SELECT *, {_rank('executed')} AS pct FROM fr WHERE executed > 1e-9), b AS (SELECT symbol, label, response, CASE WHEN pct < 50 THEN '0-50' WHEN pct < 75 THEN '50-75' WHEN pct < 90 THEN '75-90' WHEN pct < 99 THEN '90-99' ELSE '99-100' END AS bucket FROM p UNION ALL SELECT symbol, label, response, 'zero' FROM fr WHERE executed <= 1e-9) SELECT symbol, label, bucket, {_cells('response')} FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 3",
     "g12_buckets_complete": f"WITH {FR}, t AS (WITH p AS (SELECT *, {_rank('executed')} AS pct FROM fr WHERE executed > 1e-9), b AS (SELECT symbol, label, response, CASE WHEN pct < 50 THEN '0-50' WHEN pct < 75 THEN '50-75' WHEN pct < 90 THEN '75-90' WHEN pct < 99 THEN '90-99' ELSE '99-100' END AS bucket FROM p UNION ALL SELECT symbol, label, response, 'zero' FROM fr WHERE executed <= 1e-9) SELECT symbol, label, bucket, {_cells('response')} FROM b GROUP BY 1, 2, 3 HAVING count(*) >= 3), h AS (SELECT symbol, label, sum(n) AS in_buckets FROM t WHERE bucket <> 'zero' GROUP BY 1, 2), w AS (SELECT symbol, label, count(*) AS rows FROM fr WHERE executed > 1e-9 GROUP BY 1, 2) SELECT symbol, label, rows, in_buckets, in_buckets IS NOT DISTINCT FROM rows AS complete FROM w LEFT JOIN h USING (symbol, label)",
-    "g13_near_market": f"WITH {FR} SELECT symbol, label, " + ", ".join(f"round(quantile_cont({c}, {p}), 4) AS {c}_{n}" for c in ("pressure", "response") for n, p in (("p50", 0.5), ("p90", 0.9))) + ", round(quantile_cont(pressure / response, 0.5), 6) AS near_ratio_p50 FROM fr GROUP BY 1, 2",
+    "g13_near_market": f"WITH {FR} SELECT symbol, label, " + ", ".join(f"round(quantile_cont({c}, {p / 100}), {digits}) AS {n}_p{p}" for n, c, ps, digits in [(n, c, (50, 90), 4) for n, c in DEPTHS.items()] + [("concentration", "pressure / (response + 1e-12)", (50, 90), 3), ("distance", "response", (10, 50, 90), 1)] for p in ps) + " FROM fr GROUP BY 1, 2",
     "g14_reprice_summary": f"WITH {FR}, p AS (SELECT *, {_rank('pressure')} AS pct FROM fr), m AS (SELECT symbol, label, round(quantile_cont(response, 0.5), 2) AS away, round(quantile_cont(ratio, 0.5), 2) AS toward FROM p WHERE pct > 99 GROUP BY 1, 2) SELECT *, round(away / nullif(toward, 0), 4) AS away_to_toward FROM m",
     "g15_global_ratio": f"WITH {FR} SELECT symbol, label, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS p50, round(quantile_cont(ratio, 0.9), 6) AS p90, round(quantile_cont(ratio, 0.99), 6) AS p99, max(ratio) AS most FROM fr WHERE executed > 1e-9 GROUP BY 1, 2 HAVING count(*) >= 3",
     "g16_contingency": f"WITH {FR}, p AS (SELECT *, {_rank('pressure')} AS pa, {_rank('response')} AS pb FROM fr), n AS (SELECT symbol, label, {_bin('pa')} AS a_bin, {_bin('pb')} AS b_bin, count(*) AS n FROM p GROUP BY 1, 2, 3, 4) SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY symbol, label), 4) AS pct FROM n",
@@ -227,5 +239,8 @@ ORACLE = {
     "g6_distributions": f"WITH {FR}, u AS (SELECT symbol, label, unnest([struct_pack(f := 'FLOW', c := 'pressure', v := pressure), struct_pack(f := 'FLOW', c := 'executed', v := nullif(executed, 0.0)), struct_pack(f := 'RESPONSE', c := 'response', v := response), struct_pack(f := 'RESPONSE', c := 'net', v := net), struct_pack(f := 'RATIO', c := 'ratio', v := ratio)], recursive := true) FROM fr) SELECT symbol, label, f AS family, c AS feature, count(v) AS n, round(100.0 * (count(*) - count(v)) / count(*), 1) AS nan_pct, round(avg(v), 4) AS mean, round(stddev_samp(v), 2) AS std, " + ", ".join(f"round(quantile_cont(v, {p / 100}), 6) AS p{p}" for p in report.FAMILY_PERCENTS) + ", round(max(v), 6) AS max FROM u GROUP BY 1, 2, 3, 4",
     "s16_densities": f"WITH {FR} " + " UNION ALL ".join(f"SELECT * FROM (WITH e AS (SELECT symbol, label, quantile_cont({c}, 0.01) AS a, quantile_cont({c}, 0.99) AS b FROM fr GROUP BY 1, 2), h AS (SELECT symbol, label, a, (b - a) / {n} AS w, CAST(least(floor(({c} - a) / ((b - a) / {n})), {n - 1}) AS INT) AS bin FROM fr JOIN e USING (symbol, label) WHERE {c} BETWEEN a AND b), g AS (SELECT symbol, label, a, w, bin, count(*) AS n FROM h GROUP BY ALL) SELECT symbol, label, '{c}' AS feature, bin, n, round(a + bin * w, 4) AS left_edge, round(n / (sum(n) OVER (PARTITION BY symbol, label) * w), 9) AS density FROM g)" for c, n in (("pressure", 30), ("response", 50), ("ratio", 60))),
     "s16_log_pairs": f"WITH {FR}, l AS (SELECT symbol, label, ln(1 + greatest(pressure, 0)) AS a, ln(1 + greatest(response, 0)) AS b FROM fr), m AS (SELECT symbol, label, max(a) AS ma, max(b) AS mb FROM l GROUP BY 1, 2) SELECT symbol, label, CAST(least(floor(a / ma * 8), 7) AS INT) AS x_bin, CAST(least(floor(b / mb * 8), 7) AS INT) AS y_bin, count(*) AS n FROM l JOIN m USING (symbol, label) GROUP BY 1, 2, 3, 4",
-    "o7_candidates": f"WITH {FR}, q AS (SELECT symbol, label, quantile_cont(pressure, 0.99) AS s99, quantile_cont(response, 0.99) AS b99, quantile_cont(pressure, 0.9) AS s90, quantile_cont(ratio, 0.5) AS r50, quantile_cont(executed, 0.9) AS e90, quantile_cont(net, 0.9) AS f90 FROM fr GROUP BY 1, 2), j AS (SELECT * FROM fr JOIN q USING (symbol, label)), k AS (" + " UNION ALL ".join(f"SELECT symbol, label, ts, '{k}' AS kind FROM j WHERE {c}" for k, c in (("top1pct_sell", "pressure >= s99"), ("top1pct_buy", "response >= b99"), ("high_flow_low_response", "pressure > s90 AND ratio < r50"), ("high_flow_high_response", "pressure > s90 AND ratio >= r50"), ("high_exec_high_repl", "executed > e90 AND net > f90"))) + ") SELECT symbol, label, kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(ts) AS sum_ts FROM k GROUP BY 1, 2, 3",
+    "o7_candidates": _kinds + ") SELECT symbol, label, kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(ts) AS sum_ts FROM k GROUP BY 1, 2, 3",
+    "o7_episodes": _kinds + ") SELECT kind, CAST(i AS INT) AS i, ts, symbol, label FROM (SELECT *, row_number() OVER (PARTITION BY symbol, label, kind ORDER BY md5('42:' || ts), ts) AS i FROM k) WHERE i <= 3",
+    "o6_sample": f"WITH {FR} SELECT ts, symbol, label FROM fr ORDER BY md5('42:' || ts), ts LIMIT 20",
+    "s17_content_hash": f"WITH {PLAIN}, h AS (SELECT md5({_fields}) AS h FROM ev) SELECT count(*) AS rows, " + " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(4)) + " AS content_hash FROM h",
 }

@@ -155,7 +155,8 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def content_hash(rows: DataFrame) -> DataFrame:
-    """Row count and an order-free hash of the rows, in which repeated rows count."""
-    h = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    total = F.sum(F.shiftright(h, 32)).cast("long"), F.sum(h.bitwiseAND(F.lit((1 << 32) - 1))).cast("long")
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.lower(F.hex(F.bit_xor(h))).alias("x"), *[F.lower(F.hex(t)).alias(f"s{i}") for i, t in enumerate(total)]).select("rows", F.concat_ws("-", "x", "s0", "s1").alias("content_hash"))
+    """Row count and an order-free hash of the rows, in which repeated rows count: the sums of the four words of each row's MD5, over its fields as text with their lengths."""
+    text = [F.col(f"`{c}`").cast("string") for c in rows.columns]
+    row = F.md5(F.concat_ws(",", *[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in text]).cast("binary"))
+    word = lambda i: F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    return rows.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *[F.coalesce(F.sum(word(i)), F.lit(0)).cast("string") for i in range(4)]).alias("content_hash"))
