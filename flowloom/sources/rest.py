@@ -1,8 +1,9 @@
 """Paged histories over HTTP as a Spark data source, and an idempotent download of sessions.
 
-One partition reads one stream of one session, page by page, as each page names the next. A request is tried again where that can help (timeouts, 429, 5xx,
+A stream of a session is read in one partition or, with the option `ranges`, in so many: a few pages asked for on the way tell how dense it is, and its time is cut
+into ranges of about equally many rows. Each is read page by page, as each page names the next. A request is tried again where that can help (timeouts, 429, 5xx,
 answers that are no JSON), with waits that double up to a minute; other client errors end the read at once, and so does a history of more pages than the fuse
-allows: a read that ends early gives an error, never fewer rows.
+allows: a read that ends early gives an error, never fewer rows. Rows are written by Spark's committer: a task that is killed and made again doubles and loses none.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .canonical import _exists
+from .shared import _delete
 
 #: Fixed values of the service: names of parameters and fields, rows of a page.
 CURSOR_PARAMETER, CURSOR_FIELD, ROWS_FIELD, PAGE_ROWS = "continuation_token", "continuationToken", "elements", 1_000
@@ -59,19 +61,57 @@ class Stream(InputPartition):
     before_ms: int
 
 
-def rows_of(base: str, part: Stream, max_pages: int, wait: float) -> Iterator[str]:
-    """A stream's rows in the order of the service, the newest first, as JSON text."""
+@dataclass
+class Range(InputPartition):
+    """A part of a stream's time, the rank-th from the newest; bounds are None where they are the stream's own."""
+
+    of: Stream
+    rank: int = 0
+    since_ms: int | None = None
+    before_ms: int | None = None
+
+
+def page_of(base: str, of: Stream, since: int, before: int, wait: float, cursor: str | None = None) -> dict:
+    asked = {"since": since, "before": before, "count": PAGE_ROWS, "sort": "desc"} | ({CURSOR_PARAMETER: cursor} if cursor else {})
+    return fetched(f"{base}/{of.symbol}/{of.stream}?{urllib.parse.urlencode(asked)}", wait=wait)
+
+
+def rows_of(base: str, part: Range, max_pages: int, wait: float) -> Iterator[tuple[int, str]]:
+    """A range's rows in the order of the service, the newest first, as (page, JSON text). A border belongs to the newer range, whatever the service takes it for."""
+    of = part.of
+    since, before = (own if cut is None else cut for cut, own in ((part.since_ms, of.since_ms), (part.before_ms, of.before_ms)))
     cursor: str | None = None
-    for _ in range(max_pages):
-        asked = {"since": part.since_ms, "before": part.before_ms, "count": PAGE_ROWS, "sort": "desc"} | ({CURSOR_PARAMETER: cursor} if cursor else {})
-        page = fetched(f"{base}/{part.symbol}/{part.stream}?{urllib.parse.urlencode(asked)}", wait=wait)
+    for n in range(max_pages):
+        page = page_of(base, of, since if part.since_ms is None else since - 1, before, wait, cursor)
         rows = page.get(ROWS_FIELD) or []
         for row in rows:
-            yield json.dumps(row, separators=(",", ":"), ensure_ascii=False)
+            ts = row.get("timestamp")
+            if ts is None or ((part.since_ms is None or ts >= since) and (part.before_ms is None or ts < before)):
+                yield n, json.dumps(row, separators=(",", ":"), ensure_ascii=False)
         cursor = page.get(CURSOR_FIELD)
         if not cursor or not rows:
             return
-    raise RuntimeError(f"more than {max_pages} pages of {part.symbol} {part.stream}: the read is not complete")
+    raise RuntimeError(f"more than {max_pages} pages of {of.symbol} {of.stream}: the read is not complete")
+
+
+def ranges_of(base: str, of: Stream, n: int, wait: float, probes: int = 4) -> list[Range]:
+    """A stream's time in n ranges of about equally many rows, the newest first, from `probes` pages for each range."""
+    if n <= 1:
+        return [Range(of)]
+    width = (of.before_ms - of.since_ms) / (n * probes)
+    edges = [of.since_ms + i * width for i in range(n * probes + 1)]
+    rates = []
+    for t in edges[1:]:
+        times = [r["timestamp"] for r in page_of(base, of, of.since_ms, int(t), wait).get(ROWS_FIELD) or [] if r.get("timestamp") is not None]
+        rates.append(len(times) / max(1.0, t - min(times)) if times else 0.0)
+    total, cuts, held = sum(rates) or 1.0, [], 0.0
+    for t, rate in zip(edges, rates):
+        while rate and len(cuts) < n - 1 and held + rate >= total * (len(cuts) + 1) / n:
+            cuts.append(int(t + width * (total * (len(cuts) + 1) / n - held) / rate))
+        held += rate
+    cuts = sorted({c for c in cuts if of.since_ms < c < of.before_ms})
+    bounds = list(zip([None, *cuts], [*cuts, None]))[::-1]
+    return [Range(of, i, lo, hi) for i, (lo, hi) in enumerate(bounds)]
 
 
 class History(DataSource):
@@ -82,7 +122,7 @@ class History(DataSource):
         return "history"
 
     def schema(self) -> str:
-        return "symbol string, session_label string, stream string, ingest_pos long, value string"
+        return "symbol string, session_label string, stream string, ingest_pos long, page long, value string"
 
     def reader(self, schema) -> DataSourceReader:
         return HistoryReader(dict(self.options))
@@ -92,13 +132,15 @@ class HistoryReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
-    def partitions(self) -> list[Stream]:
-        return [Stream(**s) for s in json.loads(self.options["streams"])]
+    def partitions(self) -> list[Range]:
+        n, wait = int(self.options.get("ranges", 1)), float(self.options.get("wait", 1.0))
+        return [r for s in json.loads(self.options["streams"]) for r in ranges_of(self.options["base"], Stream(**s), n, wait)]
 
-    def read(self, partition: Stream) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[tuple]:
         max_pages, wait = int(self.options.get("max_pages", MAX_PAGES)), float(self.options.get("wait", 1.0))
-        for i, value in enumerate(rows_of(self.options["base"], partition, max_pages, wait)):
-            yield partition.symbol, partition.session_label, partition.stream, i, value
+        of, first = partition.of, partition.rank << 40
+        for i, (page, value) in enumerate(rows_of(self.options["base"], partition, max_pages, wait)):
+            yield of.symbol, of.session_label, of.stream, first + i, first + page, value
 
 
 KEYS = ["symbol", "session_label", "stream"]
@@ -112,18 +154,24 @@ def read_history(spark: SparkSession, base: str, streams: list[Stream], **option
 def download(spark: SparkSession, base: str, streams: list[Stream], path: str, **options: object) -> list[Stream]:
     """Streams that have no manifest under path are read, written by symbol, session and stream, and get one; the others stay. Returns those read.
 
-    A manifest is written after all rows: a download that was cut off is made again, and replaces what it left.
+    A manifest is written after all rows: a download that was cut off is made again, and what it left is deleted first. pages counts those that have rows;
+    pagination_exhausted is true of every manifest, as a read that ends early has none; wall_clock_s is the whole download's.
     """
+    start = time.time()
     rows_at, manifests = f"{path}/rows", f"{path}/manifests"
     done = {tuple(r[k] for k in KEYS) for r in spark.read.json(manifests).where("status = 'COMPLETE'").select(*KEYS).collect()} if _exists(spark, manifests) else set()  # a row per session and stream
     missing = [s for s in streams if (s.symbol, s.session_label, s.stream) not in done]
     if missing:
+        for s in missing:
+            _delete(spark, f"{rows_at}/symbol={s.symbol}/session_label={s.session_label}/stream={s.stream}")
         rows = read_history(spark, base, missing, **options)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(rows_at)
+        rows.write.mode("append").partitionBy(*KEYS).parquet(rows_at)
         asked = spark.createDataFrame([tuple(asdict(s).values()) for s in missing], "symbol string, session_label string, stream string, requested_since_ms long, requested_before_ms long")
         t = F.get_json_object("value", "$.timestamp").cast("long")
-        facts = spark.read.parquet(rows_at).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.min_by(t, "ingest_pos").alias("first_ts"), F.max_by(t, "ingest_pos").alias("last_ts"))
-        asked.join(facts, KEYS, "left").fillna(0, ["n_rows"]).withColumn("status", F.lit("COMPLETE")).coalesce(1).write.mode("append").json(manifests)
+        facts = spark.read.parquet(rows_at).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("page").alias("pages"), F.min_by(t, "ingest_pos").alias("first_ts"), F.max_by(t, "ingest_pos").alias("last_ts"))
+        facts = asked.join(facts, KEYS, "left").fillna(0, ["n_rows", "pages"])
+        facts = facts.withColumns({"pagination_exhausted": F.lit(True), "wall_clock_s": F.lit(round(time.time() - start, 1)), "status": F.lit("COMPLETE")})
+        facts.coalesce(1).write.mode("append").json(manifests)
     return missing
 
 

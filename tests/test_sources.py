@@ -54,9 +54,63 @@ def test_pages_of_sessions(spark, server, tmp_path):
     assert rest.download(spark, base, streams, path) == streams[2:] and rest.download(spark, base, streams, path) == []
     m = {(r["session_label"], r["stream"]): r for r in spark.read.json(f"{path}/manifests").collect()}
     assert len(m) == 4 and (m["LOW", "orders"]["first_ts"], m["LOW", "orders"]["last_ts"], m["LOW", "orders"]["n_rows"]) == (1000, 979, 6)
+    assert (m["LOW", "orders"]["pages"], m["LOW", "orders"]["pagination_exhausted"]) == (3, True) and m["LOW", "orders"]["wall_clock_s"] >= 0
     assert rest.downloaded(spark, path, "orders").count() == 12
 
 
+@pytest.fixture(scope="module")
+def busy():
+    """A history that is dense at its end: by cursor, newest first, before inclusive; the first request of some pages fails."""
+    times = sorted([*range(0, 9_000, 90), *range(9_000, 10_000)], reverse=True)
+    failed = set()
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            u = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(u.query).items()}
+            if "empty" not in u.path and int(q["before"]) % 7 == 0 and self.path not in failed:
+                failed.add(self.path)
+                self.send_response(503)
+                self.end_headers()
+                return
+            at = int(q.get(rest.CURSOR_PARAMETER, 0))
+            found = [] if "empty" in u.path else [t for t in times if int(q["since"]) < t <= int(q["before"]) or (t == 0 and q["since"] == "0")]
+            body = {"elements": [{"uid": f"e{t}", "timestamp": t, "event": {}} for t in found[at : at + 40]]} | ({"continuationToken": str(at + 40)} if at + 40 < len(found) else {})
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", times
+    s.shutdown()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_ranges_of_a_stream_have_all_rows_once(spark, busy, n):
+    base, times = busy
+    of = rest.Stream("X", "LOW", "orders", 0, 10_000)
+    cuts = rest.ranges_of(base, of, n, 0.01)
+    assert len(cuts) == n
+    sizes = [sum((c.since_ms or 0) <= t < (c.before_ms or 10_001) for t in times) for c in cuts]
+    assert sum(sizes) == len(times) and (n == 1 or max(sizes) < 0.75 * len(times))
+    rows = rest.read_history(spark, base, [of], ranges=n, wait=0.01).orderBy("ingest_pos").collect()
+    assert [json.loads(r["value"])["timestamp"] for r in rows] == times
+
+
+def test_an_interrupted_download_leaves_nothing(spark, busy, tmp_path):
+    base, times = busy
+    of, path = rest.Stream("empty", "LOW", "orders", 0, 10_000), str(tmp_path / "raw")
+    left = rest.read_history(spark, base, [rest.Stream("X", "LOW", "orders", 0, 10_000)], wait=0.01).withColumn("symbol", F.lit("empty"))
+    left.write.partitionBy(*rest.KEYS).parquet(f"{path}/rows")  # rows without a manifest
+    rest.download(spark, base, [of, rest.Stream("X", "LOW", "orders", 0, 10_000)], path, ranges=3, wait=0.01)
+    m = {r["symbol"]: (r["n_rows"], r["status"]) for r in spark.read.json(f"{path}/manifests").collect()}
+    assert m == {"empty": (0, "COMPLETE"), "X": (len(times), "COMPLETE")} and rest.downloaded(spark, path, "orders").count() == len(times)
+
+
 def test_tries_and_refusals(server):
     base, asked = server
     page = rest.fetched(f"{base}/busy/orders?before=5", wait=0.01)
@@ -67,7 +121,7 @@ def test_tries_and_refusals(server):
     with pytest.raises(RuntimeError, match="no answer after 2 tries"):
         rest.fetched("http://127.0.0.1:9/x", tries=2, wait=0.01)
     with pytest.raises(RuntimeError, match="not complete"):
-        list(rest.rows_of(base, rest.Stream("endless", "L", "orders", 0, 9), 5, 0.01))
+        list(rest.rows_of(base, rest.Range(rest.Stream("endless", "L", "orders", 0, 9)), 5, 0.01))
 
 
 EVENT = "symbol string, ingest_pos long, timestamp_ms long, event_type string, order_uid string, side string, price double, qty double, maker_uid string, taker_uid string, execution_price double, execution_qty double, order_type string, aggressor string"
