@@ -172,13 +172,15 @@ def best(rows: DataFrame, top: int, buckets: int) -> DataFrame:
     buckets * top, however many phrases a lang has.
     """
     count = F.count(F.lit(1)).alias("n")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
+    each = lambda t: t.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))  # noqa: E731  a row per lang, met in every bucket
     coarse = cut_at(rows.groupBy("lang", F.expr("score div 1000").alias("bin")).agg(count).withColumn("above", F.lit(0)), "bin", top)
-    fine = rows.withColumn("bin", F.expr("score div 1000")).join(coarse, ["lang", "bin"]).groupBy("lang", "above", "score").agg(count)
-    least = cut_at(fine, "score", top)
-    ties = rows.join(least, ["lang", "score"]).groupBy("lang", "above", F.col("score").alias("least"), F.col("a").alias("often")).agg(count)
-    least = least.select("lang", F.col("score").alias("least")).join(cut_at(ties, "often", top).drop("above"), "lang")
+    fine = rows.join(each(coarse), ["lang", "b"]).where("score div 1000 = bin").groupBy("lang", "above", "score").agg(count)
+    least = cut_at(fine, "score", top).withColumnRenamed("score", "least")
+    ties = rows.join(each(least), ["lang", "b"]).where("score = least").groupBy("lang", "least", "above", F.col("a").alias("often")).agg(count)
+    least = least.drop("above").join(cut_at(ties, "often", top).drop("above"), "lang")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    out = rows.join(least, "lang").where("score > least OR score = least AND a >= often").withColumn("b", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
+    out = rows.join(each(least), ["lang", "b"]).where("score > least OR score = least AND a >= often")
     out = out.withColumn("in_bucket", F.row_number().over(Window.partitionBy("lang", "b").orderBy(*order))).where(F.col("in_bucket") <= top)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top).drop("least", "often", "b", "in_bucket")
 
