@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.ranking import rank_pct
 from .report import KEYS
 from .report_queries import FR, _rank, frame
@@ -16,7 +17,7 @@ def boxes(rows: DataFrame, columns: list[str], keys: list[str] = KEYS) -> DataFr
     """Quartiles of each column and its whiskers: the furthest values within one and a half quartile ranges of the box, and no nearer than it. Two passes; unknown values do not count."""
     long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*keys, "x.*").where("v IS NOT NULL AND NOT isnan(v)")
     by = [*keys, "feature"]
-    box = long.groupBy(*by).agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    box = quantiles(rows, keys, columns, [0.25, 0.5, 0.75])
     box = box.select(*by, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     far = long.join(box, by).groupBy(*by).agg(F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("lo"), F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("hi"))
@@ -47,7 +48,7 @@ def violins(rows: DataFrame, column: str, keys: list[str] = KEYS, points: int =
     v = F.log1p(F.col(column).cast("double")) if log else F.col(column).cast("double")
     rows = rows.select(*keys, v.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     if clip:
-        ends = rows.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("e"))
+        ends = quantiles(rows, keys, ["v"], [0.01, 0.99]).select(*keys, F.col("q").alias("e"))
         rows = rows.join(ends, keys).select(*keys, F.greatest(F.least("v", F.col("e")[1]), F.col("e")[0]).alias("v"))
     shape = rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("std")).where("n > 10 AND hi > lo")
     at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int").alias("bin")

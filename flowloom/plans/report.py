@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles, wide
 from ..functions.ranking import half_open_bin, pressure_bucket, rank_pct
 
 KEYS = ["symbol", "label"]
@@ -14,13 +15,14 @@ EPS, EXACT = 1e-9, "decimal(28,10)"
 
 
 def percentile_table(rows: DataFrame, columns: list[str], percents: list[float], keys: list[str] = KEYS) -> DataFrame:
-    """n, share of nulls, mean, sample deviation and percentiles of each column; one pass over all of them."""
+    """n, share of nulls, mean, sample deviation and percentiles of each column."""
     aggs = []
     for c in columns:
-        stats = [F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("missing"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, F.array(*[F.lit(p / 100) for p in percents])).alias("p")]
+        stats = [F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("missing"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")]
         aggs.append(F.struct(F.lit(c).alias("feature"), *stats))
-    wide = rows.groupBy(*keys).agg(F.array(*aggs).alias("x"))
-    x = wide.select(*keys, F.explode("x").alias("x")).select(*keys, "x.*")
+    x = rows.groupBy(*keys).agg(F.array(*aggs).alias("x")).select(*keys, F.explode("x").alias("x")).select(*keys, "x.*")
+    p = quantiles(rows, keys, columns, [p / 100 for p in percents]).drop("n").withColumnRenamed("q", "p")
+    x = x.join(p, [*keys, "feature"], "left")
     return x.select(*keys, "feature", "n", (100 * F.col("missing") / (F.col("n") + F.col("missing"))).alias("nan_pct"), "mean", "std", *[F.col("p")[i].alias(f"p{str(p).replace('.', '_')}") for i, p in enumerate(percents)])
 
 
@@ -90,7 +92,7 @@ def distributions(rows: DataFrame, families: dict[str, list[str]], keys: list[st
 
 def densities(rows: DataFrame, column: str, bins: int, keys: list[str] = KEYS) -> DataFrame:
     """A histogram's counts with the bins' edges and densities, as a figure needs them."""
-    edges = rows.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.01), F.lit(0.99))).alias("e"))
+    edges = quantiles(rows, keys, [column], [0.01, 0.99]).select(*keys, F.col("q").alias("e"))
     h = histogram(rows, column, bins, keys).join(edges, keys)
     width = (F.col("e")[1] - F.col("e")[0]) / bins
     total = F.sum("n").over(Window.partitionBy(*keys))  # at most `bins` rows
@@ -119,7 +121,7 @@ def ratio_medians(rows: DataFrame, over: str, under: str) -> DataFrame:
 
 def histogram(rows: DataFrame, column: str, bins: int, keys: list[str] = KEYS) -> DataFrame:
     """Counts in equal bins between the first and the 99th percentile of the key."""
-    edges = rows.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.01), F.lit(0.99))).alias("e"))
+    edges = quantiles(rows, keys, [column], [0.01, 0.99]).select(*keys, F.col("q").alias("e"))
     r = rows.join(edges, keys).where(F.col(column).between(F.col("e")[0], F.col("e")[1]))
     at = F.least(F.floor((F.col(column) - F.col("e")[0]) / ((F.col("e")[1] - F.col("e")[0]) / bins)), F.lit(bins - 1))
     return r.groupBy(*keys, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -142,7 +144,7 @@ def sample_k(rows: DataFrame, key: list[str], k: int, seed: int = 42) -> DataFra
 def episode_candidates(rows: DataFrame, sell: str, buy: str, response: str, executed: str, refill: str) -> DataFrame:
     """Rows of each mechanical set (kind): the largest percent of either side's flow, high selling with low and with high response, and much executed that was much refilled. Thresholds are of the key; a row may be in several sets."""
     cut = {"sell99": (sell, 0.99), "buy99": (buy, 0.99), "sell90": (sell, 0.9), "resp50": (response, 0.5), "exec90": (executed, 0.9), "refill90": (refill, 0.9)}
-    q = rows.groupBy(*KEYS).agg(*[F.percentile(c, p).alias(f"__{n}") for n, (c, p) in cut.items()])
+    q = wide(rows, KEYS, {f"__{n}": c for n, c in cut.items()})
     v, zero = F.col, lambda c: F.coalesce(F.col(c), F.lit(0.0))
     high = v(sell) > v("__sell90")
     kinds = {"top1pct_sell": v(sell) >= v("__sell99"), "top1pct_buy": v(buy) >= v("__buy99"), "high_flow_low_response": high & (zero(response) < v("__resp50")), "high_flow_high_response": high & (zero(response) >= v("__resp50")), "high_exec_high_repl": (v(executed) > v("__exec90")) & (zero(refill) > v("__refill90"))}
@@ -168,7 +170,7 @@ def slices(rows: DataFrame, chosen: DataFrame, reach: int = 30) -> DataFrame:
 
 def closest(rows: DataFrame, column: str, percents: dict[str, float], tie: str) -> DataFrame:
     """For each label the row whose value is closest to the percentile, the first of equal ones."""
-    q = rows.agg(*[F.percentile(column, p / 100).alias(name) for name, p in percents.items()])
+    q = wide(rows, [], {name: (column, p / 100) for name, p in percents.items()})
     e = rows.crossJoin(F.broadcast(q))  # q is one row
     return e.agg(F.array(*[F.struct(F.lit(n).alias("selected"), F.min_by(tie, F.struct(F.abs(F.col(column) - F.col(n)), F.col(tie))).alias(tie)) for n in percents]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 

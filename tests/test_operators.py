@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom.functions.quantiles import quantiles
 from flowloom.functions.ranking import rank_pct
 from flowloom.operators import atoms, book, levels, lifecycle, rolling, sweep, windows
 from flowloom.plans import features, gates, report
@@ -278,6 +279,23 @@ def test_rolling_over_blocks(spark):
     assert got[4_096 + 7]["pct_a"] == pytest.approx(((4_103 % 101) + 1) / 101)
 
 
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_are_exact(spark, accuracy):
+    """Ties, nulls, NaN, keys of one row and of none with a value, a null key, infinities and skew; with a coarse sketch most values lie outside its bounds."""
+    import random
+
+    rnd = random.Random(accuracy)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, float("nan"), 0.0, float(rnd.randint(-5, 5)), rnd.expovariate(1) ** 9, -1e300]), float(i % 3)) for i in range(3_000)]
+    rows += [("one", 7.5, 1.0), ("none", None, None), ("inf", float("inf"), 1.0), ("inf", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    ps = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    got = {(r["k"], r["feature"]): (r["n"], r["q"]) for r in quantiles(df, ["k"], ["x", "y"], ps, accuracy).collect()}
+    long = df.select("k", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in "xy"])).alias("z")).select("k", "z.*").where("v IS NOT NULL AND NOT isnan(v)")
+    want = {(r["k"], r["f"]): (r["n"], r["q"]) for r in long.groupBy("k", "f").agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, ps))).alias("q")).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-12, nan_ok=True) for k in want)
+    assert quantiles(df.limit(0), ["k"], ["x"], ps).count() == 0
+
+
 def test_unknown_placings_are_censored(spark):
     rows = [place(0, 1, "a", "buy", 10.0, 2.0), place(1, 5, "b", "buy", 10.0, 1.0), place(2, 6, "c", "sell", 11.0, 1.0)]
     live = book.at_time(book.watched(lifecycle.book_intervals(spark.createDataFrame(rows, EVENT)), 5), 9)
