@@ -233,6 +233,21 @@ def sanity(rows: DataFrame, keys: list[str], labels: list[str], tick: float = 1.
     return rows.groupBy(*keys).agg(facts.alias("x")).select(*keys, F.explode("x").alias("x")).select(*keys, "x.*").withColumn("ok", F.col("bad") == 0)
 
 
+def inventory(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: rows, columns and the versions that the rows carry."""
+    versions = [c for c in ("feature_version", "data_version", "book_semantics_version") if c in rows.columns]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(rows.columns)).alias("n_columns"), *[F.max(c).alias(c) for c in versions])
+
+
+def distribution_status(rows: DataFrame, families: dict[str, list[str]], keys: list[str]) -> DataFrame:
+    """Per key, family and feature: how many values there are, and MISSING (no such column), ALL_NAN or ok."""
+    wanted = [(f, c) for f, columns in families.items() for c in columns]
+    count = lambda c: F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))) if c in rows.columns else F.lit(None).cast("long")
+    each = [F.struct(F.lit(f).alias("family"), F.lit(c).alias("feature"), count(c).alias("n")) for f, c in wanted]
+    out = rows.groupBy(*keys).agg(F.array(*each).alias("x")).select(*keys, F.explode("x").alias("x")).select(*keys, "x.*")
+    return out.withColumn("status", F.when(F.col("n").isNull(), "MISSING").when(F.col("n") == 0, "ALL_NAN").otherwise("ok")).fillna(0, ["n"])
+
+
 def causality(pairs: DataFrame) -> DataFrame:
     """Refill pairs per symbol whose add does not follow its execution, or whose delay is not positive."""
     return pairs.groupBy("symbol").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("exec_ts") >= F.col("add_ts")).alias("bad_order"), F.count_if(F.col("delay_ms") <= 0).alias("bad_delay"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import half_open_bin, pressure_bucket, rank_pct
 from ..operators import atoms, levels, lifecycle, windows
 from ..sources import canonical, demo
-from . import report
+from . import gates, report
 from .flow_queries import GRID, PLAIN, STEP, TK, WINDOWS, _w1, d, over, r, stacked
 from .book_queries import HORIZON, _lv, _rp
 
@@ -56,6 +56,15 @@ def g6_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.distributions(frame(spark, sf_dir).withColumn("executed", F.nullif("executed", F.lit(0.0))), FAMILIES).withColumn("std", F.round("std", 2))
 
 
+def v9_distribution_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir).withColumn("nothing", F.lit(None).cast("double"))
+    return gates.distribution_status(rows, FAMILIES | {"NONE": ["nothing"]}, ["symbol", "label"])
+
+
+def v9_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.inventory(frame(spark, sf_dir).withColumn("data_version", F.col("label")), ["symbol"])
+
+
 def s16_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of 30, 50 and 60 bins."""
     f, columns = frame(spark, sf_dir), {"pressure": 30, "response": 50, "ratio": 60}
@@ -197,7 +206,7 @@ def w11_replenishment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("anchor", "w", *d("total_exec_qty", "total_refill_qty", "max_refill", "replenishment_ratio"), "refill_count")
 
 
-QUERIES = [r1_rank_pct, g5_percentile_table, g7_rates, g8_joint_state, g9_conditional_split, g10_regularity, g11_by_execution, g12_buckets_complete, g6_distributions, s16_densities, s16_log_pairs, o7_candidates, g13_near_market, g14_reprice_summary, g15_global_ratio, g16_contingency, g17_comparison, g18_ratio_medians, s16_histogram, o4_top_k, o6_sample, o7_episodes, o8_slices, o9_closest, o10_ecdf, o11_union_all, o13_first_per_key, v4_feature_quality, v6_window_checks, s10_time_bounds, s17_content_hash, w11_replenishment]
+QUERIES = [v9_distribution_status, v9_inventory, r1_rank_pct, g5_percentile_table, g7_rates, g8_joint_state, g9_conditional_split, g10_regularity, g11_by_execution, g12_buckets_complete, g6_distributions, s16_densities, s16_log_pairs, o7_candidates, g13_near_market, g14_reprice_summary, g15_global_ratio, g16_contingency, g17_comparison, g18_ratio_medians, s16_histogram, o4_top_k, o6_sample, o7_episodes, o8_slices, o9_closest, o10_ecdf, o11_union_all, o13_first_per_key, v4_feature_quality, v6_window_checks, s10_time_bounds, s17_content_hash, w11_replenishment]
 
 _rank = lambda c, w="": f"(rank() OVER (PARTITION BY symbol, label ORDER BY {c}) + (count(*) OVER (PARTITION BY symbol, label, {c}) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol, label) * 100"
 _bucket = "CASE WHEN pct <= 50 THEN '0-50' WHEN pct <= 90 THEN '50-90' WHEN pct <= 95 THEN '90-95' WHEN pct <= 99 THEN '95-99' ELSE '99-100' END"
@@ -239,6 +248,8 @@ ORACLE = {
     "g6_distributions": f"WITH {FR}, u AS (SELECT symbol, label, unnest([struct_pack(f := 'FLOW', c := 'pressure', v := pressure), struct_pack(f := 'FLOW', c := 'executed', v := nullif(executed, 0.0)), struct_pack(f := 'RESPONSE', c := 'response', v := response), struct_pack(f := 'RESPONSE', c := 'net', v := net), struct_pack(f := 'RATIO', c := 'ratio', v := ratio)], recursive := true) FROM fr) SELECT symbol, label, f AS family, c AS feature, count(v) AS n, round(100.0 * (count(*) - count(v)) / count(*), 1) AS nan_pct, round(avg(v), 4) AS mean, round(stddev_samp(v), 2) AS std, " + ", ".join(f"round(quantile_cont(v, {p / 100}), 6) AS p{p}" for p in report.FAMILY_PERCENTS) + ", round(max(v), 6) AS max FROM u GROUP BY 1, 2, 3, 4",
     "s16_densities": f"WITH {FR} " + " UNION ALL ".join(f"SELECT * FROM (WITH e AS (SELECT symbol, label, quantile_cont({c}, 0.01) AS a, quantile_cont({c}, 0.99) AS b FROM fr GROUP BY 1, 2), h AS (SELECT symbol, label, a, (b - a) / {n} AS w, CAST(least(floor(({c} - a) / ((b - a) / {n})), {n - 1}) AS INT) AS bin FROM fr JOIN e USING (symbol, label) WHERE {c} BETWEEN a AND b), g AS (SELECT symbol, label, a, w, bin, count(*) AS n FROM h GROUP BY ALL) SELECT symbol, label, '{c}' AS feature, bin, n, round(a + bin * w, 4) AS left_edge, round(n / (sum(n) OVER (PARTITION BY symbol, label) * w), 9) AS density FROM g)" for c, n in (("pressure", 30), ("response", 50), ("ratio", 60))),
     "s16_log_pairs": f"WITH {FR}, l AS (SELECT symbol, label, ln(1 + greatest(pressure, 0)) AS a, ln(1 + greatest(response, 0)) AS b FROM fr), m AS (SELECT symbol, label, max(a) AS ma, max(b) AS mb FROM l GROUP BY 1, 2) SELECT symbol, label, CAST(least(floor(a / ma * 8), 7) AS INT) AS x_bin, CAST(least(floor(b / mb * 8), 7) AS INT) AS y_bin, count(*) AS n FROM l JOIN m USING (symbol, label) GROUP BY 1, 2, 3, 4",
+    "v9_distribution_status": f"WITH {FR}, c AS (SELECT symbol, label, " + ", ".join(f"count({c}) AS {c}" for c in ("pressure", "executed", "response", "net", "ratio")) + " FROM fr GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT symbol, label, '{f}' AS family, '{c}' AS feature, {c if c not in ('absent', 'nothing') else 0} AS n, {f"CASE WHEN {c} = 0 THEN 'ALL_NAN' ELSE 'ok' END" if c not in ("absent", "nothing") else "'MISSING'" if c == "absent" else "'ALL_NAN'"} AS status FROM c" for f, columns in (FAMILIES | {"NONE": ["nothing"]}).items() for c in columns),
+    "v9_inventory": f"WITH {FR} SELECT symbol, count(*) AS n_rows, 9 AS n_columns, max(label) AS data_version FROM fr GROUP BY 1",
     "o7_candidates": _kinds + ") SELECT symbol, label, kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(ts) AS sum_ts FROM k GROUP BY 1, 2, 3",
     "o7_episodes": _kinds + ") SELECT kind, CAST(i AS INT) AS i, ts, symbol, label FROM (SELECT *, row_number() OVER (PARTITION BY symbol, label, kind ORDER BY md5('42:' || ts), ts) AS i FROM k) WHERE i <= 3",
     "o6_sample": f"WITH {FR} SELECT ts, symbol, label FROM fr ORDER BY md5('42:' || ts), ts LIMIT 20",

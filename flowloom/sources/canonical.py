@@ -144,9 +144,11 @@ def write_text(lines: list[str], path: str, spark: SparkSession) -> None:
 
 
 def markdown(rows: DataFrame, limit: int = 1_000) -> list[str]:
-    """A report table (at most `limit` rows are rendered) as lines of Markdown."""
+    """A report table as lines of Markdown; one of more than `limit` rows is no report, and an error."""
     text = lambda x: "" if x is None else str(x).replace("|", "\\|")
-    found = rows.limit(limit).collect()
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows to render")
     return ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *["| " + " | ".join(map(text, r)) + " |" for r in found]]
 
 

@@ -9,7 +9,7 @@ from flowloom.functions.quantiles import quantiles
 from flowloom.functions.ranking import rank_pct
 from flowloom.operators import atoms, book, levels, lifecycle, rolling, sweep, windows
 from flowloom.plans import features, gates, report
-from flowloom.sources import canonical
+from flowloom.sources import canonical, runlog
 from flowloom.streaming import flows
 
 EVENT = "symbol string, ingest_pos long, timestamp_ms long, event_type string, order_uid string, side string, price double, qty double, maker_uid string, taker_uid string, execution_price double, execution_qty double, order_type string, aggressor string"
@@ -423,6 +423,8 @@ def test_reports_as_text(spark, tmp_path):
     rows = spark.createDataFrame([("LOW", 1.5), (None, 2.0)], "label string, x double").coalesce(1)
     lines = canonical.markdown(rows)
     assert lines == ["| label | x |", "|---|---|", "| LOW | 1.5 |", "|  | 2.0 |"]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        canonical.markdown(rows, 1)
     canonical.write_text(lines, str(tmp_path / "r"), spark)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()] == lines
     canonical.write_report(rows, str(tmp_path / "c"))
@@ -432,6 +434,21 @@ def test_reports_as_text(spark, tmp_path):
     assert [r["selected"] for r in s] == ["LOW", "HIGH"] and s[0]["before_ms"] - s[0]["since_ms"] == 7_200_000
 
 
+def test_run_log_and_provenance(spark, tmp_path):
+    """A row for each session, with what was counted while it was written; hashes follow the files' bytes."""
+    import hashlib
+
+    path, log = str(tmp_path / "features"), str(tmp_path / "log")
+    of = lambda label, n: spark.range(n).select(F.lit("X").alias("symbol"), F.lit(label).alias("session_label"), F.col("id").alias("timestamp_ms"), F.lit("2").alias("feature_version"), F.lit("1").alias("book_semantics_version")).repartition(1)
+    got = {r["session_label"]: r for r in runlog.run_sessions([of("LOW", 50), of("HIGH", 70), of("NONE", 0)], path, log).collect()}
+    assert {k: (r["n_rows"], r["n_cols"]) for k, r in got.items()} == {"LOW": (50, 5), "HIGH": (70, 5)}
+    assert all(r["wall_s"] > 0 and r["tasks"] > 0 and r["parquet_mb"] > 0 and r["spilled_mb"] == 0 for r in got.values())
+    p = {r["session_label"]: r for r in runlog.provenance(spark, path).collect()}
+    files = list((tmp_path / "features" / "symbol=X" / "session_label=LOW").glob("*.parquet"))
+    assert len(files) == 1 and p["LOW"]["parquet_sha256_16"] == hashlib.sha256(files[0].read_bytes()).hexdigest()[:16]
+    assert (p["HIGH"]["n_rows"], p["HIGH"]["feature_version"], p["HIGH"]["files"]) == (70, "2", 1)
+
+
 def test_spans_are_half_open(spark):
     """An event at since counts, one at before does not; buckets start at multiples of their width."""
     e = canonical.with_ambiguity(spark.createDataFrame([place(i, t, f"u{i}", "buy", 10.0, 1.0) for i, t in enumerate((99, 100, 149, 150, 199, 200))], EVENT), ("symbol",))
