@@ -13,13 +13,18 @@ from ..sources import demo
 from ..sources.shared import stored
 from .flow_queries import CROSSED, GRID, PLAIN, STEP, WINDOWS, d, r
 
-T, HORIZON, TICK, WATCHED = 28_425_000, 360, demo.TICK, 2_000
+HORIZON, TICK, WATCHED = 360, demo.TICK, 2_000
 
 
 def events(spark, sf_dir, crossing=False) -> DataFrame:
     return demo.events(spark, sf_dir, crossing)
 
 
+def moment(e: DataFrame) -> int:
+    """The time after three quarters of the stream's."""
+    return e.agg(F.expr("min(timestamp_ms) + (max(timestamp_ms) - min(timestamp_ms)) * 3 div 4")).collect()[0][0] or 0
+
+
 def intervals(e: DataFrame) -> DataFrame:
     return lifecycle.book_intervals(e)
 
@@ -43,12 +48,14 @@ def b8_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b9_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = book.snapshot(book.at_time(spans(spark, sf_dir), T))
+    e = events(spark, sf_dir)
+    s = book.snapshot(book.at_time(intervals(e), moment(e)))
     return s.select("side", *d("price", "bid_qty", "ask_qty"), "n_orders", F.round(F.col("mean_size").cast("double"), 3).alias("mean_size"), "oldest_age_ms", "newest_age_ms", "n_known_age", "n_censored_age")
 
 
 def b10_bbo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = book.levels(book.at_time(spans(spark, sf_dir), T))
+    e = events(spark, sf_dir)
+    l = book.levels(book.at_time(intervals(e), moment(e)))
     return book.best(l).select("symbol", *d("best_bid", "best_ask", "best_bid_qty", "best_ask_qty", "spread", "mid"), "n_active")
 
 
@@ -57,7 +64,9 @@ DEPTHS = [f"{x}_{n}bps" for n in (5, 10, 25) for x in ("depth_bid", "depth_ask",
 
 def b12_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As seen by one who has watched for the last WATCHED units only."""
-    live = book.at_time(book.watched(spans(spark, sf_dir), T - WATCHED), T)
+    e = events(spark, sf_dir)
+    t = moment(e)
+    live = book.at_time(book.watched(intervals(e), t - WATCHED), t)
     return book.completeness(book.levels(live)).select("side", "zone", *d("total_qty", "known_qty", "pct_known"))
 
 
@@ -111,8 +120,10 @@ def l2_running_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l4_level_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = book.best(book.levels(book.at_time(spans(spark, sf_dir), T))).select("symbol", "best_bid", "best_ask", "mid")
-    s = levels.snapshot(level_atoms(spark, sf_dir), T, top, TICK)
+    e = events(spark, sf_dir)
+    t = moment(e)
+    top = book.best(book.levels(book.at_time(intervals(e), t))).select("symbol", "best_bid", "best_ask", "mid")
+    s = levels.snapshot(lifecycle.level_atoms(e), t, top, TICK)
     return s.select("side", *d("price", "level_qty", "share_of_side_depth", "qty_percentile", "qty_vs_nearby_median", "distance_ticks", "distance_bps"), F.col("episode_id").cast("long").alias("episode_id"), F.col("age_ms").cast("long").alias("age_ms"))
 
 
@@ -131,7 +142,8 @@ def j2_refill_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f1_level_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = levels.level_refill(levels.refill_pairs(lifecycle.level_changes(events(spark, sf_dir)), HORIZON), T, HORIZON)
+    e = events(spark, sf_dir)
+    s = levels.level_refill(levels.refill_pairs(lifecycle.level_changes(e), HORIZON), moment(e), HORIZON)
     return s.select("side", *d("price", "refilled_qty", "max_refill", "median_refill_delay", "replenishment_ratio"), "refill_count")
 
 
@@ -184,7 +196,8 @@ rq AS (SELECT side, price, CAST(0 AS BIGINT) AS i, CAST(0 AS DECIMAL(38,2)) AS l
  UNION ALL SELECT a.side, a.price, a.i, CAST(greatest(0, q.level_qty + CASE a.action WHEN 'add' THEN a.qty ELSE -a.qty END) AS DECIMAL(38,2)), q.episode_id + CASE WHEN a.action = 'add' AND q.level_qty <= 0 THEN 1 ELSE 0 END FROM rq q JOIN ao a ON a.side = q.side AND a.price = q.price AND a.i = q.i + 1),
 la AS (SELECT ao.*, rq.level_qty, rq.episode_id FROM ao JOIN rq USING (side, price, i))"""
 LREC = f"WITH RECURSIVE {PLAIN}, {LV}"
-_live_t = f"lv AS (SELECT * FROM sp WHERE from_ts <= {T} AND (to_ts IS NULL OR to_ts > {T}))"
+_moment = "tt AS (SELECT min(timestamp_ms) + (max(timestamp_ms) - min(timestamp_ms)) * 3 // 4 AS t FROM ev)"
+_live_t = f"{_moment}, lv AS (SELECT sp.*, t FROM sp, tt WHERE from_ts <= t AND (to_ts IS NULL OR to_ts > t))"
 _bb, _ba = "max(price) FILTER (side = 'buy' AND price > 0)", "min(price) FILTER (side = 'sell' AND price > 0)"
 
 
@@ -213,9 +226,9 @@ ORACLE = {
     "b1_transitions": f"{REC} SELECT uid, ts, ingest_pos, leg, kind, outcome, active, side, {r('price', 'price')}, {r('qty', 'qty')}, placed_ms, placed_pos FROM f WHERE n > 0",
     "b5_intervals": f"{REC} SELECT uid, from_ts, to_ts, side, {r('price', 'price')}, {r('qty', 'qty')}, placed_ms FROM sp",
     "b8_counters": f"{REC} SELECT 'SYN' AS symbol, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("unknown_update", "unknown_cancel", "unknown_exec_maker", "unknown_exec_taker", "duplicate_active_uid", "negative_qty")) + ", (SELECT count(*) FROM (SELECT timestamp_ms FROM ev GROUP BY 1 HAVING count(*) > 1)) AS n_ambiguous_ms FROM f",
-    "b9_snapshot": f"{REC}, {_live_t} SELECT side, {r('price', 'price')}, {r("CASE WHEN side = 'buy' THEN sum(qty) END", 'bid_qty')}, {r("CASE WHEN side <> 'buy' THEN sum(qty) END", 'ask_qty')}, count(*) AS n_orders, round(CAST(sum(qty) AS DOUBLE) / count(*), 3) AS mean_size, max({T} - placed_ms) AS oldest_age_ms, min({T} - placed_ms) AS newest_age_ms, count(placed_ms) AS n_known_age, count(*) - count(placed_ms) AS n_censored_age FROM lv GROUP BY side, price",
+    "b9_snapshot": f"{REC}, {_live_t} SELECT side, {r('price', 'price')}, {r("CASE WHEN side = 'buy' THEN sum(qty) END", 'bid_qty')}, {r("CASE WHEN side <> 'buy' THEN sum(qty) END", 'ask_qty')}, count(*) AS n_orders, round(CAST(sum(qty) AS DOUBLE) / count(*), 3) AS mean_size, max(t - placed_ms) AS oldest_age_ms, min(t - placed_ms) AS newest_age_ms, count(placed_ms) AS n_known_age, count(*) - count(placed_ms) AS n_censored_age FROM lv GROUP BY side, price",
     "b10_bbo": f"{REC}, {_live_t}, b AS (SELECT {_bb} AS bb, {_ba} AS ba, count(*) AS n FROM lv) SELECT 'SYN' AS symbol, {r('bb', 'best_bid')}, {r('ba', 'best_ask')}, {r("(SELECT qty FROM lv WHERE side = 'buy' AND price = bb ORDER BY placed_ms, placed_pos LIMIT 1)", 'best_bid_qty')}, {r("(SELECT qty FROM lv WHERE side = 'sell' AND price = ba ORDER BY placed_ms, placed_pos LIMIT 1)", 'best_ask_qty')}, {r('ba - bb', 'spread')}, {r('(ba + bb) / 2', 'mid')}, n AS n_active FROM b",
-    "b12_completeness": f"{REC}, {_live_t}, m AS (SELECT ({_bb} + {_ba}) / 2 AS mid FROM lv), lz AS (SELECT lv.*, mid, dense_rank() OVER (PARTITION BY side ORDER BY {_near}) AS k FROM lv, m WHERE price > 0), u AS ({zones(T - WATCHED)}) SELECT side, zone, {r('total_qty', 'total_qty')}, {r('known_qty', 'known_qty')}, {KNOWN} AS pct_known FROM u",
+    "b12_completeness": f"{REC}, {_live_t}, m AS (SELECT ({_bb} + {_ba}) / 2 AS mid FROM lv), lz AS (SELECT lv.*, mid, dense_rank() OVER (PARTITION BY side ORDER BY {_near}) AS k FROM lv, m WHERE price > 0), u AS ({zones(f't - {WATCHED}')}) SELECT side, zone, {r('total_qty', 'total_qty')}, {r('known_qty', 'known_qty')}, {KNOWN} AS pct_known FROM u",
     "b13_bbo_series": f"{SERIES} SELECT 'SYN' AS symbol, anchor, " + ", ".join(r(c, c) for c in ["best_bid", "best_ask", "spread", "mid", *DEPTHS, "near_book_depth"]) + ", n_active FROM bx",
     "b14_market_state": f"{REC} " + " UNION ALL ".join(f"SELECT * FROM (WITH {_series(_grid(g), (5, 10, 25, 50))}, rk AS (SELECT *, dense_rank() OVER (PARTITION BY anchor, side ORDER BY {_near}) AS k FROM av), tl AS (SELECT anchor, " + ", ".join(f"coalesce(sum(qty) FILTER (side = '{sd}' AND k <= {n}), 0) AS {b}_l{n}_qty" for b, sd in (("bid", "buy"), ("ask", "sell")) for n in (1, 5, 10)) + f" FROM rk GROUP BY anchor) SELECT 'SYN' AS symbol, {g} AS grid, anchor, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, " + ", ".join(f"{r(f'b{n}', f'depth_bid_{n}bps')}, {r(f'a{n}', f'depth_ask_{n}bps')}, {_obi(n)}" for n in (5, 10, 25, 50)) + ", " + ", ".join(r(f"{b}_l{n}_qty", f"{b}_l{n}_qty") for b in ("bid", "ask") for n in (1, 5, 10)) + " FROM bs JOIN dp USING (anchor) JOIN tl USING (anchor))" for g in GRIDS),
     "b7_crossed": f"{XREC}, {_cross} SELECT ts, {r('best_bid', 'best_bid')}, {r('best_ask', 'best_ask')}, {r('cross_width', 'cross_width')}, count(DISTINCT uid) FILTER (side = 'buy') AS n_bid_uids, count(DISTINCT uid) FILTER (side = 'sell') AS n_ask_uids, min(uid) FILTER (side = 'buy') AS first_bid_uid FROM cr JOIN cu USING (ts) GROUP BY ts, best_bid, best_ask, cross_width",
@@ -223,10 +236,10 @@ ORACLE = {
     "g3_crossing_summary": f"{XREC}, {_cls} SELECT classification, count(*) AS n, count(*) FILTER (persistent) AS n_persistent FROM cl GROUP BY 1",
     "l1_level_atoms": f"WITH RECURSIVE {PLAIN}, {_lv} SELECT ts, ingest_pos, leg, emit, side, {r('price', 'price')}, action, {r('qty', 'qty')}, order_uid FROM lat",
     "l2_running_levels": f"{LREC} SELECT ingest_pos, leg, emit, side, {r('price', 'price')}, {r('level_qty', 'level_qty')}, episode_id FROM la",
-    "l4_level_snapshot": f"{REC}, {LV[len(_legs) + 2:]}, {_live_t}, b AS (SELECT {_bb} AS bb, {_ba} AS ba, ({_bb} + {_ba}) / 2 AS mid FROM lv), q0 AS (SELECT side, price, greatest(sum(CASE action WHEN 'add' THEN qty ELSE -qty END), 0) AS lq, max(episode_id) AS e FROM la WHERE ts <= {T} GROUP BY 1, 2), q1 AS (SELECT q0.*, CAST(lq AS DOUBLE) AS q, (SELECT min(ts) FROM la WHERE la.side = q0.side AND la.price = q0.price AND la.episode_id = q0.e AND ts <= {T}) AS st FROM q0 WHERE lq > 0) SELECT side, {r('price', 'price')}, {r('lq', 'level_qty')}, {r('q / sum(q) OVER (PARTITION BY side)', 'share_of_side_depth')}, {r('(rank() OVER (PARTITION BY side ORDER BY q) + (count(*) OVER (PARTITION BY side, q) - 1) / 2.0) / count(*) OVER (PARTITION BY side)', 'qty_percentile')}, {r('q / ((SELECT quantile_cont(z.q, 0.5) FROM q1 z WHERE z.side = q1.side) + 1e-12)', 'qty_vs_nearby_median')}, {r(f"abs(price - CASE side WHEN 'buy' THEN bb ELSE ba END) / {TICK}", 'distance_ticks')}, {r('round(abs(price - mid) / mid * 10000, 2)', 'distance_bps')}, e AS episode_id, {T} - st AS age_ms FROM q1, b",
+    "l4_level_snapshot": f"{REC}, {LV[len(_legs) + 2:]}, {_live_t}, b AS (SELECT {_bb} AS bb, {_ba} AS ba, ({_bb} + {_ba}) / 2 AS mid FROM lv), q0 AS (SELECT side, price, t, greatest(sum(CASE action WHEN 'add' THEN qty ELSE -qty END), 0) AS lq, max(episode_id) AS e FROM la, tt WHERE ts <= t GROUP BY 1, 2, 3), q1 AS (SELECT q0.*, CAST(lq AS DOUBLE) AS q, (SELECT min(ts) FROM la WHERE la.side = q0.side AND la.price = q0.price AND la.episode_id = q0.e AND ts <= q0.t) AS st FROM q0 WHERE lq > 0) SELECT side, {r('price', 'price')}, {r('lq', 'level_qty')}, {r('q / sum(q) OVER (PARTITION BY side)', 'share_of_side_depth')}, {r('(rank() OVER (PARTITION BY side ORDER BY q) + (count(*) OVER (PARTITION BY side, q) - 1) / 2.0) / count(*) OVER (PARTITION BY side)', 'qty_percentile')}, {r('q / ((SELECT quantile_cont(z.q, 0.5) FROM q1 z WHERE z.side = q1.side) + 1e-12)', 'qty_vs_nearby_median')}, {r(f"abs(price - CASE side WHEN 'buy' THEN bb ELSE ba END) / {TICK}", 'distance_ticks')}, {r('round(abs(price - mid) / mid * 10000, 2)', 'distance_bps')}, e AS episode_id, t - st AS age_ms FROM q1, b",
     "l7_level_summary": f"{REC}, {LV[len(_legs) + 2:]}, {_series(GRID, (10,))}, ls AS (SELECT * FROM (SELECT *, lead(ts) OVER (PARTITION BY side, price ORDER BY i) AS nt FROM la) WHERE (nt IS NULL OR nt > ts) AND level_qty > 0), al AS (SELECT anchor, side, price, CAST(level_qty AS DOUBLE) AS q FROM an JOIN ls ON ts <= anchor AND (nt IS NULL OR nt > anchor)), md AS (SELECT anchor, side, {_med} AS med FROM al GROUP BY 1, 2), sm AS (SELECT anchor, side, med, count(*) AS n_levels, sum(q) AS t, max(q) AS mx, quantile_cont(q, [0.5, 0.75, 0.9, 0.95]) AS p, min({_near}) AS nr, count(*) FILTER (q > 3 * med) AS n3, count(*) FILTER (q > 5 * med) AS n5 FROM al JOIN md USING (anchor, side) GROUP BY 1, 2, 3) SELECT anchor, side, n_levels, n3 AS n_above_3x_median, n5 AS n_above_5x_median, {r('t', 'total_qty')}, {r('mx', 'max_qty')}, {r('p[1]', 'p50_qty')}, {r('p[2]', 'p75_qty')}, {r('p[3]', 'p90_qty')}, {r('p[4]', 'p95_qty')}, {r('mx / med', 'max_qty_vs_median')}, {r('CASE WHEN n_levels >= 20 THEN p[4] ELSE mx END / med', 'p95_qty_vs_median')}, {r('mx / (t + 1e-12)', 'max_share')}, {r(f'abs(abs(nr) - mid) / {TICK}', 'top1_dist_ticks')}, {r('abs(abs(nr) - mid) / mid * 10000', 'top1_dist_bps')} FROM sm LEFT JOIN bs USING (anchor)",
     "j2_refill_pairs": f"WITH RECURSIVE {PLAIN}, {_lv}, {_rp} SELECT exec_ts, add_ts, side, {r('price', 'price')}, {r('exec_qty', 'exec_qty')}, {r('refill_qty', 'refill_qty')}, delay_ms FROM pr",
-    "f1_level_refill": f"WITH RECURSIVE {PLAIN}, {_lv}, {_rp}, s AS (SELECT * FROM pr WHERE exec_ts >= {T - HORIZON} AND exec_ts < {T} AND add_ts <= {T}), x AS (SELECT side, price, sum(q) AS x FROM (SELECT side, price, exec_ts, arg_min(exec_qty, exec_pos) AS q FROM s GROUP BY side, price, exec_ts) GROUP BY 1, 2) SELECT side, {r('price', 'price')}, {r('sum(refill_qty)', 'refilled_qty')}, {r('max(refill_qty)', 'max_refill')}, {r('median(delay_ms)', 'median_refill_delay')}, {r('CAST(sum(refill_qty) AS DOUBLE) / CAST(any_value(x) AS DOUBLE)', 'replenishment_ratio')}, count(*) AS refill_count FROM s JOIN x USING (side, price) GROUP BY side, price",
+    "f1_level_refill": f"WITH RECURSIVE {PLAIN}, {_lv}, {_rp}, {_moment}, s AS (SELECT pr.* FROM pr, tt WHERE exec_ts >= t - {HORIZON} AND exec_ts < t AND add_ts <= t), x AS (SELECT side, price, sum(q) AS x FROM (SELECT side, price, exec_ts, arg_min(exec_qty, exec_pos) AS q FROM s GROUP BY side, price, exec_ts) GROUP BY 1, 2) SELECT side, {r('price', 'price')}, {r('sum(refill_qty)', 'refilled_qty')}, {r('max(refill_qty)', 'max_refill')}, {r('median(delay_ms)', 'median_refill_delay')}, {r('CAST(sum(refill_qty) AS DOUBLE) / CAST(any_value(x) AS DOUBLE)', 'replenishment_ratio')}, count(*) AS refill_count FROM s JOIN x USING (side, price) GROUP BY side, price",
     "w5_bbo_changes": f"{SERIES}, ch AS (SELECT anchor AS ts, CAST(mid IS NULL OR mid IS DISTINCT FROM lag(mid) OVER (ORDER BY anchor) AS INT) AS c FROM bx) SELECT anchor, " + ", ".join(f"(SELECT CAST(sum(c) AS DOUBLE) FROM ch WHERE ts > anchor - {w} AND ts <= anchor) AS bbo_change_count_{w}" for w in WINDOWS) + f", {r('spread', 'spread')}, {r('near_book_depth', 'near_book_depth')} FROM bx",
     "w9_price_response": f"{SERIES}, z AS (SELECT b.anchor, b.mid AS m0, " + ", ".join(f"(SELECT mid FROM bx y WHERE y.anchor <= b.anchor - {w} ORDER BY y.anchor DESC LIMIT 1) AS m{w}, " + ", ".join(f"CAST(coalesce((SELECT sum(execution_qty) FROM ev WHERE aggressor = '{q}' AND timestamp_ms > b.anchor - {w} AND timestamp_ms <= b.anchor), 0) AS DOUBLE) AS {q}q{w}, coalesce((SELECT sum(CAST(execution_qty AS DOUBLE) * execution_price) FROM ev WHERE aggressor = '{q}' AND timestamp_ms > b.anchor - {w} AND timestamp_ms <= b.anchor), 0) AS {q}n{w}" for q in ("buy", "sell")) for w in MOVES) + f" FROM bx b) SELECT anchor, {', '.join(_pr(w) for w in MOVES)} FROM z",
 }
