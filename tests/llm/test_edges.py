@@ -106,6 +106,8 @@ def folder(spark, corpus, tmp_path_factory):
     x[40:60] = x[:20] + rnd.standard_normal((20, 64)).astype(np.float32) * 0.1
     spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(path / "embeddings.parquet"))
     spark.createDataFrame([(0, 0, "user", "hi"), (0, 1, "assistant", "<|endoftext|> yes"), (-7, 0, "user", "taken")], "conv_id long, turn long, role string, text string").write.parquet(str(path / "conversations.parquet"))
+    hosts = ("a.example.com", "www.example.com", "x.net", "y.org")
+    spark.createDataFrame([(i, f"http://{hosts[i % 4]}/{('en', 'es', 'fr')[i % 3]}/{i}", "<p>") for i in range(60)], "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
     return str(path)
 
 
@@ -151,7 +153,7 @@ def test_queries_of_the_registry(spark, corpus, folder):
     q = registry.queries()
     ran = {n: [r.asDict() for r in q[n](spark, folder).collect()] for n in q}
     crc = lambda x: zlib.crc32(str(x).encode()) % 5
-    assert all(len(ran[n]) == len(rows) for n in q if n not in ("op7_embeddings", "op9_chat", "op10_packing"))
+    assert all(len(ran[n]) == len(rows) for n in q if n not in ("op7_embeddings", "op9_chat", "op10_packing", "op12_phrases", "op13_urls"))
     one = {r["doc_id"]: r for r in ran["op1_mixing"]}
     assert {i: one[i]["copies"] for i in one} == {r[0]: n for r, n in zip(rows, brute_mix(spark, rows, [1, 2, 3]))}
     assert all(one[r[0]]["taken"] == one[r[0]]["copies"] * len(words(r[1])) for r in rows)
@@ -173,6 +175,10 @@ def test_queries_of_the_registry(spark, corpus, folder):
     nine = {r["conv_id"]: r for r in ran["op9_chat"]}
     assert (nine[-7]["n_turns"], nine[-7]["loss_chars"]) == (3, len(chat.PROBE)) and nine[0]["loss_chars"] == len("<|endoftext|> yes")
     assert sum(r["length"] for r in ran["op10_packing"]) == sum(len(packing.encoder(packing.default_vocabulary())(r[1] or "")) + 1 for r in rows)
+    assert len({r["root"] for r in ran["op11_merkle"]}) == 1 and all(r["verified"] == (r["folded_root"] == r["root"]) for r in ran["op11_merkle"])
+    assert all(r["a"] >= 10 and r["a"] <= min(r["l"], r["r"]) and r["score"] == 1_000_000 * r["a"] ** 2 // (r["l"] * r["r"]) for r in ran["op12_phrases"])
+    thirteen = {r["page_id"]: (r["rule"], r["verdict"]) for r in ran["op13_urls"]}
+    assert len(thirteen) == 60 and thirteen[0] == ("example.com/en/", "block") and thirteen[9] == ("www.example.com/en/", "allow") and thirteen[10] == ("net/es/", "block")
 
 
 CLASHES = ["target", "source_size", "target_budget", "place", "shard", "slot", "shard_key", "line_count", "lines_removed", "words_removed", "media", "x", "score", "fp", "key", "n", "v", "tie", "bucket", "rank", "spans", "at"]
