@@ -1,4 +1,4 @@
-"""Merkle proofs, phrases and url filters against brute force and their SQL, with nulls, empty tables, ties, repeated rows and clashing columns; vectors of several lengths and groups near a shard's size."""
+"""Merkle proofs, phrases and url filters against brute force and their SQL, with nulls, empty tables, ties, repeated rows and clashing columns; vectors of several lengths."""
 
 import hashlib
 import random
@@ -12,7 +12,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from flowloom.llm import embeddings, merkle, phrases, registry, sharding, urls
+from flowloom.llm import embeddings, merkle, phrases, registry, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -217,12 +217,3 @@ def test_vectors_of_several_lengths(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert len(got) == len(rows) and all(got[i] == (0, i, True) for i in (*range(10), 23, 32, 40, 41, 42))
     assert got[20] == (2, 20, True) and got[21] == got[22] == (2, 20, False) and got[30] == (1, 30, True) and got[31] == (1, 30, False)
-
-
-def test_groups_that_fit_stay_whole(spark):
-    """Of equal texts, three quarters of a shard stay together; what no shard has room for is dealt out, and bytes stay even."""
-    rows = [(i, "a" * 99) for i in range(75)] + [(100 + i, "b" * 99) for i in range(250)] + [(1_000 + i, f"{i:099}") for i in range(475)]
-    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
-    size = [sum(r["shard_size"] for r in got if r["shard"] == k) for k in range(8)]
-    assert max(size) - min(size) <= 400 and len({r["shard"] for r in got if r["doc_id"] < 75}) == 1 and len({r["shard"] for r in got if 100 <= r["doc_id"] < 350}) > 2
-    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(size[k] // 100)) for k in range(8))
