@@ -28,11 +28,12 @@ def quantiles(rows: DataFrame, keys: list[str], columns: list[str], ps: list[flo
     low = [F.when(few | F.lit(p - slack <= 0), F.lit(float("-inf"))).otherwise(F.col("e")[i]) for i, p in enumerate(ps)]
     high = [F.when(few | F.lit(p + slack >= 1), F.lit(float("inf"))).otherwise(F.col("e")[len(ps) + i]) for i, p in enumerate(ps)]
     ends = of(ends.select(*by, "n", F.array(*low).alias("lo"), F.array(*high).alias("hi")), "__")
-    met = long.join(ends, same("__")).drop(*[f"__{c}" for c in by])
-    below = met.groupBy(*by).agg(F.first("n").alias("n"), F.array(*[F.count_if(F.col("v") < F.col("lo")[i]) for i in range(len(ps))]).alias("below"))
-    inside = met.select(*by, "v", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(ps) - 1)), lambda i: (F.get("lo", i) <= F.col("v")) & (F.col("v") <= F.get("hi", i)))).alias("i"))
-    inside = inside.groupBy(*by, "i", "v").agg(F.count(F.lit(1)).alias("c")).join(of(below, "__"), same("__")).drop(*[f"__{c}" for c in by])
-    upto = F.get("below", F.col("i")) + F.sum("c").over(Window.partitionBy(*by, "i").orderBy("v"))
+    met = long.groupBy(*by, "v").agg(F.count("v").alias("c")).join(ends, same("__")).drop(*[f"__{c}" for c in by])
+    # a value within a rank's bounds stays itself; one below them is null, and all such are one group
+    each = [F.when(F.col("v") <= F.col("hi")[i], F.struct(F.lit(i).alias("i"), F.when(F.col("v") >= F.col("lo")[i], F.col("v")).alias("v"))) for i in range(len(ps))]
+    inside = met.select(*by, "n", "c", F.explode(F.array(*each)).alias("x")).where("x IS NOT NULL").select(*by, "n", "c", "x.i", "x.v")
+    inside = inside.groupBy(*by, "n", "i", "v").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "i").orderBy(F.asc_nulls_first("v")))
     place = F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("i") + 1) * (F.col("n") - 1)
     inside = inside.withColumn("upto", upto).withColumn("place", place)
     holds = lambda rank: (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
@@ -49,3 +50,9 @@ def wide(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]])
     ps = sorted({p for _, p in wanted.values()})
     q = quantiles(rows, keys, sorted({c for c, _ in wanted.values()}), ps)
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[ps.index(p)])).alias(n) for n, (c, p) in wanted.items()])
+
+
+def beside(found: DataFrame, rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """found, which has a row for each key, with wide()'s columns of rows; null where a key has no value. Null keys meet null keys."""
+    q = wide(rows, keys, wanted).select(*[F.col(k).alias(f"__{k}") for k in keys], *wanted)
+    return found.join(q, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import atoms, book, levels, lifecycle, windows
 from ..sources import canonical, demo
-from ..sources.shared import stored
+from ..sources.shared import bucketed, stored
 from .book_queries import FOLD, HORIZON, LV, _legs, _rp, _ser, _series
 from .flow_queries import AGGRESSIVE, GRID, OLD, PASSIVE, REGIME, REPRICE, TK, d, r, s
 
@@ -22,7 +22,7 @@ PROVENANCE = {"source_session": "demo", "data_version": "1", "feature_version":
 
 
 def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: int = 1_000, tick: float = 1.0, label: str = "LOW", contexts: tuple[int, int] = (300, 1_800)) -> DataFrame:
-    """One row per symbol and anchor with 615 columns; sizes are the windows behind LABELS, contexts the anchors in five and thirty minutes."""
+    """One row per symbol and anchor with 615 columns; sizes are the windows behind LABELS, contexts the anchors in five and thirty minutes. Families are written in buckets of (symbol, anchor), so that no exchange joins them."""
     of = dict(zip(LABELS, sizes))
     events, grid = stored(events), stored(grid)
     moved = stored(atoms.with_old(events, canonical.priority))
@@ -49,9 +49,9 @@ def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: i
         named(windows.reprice_flow(atoms.reprice(moved), grid, sizes, step), REPRICE, LABELS), named(response, PRICE, RESPONSE),
         series.select("symbol", "anchor", *[F.col(c).cast("double").alias(c) for c in BOOK]), sides, refill, accel,
     ]
-    out = grid
+    out = bucketed(grid, "symbol", "anchor")
     for f in families:
-        out = out.join(stored(f), ["symbol", "anchor"], "left")
+        out = out.join(bucketed(f, "symbol", "anchor"), ["symbol", "anchor"], "left")
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in refill.columns[2:]}
     out = out.withColumns(filled)
     return out.select(F.col("anchor").alias("timestamp_ms"), *[c for c in out.columns if c not in ("symbol", "anchor")], "symbol", F.lit(label).alias("session_label"), *[F.lit(v).alias(k) for k, v in PROVENANCE.items()])

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import quantiles, wide
+from ..functions.quantiles import beside, quantiles, wide
 from ..functions.ranking import half_open_bin, pressure_bucket, rank_pct
+from ..sources.shared import stored
 
 KEYS = ["symbol", "label"]
 EPS, EXACT = 1e-9, "decimal(28,10)"
@@ -27,10 +28,12 @@ def percentile_table(rows: DataFrame, columns: list[str], percents: list[float],
 
 
 def cells(rows: DataFrame, by: list[str], columns: list[str], digits: int = 4) -> DataFrame:
-    """n and p50, p90, mean of each column per cell. The mean's sum is one of decimals, so that it is the same in any order."""
+    """n and p50, p90, mean of each column per cell. The mean's sum is one of decimals, so that it is the same in any order. The rows are written once, as several passes read them."""
+    rows = stored(rows.select(*by, *columns))
     mean = lambda c: F.sum(F.col(c).cast(EXACT)).cast("double") / F.count(c)
-    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, F.array(F.lit(0.5), F.lit(0.9))).alias(f"__{c}") for c in columns], *[mean(c).alias(f"{c}_mean") for c in columns])
-    return found.select(*by, "n", *[F.round(f, digits).alias(f"{c}_{k}") for c in columns for k, f in (("p50", F.col(f"__{c}")[0]), ("p90", F.col(f"__{c}")[1]), ("mean", F.col(f"{c}_mean")))])
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[mean(c).alias(f"{c}_mean") for c in columns])
+    found = beside(found, rows, by, {f"{c}_p{p}": (c, p / 100) for c in columns for p in (50, 90)})
+    return found.select(*by, "n", *[F.round(f"{c}_{k}", digits).alias(f"{c}_{k}") for c in columns for k in ("p50", "p90", "mean")])
 
 
 def joint_state(rows: DataFrame, pressures: dict[str, str], columns: list[str]) -> DataFrame:
@@ -115,7 +118,8 @@ def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def ratio_medians(rows: DataFrame, over: str, under: str) -> DataFrame:
     """Median over labels of the ratio of medians, per symbol and over all."""
-    m = rows.groupBy(*KEYS).agg(F.try_divide(F.percentile(over, 0.5), F.percentile(under, 0.5)).alias("ratio"))
+    m = beside(rows.select(*KEYS).distinct(), rows, KEYS, {"__over": (over, 0.5), "__under": (under, 0.5)})
+    m = m.select(*KEYS, F.try_divide("__over", "__under").alias("ratio"))  # a row per label, so that the medians' buffers below are short
     return m.rollup("symbol").agg(F.percentile("ratio", 0.5).alias("median_ratio"), F.count("ratio").alias("n"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import beside
 from ..functions.ranking import half_open_bin, pressure_bucket, rank_pct
 from ..operators import atoms, levels, lifecycle, windows
 from ..sources import canonical, demo
+from ..sources.shared import stored
 from . import gates, report
 from .flow_queries import GRID, PLAIN, STEP, TK, WINDOWS, _w1, d, over, r, stacked
 from .book_queries import HORIZON, _lv, _rp
@@ -33,7 +35,10 @@ def g5_percentile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir).groupBy("symbol", "label").agg(*[F.round(f, 4).alias(n) for n, f in (("mean", F.avg("pressure")), ("p50", F.percentile("pressure", 0.5)), ("p90", F.percentile("pressure", 0.9)), ("p99", F.percentile("pressure", 0.99)), ("most", F.max("pressure")))])
+    f = frame(spark, sf_dir)
+    rates = f.groupBy("symbol", "label").agg(F.avg("pressure").alias("mean"), F.max("pressure").alias("most"))
+    rates = beside(rates, f, ["symbol", "label"], {f"p{p}": ("pressure", p / 100) for p in (50, 90, 99)})
+    return rates.select("symbol", "label", *[F.round(c, 4).alias(c) for c in ("mean", "p50", "p90", "p99", "most")])
 
 
 def g8_joint_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,10 @@ def near_market(rows: DataFrame, depths: dict[str, str], near: str, wide: str, d
     """Per key: p50 and p90 of each depth (name -> column), of the share of the wide depth that is near, and p10, p50 and p90 of the nearest level's distance."""
     share = F.col(near) / (F.col(wide) + 1e-12)
     wanted = [(n, F.col(c), (50, 90), 4) for n, c in depths.items()] + [("concentration", share, (50, 90), 3), ("distance", F.col(distance), (10, 50, 90), 1)]
-    return rows.groupBy("symbol", "label").agg(*[F.round(F.percentile(c, p / 100), digits).alias(f"{n}_p{p}") for n, c, ps, digits in wanted for p in ps])
+    keys, named = ["symbol", "label"], {f"{n}_p{p}": (n, p / 100) for n, _, ps, _ in wanted for p in ps}
+    values = rows.select(*keys, *[c.alias(n) for n, c, *_ in wanted])
+    found = beside(values.select(*keys).distinct(), values, keys, named)
+    return found.select(*keys, *[F.round(f"{n}_p{p}", digits).alias(f"{n}_p{p}") for n, _, ps, digits in wanted for p in ps])
 
 
 DEPTHS = {"bid_5bps": "pressure", "ask_5bps": "executed", "bid_10bps": "response", "ask_10bps": "ratio", "bid_25bps": "response", "ask_25bps": "net"}
@@ -105,13 +113,18 @@ def g13_near_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g14_reprice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = rank_pct(frame(spark, sf_dir), "pressure", ["symbol", "label"], "pct").where("pct > 99")
-    m = h.groupBy("symbol", "label").agg(F.round(F.percentile("response", 0.5), 2).alias("away"), F.round(F.percentile("ratio", 0.5), 2).alias("toward"))
+    keys = ["symbol", "label"]
+    h = stored(h.select(*keys, "response", "ratio"))
+    m = beside(h.select(*keys).distinct(), h, keys, {"away": ("response", 0.5), "toward": ("ratio", 0.5)})
+    m = m.select(*keys, F.round("away", 2).alias("away"), F.round("toward", 2).alias("toward"))
     return m.withColumn("away_to_toward", F.round(F.try_divide("away", "toward"), 4))
 
 
 def g15_global_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frame(spark, sf_dir).where("executed > 1e-9")
-    return f.groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("ratio", p), 6).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))], F.max("ratio").alias("most")).where("n >= 3")
+    found = f.groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("n"), F.max("ratio").alias("most")).where("n >= 3")
+    found = beside(found, f, ["symbol", "label"], {f"p{p}": ("ratio", p / 100) for p in (50, 90, 99)})
+    return found.select("symbol", "label", "n", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (50, 90, 99)], "most")
 
 
 def g16_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import lifecycle, levels
-from flowloom.sources import rest
+from flowloom.sources import rest, shared
 from flowloom.streaming import flows
 
 
@@ -156,3 +156,18 @@ def test_sliding_activity_and_refill_pairs_as_streams(spark, tmp_path):
     columns = ["side", "price", "exec_ts", "add_ts", "exec_qty", "refill_qty", "delay_ms"]
     found = sorted(tuple(r) for r in ran(flows.refill_pairs(x, a, 60, 10_000), "pairs", "append").select(*columns).collect())
     assert found and found == sorted(tuple(r) for r in pairs.select(*columns).collect())
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    """Tables written by the same keys meet bucket by bucket; rows, nulls among the values and other columns stay as they are."""
+    a = spark.range(5_000).selectExpr("concat('s', id % 3) AS symbol", "id AS anchor", "if(id % 7 = 0, null, id) AS x")
+    b = a.where("anchor % 2 = 0").selectExpr("symbol", "anchor", "anchor * 2 AS y")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = shared.bucketed(a, "symbol", "anchor").join(shared.bucketed(b, "symbol", "anchor"), ["symbol", "anchor"], "left")
+        assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, met.collect()), key=str) == sorted(map(tuple, a.join(b, ["symbol", "anchor"], "left").collect()), key=str)
+        assert shared.bucketed(a.limit(0), "symbol", "anchor").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
