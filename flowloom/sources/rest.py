@@ -4,6 +4,8 @@ A stream of a session is read in one partition or, with the option `ranges`, in
 into ranges of about equally many rows. Each is read page by page, as each page names the next. A request is tried again where that can help (timeouts, 429, 5xx,
 answers that are no JSON), with waits that double up to a minute; other client errors end the read at once, and so does a history of more pages than the fuse
 allows: a read that ends early gives an error, never fewer rows. Rows are written by Spark's committer: a task that is killed and made again doubles and loses none.
+
+The same source read as a stream follows the live end of a history: an offset holds, for each stream, the time before which all rows have been read.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .canonical import _exists
 from .shared import _delete
@@ -127,6 +129,9 @@ class History(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return HistoryReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return TailReader(dict(self.options))
+
 
 class HistoryReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
@@ -143,6 +148,48 @@ class HistoryReader(DataSourceReader):
             yield of.symbol, of.session_label, of.stream, first + i, first + page, value
 
 
+class TailReader(DataSourceStreamReader):
+    """What has come since the last micro-batch, up to `settle` ms before a stream's newest row, as rows of the newest times may still be missing.
+
+    A micro-batch reads times [start, end) of a stream in `ranges` partitions, so that a long backlog is shared. A batch that is made again asks for the same times
+    and gets the same rows. Places count down with time: the newest row has the least, as in one read of the whole history.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.base, self.wait = options["base"], float(options.get("wait", 1.0))
+        self.max_pages, self.n, self.settle = int(options.get("max_pages", MAX_PAGES)), int(options.get("ranges", 1)), int(options.get("settle", 1_000))
+        self.streams = [Stream(**s) for s in json.loads(options["streams"])]
+
+    @staticmethod
+    def key(of: Stream) -> str:
+        return json.dumps([of.symbol, of.session_label, of.stream])
+
+    def initialOffset(self) -> dict:
+        return {self.key(s): s.since_ms for s in self.streams}
+
+    def latestOffset(self) -> dict:
+        return {self.key(s): self.settled(s) for s in self.streams}
+
+    def settled(self, of: Stream) -> int:
+        rows = page_of(self.base, of, of.since_ms, of.before_ms, self.wait).get(ROWS_FIELD) or []
+        newest = max((r["timestamp"] for r in rows if r.get("timestamp") is not None), default=of.since_ms)
+        return max(of.since_ms, newest - self.settle)
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for s in self.streams:
+            lo, hi = start.get(self.key(s), s.since_ms), end[self.key(s)]
+            if lo < hi:
+                cuts = ranges_of(self.base, replace(s, since_ms=lo, before_ms=hi), self.n, self.wait)
+                out += [replace(r, since_ms=lo if r.since_ms is None else r.since_ms, before_ms=hi if r.before_ms is None else r.before_ms) for r in cuts]
+        return out
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        of, first = partition.of, -(partition.before_ms << 20)  # up to 2^20 rows for each ms of the range
+        for i, (page, value) in enumerate(rows_of(self.base, partition, self.max_pages, self.wait)):
+            yield of.symbol, of.session_label, of.stream, first + i, first + page, value
+
+
 KEYS = ["symbol", "session_label", "stream"]
 
 
@@ -151,6 +198,12 @@ def read_history(spark: SparkSession, base: str, streams: list[Stream], **option
     return spark.read.format("history").options(base=base, streams=json.dumps([asdict(s) for s in streams]), **options).load()
 
 
+def follow_history(spark: SparkSession, base: str, streams: list[Stream], **options: object) -> DataFrame:
+    """read_history() as a stream: each micro-batch has the rows that came since the one before."""
+    spark.dataSource.register(History)
+    return spark.readStream.format("history").options(base=base, streams=json.dumps([asdict(s) for s in streams]), **options).load()
+
+
 def download(spark: SparkSession, base: str, streams: list[Stream], path: str, **options: object) -> list[Stream]:
     """Streams that have no manifest under path are read, written by symbol, session and stream, and get one; the others stay. Returns those read.
 

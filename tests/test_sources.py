@@ -1,6 +1,9 @@
 """The paged source against a server of our own: pages, tries, refusals, the fuse, and a second download that reads nothing."""
 
 import json
+import os
+import subprocess
+import sys
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -111,6 +114,77 @@ def test_an_interrupted_download_leaves_nothing(spark, busy, tmp_path):
     assert m == {"empty": (0, "COMPLETE"), "X": (len(times), "COMPLETE")} and rest.downloaded(spark, path, "orders").count() == len(times)
 
 
+@pytest.fixture()
+def growing():
+    """A history that grows while it is read; a page of the stream `broken` is refused twice."""
+    times, refused = list(range(0, 3_000, 10)), []
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            u = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(u.query).items()}
+            at = int(q.get(rest.CURSOR_PARAMETER, 0))
+            if "broken" in u.path and at == 80 and len(refused) < 2:
+                refused.append(self.path)
+                self.send_response(404)
+                self.end_headers()
+                return
+            found = [t for t in sorted(times, reverse=True) if int(q["since"]) < t <= int(q["before"]) or (t == 0 and q["since"] == "0")]
+            body = {"elements": [{"uid": f"e{t}", "timestamp": t, "event": {}} for t in found[at : at + 40]]} | ({"continuationToken": str(at + 40)} if at + 40 < len(found) else {})
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", times, refused
+    s.shutdown()
+
+
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_a_growing_history_is_followed(spark, growing, tmp_path, ranges):
+    """Runs that go on from a checkpoint have each settled row once; places follow time over micro-batches; rows that came late within `settle` are there."""
+    base, times, _ = growing
+    of, path = rest.Stream("X", "LOW", "orders", 0, 100_000), str(tmp_path / "rows")
+
+    def run():
+        rows = rest.follow_history(spark, base, [of], ranges=ranges, settle=100, wait=0.01)
+        q = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return [json.loads(r["value"])["timestamp"] for r in spark.read.parquet(path).orderBy("ingest_pos").collect()]
+
+    assert run() == list(range(0, 2_890, 10))[::-1]
+    times += [2_895, 2_985, *range(3_000, 4_000, 10)]
+    assert run() == sorted([t for t in times if t < 3_890], reverse=True)
+    assert run() == sorted([t for t in times if t < 3_890], reverse=True)
+
+
+KILLED = """
+import sys
+from pyspark.sql import SparkSession
+from flowloom.sources import rest
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rest.download(spark, sys.argv[1], [rest.Stream("X", "LOW", n, 0, 10_000) for n in ("broken", "orders")], sys.argv[2], wait=0.01)
+"""
+
+
+def test_a_task_that_fails_midway_doubles_and_loses_no_row(spark, growing, tmp_path):
+    """A read that is refused after two pages fails its task, which Spark makes again, in a session that allows it."""
+    base, times, refused = growing
+    root, path = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), str(tmp_path / "raw")
+    done = subprocess.run([sys.executable, "-c", KILLED, base, path], cwd=root, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2_000:]
+    assert len(refused) == 2
+    for stream in ("broken", "orders"):
+        got = [json.loads(r["value"])["timestamp"] for r in rest.downloaded(spark, path, stream).orderBy("ingest_pos").collect()]
+        assert got == times[::-1]
+    m = {r["stream"]: (r["n_rows"], r["pages"], r["status"]) for r in spark.read.json(f"{path}/manifests").collect()}
+    assert m == {n: (300, 8, "COMPLETE") for n in ("broken", "orders")}
+
+
 def test_tries_and_refusals(server):
     base, asked = server
     page = rest.fetched(f"{base}/busy/orders?before=5", wait=0.01)
