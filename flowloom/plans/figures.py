@@ -28,10 +28,10 @@ def boxes(rows: DataFrame, columns: list[str], keys: list[str] = KEYS) -> DataFr
 def signed_histogram(rows: DataFrame, pressure: str, net: str, column: str, bins: int = 30, above: float = 90) -> DataFrame:
     """Under high pressure, the density of a column in equal bins between its extremes, by the sign of net flow (exactly zero is neutral). Keys of under ten rows and signs of three or fewer are left out."""
     high = rank_pct(rows, pressure, KEYS, "pct").where(F.col("pct") > above).where(F.col(net).isNotNull())
-    high = high.withColumn("n_key", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("n_key >= 10")
     by = [*KEYS, "reaction"]
     high = high.withColumn("reaction", F.when(F.col(net) > 0, "adds").when(F.col(net) < 0, "cancels").otherwise("neutral")).withColumn("v", F.col(column).cast("double"))
-    ends = high.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n_all"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("rows > 3")
+    ends = high.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count("v").alias("n_all"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = ends.withColumn("n_key", F.sum("rows").over(Window.partitionBy(*KEYS))).where("rows > 3 AND n_key >= 10").drop("n_key")  # at most three rows a key
     flat = F.col("lo") == F.col("hi")
     ends = ends.select(*by, "n_all", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     at = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import beside, quantiles, wide
 from ..functions.ranking import half_open_bin, pressure_bucket, rank_pct
+from ..operators.rolling import placed
 from ..sources.shared import stored
 
 KEYS = ["symbol", "label"]
@@ -48,9 +49,10 @@ def joint_state(rows: DataFrame, pressures: dict[str, str], columns: list[str])
 def conditional_split(rows: DataFrame, pressure: str, net: str, columns: list[str], above: float = 90, band: float = 0.1) -> DataFrame:
     """Under high pressure, responses by the sign of net passive flow; keys with under ten rows and cells with under three are left out."""
     high = rank_pct(rows, pressure, KEYS, "pct").where(F.col("pct") > above)
-    high = high.withColumn("n_key", F.count(F.lit(1)).over(Window.partitionBy(*KEYS))).where("n_key >= 10")
-    kind = F.when(F.col(net) > band, "adds").when(F.col(net) < -band, "cancels").otherwise("neutral")
-    return cells(high.withColumn("reaction", kind).where(F.col(net).isNotNull()), [*KEYS, "reaction"], columns).where("n >= 3")
+    kind = F.when(F.col(net) > band, "adds").when(F.col(net) < -band, "cancels").when(F.col(net).isNotNull(), "neutral")
+    found = cells(high.withColumn("reaction", kind), [*KEYS, "reaction"], columns)
+    found = found.withColumn("n_key", F.sum("n").over(Window.partitionBy(*KEYS)))  # at most four cells a key, those without net flow among them
+    return found.where("n_key >= 10 AND n >= 3 AND reaction IS NOT NULL").drop("n_key")
 
 
 def regularity(split: DataFrame, column: str) -> DataFrame:
@@ -165,9 +167,9 @@ def episodes(candidates: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     return some.groupBy(*KEYS, "kind").agg(F.slice(least, 1, k).alias("x")).select(*KEYS, "kind", F.posexplode("x").alias("i", "x")).select("kind", (F.col("i") + 1).alias("i"), "x.ts", *KEYS)
 
 
-def slices(rows: DataFrame, chosen: DataFrame, reach: int = 30) -> DataFrame:
-    """The rows within reach places of each chosen anchor of its symbol and label."""
-    n = rows.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("ts")))
+def slices(rows: DataFrame, chosen: DataFrame, reach: int = 30, part: int = 3_600_000) -> DataFrame:
+    """The rows within reach places of each chosen anchor of its symbol and label. Places come from counts per part of time, so that no key is sorted in one task."""
+    n = placed(rows.withColumn("__key", F.struct(*KEYS)), "__key", "ts", part).drop("__key").withColumnRenamed("__i", "n")
     at = chosen.join(n.select(*KEYS, "ts", "n"), [*KEYS, "ts"]).select(*KEYS, F.col("ts").alias("anchor"), F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach)).alias("n"))
     return at.join(n, [*KEYS, "n"])
 

@@ -167,7 +167,7 @@ def o7_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o8_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frame(spark, sf_dir)
     top = report.top_k(f, "response", [F.col("ts")], 3)
-    return report.slices(f, top).groupBy("symbol", "label", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return report.slices(f, top, part=20_000).groupBy("symbol", "label", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def o9_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
