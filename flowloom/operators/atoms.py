@@ -62,9 +62,15 @@ def reprice(events: DataFrame) -> DataFrame:
     return rows.select("symbol", F.col("timestamp_ms").alias("ts"), "ingest_pos", "order_uid", "book_side", "atom.action", "atom.qty", "old_price", F.col("price").alias("new_price"), F.when(away, "away").otherwise("toward").alias("direction"))
 
 
-def flow_taxonomy(events: DataFrame, since: int | Column, before: int | Column, bucket_ms: int) -> DataFrame:
+def inside(since: int | Column | None, before: int | Column | None) -> Column:
+    """Known times in [since, before); None leaves its side open."""
+    t = F.col("timestamp_ms")
+    return t.isNotNull() & (F.lit(True) if since is None else t >= since) & (F.lit(True) if before is None else t < before)
+
+
+def flow_taxonomy(events: DataFrame, since: int | Column | None, before: int | Column | None, bucket_ms: int) -> DataFrame:
     """Counts and quantities per bucket and side; execution totals of the bucket stand on each of its side rows."""
-    rows = events.where((F.col("timestamp_ms") >= since) & (F.col("timestamp_ms") < before)).withColumn("bucket_ms", F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(bucket_ms)))
+    rows = events.where(inside(since, before)).withColumn("bucket_ms", F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(bucket_ms)))
     t = F.col("event_type")
     gone = t == "OrderCancelled"
     qty = lambda c: F.coalesce(F.sum(F.when(c, F.col("qty"))), F.lit(0)).cast("double")
@@ -74,8 +80,8 @@ def flow_taxonomy(events: DataFrame, since: int | Column, before: int | Column,
     return out.withColumn("executed_qty", F.sum("x").over(w).cast("double")).withColumn("executions", F.sum("xn").over(w)).drop("x", "xn")
 
 
-def ofi_atoms(events: DataFrame, since: int | Column, before: int | Column, bucket_ms: int) -> DataFrame:
-    rows = events.where((F.col("timestamp_ms") >= since) & (F.col("timestamp_ms") < before)).withColumn("bucket_ms", F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(bucket_ms)))
+def ofi_atoms(events: DataFrame, since: int | Column | None, before: int | Column | None, bucket_ms: int) -> DataFrame:
+    rows = events.where(inside(since, before)).withColumn("bucket_ms", F.col("timestamp_ms") - F.pmod("timestamp_ms", F.lit(bucket_ms)))
     t, aggs = F.col("event_type"), []
     for name, s in (("bid", "buy"), ("ask", "sell")):
         for what, c in (("new", t == "OrderPlaced"), ("cancel", t == "OrderCancelled")):
