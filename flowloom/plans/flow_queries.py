@@ -97,7 +97,7 @@ def g1_flow_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g2_ofi_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return atoms.ofi_atoms(inner(demo.events(spark, sf_dir)), F.col("since"), F.col("before"), BUCKET)
+    return atoms.ofi_atoms(demo.events(spark, sf_dir), None, None, BUCKET)
 
 
 AGGRESSIVE = ["buy_taker_qty", "sell_taker_qty", "buy_taker_count", "sell_taker_count", "buy_notional", "sell_notional", "afi", "ask_levels_consumed", "bid_levels_consumed"]
@@ -219,7 +219,7 @@ ORACLE = {
     "p1_passive_atoms": f"WITH {OLD} SELECT ts, ingest_pos, order_uid, book_side, action, {r('qty', 'qty')}, {r('price', 'price')} FROM pa",
     "p3_reprice_atoms": f"WITH {OLD} SELECT ts, ingest_pos, order_uid, book_side, action, {r('qty', 'qty')}, {r('old_price', 'old_price')}, {r('new_price', 'new_price')}, direction FROM rp",
     "g1_flow_taxonomy": f"WITH {PLAIN}, x AS (SELECT {_b} AS b, CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) AS executed_qty, {_n('Execution')} AS executions FROM ev WHERE {_whole} GROUP BY 1) SELECT symbol, {_b} AS bucket_ms, side, {_q('OrderPlaced')} AS placed_qty, {_n('OrderPlaced')} AS placed_orders, {_q('OrderCancelled')} AS cancelled_qty, {_n('OrderCancelled')} AS cancelled_orders, {_q('OrderUpdated')} AS updated_qty, {_n('OrderUpdated')} AS updates, count(*) FILTER (ordering_ambiguous) AS n_ambiguous_events, any_value(executed_qty) AS executed_qty, any_value(executions) AS executions FROM ev JOIN x ON x.b = {_b} WHERE {_whole} GROUP BY 1, 2, 3",
-    "g2_ofi_atoms": f"WITH {PLAIN} SELECT symbol, {_b} AS bucket_ms, " + ", ".join(f"{_q(t, f" AND side = '{sd}'")} AS {b}_{w}_qty, {_n(t, f" AND side = '{sd}'")} AS {b}_{w}_orders" for b, sd in (("bid", "buy"), ("ask", "sell")) for w, t in (("new", "OrderPlaced"), ("cancel", "OrderCancelled"))) + f", CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) AS bid_executed_qty, CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) AS ask_executed_qty, {_n('OrderUpdated')} AS n_updates, count(*) FILTER (ordering_ambiguous) AS n_ambiguous FROM ev WHERE {_rng} GROUP BY 1, 2",
+    "g2_ofi_atoms": f"WITH {PLAIN} SELECT symbol, {_b} AS bucket_ms, " + ", ".join(f"{_q(t, f" AND side = '{sd}'")} AS {b}_{w}_qty, {_n(t, f" AND side = '{sd}'")} AS {b}_{w}_orders" for b, sd in (("bid", "buy"), ("ask", "sell")) for w, t in (("new", "OrderPlaced"), ("cancel", "OrderCancelled"))) + f", CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) AS bid_executed_qty, CAST(coalesce(sum(execution_qty), 0) AS DOUBLE) AS ask_executed_qty, {_n('OrderUpdated')} AS n_updates, count(*) FILTER (ordering_ambiguous) AS n_ambiguous FROM ev WHERE {_whole} GROUP BY 1, 2",
     "w1_aggressive_flow": f"WITH {PLAIN}, {TK}, {GRID} {over('tk', _w1)}",
     "w2_passive_flow": f"WITH {OLD}, {GRID} {over('pa', _w2)}",
     "w3_reprice_flow": f"WITH {OLD}, {GRID} {over('rp', _w3)}",
