@@ -97,24 +97,27 @@ def completeness(l: DataFrame, n_levels: int = 10) -> DataFrame:
 
 
 def batches_best(spans: DataFrame, events: DataFrame, chunk: int) -> DataFrame:
-    """(symbol, ts, best_bid, best_ask) after each timestamp's batch. Time is cut into chunks; a chunk starts from the levels alive at its start and sweeps on alone."""
-    lives = spans.where("price > 0").select("symbol", "side", "price", "from_ts", "to_ts")
-    ends = events.groupBy("symbol").agg(F.max("timestamp_ms").alias("end"))
-    lives = lives.join(ends, "symbol").withColumn("c", F.explode(F.sequence(F.floor(F.col("from_ts") / chunk), F.floor(F.coalesce("to_ts", "end") / chunk))))
-    moves = F.array(F.struct(F.greatest("from_ts", F.col("c") * chunk).alias("ts"), F.lit(1).alias("d")), F.struct(F.coalesce("to_ts", F.lit(2**62)).alias("ts"), F.lit(-1).alias("d")))
-    moves = lives.select("symbol", "c", "side", "price", F.explode(moves).alias("m")).where((F.col("m.ts") < (F.col("c") + 1) * chunk)).groupBy("symbol", "c", F.col("m.ts").alias("ts"), "side", "price").agg(F.sum("m.d").alias("d")).where("d <> 0")
-    times = events.select("symbol", F.floor(F.col("timestamp_ms") / chunk).alias("c"), F.col("timestamp_ms").alias("ts")).distinct().withColumn("d", F.lit(0).cast("long"))
-    both = moves.unionByName(times, allowMissingColumns=True)
+    """(symbol, ts, best_bid, best_ask, n_bid, n_ask) after each timestamp's batch, n the orders at the best price. Time is cut into chunks; a chunk starts from the levels alive at its start and sweeps on alone."""
+    times = events.where("timestamp_ms IS NOT NULL").select("symbol", F.floor(F.col("timestamp_ms") / chunk).alias("c"), F.col("timestamp_ms").alias("ts")).distinct().withColumn("d", F.lit(0).cast("long"))
+    ends = F.array(F.struct(F.col("from_ts").alias("ts"), F.lit(1).alias("d")), F.struct(F.col("to_ts").alias("ts"), F.lit(-1).alias("d")))
+    moves = spans.where("price > 0").select("symbol", "side", "price", F.explode(ends).alias("m")).where("m.ts IS NOT NULL")
+    moves = moves.groupBy("symbol", "side", "price", F.col("m.ts").alias("ts")).agg(F.sum("m.d").alias("d")).where("d <> 0").withColumn("c", F.floor(F.col("ts") / chunk))
+    # a chunk starts with a row for each level alive, whatever the number of its orders
+    held = Window.partitionBy("symbol", "side", "price").orderBy("c")
+    left = moves.groupBy("symbol", "side", "price", "c").agg(F.sum("d").alias("d")).select("symbol", "side", "price", "c", F.sum("d").over(held.rowsBetween(Window.unboundedPreceding, 0)).alias("d"), F.lead("c").over(held).alias("until"))
+    left = left.where("d > 0").join(events.groupBy("symbol").agg(F.floor(F.max("timestamp_ms") / chunk).alias("last")), "symbol").withColumn("until", F.least(F.coalesce("until", "last"), "last"))
+    start = left.where("c < until").select("symbol", "side", "price", "d", F.explode(F.sequence(F.col("c") + 1, "until")).alias("c")).withColumn("ts", F.col("c") * chunk)
+    both = moves.unionByName(start).unionByName(times, allowMissingColumns=True)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, live, heaps = None, ({}, {}), ([], [])
 
-        def best(ask: bool) -> float | None:
-            """The best price alive; prices that are gone leave the heap when they come up."""
+        def best(ask: bool) -> tuple[float | None, int]:
+            """The best price alive and its orders; prices that are gone leave the heap when they come up."""
             heap, sign = heaps[ask], 1 if ask else -1
             while heap and sign * heap[0] not in live[ask]:
                 heappop(heap)
-            return sign * heap[0] if heap else None
+            return (sign * heap[0], live[ask][sign * heap[0]]) if heap else (None, 0)
 
         for b in found:
             out = []
@@ -130,19 +133,70 @@ def batches_best(spans: DataFrame, events: DataFrame, chunk: int) -> DataFrame:
                     if not book[price]:
                         del book[price]
                 else:
-                    out.append((symbol, ts, best(False), best(True)))
+                    (bid, n_bid), (ask, n_ask) = best(False), best(True)
+                    out.append((symbol, ts, bid, ask, n_bid, n_ask))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.float64(), pa.float64()))], ["symbol", "ts", "best_bid", "best_ask"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], ["symbol", "ts", "best_bid", "best_ask", "n_bid", "n_ask"])
 
     width = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(width, "symbol", "c").sortWithinPartitions("symbol", "c", "ts", F.col("d") == 0).mapInArrow(run, "symbol string, ts long, best_bid double, best_ask double")
+    return both.repartition(width, "symbol", "c").sortWithinPartitions("symbol", "c", "ts", F.col("d") == 0).mapInArrow(run, "symbol string, ts long, best_bid double, best_ask double, n_bid long, n_ask long")
 
 
-def crossings(top: DataFrame, spans: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Timestamps after which the book is crossed or locked, with the orders at the best prices. Both sides meet by price and chunk of time."""
-    c = top.where("best_bid >= best_ask").withColumn("cross_width", F.col("best_bid") - F.col("best_ask"))
+def crossed(top: DataFrame) -> DataFrame:
+    """Timestamps after which the book is crossed or locked."""
+    return top.where("best_bid >= best_ask").withColumn("cross_width", F.col("best_bid") - F.col("best_ask"))
+
+
+def best_levels(c: DataFrame) -> DataFrame:
+    """The two levels (symbol, ts, side, price) at the best prices of each crossing."""
     price = F.explode(F.array(F.struct(F.lit("buy").alias("side"), F.col("best_bid").alias("price")), F.struct(F.lit("sell").alias("side"), F.col("best_ask").alias("price"))))
-    at = c.select("symbol", "ts", price.alias("x")).select("symbol", "ts", "x.side", "x.price", F.floor(F.col("ts") / chunk).alias("c"))
+    return c.select("symbol", "ts", price.alias("x")).select("symbol", "ts", "x.side", "x.price")
+
+
+def at_best(c: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The levels of crossings with the first and last time each is a best one, and the spans of orders there, clipped to these times."""
+    at = best_levels(c)
+    reach = at.groupBy("symbol", "side", "price").agg(F.min("ts").alias("first"), (F.max("ts") + 1).alias("last"))
+    here = spans.select("symbol", "side", "price", "uid", "from_ts", "to_ts").join(reach, ["symbol", "side", "price"])
+    here = here.withColumns({"a": F.greatest("from_ts", "first"), "b": F.least(F.coalesce("to_ts", "last"), "last")}).where("a < b")
+    return at.join(reach, ["symbol", "side", "price"]), here.select("symbol", "side", "price", "uid", "a", "b")
+
+
+def first_uids(c: DataFrame, spans: DataFrame) -> DataFrame:
+    """(symbol, ts, first_bid_uid, first_ask_uid): the smallest ids alive at the best prices of each crossing.
+
+    A span is cut into spans of powers of two, each from a multiple of its length, of which it needs twice as many as its length has bits; a time lies in one span of
+    each length. So neither side has a row for each order and crossing.
+    """
+    at, here = at_best(c, spans)
+    bits = lambda length: f"cast(floor(log2({length})) AS int) + 1"
+    ends = f"transform(sequence(0, {bits('b - a')}), k -> struct(k, -shiftright(-a, k) AS l, shiftright(b, k) AS r))"
+    cut = f"flatten(transform(filter({ends}, x -> x.l < x.r), x -> filter(array(IF(x.l % 2 <> 0, struct(x.k, x.l AS i), NULL), IF(x.r % 2 <> 0, struct(x.k, x.r - 1 AS i), NULL)), y -> y IS NOT NULL)))"
+    parts = here.selectExpr("symbol", "side", "price", "uid", f"explode({cut}) AS x").groupBy("symbol", "side", "price", "x.k", "x.i").agg(F.min("uid").alias("uid"))
+    asked = at.selectExpr("symbol", "side", "price", "ts", f"explode(transform(sequence(0, {bits('last - first')}), k -> struct(k, shiftright(ts, k) AS i))) AS x").select("symbol", "side", "price", "ts", "x.k", "x.i")
+    found = asked.join(parts, ["symbol", "side", "price", "k", "i"])
+    return found.groupBy("symbol", "ts").agg(*[F.min(F.when(F.col("side") == s, F.col("uid"))).alias(f"first_{n}_uid") for n, s in (("bid", "buy"), ("ask", "sell"))])
+
+
+def explained(c: DataFrame, spans: DataFrame, events: DataFrame, look_ahead: int = 3) -> DataFrame:
+    """(symbol, ts, explained_dt): how soon, in the next timestamps, an order at a crossing's best prices is executed.
+
+    Executions look back: each asks whether its orders were at the best price of a crossing, by the span that an order had then, so no crossing lists its orders.
+    """
+    x = c.where("cross_width > 0")
+    used = events.where("event_type = 'Execution'").select("symbol", F.col("timestamp_ms").alias("at"), F.explode(F.array("maker_uid", "taker_uid")).alias("uid")).where("uid IS NOT NULL")
+    asked = used.withColumn("dt", F.explode(F.sequence(F.lit(1), F.lit(look_ahead)))).withColumn("ts", F.col("at") - F.col("dt")).join(x.select("symbol", "ts", "best_bid", "best_ask"), ["symbol", "ts"])
+    here = at_best(x, spans)[1].select("symbol", "uid", F.col("a").alias("ts"), F.struct("side", "price", "b").alias("s"))
+    both = asked.select("symbol", "uid", "ts", "dt", "best_bid", "best_ask").unionByName(here, allowMissingColumns=True)
+    w = Window.partitionBy("symbol", "uid").orderBy("ts", F.col("dt").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("s", F.last("s", ignorenulls=True).over(w)).where("dt IS NOT NULL AND s.b > ts AND s.price = IF(s.side = 'buy', best_bid, best_ask)")
+    return held.groupBy("symbol", "ts").agg(F.min("dt").alias("explained_dt"))
+
+
+def crossings(top: DataFrame, spans: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Timestamps after which the book is crossed or locked, with lists of the orders at the best prices. Both sides meet by price and chunk of time; its rows grow with orders times crossings, so what asks for less takes crossed(), first_uids() and explained()."""
+    c = crossed(top)
+    at = best_levels(c).withColumn("c", F.floor(F.col("ts") / chunk))
     ends = c.groupBy("symbol").agg(F.max("ts").alias("end"))
     held = spans.join(ends, "symbol").where("from_ts <= end").select("symbol", "side", "price", "uid", "from_ts", "to_ts", F.explode(F.sequence(F.floor(F.col("from_ts") / chunk), F.floor(F.least(F.coalesce("to_ts", "end"), "end") / chunk))).alias("c"))
     orders = at.join(held, ["symbol", "side", "price", "c"]).where("from_ts <= ts AND (to_ts IS NULL OR to_ts > ts)")
@@ -150,13 +204,18 @@ def crossings(top: DataFrame, spans: DataFrame, chunk: int = 10_000) -> DataFram
     return c.join(uids, ["symbol", "ts"])
 
 
-def classified(crossed: DataFrame, events: DataFrame, look_ahead: int = 3) -> DataFrame:
-    """Crossings explained by an execution of one of their orders in the next timestamps, else unexplained; persistent where the next timestamp is crossed too."""
+def kinds(crossed: DataFrame, first: DataFrame) -> DataFrame:
+    """Crossings explained (first: symbol, ts, explained_dt) by an execution of one of their orders in the next timestamps, else unexplained; persistent where the next timestamp is crossed too."""
     x = crossed.where("cross_width > 0")
-    used = events.where("event_type = 'Execution'").select("symbol", F.col("timestamp_ms").alias("at"), F.explode(F.array("maker_uid", "taker_uid")).alias("uid")).where("uid IS NOT NULL").distinct()
-    asked = x.select("symbol", "ts", F.explode(F.array_union("bid_uids", "ask_uids")).alias("uid")).withColumn("dt", F.explode(F.sequence(F.lit(1), F.lit(look_ahead)))).withColumn("at", F.col("ts") + F.col("dt"))
-    first = asked.join(used, ["symbol", "at", "uid"]).groupBy("symbol", "ts").agg(F.min("dt").alias("explained_dt"))
     after = x.select("symbol", (F.col("ts") - 1).alias("ts"), F.lit(True).alias("persistent")).distinct()
     out = crossed.join(first, ["symbol", "ts"], "left").join(after, ["symbol", "ts"], "left")
     kind = F.when(F.col("cross_width") == 0, "LOCKED_MARKET").when(F.col("explained_dt").isNotNull(), "CROSS_STREAM_TS_AMBIGUITY").otherwise("UNEXPLAINED")
     return out.select("symbol", "ts", "best_bid", "best_ask", "cross_width", kind.alias("classification"), "explained_dt", F.coalesce("persistent", F.lit(False)).alias("persistent"))
+
+
+def classified(crossed: DataFrame, events: DataFrame, look_ahead: int = 3) -> DataFrame:
+    """kinds() of crossings that list their orders."""
+    x = crossed.where("cross_width > 0")
+    used = events.where("event_type = 'Execution'").select("symbol", F.col("timestamp_ms").alias("at"), F.explode(F.array("maker_uid", "taker_uid")).alias("uid")).where("uid IS NOT NULL").distinct()
+    asked = x.select("symbol", "ts", F.explode(F.array_union("bid_uids", "ask_uids")).alias("uid")).withColumn("dt", F.explode(F.sequence(F.lit(1), F.lit(look_ahead)))).withColumn("at", F.col("ts") + F.col("dt"))
+    return kinds(crossed, asked.join(used, ["symbol", "at", "uid"]).groupBy("symbol", "ts").agg(F.min("dt").alias("explained_dt")))
