@@ -104,7 +104,8 @@ def market_truth(events: DataFrame, research: int, chunk: int = 10_000, watched:
     comp = book.completeness(book.levels(book.at_time(known, research - 1)))
     side = F.when(F.col("side") == "buy", "bid").otherwise("ask")
     comp = comp.withColumn("z", F.concat_ws("_", side, "zone")).groupBy("symbol").agg(*[F.max(F.when(F.col("z") == z, F.col("pct_known"))).alias(f"comp_{z}") for z in ZONES], *[F.max(F.when(F.col("z") == z, F.col("total_qty") > 0)).alias(f"held_{z}") for z in ZONES[:2]])
-    kinds = book.classified(book.crossings(top, spans, chunk), events).groupBy("symbol").agg(*[F.count_if(F.col("classification") == k).alias(n) for n, k in (("explained", "CROSS_STREAM_TS_AMBIGUITY"), ("unexplained", "UNEXPLAINED"))], F.count_if(F.col("persistent") & (F.col("classification") != "LOCKED_MARKET")).alias("persisting"))
+    crossed = book.crossed(top)
+    kinds = book.kinds(crossed, book.explained(crossed, spans, events)).groupBy("symbol").agg(*[F.count_if(F.col("classification") == k).alias(n) for n, k in (("explained", "CROSS_STREAM_TS_AMBIGUITY"), ("unexplained", "UNEXPLAINED"))], F.count_if(F.col("persistent") & (F.col("classification") != "LOCKED_MARKET")).alias("persisting"))
     active = spans.where("to_ts IS NULL").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_active_final"))
     for more in (comp, lifecycle.counters(moves, events, top), kinds, active, linkage(events)):
         out = out.join(more, "symbol", "left")
