@@ -77,6 +77,38 @@ def replenishment(pairs: DataFrame, grid: DataFrame, windows: list[int], step: i
     return out.withColumn("replenishment_ratio", F.coalesce(F.try_divide("total_refill_qty", "total_exec_qty"), F.lit(0.0)))
 
 
+def refills(atoms: DataFrame, grid: DataFrame, horizon: int, windows: list[int], step: int) -> DataFrame:
+    """replenishment(refill_pairs(atoms, horizon), ..) without a row for each pair, for windows up to the horizon.
+
+    For an execution at e and an anchor A up to e + W, all adds of the level in (e, A] count, whatever W. They are those after e in the step that e lies in and those
+    of the whole steps from there up to A; so adds are summed by time and step, and each time of a level with executions has a row for each anchor in its reach.
+    """
+    if max(windows) > horizon:
+        raise ValueError(f"a window of {max(windows)} is longer than the horizon of {horizon}")
+    rows = atoms.where("action IN ('add', 'exec_reduce') AND side IS NOT NULL AND price IS NOT NULL")
+    add, up = F.col("action") == "add", (F.ceil(F.col("ts") / step) * step).cast("long")
+    # a step's executions come before its end, its adds up to it
+    cells = rows.groupBy(*LEVEL, "ts", add.alias("add")).agg(F.sum("qty").alias("s"), F.max("qty").alias("m"), F.count(F.lit(1)).alias("n"), F.min_by("qty", "ingest_pos").alias("x"))
+    cells = cells.withColumn("b", F.when(F.col("add"), up).otherwise((F.floor(F.col("ts") / step) * step + step).cast("long")))
+    zero = F.lit(0).cast(cells.schema["s"].dataType)
+    later = Window.partitionBy(*LEVEL, "b").orderBy(F.col("ts").desc(), F.col("add").cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    after = [F.coalesce(F.sum(F.when(F.col("add"), F.col("s"))).over(later), zero).alias("s0"), F.max(F.when(F.col("add"), F.col("m"))).over(later).alias("m0"), F.sum(F.when(F.col("add"), F.col("n")).otherwise(0)).over(later).alias("n0")]
+    done = cells.select(*LEVEL, "ts", "b", "add", "x", F.col("n").alias("times"), *after).where("NOT add").drop("add")
+    whole = cells.where("add").groupBy(*LEVEL, F.col("b").alias("anchor")).agg(F.sum("s").alias("s"), F.max("m").alias("m"), F.sum("n").alias("n"))
+    reach = cells.where("NOT add").select(*LEVEL, "b").distinct().withColumn("anchor", F.explode(F.sequence("b", F.col("b") + max(windows), F.lit(step).cast("long"))))
+    more = Window.partitionBy(*LEVEL, "b").orderBy("anchor").rowsBetween(Window.unboundedPreceding, 0)
+    met, beyond = reach.join(whole, [*LEVEL, "anchor"], "left"), F.col("anchor") > F.col("b")
+    met = met.select(*LEVEL, "b", "anchor", *[f(F.when(beyond, F.col(c))).over(more).alias(c) for c, f in (("s", F.sum), ("m", F.max), ("n", F.sum))])
+    span = grid.groupBy("symbol").agg(F.min("anchor").alias("a0"), F.max("anchor").alias("a1"))
+    seen = done.join(met, [*LEVEL, "b"]).join(span, "symbol").where((F.col("anchor") <= F.col("ts") + max(windows)) & F.col("anchor").between(F.col("a0"), F.col("a1")))
+    n = F.col("n0") + F.coalesce("n", F.lit(0))
+    seen = seen.select("symbol", "anchor", F.col("ts").alias("exec_ts"), "side", "price", "x", ((F.col("s0") + F.coalesce("s", zero)) * F.col("times")).alias("r"), (n * F.col("times")).alias("n"), F.greatest("m0", "m").alias("m")).where("n > 0")
+    once = seen.groupBy("symbol", "anchor", "exec_ts").agg(F.sum("r").alias("r"), F.sum("n").alias("n"), F.max("m").alias("m"), F.min_by("x", F.struct("side", "price")).alias("x"))
+    each = once.withColumn("w", F.explode(F.array(*map(F.lit, windows)))).where("exec_ts >= anchor - w")
+    out = each.groupBy("symbol", "anchor", "w").agg(F.sum("x").cast("double").alias("total_exec_qty"), F.sum("r").cast("double").alias("total_refill_qty"), F.sum("n").alias("refill_count"), F.max("m").cast("double").alias("max_refill"))
+    return out.withColumn("replenishment_ratio", F.coalesce(F.try_divide("total_refill_qty", "total_exec_qty"), F.lit(0.0)))
+
+
 def level_refill(pairs: DataFrame, t: int, w: int) -> DataFrame:
     """Replenishment of every level at time t: refills of executions in [t - w, t), known by t. Executions of one time count once, as the first of them."""
     p = pairs.where((F.col("exec_ts") >= t - w) & (F.col("exec_ts") < t) & (F.col("add_ts") <= t) & (F.col("delay_ms") <= w))

@@ -39,7 +39,7 @@ def build(events: DataFrame, grid: DataFrame, sizes: list[int] = MILLIS, step: i
     level_atoms = stored(lifecycle.level_atoms(events))
     summary = levels.summary(level_atoms, grid, series, step, tick)
     sides = summary.groupBy("symbol", "anchor").agg(*[F.max(F.when(F.col("side") == k, F.col(c))).cast("double").alias(f"{s}_{c}") for s, k in (("bid", "buy"), ("ask", "sell")) for c in SUMMARY])
-    refill = levels.replenishment(levels.refill_pairs(level_atoms, max(10 * step, of["10s"])), grid, [of[w] for w in REFILL], step)
+    refill = levels.refills(level_atoms, grid, max(10 * step, of["10s"]), [of[w] for w in REFILL], step)
     refill_names = ["total_exec_qty", "total_refill_qty", "replenishment_ratio", "refill_count"]
     refill = refill.groupBy("symbol", "anchor").agg(*[F.coalesce(F.max(F.when(F.col("w") == of[w], F.col(n))).cast("double"), F.lit(0.0)).alias(f"{n}_{w}") for w in REFILL for n in refill_names])
     accel = windows.acceleration(flow, [(of[a], of[b]) for a, b in ACCEL])

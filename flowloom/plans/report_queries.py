@@ -215,7 +215,7 @@ REFILL = [15, 60, 120, 360]
 
 def w11_replenishment(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = demo.events(spark, sf_dir)
-    out = levels.replenishment(levels.refill_pairs(lifecycle.level_atoms(e), HORIZON), demo.anchors(e), REFILL, STEP)
+    out = levels.refills(lifecycle.level_changes(e), demo.anchors(e), HORIZON, REFILL, STEP)
     return out.select("anchor", "w", *d("total_exec_qty", "total_refill_qty", "max_refill", "replenishment_ratio"), "refill_count")
 
 
