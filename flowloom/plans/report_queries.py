@@ -98,8 +98,11 @@ def near_market(rows: DataFrame, depths: dict[str, str], near: str, wide: str, d
     """Per key: p50 and p90 of each depth (name -> column), of the share of the wide depth that is near, and p10, p50 and p90 of the nearest level's distance."""
     share = F.col(near) / (F.col(wide) + 1e-12)
     wanted = [(n, F.col(c), (50, 90), 4) for n, c in depths.items()] + [("concentration", share, (50, 90), 3), ("distance", F.col(distance), (10, 50, 90), 1)]
-    keys, named = ["symbol", "label"], {f"{n}_p{p}": (n, p / 100) for n, _, ps, _ in wanted for p in ps}
-    values = rows.select(*keys, *[c.alias(n) for n, c, *_ in wanted])
+    # a column behind several names is ranked once
+    keys, columns = ["symbol", "label"], list(dict.fromkeys([*depths.values(), distance]))
+    of = {n: f"v{columns.index(c)}" for n, c in depths.items()} | {"concentration": "share", "distance": f"v{columns.index(distance)}"}
+    named = {f"{n}_p{p}": (of[n], p / 100) for n, _, ps, _ in wanted for p in ps}
+    values = rows.select(*keys, *[F.col(c).alias(f"v{k}") for k, c in enumerate(columns)], share.alias("share"))
     found = beside(values.select(*keys).distinct(), values, keys, named)
     return found.select(*keys, *[F.round(f"{n}_p{p}", digits).alias(f"{n}_p{p}") for n, _, ps, digits in wanted for p in ps])
 
