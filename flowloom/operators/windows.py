@@ -23,22 +23,22 @@ def ceil_to(ts: Column, step: int) -> Column:
 
 
 def deltas(rows: DataFrame, distinct: dict[str, tuple[str | None, str]], windows: list[int], step: int, span: int) -> DataFrame:
-    """rows (symbol, ts, ..) -> (symbol, anchor, __name_W): +1 where a key starts to count in the window W, -1 where it ends to.
+    """rows (symbol, ts, ..) -> (symbol, anchor, __name_W): how many more keys count in the window W from an anchor on.
 
     distinct: name -> (condition, key) as SQL. A row is the newest of its key from its time until the next of its key, or W later. What reaches into the next span of
-    time (spans are no shorter than windows) starts once more with it, so that a span's sums need nothing from the one before.
+    time (spans are no shorter than windows) starts once more with it, so that a span's sums need nothing from the one before. Starts and ends are narrow rows, summed
+    by window and anchor before they become columns, so what goes on does not grow with the keys.
     """
     keyed = ", ".join(f"named_struct('n', '{n}', 'k', CASE WHEN {c or 'true'} THEN cast({k} AS string) END)" for n, (c, k) in distinct.items())
     r = rows.selectExpr(KEY, "ts", f"inline(array({keyed})) AS (n, k)").where("k IS NOT NULL")
     r = r.withColumn("next", F.lead("ts").over(Window.partitionBy(KEY, "n", "k").orderBy("ts")))
     up = lambda x: f"cast(ceil(({x}) / {step}) * {step} AS bigint)"
-    ends = ", ".join(f"named_struct('w', {w}, 'anchor', {up(f'least(coalesce(next, ts + {w}), ts + {w})')})" for w in windows)
-    r = r.selectExpr(KEY, "n", f"{up('ts')} AS a", f"array({ends}) AS e").selectExpr(KEY, "n", "filter(e, x -> x.anchor > a) AS e", "a").where("size(e) > 0")
-    r = r.selectExpr("*", f"(cast(floor(a / {span}) AS bigint) + 1) * {span} AS b")
-    again = "CASE WHEN exists(e, x -> x.anchor >= b) THEN array(named_struct('w', 0, 'anchor', b)) ELSE array() END"
-    r = r.selectExpr(KEY, "n", "e", "a", f"inline(concat(array(named_struct('w', 0, 'anchor', a)), {again}, e)) AS (w, anchor)")
-    on = "exists(e, x -> x.w = {w} AND (anchor = a OR x.anchor >= anchor))"
-    return r.selectExpr(KEY, "anchor", *[f"CASE WHEN n <> '{n}' THEN NULL WHEN w = {w} THEN -1 WHEN w = 0 AND {on.format(w=w)} THEN 1 END AS `__{n}_{w}`" for n in distinct for w in windows])
+    ends = ", ".join(f"named_struct('w', {w}, 'e', {up(f'least(coalesce(next, ts + {w}), ts + {w})')})" for w in windows)
+    r = r.selectExpr(KEY, "n", f"{up('ts')} AS a", f"inline(array({ends})) AS (w, e)").where("e > a")
+    r = r.selectExpr(KEY, "n", "w", "a", "e", f"(cast(floor(a / {span}) AS bigint) + 1) * {span} AS b")
+    moves = "array(named_struct('anchor', a, 'd', 1), named_struct('anchor', e, 'd', -1), named_struct('anchor', CASE WHEN e >= b THEN b END, 'd', 1))"
+    r = r.selectExpr(KEY, "n", "w", f"inline({moves}) AS (anchor, d)").where("anchor IS NOT NULL").groupBy(KEY, "anchor", "n", "w").agg(F.sum("d").alias("d"))
+    return r.selectExpr(KEY, "anchor", *[f"CASE WHEN n = '{n}' AND w = {w} THEN d END AS `__{n}_{w}`" for n in distinct for w in windows])
 
 
 def windowed(atoms: DataFrame, anchors: DataFrame, values: dict[str, Column | str], windows: list[int], step: int, distinct: dict[str, tuple[str | None, str]] | None = None, length: int = 1 << 12) -> DataFrame:
