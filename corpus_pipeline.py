@@ -39,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id.
+    """One document of each group of near duplicates, the one of the smallest id: linked by SimHash, checked by Jaccard similarity, what SimHash misses found exactly.
 
     Texts without a word (null, empty, blank) are one group; a null id counts as the largest; of rows of equal id and text one stays; an empty table gives
     an empty table; columns beyond those of documents go.

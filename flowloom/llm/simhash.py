@@ -3,9 +3,10 @@
 linked(): components of fingerprints of whole texts within `tau` bits, exact for every pair of fingerprints: links by the generalised pigeonhole principle
 (hamming.py), groups by components.
 
-near_duplicates(): components of all pairs whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more, by a prefix filter. Two such
-sets of n and m shingles, in any one order (frequent ones of a sample last, then by hash), share one of their first n - ceil(SIMILARITY n) + 1 and m - ceil(SIMILARITY m) + 1; their sizes, and
-the places of the first one they share, bound what they can share at most. Candidates next to each other in a shingle's list are verified first; then all
+near_duplicates(): components of all pairs whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more. Fingerprints of these sets within
+`tau` bits are linked first, as above, and texts of each linked group are compared along a tree. Fingerprints of similar sets can lie further apart, so a
+prefix filter then finds every pair that this has not connected: two such sets of n and m shingles, in any one order (frequent ones of a sample last, then by hash), share one of their first n - ceil(SIMILARITY n) + 1 and m - ceil(SIMILARITY m) + 1; their sizes, and
+the places of the first one they share, bound what they can share at most. Of these, candidates next to each other in a shingle's list are verified first; then all
 other candidates that these have not connected yet. So no pair is lost, and a group of many near copies does not verify all its pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal texts are always linked; ties keep the smallest id, a null
@@ -26,7 +27,7 @@ from .common import Scratch, components, parted, width, written
 from .hamming import links
 from .lines import Hashed
 
-TAU, WORDS, SIMILARITY, BLOCK, CHUNK, EPS, SAMPLE, FREQUENT, WORDS_HELD = 4, 5, 0.8, 2048, 1 << 18, 1e-9, 5_000, 1 << 18, 1 << 17
+TAU, WORDS, SIMILARITY, BLOCK, CHUNK, EPS, SAMPLE, FREQUENT, WORDS_HELD, PARTS = 4, 5, 0.8, 2048, 1 << 18, 1e-9, 5_000, 1 << 18, 1 << 17, 256
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -99,6 +100,32 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from out()
 
 
+def set_fingerprints(keyed: DataFrame, words: int) -> DataFrame:
+    """(key, text) -> (key, fp), once for each key: the fingerprint of the distinct shingles of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, once = np.unique(b[0].to_numpy(), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([fingerprint(h) for h in shingle_sets(b[1].take(pa.array(once)), words)], pa.int64())], ["key", "fp"])
+
+    return keyed.select("key", "text").mapInArrow(run, "key long, fp long").groupBy("key").agg(F.min("fp").alias("fp"))
+
+
+def fingerprint_pairs(keyed: DataFrame, words: int, tau: int) -> DataFrame:
+    """(key, text) -> pairs (a, b) of keys, a < b, that connect all whose fingerprints are linked within `tau` bits: a row for each text of a group but one.
+
+    A group is dealt into PARTS parts by a hash; a text meets the smallest key of its part, and that the smallest of the group, so no key meets all of a large group.
+    """
+    with Scratch(keyed.sparkSession) as made:
+        prints = written(set_fingerprints(keyed, words))
+        near = components(links(written(prints.select("fp").distinct()), "fp", tau)).withColumnRenamed("node", "fp")
+        dealt = written(prints.join(near, "fp", "left").select("key", F.coalesce("component", "fp").alias("group"), F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part")))
+        parts = dealt.groupBy("group", "part").agg(F.min("key").alias("first"))
+        groups = parts.groupBy("group").agg(F.min("first").alias("a"))
+        inside = dealt.join(parts, ["group", "part"]).where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+        return made.outlive(inside.unionByName(parts.join(groups, "group").where("first <> a").select("a", F.col("first").alias("b"))))
+
+
 def frequent(keyed: DataFrame, n: int, words: int) -> np.ndarray:
     """Shingles that three texts or more of a sample have (SAMPLE texts, or a sixteenth), rising in frequency, FREQUENT at most. They only choose an order."""
     share = max(1 / 16, SAMPLE / max(n, 1))
@@ -287,18 +314,25 @@ def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float)
         return made.outlive(both.mapInArrow(exact, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tau: int = TAU) -> DataFrame:
     """(doc_id, text) -> (key, keep_id): for each distinct text (key: a hash) the id of the document that stays for its group."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     with Scratch(docs.sparkSession) as made:
         texts = written(keyed.groupBy("key").agg(F.min("doc_id").alias("first")))
+        linked_first = fingerprint_pairs(keyed, words, tau)
+        edges = verified(linked_first, keyed, words, similarity)
+        near = components(edges)
         rows = written(shared(prefixes(keyed, words, similarity, frequent(keyed, texts.count(), words)), similarity))
-        next_to = written(rows.where("before IS NOT NULL").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct())
-        edges = verified(next_to, keyed, words, similarity)
+        next_to = rows.where("before IS NOT NULL").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct()
+        for side in "ab":
+            next_to = next_to.join(near.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+        next_to = next_to.where("NOT of_a <=> of_b OR of_a IS NULL").select("a", "b")
+        next_to = written(next_to.join(linked_first, ["a", "b"], "left_anti"))
+        edges = edges.unionByName(verified(next_to, keyed, words, similarity))
         near = components(edges).withColumnRenamed("node", "key")
         grouped = rows.where("whole").join(near, "key", "left").select("token", "n", "at", "key", F.coalesce("component", "key").alias("component"))
-        rest = written(candidates(grouped, similarity).join(next_to, ["a", "b"], "left_anti"))
-        made.drop(rows, next_to)
+        rest = written(candidates(grouped, similarity).join(next_to.unionByName(linked_first), ["a", "b"], "left_anti"))
+        made.drop(rows, next_to, linked_first)
         same = components(edges.unionByName(verified(rest, keyed, words, similarity))).withColumnRenamed("node", "key")
         same = written(same.join(texts, "key"))
         smallest = same.groupBy("component").agg(F.min("first").alias("smallest"))

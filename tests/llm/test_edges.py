@@ -247,3 +247,15 @@ def test_tables_go_with_their_span(spark):
         outer.keep(c)
     exists = lambda p: (q := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(q)
     assert [exists(p) for p in paths] == [False, True] and a is not None
+
+
+def test_near_duplicates_go_through_fingerprints(spark, monkeypatch):
+    """Where the prefix filter finds nothing, SimHash still links long texts of few changed words."""
+    rnd, texts = random.Random(8), []
+    for _ in range(6):
+        w = [f"u{rnd.randrange(10**6)}" for _ in range(4_000)]
+        texts += [" ".join(w[:i] + [x] + w[i + 1 :]) for i, x in ((0, w[0]), (1_000, "x"), (3_000, "y"))]
+    nothing = spark.createDataFrame([], "token long, n int, at int, key long, before long, whole boolean")
+    monkeypatch.setattr(simhash, "shared", lambda rows, similarity: nothing)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(d).collect()) == list(range(0, 18, 3))
