@@ -143,8 +143,9 @@ def drawn(key: list[str], seed: int) -> Column:
 
 
 def sample_k(rows: DataFrame, key: list[str], k: int, seed: int = 42) -> DataFrame:
-    """k rows by the least hash of their key: the same ones every time."""
-    return rows.orderBy(drawn(key, seed), *key).limit(k)
+    """k rows by the least hash of their key: the same ones every time, as rows of one key go by their other columns."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in key]
+    return rows.orderBy(drawn(key, seed), *key, *others).limit(k)
 
 
 def episode_candidates(rows: DataFrame, sell: str, buy: str, response: str, executed: str, refill: str) -> DataFrame:
