@@ -51,10 +51,16 @@ def summary(atoms: DataFrame, grid: DataFrame, book: DataFrame, step: int, tick:
     )
 
 
-def refill_pairs(atoms: DataFrame, horizon: int) -> DataFrame:
-    """Executions at a level with every add there in (t, t + horizon]. Both sides meet in time buckets as long as the horizon, so the join is by equality."""
-    bucket = lambda c: F.floor(c / horizon)
-    x = atoms.where("action = 'exec_reduce'").select(*LEVEL, F.col("ts").alias("exec_ts"), F.col("ingest_pos").alias("exec_pos"), F.col("qty").alias("exec_qty")).withColumn("b", F.explode(F.array(bucket(F.col("exec_ts")), bucket(F.col("exec_ts")) + 1)))
+#: Time buckets in a horizon: an execution meets the adds of one bucket more than these, of which those of one are in vain.
+PARTS = 8
+
+
+def refill_pairs(atoms: DataFrame, horizon: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Executions at a level with every add there in (t, t + horizon], and the execution's carried columns. Both sides meet in time buckets, so the join is by equality."""
+    width = -(-horizon // PARTS)
+    bucket = lambda c: F.floor(c / width)
+    met = F.explode(F.sequence(bucket(F.col("exec_ts") + 1), bucket(F.col("exec_ts") + horizon)))
+    x = atoms.where("action = 'exec_reduce'").select(*LEVEL, F.col("ts").alias("exec_ts"), F.col("ingest_pos").alias("exec_pos"), F.col("qty").alias("exec_qty"), *carried).withColumn("b", met)
     a = atoms.where("action = 'add'").select(*LEVEL, F.col("ts").alias("add_ts"), F.col("qty").alias("refill_qty")).withColumn("b", bucket(F.col("add_ts")))
     return x.join(a, [*LEVEL, "b"]).where(F.col("add_ts").between(F.col("exec_ts") + 1, F.col("exec_ts") + horizon)).drop("b").withColumn("delay_ms", F.col("add_ts") - F.col("exec_ts"))
 
